@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photolith.llm import decontaminate, pii, quality
+from photolith.llm import bpe, chat, decontaminate, pii, quality, url_rules, warc
 from photolith.llm._bytes import read
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The conversation that the chat query adds: both its texts are control strings.
+ADDED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", ADDED_TEXT), (-1, 1, "assistant", ADDED_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(added)))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(read(spark, sf_dir, "pages"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -20,9 +45,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op8_decontamination, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op5_bpe, op6_url_filters, op8_decontamination, op9_quality_rules)}
+
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP8_SQL = rf"""
 WITH d AS (
@@ -49,4 +74,50 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
+OP1_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{ADDED_TEXT}', '', '' UNION ALL SELECT -1, 1, 'assistant', '{ADDED_TEXT}', '', ''),
+shown AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(\[/?)(\\*INST\])', '\1\\\2', 'g'), '(</?)(\\*s>)', '\1\\\2', 'g') AS x,
+         regexp_replace(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '(\[/?)(\\*INST\])', '\1\\\2', 'g'), '(</?)(\\*s>)', '\1\\\2', 'g') AS y
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(chat.OPEN)} + length(y) + 1 + length(x) + {len(chat.CLOSE)}) + {len(chat.END)} AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+_FOURTHS = " || ".join(f"lpad(to_base(CAST('0x' || substr(d, {1 + 10 * i}, 10) AS BIGINT), 32), 8, '0')" for i in range(4))
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS size FROM pages),
+g AS (SELECT d, size, min(page_id) AS first_id FROM p GROUP BY d, size)
+SELECT page_id, size AS payload_bytes, translate({_FOURTHS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN g USING (d, size)
+"""
+
+
+def _op6_sql() -> str:
+    hosts = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_rules.HOST_RULES)
+    fits = lambda exception: " OR ".join(f"regexp_matches(low, '{p.regex()}', 's')" for p in url_rules.PATTERNS if p.exception == exception)
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES {hosts}) AS v(verdict, rule_host, rule_path)),
+best AS (
+  SELECT r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN ({fits(False)}) AND NOT ({fits(True)}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (r)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL, "op6_url_filters": _op6_sql(), "op8_decontamination": OP8_SQL}
