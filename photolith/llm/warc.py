@@ -103,12 +103,17 @@ def _payload_columns(raw: Column, header: Column, head: Column, length: Column)
     ]
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The stretches between magic lines, numbered in the order of each split."""
+    return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for each stretch between magic lines: where it lies, its record's extent if it is one, and its columns.
 
     Stretches that aren't whole records by their own header keep their bytes.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    raw = _scan(spark, path)
     said = _block_columns(F.col("value"))
     rows = raw.select("file", "block", "nth", "value", F.octet_length("value").cast("long").alias("size"), said["header"].alias("header"), said["head"].cast("long").alias("head"), said["length"].alias("length"))
     extent = F.lit(len(MAGIC)) + F.col("head") + F.col("length") + F.lit(len(BLANK))
@@ -156,6 +161,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # Records that magic inside their payload cut into several stretches: put together again.
     holder = F.last(F.when(F.col("real"), F.struct("offset", F.col("record").isNull().alias("torn"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
     torn = rows.withColumn("holder", holder).filter("holder.torn")
+    lost = torn.filter("record IS NOT NULL").select("file", "block", "nth")
+    if not lost.isEmpty():  # whole records inside payloads, whose bytes were left behind
+        again = _scan(spark, path).join(lost, ["file", "block", "nth"]).withColumnRenamed("value", "_again")
+        torn = torn.join(again, ["file", "block", "nth"], "left").withColumn("value", F.coalesce("value", "_again"))
     piece = F.struct("offset", F.coalesce("value", F.lit("")).alias("value"))
     joined = torn.groupBy("file", F.col("holder.offset").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["value"]), MAGIC).alias("value"))
     said = _block_columns(F.col("value"))
