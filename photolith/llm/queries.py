@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photolith.llm import bpe, chat, decontaminate, pii, quality, url_rules, warc
+from photolith.llm import bpe, chat, decontaminate, language_id, pii, quality, url_rules, warc
 from photolith.llm._bytes import read
 
 
@@ -45,7 +45,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op5_bpe, op6_url_filters, op8_decontamination, op9_quality_rules)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op5_bpe, op6_url_filters, op8_decontamination, op9_quality_rules, op10_language_id)}
 
 
 
