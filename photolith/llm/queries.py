@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photolith.llm import bpe, chat, decontaminate, language_id, pii, quality, url_rules, warc
+from photolith.llm import bpe, chat, decontaminate, language_id, maxent, pii, quality, url_rules, warc
 from photolith.llm._bytes import read
 
 
@@ -37,6 +37,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op5_bpe, op6_url_filters, op8_decontamination, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op5_bpe, op6_url_filters, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_language_id)}
 
 
 
