@@ -100,8 +100,15 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros(1, dtype=np.int64 if values.dtype.kind in "bui" else np.float64), np.cumsum(values, dtype=np.int64 if values.dtype.kind in "bui" else np.float64)))
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """The sum of each segment; those of floats are summed each on its own, so a long neighbour costs no precision."""
+    if values.dtype.kind in "bui":
+        total = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(values, dtype=np.int64)))
+        return total[bounds[1:]] - total[bounds[:-1]]
+    out = np.zeros(len(bounds) - 1)
+    filled = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(filled):
+        out[filled] = np.add.reduceat(values.astype(np.float64, copy=False), bounds[:-1][filled])
+    return out
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

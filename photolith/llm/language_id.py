@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photolith.llm._bytes import columns, map_texts, mix
+from photolith.llm._bytes import columns, map_texts, mix, segment_sum
 
 ORDER = 4
 BITS = 16
@@ -200,8 +200,7 @@ class Scorer:
         for k, v in enumerate(values):
             each = self.values[k][slot]
             each[missing] = v[place]
-            total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
-            sums.append(total[bounds[1:]] - total[bounds[:-1]])
+            sums.append(segment_sum(each, bounds))
         at = (mix(new) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
         self.keys[at] = new
         winners = self.keys[at] == new
