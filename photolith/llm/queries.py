@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photolith.llm import bpe, chat, decontaminate, language_id, maxent, pii, quality, url_rules, warc
+from photolith.llm import bpe, chat, decontaminate, language_id, maxent, near_dup, pii, quality, url_rules, warc
 from photolith.llm._bytes import read
 
 
@@ -29,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(read(spark, sf_dir, "pages"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op5_bpe, op6_url_filters, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op4_near_dup, op5_bpe, op6_url_filters, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_language_id)}
 
 
 
