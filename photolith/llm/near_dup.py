@@ -12,9 +12,11 @@ counted over all texts in a table of fixed size by shingle hash, so what is broa
 3. Of each bucket of a band the smallest node is the pivot; the others are verified against it by weighted Jaccard
    similarity, texts meeting in groups of bounded size that stream through a task.
 4. Connected components of the links are found by alternating large-star and small-star steps.
-5. The other pairs of a bucket matter only where their nodes are in different components. Distance is a metric: a pair whose
-   distances to the pivot differ by more than 0.2, or whose total weights have a ratio below 0.8, can't be a link. What is
-   left is verified, and the components are taken again, so no pair that shares a bucket is lost.
+5. The other pairs of a bucket matter only where their nodes are in different components. For the nodes of such buckets it's
+   counted how much of their weight is in shingles that no other of them has: that part can't be shared, which bounds the similarity
+   of any pair from above, and so do the two distances to the pivot, distance being a metric. The node with the least such
+   part is each bucket's next pivot; after its links are in the components, all pairs that are still apart and
+   that the bounds allow are verified, so no pair that shares a bucket is lost.
 
 A pair of similarity 0.8 shares no bucket with a probability of about 0.00007, one of 0.85 with less than 0.000001.
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolith.llm._bytes import ALNUM, LOWER, Words, columns, map_texts, mix, slices, windows
-from photolith.llm._store import stored
+from photolith.llm._store import stored, stored_compact
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -214,23 +216,25 @@ def signatures(rows: DataFrame, shared) -> DataFrame:
     return map_texts(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, weight double, bands array<long>")
 
 
-def verified(pairs: DataFrame, names: DataFrame, rows: DataFrame, shared) -> DataFrame:
-    """(a, b, sim) of pairs of nodes. names: (node, name), the id of a row with the node's text."""
-    wanted = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(names, "node"), "wanted-texts")
-    ids = wanted.select("node", F.col("name").alias("doc_id"))
-    if wanted.count() <= BROADCAST_IDS:  # 16 bytes each
+def candidate_texts(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of nodes (node, name), where name is the id of a row with the node's text."""
+    ids = nodes.select("node", F.col("name").alias("doc_id"))
+    if nodes.count() <= BROADCAST_IDS:  # 16 bytes each
         ids = F.broadcast(ids)
-    texts = ids.join(rows, ids.doc_id.eqNullSafe(rows.doc_id)).select("node", "text")
 
     def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Only texts that are their node's; an id may have other texts too."""
         found = Shingled(batch.column(1))
         return batch.filter(pa.array([n == found.node(i) for i, n in enumerate(batch.column(0).to_pylist())], type=pa.bool_()))
 
-    texts = stored(map_texts(texts, checked, "node long, text string").dropDuplicates(["node"]), "candidate-texts")
+    found = ids.join(rows, ids.doc_id.eqNullSafe(rows.doc_id)).select("node", "text")
+    return map_texts(found, checked, "node long, text string").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """(a, b, sim) of pairs of nodes; a's pairs are dealt to groups of bounded size, each led by a's text."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    sizes = stored(sizes, "pair-groups")
-    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")).drop("groups")
+    dealt = loose(pairs, "a").join(sizes.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")).select("a", "b", "part")
     leads = sizes.select("a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("part"))
     first = leads.join(texts, leads.a == texts.node).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     rest = dealt.join(texts, dealt.b == texts.node).select("a", "part", "b", "text")
@@ -252,19 +256,39 @@ def verified(pairs: DataFrame, names: DataFrame, rows: DataFrame, shared) -> Dat
     return first.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(run, "a long, b long, sim double")
 
 
+def own_weights(texts: DataFrame, shared) -> DataFrame:
+    """(node, own): the weight of the shingles that no other of the texts has."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                found = Shingled(part.column(1))
+                sets = [found.weighted(i, shared.value) for i in range(len(found))]
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k, _ in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in sets]).view(np.int64)), pa.array(node), pa.array(np.concatenate([w for _, w in sets]))], names=["s", "node", "w"])
+
+    each = texts.mapInArrow(run, "s long, node long, w double")
+    return each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1").groupBy("node").agg(F.sum("w").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); the root is its component's smallest node."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "component-edges")
-    state = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).head()
-    before = state(now)
+    """(node, root) of every node of the edges (a, b); the root is its component's smallest node.
+
+    Each round ends in a written table, which cuts the lineage.
+    """
+
+    def settled(e: DataFrame) -> tuple[DataFrame, tuple]:
+        out = stored_compact(e, "component-edges")
+        return out, tuple(out.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).head())
+
+    now, before = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "component-least")
-        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "component-edges")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "component-least")
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "component-edges")
-        after = state(now)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(loose(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = loose(large, "u").join(loose(least, "u"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now, after = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if after == before:
             break
         before = after
@@ -272,46 +296,93 @@ def components(edges: DataFrame) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
+def loose(df: DataFrame, key: str) -> DataFrame:
+    """`df` with its partitioning by an integer key forgotten, so that both sides of a join are dealt anew and AQE can split a hot key."""
+    return df.withColumn(key, F.col(key) + F.lit(0).cast("long"))
+
+
 def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size) for each row; the class is named by its smallest id, its size counts rows."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col)
+
+    def kept(x: DataFrame, rows_per_file: int = 500_000) -> DataFrame:
+        return stored_compact(x, "near-dup", rows_per_file)
+
     shared = spark.sparkContext.broadcast(idf_table(*document_frequencies(rows)))
     signed = stored(signatures(rows, shared), "signatures")
     worded = signed.filter("node IS NOT NULL")
-    nodes = stored(worded.groupBy("node").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
-    names = nodes.select("node", "name")
-
+    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     placed = nodes.select(F.explode("bands").alias("bucket"), "node")
-    pivots = stored(placed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z"), "pivots")
-    members = stored(placed.join(pivots, "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b")), "bucket-members")
-    tested = stored(verified(members.select("a", "b").distinct(), names, rows, shared), "tested-pairs")
+    slim = kept(worded.groupBy("node").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight")))
+
+    pivots = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
+    members = kept(placed.join(loose(pivots, "bucket"), "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b")))
+    pairs = kept(members.select("a", "b").distinct())
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = kept(candidate_texts(kept(wanted.join(slim.select("node", "name"), "node")), rows), 10_000)
+    tested = kept(verified(pairs, texts, shared))
     links = tested.filter(F.col("sim") >= threshold).select("a", "b")
-    found = stored(components(links), "components")
-
-    more = stored(_further_pairs(members, tested, found, nodes.select("node", "weight"), threshold), "further-pairs")
-    if not more.isEmpty():
-        again = verified(more, names, rows, shared).filter(F.col("sim") >= threshold).select("a", "b")
-        found = stored(components(links.unionByName(again)), "components")
-
-    grouped = nodes.select("node", "name", "copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(grouped.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1"), "classes")
-    named = stored(grouped.select("node", "root").join(named, "root").drop("root"), "node-classes")
+    found = components(links)
+
+    apart = kept(_open_members(members, tested, found))
+    if not apart.isEmpty():
+        own = own_weights(texts.join(apart.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), shared)
+        weights = kept(slim.select("node", "weight").join(own, "node", "left").select(F.col("node").alias("b"), "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common")))
+        apart = kept(apart.join(weights, "b"))
+        led = kept(_with_cleanest(apart))
+        met = _ordered(led.filter("b <> p"), "b", "p")
+        second = kept(verified(kept(met.join(tested.select("a", "b"), ["a", "b"], "left_anti")), texts, shared))
+        known = tested.unionByName(second)
+        links = known.filter(F.col("sim") >= threshold).select("a", "b")
+        found = components(links)
+        more = kept(_further_pairs(_placed_by(led, known, found), threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            found = components(links.unionByName(verified(more, texts, shared).filter(F.col("sim") >= threshold).select("a", "b")))
+
+    grouped = slim.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = grouped.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
+    named = kept(loose(grouped.select("node", "root"), "root").join(loose(named, "root"), "root").select("node", "class_id", "class_size"))
     joined = signed.select("doc_id", "node").join(named, "node", "left")
     return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _further_pairs(members: DataFrame, tested: DataFrame, found: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes other than the pivot that share a bucket, are in different components, and may be links."""
-    far = 1 - threshold
+def _open_members(members: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, b, d, root) of the members of buckets whose members other than the pivot are in several components."""
     rows = members.join(tested, ["a", "b"]).join(found.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", (1 - F.col("sim")).alias("d"), F.coalesce("root", "b").alias("root"))
-    rows = stored(rows.join(weights.withColumnRenamed("node", "b"), "b"), "bucket-distances")
-    open_ = stored(rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket"), "open-buckets")
-    rows = stored(rows.join(open_, "bucket"), "open-members")
-    x, y = rows.alias("x"), rows.alias("y")
-    near = F.expr(f"x.bucket = y.bucket AND x.b < y.b AND x.root <> y.root AND abs(x.d - y.d) <= {far + 1e-9} AND least(x.weight, y.weight) >= {threshold - 1e-9} * greatest(x.weight, y.weight)")
-    pairs = x.join(y, near).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket")
+    return loose(rows, "bucket").join(loose(several, "bucket"), "bucket")
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _with_cleanest(rows: DataFrame) -> DataFrame:
+    """The rows with p, their bucket's member with the smallest share of weight of its own, and p's weight."""
+    share = F.struct((1 - F.col("common") / F.col("weight")).alias("share"), "b")
+    best = rows.groupBy("bucket").agg(F.min_by(F.struct(F.col("b").alias("p"), F.col("weight").alias("p_weight")), share).alias("p")).select("bucket", "p.*")
+    return rows.drop("root").join(loose(best, "bucket"), "bucket")
+
+
+def _placed_by(rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with their root, distance to p, weight shared with p, and common weight that isn't shared with p."""
+    key = ("a", "b_")
+    rows = rows.withColumns({"a": F.least("b", "p"), "b_": F.greatest("b", "p")}).join(known.select("a", F.col("b").alias("b_"), "sim"), list(key), "left").drop(*key)
+    sim = F.when(F.col("b") == F.col("p"), 1.0).otherwise(F.col("sim"))
+    rows = rows.withColumn("sim", sim).withColumn("inside", F.col("sim") * (F.col("weight") + F.col("p_weight")) / (1 + F.col("sim")))
+    rows = rows.join(found.withColumnRenamed("node", "b"), "b", "left")
+    outside = F.greatest(F.col("common") - F.col("inside"), F.lit(0.0))
+    return rows.select("bucket", "b", F.coalesce("root", "b").alias("root"), "d", (1 - F.col("sim")).alias("e"), "inside", outside.alias("outside"), "weight")
+
+
+def _further_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members of a bucket that are in different components and, as far as the bounds tell, may be links."""
+    far, low = 1 - threshold + 1e-9, threshold - 1e-9
+    shared = "(least(x.inside, y.inside) + least(x.outside, y.outside))"
+    may = f"x.root <> y.root AND abs(x.d - y.d) <= {far} AND abs(x.e - y.e) <= {far} AND {shared} >= {low} * (x.weight + y.weight - {shared})"
+    x, y = loose(rows, "bucket").alias("x"), loose(rows, "bucket").alias("y")
+    return _ordered(x.join(y, F.expr(f"x.bucket = y.bucket AND x.b < y.b AND {may}")), "x.b", "y.b")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
