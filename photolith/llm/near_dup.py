@@ -31,8 +31,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photolith.llm._bytes import ALNUM, LOWER, Words, columns, map_texts, mix, slices, windows
 from photolith.llm._store import stored, stored_compact
@@ -303,6 +304,13 @@ def loose(df: DataFrame, key: str) -> DataFrame:
 
 def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size) for each row; the class is named by its smallest id, its size counts rows."""
+    signed, named = _solved(df, threshold, id_col, text_col)
+    joined = signed.join(named, "node", "left")
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row, and (node, root, class_id, class_size) of the nodes of classes of two rows and more."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col)
 
@@ -342,9 +350,8 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
 
     grouped = slim.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
-    named = kept(loose(grouped.select("node", "root"), "root").join(loose(named, "root"), "root").select("node", "class_id", "class_size"))
-    joined = signed.select("doc_id", "node").join(named, "node", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    named = kept(loose(grouped.select("node", "root"), "root").join(loose(named, "root"), "root").select("node", "root", "class_id", "class_size"))
+    return signed.select("doc_id", "node"), named
 
 
 def _open_members(members: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
@@ -385,8 +392,31 @@ def _further_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return _ordered(x.join(y, F.expr(f"x.bucket = y.bucket AND x.b < y.b AND {may}")), "x.b", "y.b")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` whose id names their class; of rows with an id that is there more than once, all."""
-    named = classes(df, id_col=id_col, text_col=text_col, **options)
-    gone = named.filter("class_id <> doc_id OR doc_id IS NULL AND class_id IS NOT NULL").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+def keep_one(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `df` for each class, with all its columns: that with the smallest id, of equal ids that with the smallest text."""
+    signed, named = _solved(df, threshold, id_col, text_col)
+    signed = signed.join(named, "node", "left")
+    gone = stored_compact(signed.filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct(), "gone-ids")
+    # Ids that don't name one row, if there are any: their rows are decided on by their texts.
+    vague = stored_compact(signed.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "vague-ids")
+
+    def sent(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # 16 bytes each
+
+    if vague.isEmpty():
+        return df.join(sent(gone), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    is_vague = F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+    plain = df.join(sent(vague), is_vague, "left_anti").join(sent(gone), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    rest = df.join(sent(vague), is_vague, "left_semi")
+    schema, at = T.StructType([*rest.schema.fields, T.StructField("_node", T.LongType())]), df.columns.index(text_col)
+
+    def with_node(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Shingled(batch.column(at))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([found.node(i) for i in range(len(found))], type=pa.int64())], names=[*batch.schema.names, "_node"])
+
+    lead = named.select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("class_id").alias("_class"))
+    rest = map_texts(rest, with_node, schema, text=text_col).join(lead, "_node", "left")
+    nth = F.row_number().over(Window.partitionBy("_root").orderBy(F.col(f"`{id_col}`").asc_nulls_last(), text_col))
+    alone = rest.filter("_root IS NULL")
+    first = rest.filter(F.col("_root").isNotNull() & F.col(f"`{id_col}`").eqNullSafe(F.col("_class"))).withColumn("_nth", nth).filter("_nth = 1")
+    return plain.unionByName(alone.select(*df.columns)).unionByName(first.select(*df.columns))

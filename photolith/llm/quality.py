@@ -189,6 +189,21 @@ def fertility(words: Words, vocabularies: Vocabularies) -> dict[str, np.ndarray]
         }
 
 
+def _judged(texts: pa.Array, langs: list[str | None], vocabularies: Vocabularies, bands: dict[str, Band]) -> tuple[dict, dict, list[str], np.ndarray]:
+    """Base counts, measures, band and verdict of each text."""
+    names, limits = list(bands), list(bands.values())
+    script_at = [names.index(x) for x in ("latin", "cyrillic", "greek", "other")]
+    words = Words(texts, SPACED)
+    base, measured = base_counts(words), fertility(words, vocabularies)
+    script = scripts(words.data, words.offsets)
+    band = np.array([names.index(x) if x in bands else script_at[s] for x, s in zip(langs, script, strict=True)], dtype=np.int64)
+    of = lambda k: np.array([getattr(b, k) for b in limits])[band]
+    with np.errstate(invalid="ignore"):
+        out = (np.maximum(measured["chars_per_token"], measured["chars_per_byte_token"]) < of("least_chars")) | (np.minimum(measured["chars_per_token"], measured["chars_per_byte_token"]) > of("most_chars"))
+        out |= (measured["fallback_share"] > of("most_fallback")) | (measured["token_entropy"] < of("least_entropy"))
+    return base, measured, [names[b] for b in band], ~base["base_failed"] & ~(out & (measured["n_tokens"] >= MIN_TOKENS))
+
+
 def judge(df: DataFrame, piece_path: str | None = None, byte_path: str | None = None, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """One row of measures and verdicts for each row of `df`; one pass, no shuffle."""
     import public_tokenizers
@@ -197,28 +212,37 @@ def judge(df: DataFrame, piece_path: str | None = None, byte_path: str | None =
     byte_path = byte_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bands = bands or BANDS
     rows = columns(df, doc_id=id_col, text=text_col, lang=lang_col or text_col)
-    names, limits = list(bands), list(bands.values())
-    script_at = [names.index(x) for x in ("latin", "cyrillic", "greek", "other")]
     made: list[Vocabularies] = []
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Vocabularies(piece_path, byte_path))
-        words = Words(batch.column(1), SPACED)
-        base, measured = base_counts(words), fertility(words, made[0])
         langs = batch.column(2).to_pylist() if lang_col else [None] * batch.num_rows
-        script = scripts(words.data, words.offsets)
-        band = np.array([names.index(x) if x in bands else script_at[s] for x, s in zip(langs, script, strict=True)], dtype=np.int64)
-        of = lambda k: np.array([getattr(b, k) for b in limits])[band]
-        with np.errstate(invalid="ignore"):
-            out = (np.maximum(measured["chars_per_token"], measured["chars_per_byte_token"]) < of("least_chars")) | (np.minimum(measured["chars_per_token"], measured["chars_per_byte_token"]) > of("most_chars"))
-            out |= (measured["fallback_share"] > of("most_fallback")) | (measured["token_entropy"] < of("least_entropy"))
-        kept = ~base["base_failed"] & ~(out & (measured["n_tokens"] >= MIN_TOKENS))
+        base, measured, band, kept = _judged(batch.column(1), langs, made[0], bands)
         arrays = [batch.column(0).cast(pa.int64())]
         arrays += [pa.array(base[k], type=pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         arrays += [pa.array(base["base_failed"]), pa.array(kept), pa.array(measured["n_tokens"], type=pa.int64())]
         arrays += [pa.array(measured[k], type=pa.float64(), from_pandas=True) for k in ("chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy")]
-        arrays.append(pa.array([names[b] for b in band], type=pa.string()))
+        arrays.append(pa.array(band, type=pa.string()))
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return map_texts(rows, part, RESULT)
+
+
+def keep(df: DataFrame, piece_path: str | None = None, byte_path: str | None = None, bands: dict[str, Band] | None = None, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows of `df` that the rules keep, with all their columns; one pass, no shuffle, no join by id."""
+    import public_tokenizers
+
+    piece_path = piece_path or public_tokenizers.path("piece_bpe_32k.model")
+    byte_path = byte_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bands = bands or BANDS
+    text_at, lang_at = df.columns.index(text_col), df.columns.index(lang_col) if lang_col else None
+    made: list[Vocabularies] = []
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(Vocabularies(piece_path, byte_path))
+        langs = [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
+        return batch.filter(pa.array(_judged(batch.column(text_at), langs, made[0], bands)[3]))
+
+    return map_texts(df, part, df.schema, text=text_col)

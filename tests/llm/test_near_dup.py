@@ -100,7 +100,18 @@ def test_chains_and_edge_rows(spark):
     assert N.classes(empty).count() == 0
 
 
+def kept_ids(spark, rows):
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, class_id string")
+    got = N.keep_one(df)
+    assert got.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z"), (4, None), (5, None)]
-    df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, class_id string")
-    assert sorted(r.doc_id for r in N.keep_one(df).collect()) == [1, 3, 4, 5]
+    assert kept_ids(spark, rows) == [(1, "a b c d e f g"), (3, "x y z"), (4, None), (5, None)]
+
+
+def test_keep_one_where_ids_are_null_or_repeated(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (None, "lonely"), (None, "twin w"), (None, "twin w"), (7, "one text"), (7, "other text"), (None, None), (None, ""), (8, "other text")]
+    assert kept_ids(spark, rows) == sorted([(1, "a b c d e f g"), (None, "lonely"), (None, "twin w"), (7, "one text"), (7, "other text"), (None, None), (None, "")], key=str)
