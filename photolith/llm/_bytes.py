@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+ARROW_BYTES = 8 << 20
 CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -90,6 +91,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """Apply `fn` to bounded slices of each partition's rows."""
+    bound_batches(df)
 
     def run(batches):
         for batch in batches:
@@ -99,6 +101,14 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Limit the Arrow batches that go to Python by bytes, not only by rows, since texts may be long; a lower limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = df.sparkSession.conf.get(key, None)
+    if have is None or not have.isdigit() or int(have) > ARROW_BYTES:
+        df.sparkSession.conf.set(key, str(ARROW_BYTES))
+
+
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The sum of each segment; those of floats are summed each on its own, so a long neighbour costs no precision."""
     if values.dtype.kind in "bui":

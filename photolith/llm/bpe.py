@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from photolith.llm._bytes import columns, map_texts
 
 PIECE = 1 << 16
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 MEMO_LENGTH = 64
 END = "</w>"
 NEVER = (1 << 62, -1)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photolith.llm._bytes import bound_batches
+
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
 LEARNED = "assistant"
 PART_CHARS = 1 << 22
@@ -98,6 +100,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def _ordered(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    bound_batches(df)
     rows = df.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolith.llm._bytes import LOWER, SPACED, Words, columns, map_texts, mix, segment_sum, slices
+from photolith.llm._bytes import LOWER, SPACED, Words, bound_batches, columns, map_texts, mix, segment_sum, slices
 from photolith.llm._store import stored
 
 HEAD = 300_000
@@ -239,6 +239,7 @@ def score_part(column: pa.Array, head: Head, weights: np.ndarray) -> tuple:
 def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD) -> DataFrame:
     """Scores of all rows under the model learned from those whose crc32(id) modulo `parts` isn't `part`."""
     spark = df.sparkSession
+    bound_batches(df)
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
     rows = columns(df, doc_id=id_col, text=text_col).withColumn("held_out", out)
     training = rows.filter(~F.col("held_out"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from photolith.llm._bytes import ALNUM, LOWER, Words, columns, map_texts, mix, slices, windows
+from photolith.llm._bytes import ALNUM, LOWER, Words, bound_batches, columns, map_texts, mix, slices, windows
 from photolith.llm._store import stored, stored_compact
 
 SHINGLE = 5
@@ -312,6 +312,7 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
 def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and (node, root, class_id, class_size) of the nodes of classes of two rows and more."""
     spark = df.sparkSession
+    bound_batches(df)
     rows = columns(df, doc_id=id_col, text=text_col)
 
     def kept(x: DataFrame, rows_per_file: int = 500_000) -> DataFrame:
