@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
-ARROW_BYTES = 8 << 20
-CHUNK = 1 << 19
+SLICE_BYTES = 2 << 20
+ARROW_BYTES = 4 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
