@@ -1,0 +1 @@
+"""Photo and video collections as tables: sharing contracts, deduplication, enrichment and verification on Spark."""
