@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photolith import schemas
 from photolith.errors import SourceError
@@ -49,7 +50,7 @@ def scan(files: DataFrame, skip=()) -> DataFrame:
 
 def with_sha256(files: DataFrame, column: str = "sha256") -> DataFrame:
     """`files` with the SHA-256 of each `path`, read in chunks where the tasks run; a file that can't be read has none."""
-    schema = files.schema.add(column, "string")
+    schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches):
         for batch in batches:
@@ -163,7 +164,8 @@ def read_embedded(files: DataFrame, reader: Callable[[list[str]], pd.DataFrame],
     def run(batches):
         for pdf in batches:
             for a in range(0, len(pdf), batch):
-                yield reader(pdf["path"].iloc[a : a + batch].tolist()).reindex(columns=names)
+                said = reader(pdf["path"].iloc[a : a + batch].tolist()).reindex(columns=names).astype(object)
+                yield pd.DataFrame({n: pd.Series([None if pd.isna(v) else str(v) for v in said[n]], dtype=object) for n in names})
 
     return files.select("path").mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
