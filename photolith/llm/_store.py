@@ -30,7 +30,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as a table and read again: its lineage ends there and its partitioning is forgotten."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def stored_compact(df: DataFrame, name: str, rows_per_file: int = 500_000) -> DataFrame:
@@ -41,10 +43,9 @@ def stored_compact(df: DataFrame, name: str, rows_per_file: int = 500_000) -> Da
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the table behind what `stored` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the tables behind what `stored` returned, once nothing that is still to run reads them."""
+    for df in tables:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photolith.llm._bytes import ALNUM, LOWER, Words, bound_batches, columns, map_texts, mix, slices, windows
-from photolith.llm._store import stored, stored_compact
+from photolith.llm._store import drop, stored, stored_compact
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -289,7 +289,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(loose(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = loose(large, "u").join(loose(least, "u"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = now
         now, after = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(last)
         if after == before:
             break
         before = after
@@ -314,9 +316,11 @@ def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tupl
     spark = df.sparkSession
     bound_batches(df)
     rows = columns(df, doc_id=id_col, text=text_col)
+    made: list[DataFrame] = []
 
     def kept(x: DataFrame, rows_per_file: int = 500_000) -> DataFrame:
-        return stored_compact(x, "near-dup", rows_per_file)
+        made.append(stored_compact(x, "near-dup", rows_per_file))
+        return made[-1]
 
     shared = spark.sparkContext.broadcast(idf_table(*document_frequencies(rows)))
     signed = stored(signatures(rows, shared), "signatures")
@@ -352,6 +356,7 @@ def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tupl
     grouped = slim.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
     named = kept(loose(grouped.select("node", "root"), "root").join(loose(named, "root"), "root").select("node", "root", "class_id", "class_size"))
+    drop(*made[:-1])
     return signed.select("doc_id", "node"), named
 
 

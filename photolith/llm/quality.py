@@ -43,7 +43,7 @@ class Band:
 
 #: By language, else by the script of most letters. Wide on purpose: clean text, names, numbers and tables stay inside.
 BANDS = {
-    "en": Band(2.00, 7.5, 0.20, 4.2),
+    "en": Band(1.95, 7.5, 0.20, 4.2),
     "de": Band(1.90, 7.0, 0.20, 4.2),
     "fr": Band(1.75, 7.0, 0.20, 4.2),
     "es": Band(1.70, 7.0, 0.20, 4.2),

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photolith.llm._bytes import columns
-from photolith.llm._store import new_path, stored
+from photolith.llm._store import drop, new_path, stored
 
 MAGIC = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
@@ -52,7 +52,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     """Write one record for each row of `df`."""
     rows = columns(df, id=id_col, url=url_col, html=html_col).withColumn("html", F.coalesce("html", F.lit("")))
     sized = rows.select("id", "url", "html", base32_sha1(F.col("html")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    equal = stored(first_of_equal(sized.filter(F.col("size") >= least_bytes).select("id", "digest", "size")), "equal-payloads")
+    table = equal = stored(first_of_equal(sized.filter(F.col("size") >= least_bytes).select("id", "digest", "size")), "equal-payloads")
     if equal.count() <= BROADCAST_GROUPS:  # 60 bytes each; beyond, a join that AQE splits where a payload is hot
         equal = F.broadcast(equal)
     joined = sized.join(equal, ["digest", "size"], "left")
@@ -71,6 +71,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     )
     record = F.concat(header, http, F.when(revisit, "").otherwise(F.col("html")))
     joined.select(record.alias("value")).write.option("lineSep", BLANK).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    drop(table)
 
 
 def _field(header: Column, name: str) -> Column:
