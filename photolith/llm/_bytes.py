@@ -197,5 +197,17 @@ def columns(df: DataFrame, **kept: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in kept.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where `df` has them, for helper columns beside a caller's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

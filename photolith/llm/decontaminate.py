@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolith.llm._bytes import ALNUM, LOWER, Words, columns, map_texts, owner, segment_sum, windows
+from photolith.llm._bytes import ALNUM, LOWER, Words, columns, fresh, map_texts, owner, segment_sum, windows
 
 SPAN = 13
 GRAM = 7
@@ -218,11 +218,12 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     if first is None:
         return df
     if second is not None:
-        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-        keyed = df.select(F.monotonically_increasing_id().alias("_n"), key.alias("_key"), F.col(text_col).alias("_text"))
+        key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+        keyed = df.select(F.monotonically_increasing_id().alias("_n"), key.alias("_key"), F.col(f"`{text_col}`").alias("_text"))
         marked = find(keyed, benchmark, id_col="_n", text_col="_text", item_id_col=item_id_col, item_text_col=item_text_col, block_words=block_words).filter("contaminated")
-        bad = keyed.join(marked, keyed["_n"] == marked["doc_id"]).select("_key").distinct()
-        return df.withColumn("_own", key).join(bad, F.col("_own") == F.col("_key"), "left_anti").drop("_own")
+        own, other = fresh(df, "own_key", "other_key")
+        bad = keyed.join(marked, keyed["_n"] == marked["doc_id"]).select(F.col("_key").alias(other)).distinct()
+        return df.withColumn(own, key).join(bad, F.col(own) == F.col(other), "left_anti").drop(own)
     at = df.columns.index(text_col)
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from photolith.llm._bytes import ALNUM, LOWER, Words, bound_batches, columns, map_texts, mix, slices, windows
+from photolith.llm._bytes import ALNUM, LOWER, Words, bound_batches, columns, fresh, map_texts, mix, slices, windows
 from photolith.llm._store import drop, stored, stored_compact
 
 SHINGLE = 5
@@ -402,27 +402,29 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     """One row of `df` for each class, with all its columns: that with the smallest id, of equal ids that with the smallest text."""
     signed, named = _solved(df, threshold, id_col, text_col)
     signed = signed.join(named, "node", "left")
-    gone = stored_compact(signed.filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct(), "gone-ids")
+    other, node, root, lead, nth = fresh(df, "other_id", "node", "root", "lead_id", "nth")
+    gone = stored_compact(signed.filter("doc_id <> class_id").select(F.col("doc_id").alias(other)).distinct(), "gone-ids")
     # Ids that don't name one row, if there are any: their rows are decided on by their texts.
-    vague = stored_compact(signed.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "vague-ids")
+    vague = stored_compact(signed.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(other)), "vague-ids")
 
     def sent(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # 16 bytes each
 
+    own = F.col(f"`{id_col}`")
     if vague.isEmpty():
-        return df.join(sent(gone), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
-    is_vague = F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
-    plain = df.join(sent(vague), is_vague, "left_anti").join(sent(gone), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+        return df.join(sent(gone), own == F.col(other), "left_anti")
+    is_vague = own.eqNullSafe(F.col(other))
+    plain = df.join(sent(vague), is_vague, "left_anti").join(sent(gone), own == F.col(other), "left_anti")
     rest = df.join(sent(vague), is_vague, "left_semi")
-    schema, at = T.StructType([*rest.schema.fields, T.StructField("_node", T.LongType())]), df.columns.index(text_col)
+    schema, at = T.StructType([*rest.schema.fields, T.StructField(node, T.LongType())]), df.columns.index(text_col)
 
     def with_node(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Shingled(batch.column(at))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([found.node(i) for i in range(len(found))], type=pa.int64())], names=[*batch.schema.names, "_node"])
-
-    lead = named.select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("class_id").alias("_class"))
-    rest = map_texts(rest, with_node, schema, text=text_col).join(lead, "_node", "left")
-    nth = F.row_number().over(Window.partitionBy("_root").orderBy(F.col(f"`{id_col}`").asc_nulls_last(), text_col))
-    alone = rest.filter("_root IS NULL")
-    first = rest.filter(F.col("_root").isNotNull() & F.col(f"`{id_col}`").eqNullSafe(F.col("_class"))).withColumn("_nth", nth).filter("_nth = 1")
-    return plain.unionByName(alone.select(*df.columns)).unionByName(first.select(*df.columns))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([found.node(i) for i in range(len(found))], type=pa.int64())], names=[*batch.schema.names, node])
+
+    leads = named.select(F.col("node").alias(node), F.col("root").alias(root), F.col("class_id").alias(lead))
+    rest = map_texts(rest, with_node, schema, text=text_col).join(leads, node, "left")
+    first = F.row_number().over(Window.partitionBy(root).orderBy(own.asc_nulls_last(), F.col(f"`{text_col}`")))
+    named_rows = rest.filter(F.col(root).isNotNull() & own.eqNullSafe(F.col(lead))).withColumn(nth, first).filter(F.col(nth) == 1)
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return plain.unionByName(rest.filter(F.col(root).isNull()).select(*kept)).unionByName(named_rows.select(*kept))

@@ -45,7 +45,7 @@ def made(seed):
 @pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 30])
 def test_against_brute_force(spark, seed, block_words):
     docs, items = made(seed)
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_hit int")
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, own_key int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((tuple(r) for r in D.find(df, bench, block_words=block_words).collect()), key=str)
     want = brute(docs, items)

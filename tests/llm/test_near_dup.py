@@ -101,7 +101,7 @@ def test_chains_and_edge_rows(spark):
 
 
 def kept_ids(spark, rows):
-    df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, class_id string")
+    df = spark.createDataFrame([(*r, "kept", 1, 2, 3) for r in rows], "doc_id long, text string, class_id string, node int, other_id int, Root int")
     got = N.keep_one(df)
     assert got.columns == df.columns
     return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
