@@ -7,12 +7,14 @@ few MB, so memory depends on the slice and the longest single text, never on a p
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -197,6 +199,22 @@ def columns(df: DataFrame, **kept: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in kept.items()])
 
 
+class Shared:
+    """A broadcast object of this package's own classes, which workers need not be able to import."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, longer by underscores where `df` has them, for helper columns beside a caller's own."""
     taken = {c.lower() for c in df.columns}

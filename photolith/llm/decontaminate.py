@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolith.llm._bytes import ALNUM, LOWER, Words, columns, fresh, map_texts, owner, segment_sum, windows
+from photolith.llm._bytes import ALNUM, LOWER, Shared, Words, columns, fresh, map_texts, owner, segment_sum, windows
 
 SPAN = 13
 GRAM = 7
@@ -150,10 +150,10 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """One row of hit counts for each row of `df`: one pass without a shuffle for each block of the benchmark."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col)
-    parts = (spark.sparkContext.broadcast(Index(x)) for x in blocks(benchmark, item_id_col, item_text_col, block_words))
+    parts = (Shared(spark, Index(x)) for x in blocks(benchmark, item_id_col, item_text_col, block_words))
     first, second = next(parts, None), next(parts, None)
     if second is None:
-        return _pass(rows, first or spark.sparkContext.broadcast(Index([])), merged=False)
+        return _pass(rows, first or Shared(spark, Index([])), merged=False)
     keyed = rows.withColumn("_row", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")))
     hits = None
     for shared in itertools.chain((first, second), parts):
@@ -213,7 +213,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     taken out by their text.
     """
     spark = df.sparkSession
-    parts = (spark.sparkContext.broadcast(Index(x)) for x in blocks(benchmark, item_id_col, item_text_col, block_words))
+    parts = (Shared(spark, Index(x)) for x in blocks(benchmark, item_id_col, item_text_col, block_words))
     first, second = next(parts, None), next(parts, None)
     if first is None:
         return df

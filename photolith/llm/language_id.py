@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photolith.llm._bytes import columns, map_texts, mix, segment_sum
+from photolith.llm._bytes import Shared, columns, map_texts, mix, segment_sum
 
 ORDER = 4
 BITS = 16
@@ -238,7 +238,7 @@ def identify(df: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id
     """Learn from rows outside the held-out part, then predict all rows: one pass, no shuffle."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col, lang=lang_col)
-    shared = spark.sparkContext.broadcast(Identifier(sample(rows.filter(~held_out(F.col("doc_id"), parts, part)))))
+    shared = Shared(spark, Identifier(sample(rows.filter(~held_out(F.col("doc_id"), parts, part)))))
     made: list[Scorer] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

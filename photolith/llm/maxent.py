@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolith.llm._bytes import LOWER, SPACED, Words, bound_batches, columns, map_texts, mix, segment_sum, slices
+from photolith.llm._bytes import LOWER, SPACED, Shared, Words, bound_batches, columns, map_texts, mix, segment_sum, slices
 from photolith.llm._store import stored
 
 HEAD = 300_000
@@ -259,7 +259,7 @@ def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id",
     h = frequent["h"].to_numpy(dtype=np.int64).view(np.uint64) if frequent is not None else np.zeros(0, dtype=np.uint64)
     n = frequent["n"].to_numpy(dtype=np.int64) if frequent is not None else np.zeros(0, dtype=np.int64)
     head = make_head(h, n, total, kinds)
-    shared = spark.sparkContext.broadcast(head)
+    shared = Shared(spark, head)
     weights = spark.sparkContext.broadcast(averaged(train(training, shared)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
