@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photolith.functions import values
+from photolith.functions.keys import dealt_anew
 from photolith.operators.similarity import pairs_within
 from photolith.sources.scratch import settle
 
@@ -38,7 +39,7 @@ def classify(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> Dat
     Of the archive's files within the threshold only the nearest counts, of equally near ones that with the smallest id.
     """
     same = archive.groupBy("sha256").agg(F.min("id").alias("same_id"))
-    files = incoming.join(same, "sha256", "left")
+    files = incoming.join(dealt_anew(same, "sha256"), "sha256", "left")
     best = pairs_within(files.filter("same_id IS NULL").select("path", "bits", "width", "height", "filesize"), archive.select("id", "bits", "width", "height", "filesize"), threshold)
     best = best.groupBy(F.col("l.path").alias("path")).agg(F.min_by(F.struct("r", "distance"), F.struct("distance", "r.id")).alias("n"))
     joined = files.join(best, "path", "left")
@@ -78,7 +79,7 @@ def greedy(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> DataF
     files = incoming.withColumn("_key", order_key())
     key = files.schema["_key"].dataType
     best = F.min_by(F.struct("path", "bits", "_key"), "_key").alias("f")
-    fresh = files.join(archive.select("sha256").distinct(), "sha256", "left_anti")
+    fresh = files.join(dealt_anew(archive.select("sha256").distinct(), "sha256"), "sha256", "left_anti")
     firsts = fresh.groupBy("sha256").agg(best).select("sha256", "f.*")
     plain = firsts.filter("bits IS NULL")
     hashed = settle(firsts.filter("bits IS NOT NULL").groupBy("bits").agg(F.min_by(F.struct("path", "_key"), "_key").alias("f")).select("bits", "f.*"), "hashed")
@@ -95,7 +96,7 @@ def greedy(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> DataF
     masters = masters.unionByName(new.select("sha256", "bits", F.lit(None).cast("bigint").alias("master_id"), F.col("path").alias("master_path"), F.col("_key").alias("_mkey"), "width", "height", "filesize"))
     rank = F.struct(F.col("master_id").isNull(), "master_id", "_mkey")
     same = masters.groupBy("sha256").agg(F.min_by(F.struct("master_id", "master_path"), rank).alias("s"))
-    rest = files.join(new.select("path"), "path", "left_anti").join(same, "sha256", "left")
+    rest = files.join(new.select("path"), "path", "left_anti").join(dealt_anew(same, "sha256"), "sha256", "left")
     asked = rest.filter("s IS NULL").select("path", "bits", "width", "height", "filesize", "_key")
     earlier = F.col("r._mkey").isNull() | (F.col("r._mkey") < F.col("l._key"))
     near = pairs_within(asked, masters.drop("sha256"), threshold, keep=earlier)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from photolith import schemas
 from photolith.config import Contract, Family, Subject
 from photolith.functions import dates, paths, text, values
+from photolith.functions.keys import dealt_anew
 from photolith.operators import contract, dedupe, enrich, inventory, similarity, stats, upsert, verify
 from photolith.operators.nearest_time import nearest
 from photolith.plans.ingest import filed, plan_ingest
@@ -128,7 +129,7 @@ def document_files(spark, sf_dir):
 def q11_exact_duplicates(spark, sf_dir):
     d = document_files(spark, sf_dir)
     masters = d.groupBy("sha256").agg(F.min("doc_id").alias("master_id"), F.count(F.lit(1)).alias("copies"))
-    return d.join(masters, "sha256").select("doc_id", "master_id", "copies", (F.col("doc_id") != F.col("master_id")).alias("is_duplicate"))
+    return d.join(dealt_anew(masters, "sha256"), "sha256").select("doc_id", "master_id", "copies", (F.col("doc_id") != F.col("master_id")).alias("is_duplicate"))
 
 
 @registered
