@@ -84,3 +84,19 @@ def format_size(size: Column) -> Column:
         limit = F.abs(value) < 1024.0 ** (power + 1)
         out = F.when(F.abs(value) < 1024.0, F.concat(F.format_number(value, 0), F.lit(" B"))).when(limit, shown) if out is None else out.when(limit, shown)
     return out.otherwise(F.concat(F.format_number(value / 1024.0**4, 1), F.lit(" TB")))
+
+
+def format_duration(hours: Column) -> Column:
+    """A number of hours for reading."""
+    fixed = lambda c, places: F.regexp_replace(F.format_number(c, places), ",", "")
+    return (
+        F.when(hours * 60 < 1, "under a minute")
+        .when(hours < 1, F.concat(fixed(hours * 60, 0), F.lit(" minutes")))
+        .when(hours < 24, F.concat(fixed(hours, 1), F.lit(" hours")))
+        .otherwise(F.concat(fixed(hours / 24, 1), F.lit(" days")))
+    )
+
+
+def plural(count: Column, singular: str, ending: str = "s") -> Column:
+    """`3 items`, `1 item`."""
+    return F.concat(F.format_number(count, 0), F.lit(f" {singular}"), F.when(count == 1, "").otherwise(ending))

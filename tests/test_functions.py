@@ -77,6 +77,8 @@ def test_values(spark):
     assert each(spark, "string", ['{"k": 1}', "[1]", "{bad", None], lambda c: F.to_json(values.detail_map(c))) == ['{"k":"1"}', "{}", "{}", "{}"]
     assert each(spark, "bigint", [0, 1023, 1024, 1536 * 1024, 1 << 50, -2048], values.format_size) == ["0 B", "1,023 B", "1.0 KB", "1.5 MB", "1,024.0 TB", "-2.0 KB"]
     assert each(spark, "date", [date(2015, 1, 31), date(2015, 1, 1)], lambda c: F.add_months(c, 1)) == [date(2015, 2, 28), date(2015, 2, 1)]
+    assert each(spark, "double", [0.001, 0.5, 3.25, 48.0], values.format_duration) == ["under a minute", "30 minutes", "3.2 hours", "2.0 days"]
+    assert each(spark, "bigint", [1, 3, 1200], lambda c: values.plural(c, "item")) == ["1 item", "3 items", "1,200 items"]
     assert math.isclose(each(spark, "bigint", [25_000_000 * 450], values.download_hours)[0], 1.0) and timedelta(hours=1)
 
 

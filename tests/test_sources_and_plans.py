@@ -68,6 +68,21 @@ def test_verify_a_drive(spark, drive):
     assert got == {"a.jpg": "corrupted", "sub/_c.heic": "missing", "new.png": "unlisted", "sub/b.MOV": "ok", 'sub/d, "q".png': "ok"}
 
 
+def test_decoders_degrade_to_unknown(spark, drive):
+    import importlib.util
+    import shutil
+
+    from photolith.sources import decoders
+
+    found = {r.rel_path: r.phash for r in decoders.with_phash(S.scan(S.list_files(spark, str(drive)))).collect()}
+    assert len(found) == 4 and found["sub/b.MOV"] is None
+    if importlib.util.find_spec("imagehash") is None:
+        assert set(found.values()) == {None}
+    if not shutil.which(decoders.PROGRAM):
+        with pytest.raises(SourceError):
+            decoders.embedded_reader([str(drive / "a.jpg")])
+
+
 def test_orphans(spark, drive):
     from photolith.functions import paths
 
