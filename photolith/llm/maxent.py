@@ -1,8 +1,9 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and one end token a text. Every token has a class:
-the most frequent ones a class each, the other head tokens classes of equal shares of the logarithm of rank, and all others,
-seen or not, the last class. The model is
+the most frequent ones a class each, the other head tokens one by group and frequency, and all others, seen or not, the last class. A
+token's group comes from the texts it's in: each text has the mean of fixed random vectors of its tokens, each token the mean over
+its occurrences, and k-means over the head tokens' means finds GROUPS groups (in effect, languages or topics). The model is
 
     P(token | history) = softmax over classes(bias + sum of weights of hashed features) * P(token | class)
 
@@ -36,11 +37,13 @@ from photolith.llm._store import stored
 
 HEAD = 300_000
 SLOT_BITS = 20
-CLASSES = 48
-SINGLE = 24
+SINGLE = 31
+GROUPS, BINS = 8, 2
+CLASSES = SINGLE + GROUPS * BINS + 1
+DIMENSIONS = 4
 ROW_BITS = 13
 BATCH = 8192
-RATE = 0.6
+RATE = 1.2
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 PARTIAL_ENTRIES = 1 << 20
@@ -62,26 +65,37 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def text_vectors(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each dimension the mean, over a text's tokens, of values in [-1, 1) that the token's hash fixes."""
+    size = np.maximum(np.diff(bounds), 1)
+    return np.stack([segment_sum(mix(h ^ np.uint64(0xA24BAED4963EE407 + k)).view(np.int64).astype(np.float64) * 2.0**-63, bounds) / size for k in range(DIMENSIONS)])
+
+
+def _summed(h: np.ndarray, columns_: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    keys, at = np.unique(h, return_inverse=True)
+    return keys, [np.bincount(at, weights=c) for c in columns_]
+
+
 def partial_counts(rows: DataFrame) -> DataFrame:
-    """(h, n) of the tokens of each partition, once or a few times each."""
+    """(h, n, v0, ...) of the tokens of each partition, once or a few times each: counts and sums of their texts' vectors."""
+    names = [f"v{k}" for k in range(DIMENSIONS)]
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
         size = 0
 
         def merged():
-            h = np.concatenate([x for x, _ in held])
-            keys, at = np.unique(h, return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+            return _summed(np.concatenate([x for x, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)])
 
-        def out(keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
+        def out(keys, sums):
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["h", "n", *names])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, n = np.unique(tokens(part.column(0))[0], return_counts=True)
-                held.append((keys, n))
-                size += len(keys)
+                h, bounds = tokens(part.column(0))
+                of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                held.append(_summed(h, [np.ones(len(h)), *(v[of] for v in text_vectors(h, bounds))]))
+                size += len(held[-1][0])
                 if size > PARTIAL_ENTRIES:
                     held[:] = [merged()]
                     size = len(held[0][0])
@@ -91,7 +105,26 @@ def partial_counts(rows: DataFrame) -> DataFrame:
         if held:
             yield out(*merged())
 
-    return rows.select("text").mapInArrow(run, "h long, n long")
+    return rows.select("text").mapInArrow(run, "h long, n long, " + ", ".join(f"{v} double" for v in names))
+
+
+def groups_of(vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """k-means (rows: tokens) weighted by the square root of the counts, from centres that are far apart."""
+    if not len(vectors):
+        return np.zeros(0, dtype=np.int64)
+    weight = np.sqrt(weight)
+    centres = [np.average(vectors, axis=0, weights=weight)]
+    nearest = np.full(len(vectors), np.inf)
+    for _ in range(GROUPS):
+        nearest = np.minimum(nearest, ((vectors - centres[-1]) ** 2).sum(axis=1))
+        centres.append(vectors[np.argmax(nearest * weight)])
+    centre = np.array(centres[1:])
+    for _ in range(20):
+        of = np.argmin(((vectors[:, None, :] - centre[None]) ** 2).sum(axis=2), axis=1)
+        mass = np.bincount(of, weights=weight, minlength=GROUPS)
+        moved = np.stack([np.bincount(of, weights=weight * vectors[:, k], minlength=GROUPS) for k in range(vectors.shape[1])], axis=1)
+        centre = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-12)[:, None], centre)
+    return of
 
 
 @dataclass
@@ -113,7 +146,7 @@ class Head:
         return slot, self.keys[slot] == h
 
 
-def make_head(h: np.ndarray, n: np.ndarray, total: int, kinds: int) -> Head:
+def make_head(h: np.ndarray, n: np.ndarray, total: int, kinds: int, vectors: np.ndarray | None = None) -> Head:
     """Of tokens that share a slot the most frequent one is in the head; the others are treated like the rest."""
     order = np.lexsort((h, -n))
     h, n = h[order], n[order]
@@ -121,9 +154,10 @@ def make_head(h: np.ndarray, n: np.ndarray, total: int, kinds: int) -> Head:
     _, first = np.unique(slot, return_index=True)
     first.sort()
     h, n, slot = h[first], n[first], slot[first]
+    group = groups_of(vectors[order][first] / n[:, None], n) if vectors is not None else np.zeros(len(h), dtype=np.int64)
     rank = np.arange(len(h))
     spread = np.log((rank + 1) / SINGLE) / max(np.log(max(len(h), SINGLE + 2) / SINGLE), 1e-9)
-    cls = np.where(rank < SINGLE, rank, SINGLE + np.clip((spread * (CLASSES - 1 - SINGLE)).astype(np.int64), 0, CLASSES - 2 - SINGLE))
+    cls = np.where(rank < SINGLE, rank, SINGLE + group * BINS + np.clip((spread * BINS).astype(np.int64), 0, BINS - 1))
     mass = np.bincount(cls, weights=n, minlength=CLASSES).astype(np.float64)
     mass[CLASSES - 1] = total - n.sum()
     size = 1 << SLOT_BITS
@@ -244,7 +278,7 @@ def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id",
     rows = columns(df, doc_id=id_col, text=text_col).withColumn("held_out", out)
     training = rows.filter(~F.col("held_out"))
 
-    counts = stored(partial_counts(training).groupBy("h").agg(F.sum("n").alias("n")), "token-counts")
+    counts = stored(partial_counts(training).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIMENSIONS)]), "token-counts")
     # Counts below 64 stand for themselves in the histogram, larger ones go by eighths of a power of two.
     bin_of = F.when(F.col("n") < 64, F.col("n")).otherwise((F.log2("n") * 8).cast("long") + 16)
     histogram = counts.groupBy(bin_of.alias("bin")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).orderBy(F.desc("bin")).collect()
@@ -258,7 +292,8 @@ def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id",
     frequent = counts.filter(F.col("n") >= threshold).toPandas() if threshold is not None else None
     h = frequent["h"].to_numpy(dtype=np.int64).view(np.uint64) if frequent is not None else np.zeros(0, dtype=np.uint64)
     n = frequent["n"].to_numpy(dtype=np.int64) if frequent is not None else np.zeros(0, dtype=np.int64)
-    head = make_head(h, n, total, kinds)
+    vectors = frequent[[f"v{k}" for k in range(DIMENSIONS)]].to_numpy(dtype=np.float64) if frequent is not None else None
+    head = make_head(h, n, total, kinds, vectors)
     shared = Shared(spark, head)
     weights = spark.sparkContext.broadcast(averaged(train(training, shared)))
 
@@ -271,7 +306,7 @@ def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id",
     scored = map_texts(rows, run, f"doc_id {kept}, held_out boolean, n_tokens long, n_known long, base double, own double, tail array<struct<h:long,times:int>>")
     scored = stored(scored.withColumn("row_id", F.monotonically_increasing_id()), "scored-texts")
     tails = scored.select("row_id", F.inline("tail"))
-    found = tails.join(counts, "h").groupBy("row_id").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("tail_log"))
+    found = tails.join(counts.select("h", "n"), "h").groupBy("row_id").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("tail_log"))
     seen = F.coalesce(F.col("tail_known"), F.lit(0))
     more = F.coalesce(F.col("tail_log"), F.lit(0.0))
     floor = float(np.log10(head.total + head.kinds + 1.0))
