@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from photolith import schemas
 from photolith.config import Contract, Family, Subject
-from photolith.functions import values
 from photolith.operators import contract, dedupe, enrich, inventory, similarity, stats, upsert, verify
 from photolith.operators.nearest_time import nearest
 from photolith.plans.ingest import filed
