@@ -21,7 +21,6 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from photolith.llm._bytes import columns, map_texts
 
