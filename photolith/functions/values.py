@@ -49,8 +49,10 @@ def hamming(left: Column, right: Column) -> Column:
 
 
 def gap_seconds(a: Column, b: Column) -> Column:
-    """The time between two wall-clock times in seconds, exact to the microsecond."""
-    return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1_000_000.0)
+    """The time between two wall-clock times in seconds, exact to the microsecond and whatever the session's time zone."""
+    gap = F.abs(a - b)
+    part = lambda name: F.extract(F.lit(name), gap).cast("double")
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
 
 
 def confidence(gap_s: Column) -> Column:

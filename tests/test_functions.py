@@ -79,6 +79,13 @@ def test_values(spark):
     assert each(spark, "date", [date(2015, 1, 31), date(2015, 1, 1)], lambda c: F.add_months(c, 1)) == [date(2015, 2, 28), date(2015, 2, 1)]
     assert each(spark, "double", [0.001, 0.5, 3.25, 48.0], values.format_duration) == ["under a minute", "30 minutes", "3.2 hours", "2.0 days"]
     assert each(spark, "bigint", [1, 3, 1200], lambda c: values.plural(c, "item")) == ["1 item", "3 items", "1,200 items"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ends = spark.createDataFrame([(datetime(2024, 3, 10, 1, 30), datetime(2024, 3, 10, 3, 30, 0, 250000)), (datetime(2024, 3, 12), datetime(2024, 3, 9))], "a timestamp_ntz, b timestamp_ntz")
+        assert [r[0] for r in ends.select(values.gap_seconds(F.col("a"), F.col("b"))).collect()] == [7200.25, 3 * 86400.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
     assert math.isclose(each(spark, "bigint", [25_000_000 * 450], values.download_hours)[0], 1.0) and timedelta(hours=1)
 
 
