@@ -50,7 +50,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents"))
+    return quality.judge(read(spark, sf_dir, "documents"), bands=quality.FITTED)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
