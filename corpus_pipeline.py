@@ -1,13 +1,14 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. The first four return rows with the columns of `documents`; the last one token ids.
+one's docs. The first four return rows with the columns of `documents`; the last one
+token ids and the digest of their decoding.
 
 * `quality` drops what the quality rules reject.
 * `near_duplicates` keeps of each class the document with the smallest id.
 * `decontamination` drops documents contaminated with the benchmark.
 * `personal_data` replaces personal data in the texts by the name of its kind, and sets n_chars anew.
-* `token_ids` encodes the texts and, as a check, decodes the ids.
+* `token_ids` encodes the texts and decodes the ids; what they decode to is returned as a digest.
 
 Defined cases: rows with null or empty texts fail the quality rules; rows that repeat an id with the same text are one
 class, of which the rows with its smallest id stay; an empty table goes through all stages.

@@ -258,17 +258,26 @@ class Decoder:
 
 
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", id_name: str = "doc_id") -> DataFrame:
-    """The token ids of each text as an array; one pass, no shuffle."""
+    """The token ids of each text as an array, and the digest of what they decode to; one pass, no shuffle."""
     made: list[Encoder] = []
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Encoder(path))
-        ids = pa.array([list(made[0].encode(t)) for t in batch.column(1).to_pylist()], type=pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_name, "token_ids"])
+        ids, decoded = [], []
+        for text in batch.column(1).to_pylist():
+            own, digest, decoder = [], hashlib.sha256(), Decoder(made[0])
+            for piece in made[0].ids_text(text):
+                new = list(map(int, piece.split(" ")))
+                own += new
+                digest.update(decoder.feed(new).encode())
+            digest.update(decoder.finish().encode())
+            ids.append(own)
+            decoded.append(digest.hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, type=pa.list_(pa.int32())), pa.array(decoded, type=pa.string())], names=[id_name, "token_ids", "decoded_sha256"])
 
     rows = columns(df, doc_id=id_col, text=text_col)
-    return map_texts(rows, part, f"{id_name} {rows.schema['doc_id'].dataType.simpleString()}, token_ids array<int>")
+    return map_texts(rows, part, f"{id_name} {rows.schema['doc_id'].dataType.simpleString()}, token_ids array<int>, decoded_sha256 string")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
