@@ -6,9 +6,10 @@ the members of a huge group of copies, whose shingles are all common, keep the s
 counted over all texts in a table of fixed size by shingle hash, so what is broadcast doesn't grow.
 
 1. Texts with equal words are one node (a 64-bit hash of them); everything below is about nodes.
-2. Each node has SAMPLES consistent weighted samples in bands of ROWS. Up to FULL shingles every sample looks at every
-   shingle; larger texts deal their shingles out to the samples, one each, with empty ones filled from others. Around the limit
-   texts have both kinds, so two texts of similarity 0.8 always share one.
+2. Each node has SAMPLES consistent weighted samples in bands of ROWS. Up to OVERLAP shingles every sample looks at every
+   shingle; texts of a weight above FULL deal their shingles out to the samples, one each, with empty ones filled from others. Texts
+   of similarity 0.8 differ in weight by a factor of 1.25 at most, and no shingle weighs less than 1: if the lighter one weighs at most
+   FULL, both have at most 1.25 * FULL < OVERLAP shingles, and else both are above FULL, so they always share a kind.
 3. Of each bucket of a band the smallest node is the pivot; the others are verified against it by weighted Jaccard
    similarity, texts meeting in groups of bounded size that stream through a task.
 4. Connected components of the links are found by alternating large-star and small-star steps.
@@ -176,7 +177,7 @@ def bands(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     found = []
     if len(keys) <= OVERLAP:
         found.append((full_samples(keys, log_w), 1))
-    if len(keys) > FULL:
+    if float(weights.sum()) > FULL:
         found.append((dealt_samples(keys, log_w), 1001))
     out = []
     for samples, first in found:
