@@ -8,8 +8,8 @@ takes linear time whatever is in it.
 Kinds, in output order: `email`, `ip`, `card` (Luhn), `phone` (these four are the base kinds: leftmost, not
 overlapping within a kind, a match that fails its check is dropped and not tried again), then `handle`
 (@name), `login` (user part of scheme://user[:password]@host), `iban` (mod 97), `account` (a number after a cue
-such as "account no"), and `secret` (a value of 8 to 512
-characters after a cue such as "token ="). Spans count code points, end exclusive.
+such as "account no"), and `secret` (a value of 8 characters
+or more after a cue such as "token ="). A cue begins where no letter or digit is before it. Spans count code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows are searched each on its own; a null id stays
 null; other columns are ignored by `find` and kept by `redact`; an empty table gives no rows.
@@ -31,7 +31,8 @@ DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 LABEL = LETTERS | DIGITS | {"-"}
 LOCAL = LETTERS | DIGITS | frozenset("._%+-")
-NAME = LETTERS | DIGITS | {"_"}
+WORD = LETTERS | DIGITS
+NAME = WORD | {"_"}
 PHONE = DIGITS | frozenset(" ().-")
 USER = LETTERS | DIGITS | frozenset("._~%!$&'()*+,;=:-")
 VALUE = LETTERS | DIGITS | frozenset("_-+/=.~")
@@ -144,7 +145,7 @@ def handle_at(text: str, at: int) -> tuple[int, int] | None:
 
 def login_at(text: str, end: int) -> tuple[int, int] | None:
     """The user part after `://`."""
-    stop = run(text, end, USER, 256)
+    stop = run(text, end, USER)
     return (end, stop) if stop > end and stop < len(text) and text[stop] == "@" else None
 
 
@@ -180,7 +181,22 @@ def account_at(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if 6 <= digits <= 34 and text[at] in DIGITS else None
 
 
-def secret_at(text: str, at: int) -> tuple[int, int] | None:
+class Run:
+    """The last run of a value's characters, so that cues inside it don't go through it again."""
+
+    def __init__(self):
+        self.start, self.end, self.last_digit = 0, 0, -1
+
+    def to(self, text: str, at: int) -> None:
+        if not self.start <= at < self.end:
+            self.start, self.end, self.last_digit = at, run(text, at, VALUE), -1
+            for i in range(self.end - 1, at - 1, -1):
+                if text[i] in DIGITS:
+                    self.last_digit = i
+                    break
+
+
+def secret_at(text: str, at: int, value: Run) -> tuple[int, int] | None:
     while at < len(text) and text[at] in " \t":
         at += 1
     if at >= len(text) or text[at] not in "=:":
@@ -188,8 +204,8 @@ def secret_at(text: str, at: int) -> tuple[int, int] | None:
     at += 1
     while at < len(text) and text[at] in " \t\"'":
         at += 1
-    end = run(text, at, VALUE, 513)
-    return (at, end) if 8 <= end - at <= 512 and any(c in DIGITS for c in text[at:end]) else None
+    value.to(text, at)
+    return (at, value.end) if value.end - at >= 8 and value.last_digit >= at else None
 
 
 def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
@@ -200,7 +216,7 @@ def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
     folded = text.lower()
     if len(folded) != len(text):
         folded = text.translate(_ASCII_LOWER)
-    floor = dict.fromkeys(KINDS, 0)
+    floor, value = dict.fromkeys(KINDS, 0), Run()
 
     def keep(kind: str, span: tuple[int, int] | None) -> None:
         if span and span[0] >= floor[kind]:
@@ -233,8 +249,8 @@ def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
             keep("login", login_at(text, last + 1))
         elif what == "iban":
             keep("iban", iban_at(text, last + 1))
-        elif not at or folded[at - 1] not in NAME:
-            keep(what, account_at(text, last + 1) if what == "account" else secret_at(text, last + 1))
+        elif not at or folded[at - 1] not in WORD:
+            keep(what, account_at(text, last + 1) if what == "account" else secret_at(text, last + 1, value))
     return found
 
 
