@@ -17,8 +17,7 @@ def each(spark, kind, inputs, fn):
 
 def test_tags(spark):
     raw = ["  Sub   ONE\t", "a  b", "x\x1cy", "", None, "Straße"]
-    assert each(spark, "string", raw, text.normalize_tag) == ["sub one", "a b", "x y", "", None, "straße"]
-    assert each(spark, "string", raw, text.normalize_tag_exact) == ["sub one", "a b", "x y", "", None, "strasse"]
+    assert each(spark, "string", raw, text.normalize_tag) == ["sub one", "a b", "x y", "", None, "strasse"]
     assert each(spark, "string", ["a; b;;  ;c ", "", None], text.split_names) == [["a", "b", "c"], [], []]
     assert each(spark, "array<string>", [["a", None, " ", "b "], None], text.real_names) == [["a", "b "], []]
     family = config.Family((config.Subject("One", ("Uno",)), config.Subject("Two")))
@@ -26,6 +25,20 @@ def test_tags(spark):
     assert each(spark, "array<string>", [["Trips"], ["recently  deleted"], None], lambda c: text.has_any(c, ("Hidden", "Recently Deleted"))) == [False, True, False]
 
 
+def test_case_is_folded_as_python_folds_it(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    raw = ["".join(every[a : a + 4096]) for a in range(0, len(every), 4096)] + [f"a{c}B" for c in every if len(c.casefold()) > 1] + ["ΟΔΟΣ ΟΔΟΣ", "İstanbul ISTANBUL", "ﬃ ﬆ ŉ"]
+    assert each(spark, "string", raw, text.fold_case) == [x.casefold() for x in raw]
+
+
+def test_names_outside_ascii_are_found(spark):
+    family = config.Family((config.Subject("Jo Strauß", ("ΟΔΥΣΣΕΥΣ", "İlker", "ﬁnn")),))
+    tags = ["jo  STRAUSS", "Jo Strauß", "οδυσσευς", "i̇lker", "FINN", "Jo Straus"]
+    assert each(spark, "string", tags, lambda c: text.subject_of(c, family)) == ["Jo Strauß"] * 5 + [None]
+    assert each(spark, "array<string>", [["x", " STRASSE "], ["Straße"], ["Strase", None]], lambda c: text.has_any(c, ("Straße",))) == [True, True, False]
+    assert config.fold_tag(" ẞ \x1c Σ") == "ss σ"
+
+
 def test_dates(spark):
     at = datetime(2015, 6, 15, 12, 0, 1)
     raw = ["2015:06:15 12:00:01", " 2015-06-15T12:00:01.5+02:00", "0000:00:00 00:00:00", "2015:02:30 10:00:00", "2015:06:15 24:00:00", "2015:06:15 23:59:60", "x", "", None]
@@ -122,6 +135,16 @@ def test_config_refusals(tmp_path, old, new):
         config.load(file)
 
 
+def test_all_faults_are_named_at_once(tmp_path):
+    file = tmp_path / "config.toml"
+    file.write_text('[family]\nsubjects = [{name = "A"}, 7]\n[vault]\nlayout = "flat"\n[ingest]\nphash_threshold = true\n')
+    with pytest.raises(ConfigError) as error:
+        config.load(file)
+    assert all(x in str(error.value) for x in ("without a name", "layout", "phash_threshold", "cutoff_date"))
+    file.write_text(GOOD + '[vault]\npath = ""\n[index]\npath = "/there/index"\n')
+    assert config.load(file).vault.path is None and str(config.load(file).index_path) == "/there/index"
+
+
 def test_schemas(spark):
     v1 = spark.createDataFrame([], schemas.ASSETS_V1)
     assert schemas.migrate(v1, "assets").schema.names == schemas.ASSETS.names
