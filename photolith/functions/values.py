@@ -34,18 +34,18 @@ def strictly_smaller(width, height, size, master_width, master_height, master_si
     return F.coalesce(known & (width < master_width) & (height < master_height) & (size < master_size), F.lit(False))
 
 
-def hex_bits(value: Column) -> Column:
-    """The first 64 bits of a hexadecimal text as a long; null if it isn't one."""
-    return F.when(value.rlike("^[0-9A-Fa-f]{1,16}$"), F.conv(value, 16, -10).cast("bigint"))
+def hash_words(value: Column) -> Column:
+    """A hexadecimal hash as an array: the number of its digits, then its 64-bit words; null if it isn't one."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 16).cast("int"))
+    words = F.transform(starts, lambda i: F.conv(F.substring(value, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+    return F.when(value.rlike("^[0-9A-Fa-f]+$"), F.concat(F.array(F.length(value).cast("bigint")), words))
 
 
 def hamming(left: Column, right: Column) -> Column:
     """Bits that differ between two hexadecimal hashes of equal length; NO_MATCH where they can't be compared."""
-    valid = (F.length(left) == F.length(right)) & left.rlike("^[0-9A-Fa-f]+$") & right.rlike("^[0-9A-Fa-f]+$")
-    part = lambda v, i: F.conv(F.substring(v, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint")
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(left) - 1) / 16).cast("int"), F.lit(0)))
-    total = F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.bit_count(part(left, i).bitwiseXOR(part(right, i))))
-    return F.when(F.coalesce(valid, F.lit(False)), total).otherwise(NO_MATCH)
+    x, y = hash_words(left), hash_words(right)
+    total = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int")), F.lit(0), lambda acc, n: acc + n)
+    return F.when(F.coalesce(x[0] == y[0], F.lit(False)), total).otherwise(NO_MATCH)
 
 
 def gap_seconds(a: Column, b: Column) -> Column:

@@ -4,7 +4,12 @@ Files are taken best first: most pixels, then most bytes, then by path. A file i
 the archive, has its checksum or a perceptual hash within the threshold. That is the first maximal independent set of the
 conflict graph in this order, and is found in rounds: a file is new once all its better conflicts are known not to
 be new, and isn't as soon as one of them is. Only the best file of each checksum and of each hash can be new, so only
-those are in the graph; a large group of copies adds no edges.
+those are in the graph, and masters are found for hashes, not for files: a large group of copies adds no edges and no pairs.
+
+`bits` is a 64-bit hash or an array as `values.hash_words` makes it. Defined cases: a file without a hash is compared by its checksum alone;
+rows of one checksum should have one picture, and the best of them stands for all; a null checksum is equal to no other, so such files
+are never duplicates and, without a hash, always new; repeated paths are one file each to the rules and should not occur; an empty archive makes the best of each group
+new; an empty batch gives no rows; further columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from pyspark.sql import functions as F
 
 from photolith.functions import values
 from photolith.functions.keys import dealt_anew
-from photolith.operators.similarity import pairs_within
-from photolith.sources.scratch import settle
+from photolith.operators.similarity import near_hashes
+from photolith.sources.scratch import discard, settle
 
 NEW, EXACT, TWIN, AMBIGUOUS, HIGHER = "new", "exact_duplicate", "low_res_twin", "ambiguous_match", "higher_res_arrived"
 
@@ -33,40 +38,59 @@ def verdict_of(width, height, size, master_width, master_height, master_size) ->
     return F.when(values.strictly_smaller(width, height, size, master_width, master_height, master_size), TWIN).when(larger, HIGHER).otherwise(AMBIGUOUS)
 
 
+def _rows_of_hashes(files: DataFrame, near: DataFrame) -> DataFrame:
+    """`files` with what `near` (h, n) says of their hashes; both sides are dealt anew, so that AQE can split a hot hash."""
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("h")))
+    hashes = near.select(key("h").alias("_hash_key"), "n")
+    return files.withColumn("_bits_key", key("bits")).join(hashes, F.col("_bits_key") == F.col("_hash_key"), "left").drop("_bits_key", "_hash_key")
+
+
+def _nearest_archived(files: DataFrame, archive: DataFrame, threshold: int) -> DataFrame:
+    """(h, n): of each hash of the files the nearest archived file n (id, width, height, filesize, distance), of equally near ones the smallest id."""
+    kept = archive.filter("bits IS NOT NULL").groupBy(F.col("bits").alias("r")).agg(F.min_by(F.struct("id", "width", "height", "filesize"), "id").alias("m"))
+    near = near_hashes(files, archive, threshold).join(kept, "r")
+    best = F.min_by(F.struct("m.*", "distance"), F.struct("distance", "m.id"))
+    return near.groupBy(F.col("l").alias("h")).agg(best.alias("n"))
+
+
 def classify(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> DataFrame:
     """Verdict, master_id and distance of each incoming file (path, sha256, bits, width, height, filesize) against a fixed archive.
 
     Of the archive's files within the threshold only the nearest counts, of equally near ones that with the smallest id.
     """
     same = archive.groupBy("sha256").agg(F.min("id").alias("same_id"))
-    files = incoming.join(dealt_anew(same, "sha256"), "sha256", "left")
-    best = pairs_within(files.filter("same_id IS NULL").select("path", "bits", "width", "height", "filesize"), archive.select("id", "bits", "width", "height", "filesize"), threshold)
-    best = best.groupBy(F.col("l.path").alias("path")).agg(F.min_by(F.struct("r", "distance"), F.struct("distance", "r.id")).alias("n"))
-    joined = files.join(best, "path", "left")
-    near = verdict_of(F.col("width"), F.col("height"), F.col("filesize"), F.col("n.r.width"), F.col("n.r.height"), F.col("n.r.filesize"))
+    files = incoming.select(F.struct("*").alias("f"), "sha256", "bits", "width", "height", "filesize").join(dealt_anew(same, "sha256"), "sha256", "left")
+    joined = _rows_of_hashes(files, _nearest_archived(files.filter("same_id IS NULL"), archive, threshold))
+    near = verdict_of(F.col("width"), F.col("height"), F.col("filesize"), F.col("n.width"), F.col("n.height"), F.col("n.filesize"))
+    is_same = F.col("same_id").isNotNull()
     return joined.select(
-        *incoming.columns, F.when(F.col("same_id").isNotNull(), EXACT).when(F.col("n").isNull(), NEW).otherwise(near).alias("verdict"),
-        F.coalesce("same_id", "n.r.id").alias("master_id"), F.when(F.col("same_id").isNotNull(), 0).otherwise(F.col("n.distance")).alias("distance"),
+        "f.*", F.when(is_same, EXACT).when(F.col("n").isNull(), NEW).otherwise(near).alias("verdict"),
+        F.coalesce("same_id", "n.id").alias("master_id"), F.when(is_same, 0).otherwise(F.col("n.distance")).alias("distance"),
     )
 
 
 def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes (node) of the first maximal independent set, given edges (better, worse).
+    """The nodes (node) of the first maximal independent set, given edges (better, worse); a written table.
 
-    Each round is a written table. There are as many as the longest chain of decisions needs.
+    Each round is written and the one before it deleted. There are as many as the longest chain of decisions needs.
     """
-    undecided, chosen = nodes.select("node"), nodes.select("node").limit(0)
+    undecided = settle(nodes.select("node"), "undecided")
     edges = settle(edges.select("better", "worse"), "conflicts")
+    rounds: list[DataFrame] = []
     while True:
-        blocked = edges.select(F.col("worse").alias("node")).distinct()
-        now = settle(undecided.join(blocked, "node", "left_anti"), "chosen")
-        chosen = chosen.unionByName(now)
+        now = settle(undecided.join(edges.select(F.col("worse").alias("node")).distinct(), "node", "left_anti"), "chosen")
+        rounds.append(now)
         if now.isEmpty():
-            return chosen
+            break
         out = edges.join(now.select(F.col("node").alias("better")), "better", "left_semi").select(F.col("worse").alias("node")).distinct()
         gone = settle(now.select("node").unionByName(out).distinct(), "decided")
-        undecided = settle(undecided.join(gone, "node", "left_anti"), "undecided")
-        edges = settle(edges.join(gone.select(F.col("node").alias("better")), "better", "left_anti").join(gone.select(F.col("node").alias("worse")), "worse", "left_anti"), "conflicts")
+        left = settle(undecided.join(gone, "node", "left_anti"), "undecided")
+        kept = settle(edges.join(gone.select(F.col("node").alias("better")), "better", "left_anti").join(gone.select(F.col("node").alias("worse")), "worse", "left_anti"), "conflicts")
+        discard(gone, undecided, edges)
+        undecided, edges = left, kept
+    chosen = settle(undecided.sparkSession.read.schema(now.schema).parquet(*[r.stored_at for r in rounds]), "independent")
+    discard(undecided, edges, *rounds)
+    return chosen
 
 
 def greedy(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> DataFrame:
@@ -74,39 +98,45 @@ def greedy(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> DataF
 
     incoming: path, rel_path, sha256, bits, width, height, filesize. Adds verdict, master_id (archive), master_path (this batch)
     and distance. The nearest master counts; of equally near ones the archive's first, then the better one. At a
-    threshold of 64 and more all hashes match.
+    threshold of 64 and more all hashes of equal length match.
     """
-    files = incoming.withColumn("_key", order_key())
-    key = files.schema["_key"].dataType
-    best = F.min_by(F.struct("path", "bits", "_key"), "_key").alias("f")
+    files = incoming.select(F.struct("*").alias("f"), "path", "sha256", "bits", "width", "height", "filesize", order_key().alias("rank"))
+    best = F.min_by(F.struct("path", "bits", "rank"), "rank").alias("b")
     fresh = files.join(dealt_anew(archive.select("sha256").distinct(), "sha256"), "sha256", "left_anti")
-    firsts = fresh.groupBy("sha256").agg(best).select("sha256", "f.*")
+    firsts = fresh.filter("sha256 IS NOT NULL").groupBy("sha256").agg(best).select("b.*").unionByName(fresh.filter("sha256 IS NULL").select("path", "bits", "rank"))
     plain = firsts.filter("bits IS NULL")
-    hashed = settle(firsts.filter("bits IS NOT NULL").groupBy("bits").agg(F.min_by(F.struct("path", "_key"), "_key").alias("f")).select("bits", "f.*"), "hashed")
-
-    stored = archive.filter("bits IS NOT NULL").select("bits")
-    taken = pairs_within(hashed.select("path", "bits"), stored.distinct(), threshold).select(F.col("l.path").alias("path")).distinct()
-    open_ = settle(hashed.join(taken, "path", "left_anti"), "open")
-    rows = open_.select("path", "bits", "_key")
-    edges = pairs_within(rows, rows, threshold, keep=F.col("l._key") < F.col("r._key")).select(F.col("l.path").alias("better"), F.col("r.path").alias("worse"))
-    new = independent(open_.select(F.col("path").alias("node")), edges).select(F.col("node").alias("path")).unionByName(plain.select("path"))
-    new = settle(files.join(new, "path", "left_semi"), "new-files")
-
-    masters = archive.select("sha256", "bits", F.col("id").alias("master_id"), F.lit(None).cast("string").alias("master_path"), F.lit(None).cast(key).alias("_mkey"), "width", "height", "filesize")
-    masters = masters.unionByName(new.select("sha256", "bits", F.lit(None).cast("bigint").alias("master_id"), F.col("path").alias("master_path"), F.col("_key").alias("_mkey"), "width", "height", "filesize"))
-    rank = F.struct(F.col("master_id").isNull(), "master_id", "_mkey")
-    same = masters.groupBy("sha256").agg(F.min_by(F.struct("master_id", "master_path"), rank).alias("s"))
+    hashed = settle(firsts.filter("bits IS NOT NULL").groupBy("bits").agg(F.min_by(F.struct("path", "rank"), "rank").alias("b")).select("bits", "b.*"), "hashed")
+
+    taken = near_hashes(hashed, archive, threshold).select(F.col("l").alias("bits")).distinct()
+    open_ = settle(hashed.join(taken, "bits", "left_anti"), "open")
+    named = lambda side: open_.select(F.col("bits").alias(side), F.col("path").alias(f"{side}_path"), F.col("rank").alias(f"{side}_rank"))
+    near = near_hashes(open_, open_, threshold).join(named("l"), "l").join(named("r"), "r").filter("l_rank < r_rank")
+    new = independent(open_.select(F.col("path").alias("node")), near.select(F.col("l_path").alias("better"), F.col("r_path").alias("worse")))
+    new = settle(files.join(new.select(F.col("node").alias("path")).unionByName(plain.select("path")), "path", "left_semi"), "new-files")
+
+    # Masters by checksum: the archive's, else this batch's.
+    own = new.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.min_by("path", "rank").alias("same_path"))
+    same = archive.groupBy("sha256").agg(F.min("id").alias("same_id")).join(own, "sha256", "full_outer")
     rest = files.join(new.select("path"), "path", "left_anti").join(dealt_anew(same, "sha256"), "sha256", "left")
-    asked = rest.filter("s IS NULL").select("path", "bits", "width", "height", "filesize", "_key")
-    earlier = F.col("r._mkey").isNull() | (F.col("r._mkey") < F.col("l._key"))
-    near = pairs_within(asked, masters.drop("sha256"), threshold, keep=earlier)
-    near = near.groupBy(F.col("l.path").alias("path")).agg(F.min_by(F.struct("r", "distance"), F.struct("distance", F.col("r.master_id").isNull(), "r.master_id", "r._mkey")).alias("n"))
-    judged = rest.join(near, "path", "left")
-    other = verdict_of(F.col("width"), F.col("height"), F.col("filesize"), F.col("n.r.width"), F.col("n.r.height"), F.col("n.r.filesize"))
-    is_same = F.col("s").isNotNull()
-    judged = judged.select(
-        *incoming.columns, F.when(is_same, EXACT).otherwise(other).alias("verdict"), F.when(is_same, F.col("s.master_id")).otherwise(F.col("n.r.master_id")).alias("master_id"),
-        F.when(is_same, F.col("s.master_path")).otherwise(F.col("n.r.master_path")).alias("master_path"), F.when(is_same, 0).otherwise(F.col("n.distance")).alias("distance"),
+    is_same = F.col("same_id").isNotNull() | F.col("same_path").isNotNull()
+    asked = rest.filter(~is_same)
+
+    # Masters by hash: the archive's nearest, and those of this batch that come before the file; the latter lie further apart than the threshold, so they are few.
+    rest = _rows_of_hashes(rest, _nearest_archived(asked, archive, threshold)).withColumnRenamed("n", "archived")
+    leads = new.filter("bits IS NOT NULL").select(F.col("bits").alias("r"), F.struct("path", "rank", "width", "height", "filesize").alias("m"))
+    batch = near_hashes(asked, new, threshold).join(leads, "r").groupBy(F.col("l").alias("h")).agg(F.collect_list(F.struct("distance", "m")).alias("n"))
+    rest = _rows_of_hashes(rest, batch)
+    earlier = F.filter("n", lambda x: x["m"]["rank"] < F.col("rank"))
+    first = F.array_min(F.transform(earlier, lambda x: F.struct(x["distance"].alias("distance"), x["m"]["rank"].alias("rank"), x["m"].alias("m"))))
+    rest = rest.withColumn("batch", first)
+    here = F.col("archived").isNull() | (F.col("batch.distance") < F.col("archived.distance"))
+    pick = lambda c: F.when(F.coalesce(here, F.lit(False)) & F.col("batch").isNotNull(), F.col(f"batch.m.{c}")).otherwise(F.col(f"archived.{c}"))
+    other = verdict_of(F.col("width"), F.col("height"), F.col("filesize"), pick("width"), pick("height"), pick("filesize"))
+    used_batch = F.coalesce(here, F.lit(False)) & F.col("batch").isNotNull()
+    judged = rest.select(
+        "f.*", F.when(is_same, EXACT).otherwise(other).alias("verdict"), F.when(is_same, F.col("same_id")).when(~used_batch, F.col("archived.id")).alias("master_id"),
+        F.when(is_same & F.col("same_id").isNotNull(), F.lit(None)).when(is_same, F.col("same_path")).when(used_batch, F.col("batch.m.path")).alias("master_path"),
+        F.when(is_same, 0).when(used_batch, F.col("batch.distance")).otherwise(F.col("archived.distance")).cast("int").alias("distance"),
     )
-    none = {"master_id": "bigint", "master_path": "string", "distance": "int"}
-    return judged.unionByName(new.select(*incoming.columns, F.lit(NEW).alias("verdict"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
+    none = {"master_id": archive.schema["id"].dataType, "master_path": "string", "distance": "int"}
+    return judged.unionByName(new.select("f.*", F.lit(NEW).alias("verdict"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))

@@ -1,37 +1,146 @@
-"""Hashes within a Hamming distance, by bands.
+"""Hashes within a Hamming distance.
 
-64 bits cut into threshold + 1 bands: two hashes within the threshold agree in at least one whole band, so an equi-join on
-(band, its bits) misses none. A pair is made at the first band in which it agrees, so it comes out once without a
-distinct. Beyond about 8 bits the bands become short and the join as wide as the data is; that is inherent.
+Distinct hashes of both sides meet, never rows: copies of a hash cost nothing and come back by a join at the end. A hash
+is cut into bands with a radius each, such that two hashes within the threshold are within the radius in at least one
+band (the radii plus one add up to more than the threshold). The left side looks up every value within the radius of its band's
+value, the right side only its own. Few long bands with large radii make many look-ups and few chance meetings, many
+short ones the opposite; the numbers of hashes decide which costs least. Where even the best meets more chance pairs than there are
+pairs (a threshold that is large for the hash), the hashes are dealt out to a grid of cells of bounded size in which every pair
+is compared; that costs left x right comparisons, but no more memory and no hot task.
+
+Hashes are 64-bit longs, or arrays of their hexadecimal digits' number and 64-bit words (`values.hash_words`); only hashes of equal length are
+compared. Rows without a hash have no partners. Hashes of more than 16 digits meet by the word that differs least.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+WORD = 64
+MOST_MASKS = 1 << 16
+CELL = 4096
+
+
+def bands(width: int, threshold: int, count: int) -> list[tuple[int, int, int]]:
+    """(low, high, radius) of each of `count` bands of `width` bits."""
+    edges = [width * i // count for i in range(count + 1)]
+    spare = threshold - count + 1
+    return [(low, high, min(spare // count + (i < spare % count), high - low)) for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
+def _volume(low: int, high: int, radius: int) -> int:
+    return sum(comb(high - low, k) for k in range(radius + 1))
+
+
+def cheapest(width: int, threshold: int, left: int, right: int) -> list[tuple[int, int, int]] | None:
+    """The bands that cost least for so many hashes, or None where comparing every pair costs less than any."""
+    best, plan = left * right + left * ceil(right / CELL) + right * ceil(left / CELL), None
+    for count in range(1, min(threshold + 1, width) + 1):
+        cut = bands(width, threshold, count)
+        looked_up = sum(_volume(*b) for b in cut)
+        met = left * right * sum(_volume(*b) / 2 ** (b[1] - b[0]) for b in cut)
+        cost = 4 * (left * looked_up + right * count) + met
+        if looked_up <= MOST_MASKS and cost < best:
+            best, plan = cost, cut
+    return plan
+
+
+def _signed(x: int) -> int:
+    return x - (1 << WORD) if x >> (WORD - 1) else x
+
+
+def _masks(low: int, high: int, radius: int) -> Column:
+    """All changes of up to `radius` bits of a band, as an array that is made once."""
+    changes = [_signed(sum(1 << bit for bit in chosen)) for k in range(radius + 1) for chosen in combinations(range(low, high), k)]
+    return F.from_json(F.lit(json.dumps(changes)), "array<bigint>")
 
-BITS = 64
 
+def _part(word: Column, low: int, high: int) -> Column:
+    return word.bitwiseAND(F.lit(_signed(((1 << high) - 1) ^ ((1 << low) - 1))))
 
-def bands(bits: Column, threshold: int) -> Column:
-    """The hash's value in each of threshold + 1 bands of 64 bits."""
-    count = min(threshold, BITS - 1) + 1
-    edges = [BITS * i // count for i in range(count + 1)]
-    return F.array(*[F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1).cast("bigint")) for low, high in zip(edges, edges[1:], strict=False)])
+
+def _as_words(bits: Column, kind: T.DataType) -> Column:
+    return bits if isinstance(kind, T.ArrayType) else F.array(F.lit(16).cast("bigint"), bits)
+
+
+def distance(left: Column, right: Column) -> Column:
+    """Bits that differ between two arrays of words of one length."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda acc, n: acc + n)
+
+
+def _grid(left: DataFrame, right: DataFrame, digits: int, threshold: int, sizes: tuple[int, int]) -> DataFrame:
+    rows, columns = ceil(sizes[0] / CELL), ceil(sizes[1] / CELL)
+    at = lambda h, n: F.pmod(F.xxhash64(h), F.lit(n)).cast("int")
+    x = left.filter(F.col("l")[0] == digits).select("l", at("l", rows).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
+    y = right.filter(F.col("r")[0] == digits).select("r", at("r", columns).alias("column_"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row_"))
+    apart = distance(F.col("l"), F.col("r"))
+    met = (F.col("row") == F.col("row_")) & (F.col("column") == F.col("column_")) & (apart <= threshold)
+    return x.join(y, met).select("l", "r", apart.alias("distance"))
+
+
+def _banded(left: DataFrame, right: DataFrame, digits: int, threshold: int, words: int, cut: list[tuple[int, int, int]]) -> DataFrame:
+    own = lambda h, i: F.col(h)[i + 1]
+    each = [(i, *b) for i in range(words) for b in cut]
+    looked = F.array(*[F.struct(F.lit(n).alias("n"), F.transform(_masks(low, high, radius), lambda m: m.bitwiseXOR(_part(own("l", i), low, high))).alias("values")) for n, (i, low, high, radius) in enumerate(each)])  # noqa: B023
+    x = left.filter(F.col("l")[0] == digits).select("l", F.inline(looked)).select("l", F.col("n").alias("band"), F.explode("values").alias("value"))
+    kept = F.array(*[_part(own("r", i), low, high) for i, low, high, _ in each])
+    y = right.filter(F.col("r")[0] == digits).select("r", F.posexplode(kept).alias("band_", "value_"))
+    near = F.array(*[F.bit_count(_part(own("l", i).bitwiseXOR(own("r", i)), low, high)) <= radius for i, low, high, radius in each])
+    apart = distance(F.col("l"), F.col("r"))
+    first = F.array_position(near, F.lit(True)) == F.col("band") + 1
+    return x.join(y, (F.col("band") == F.col("band_")) & (F.col("value") == F.col("value_")) & (apart <= threshold) & first).select("l", "r", apart.alias("distance"))
+
+
+def near_hashes(left: DataFrame, right: DataFrame, threshold: int, bits: str = "bits") -> DataFrame:
+    """(l, r, distance): the pairs of a distinct hash of the left and one of the right table that differ in at most `threshold` bits."""
+    kind = left.schema[bits].dataType
+    x = left.select(_as_words(F.col(bits), kind).alias("l")).filter(F.col("l").isNotNull() & F.col("l")[1].isNotNull()).distinct()
+    y = right.select(_as_words(F.col(bits), right.schema[bits].dataType).alias("r")).filter(F.col("r").isNotNull() & F.col("r")[1].isNotNull()).distinct()
+    count = lambda df, c: {r["d"]: r["n"] for r in df.groupBy(F.col(c)[0].alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    xs, ys = count(x, "l"), count(y, "r")
+    found = None
+    for digits in sorted(set(xs) & set(ys)):
+        words = -(-digits // 16)
+        width = min(4 * digits, WORD)
+        cut = cheapest(width, min(threshold // words, width), xs[digits] * words, ys[digits])
+        one = _grid(x, y, digits, threshold, (xs[digits], ys[digits])) if cut is None else _banded(x, y, digits, threshold, words, cut)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = x.select("l", F.col("l").alias("r"), F.lit(0).alias("distance")).limit(0)
+    back = lambda c, k: F.col(c) if isinstance(k, T.ArrayType) else F.col(c)[1]
+    return found.select(back("l", kind).alias("l"), back("r", right.schema[bits].dataType).alias("r"), "distance")
 
 
 def pairs_within(left: DataFrame, right: DataFrame, threshold: int, bits: str = "bits", keep: Column | None = None) -> DataFrame:
-    """(l, r, distance): structs of a left and a right row whose hashes (`bits`, a long) differ in at most `threshold` bits.
+    """(l, r, distance): structs of a left and a right row whose hashes differ in at most `threshold` bits.
 
-    `keep` is a further condition on l and r, applied in the join. Rows without a hash have no partners.
+    `keep` is a further condition on l and r. Every two rows are a pair of their own, so many rows of one hash make many pairs: where they only
+    need to be known as copies, use `links`.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.filter(F.col(bits).isNotNull()).select(F.struct("*").alias(name), bands(F.col(bits), threshold).alias(f"{name}_bands"))
-        return rows.select(name, f"{name}_bands", F.posexplode(f"{name}_bands").alias("band", "part")).withColumnsRenamed({"band": f"{name}_band", "part": f"{name}_part"})
-
-    distance = F.bit_count(F.col(f"l.{bits}").bitwiseXOR(F.col(f"r.{bits}")))
-    first = F.array_position(F.zip_with("l_bands", "r_bands", lambda x, y: x == y), F.lit(True)) == F.col("l_band") + 1
-    met = (F.col("l_band") == F.col("r_band")) & (F.col("l_part") == F.col("r_part")) & (distance <= threshold) & first
-    if keep is not None:
-        met = met & keep
-    return side(left, "l").join(side(right, "r"), met).select("l", "r", distance.alias("distance"))
+    near = near_hashes(left, right, threshold, bits).withColumnsRenamed({"l": "l_hash", "r": "r_hash"})
+    x, y = left.select(F.struct("*").alias("l"), F.col(bits).alias("l_hash")), right.select(F.struct("*").alias("r"), F.col(bits).alias("r_hash"))
+    found = near.join(x, "l_hash").join(y, "r_hash")
+    return (found.filter(keep) if keep is not None else found).select("l", "r", "distance")
+
+
+def links(rows: DataFrame, ident: str, threshold: int, bits: str = "bits") -> DataFrame:
+    """(a, b, distance): every two hashes within the threshold, named by their smallest ids, and every further row of a hash with
+    that id, at distance 0. Rows without a hash aren't linked."""
+    hashed = rows.filter(F.col(bits).isNotNull()).select(F.col(ident).alias("i"), F.col(bits).alias("h"))
+    named = hashed.groupBy("h").agg(F.min("i").alias("lead"))
+    near = near_hashes(named, named, threshold, "h").filter("l < r")
+    x, y = named.select(F.col("h").alias("l"), F.col("lead").alias("x")), named.select(F.col("h").alias("r"), F.col("lead").alias("y"))
+    apart = near.join(x, "l").join(y, "r").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    again = hashed.withColumnRenamed("h", "h_").join(named.withColumn("h", _dealt(F.col("h"), rows.schema[bits].dataType)), F.col("h") == _dealt(F.col("h_"), rows.schema[bits].dataType))
+    return apart.unionByName(again.filter("i <> lead").select(F.col("lead").alias("a"), F.col("i").alias("b"), F.lit(0).alias("distance")))
+
+
+def _dealt(bits: Column, kind: T.DataType) -> Column:
+    """The hash as a key that has no partitioning yet, so that a join deals both sides anew and AQE can split a hot one."""
+    return F.to_json(F.struct(bits.alias("h"))) if isinstance(kind, T.ArrayType) else bits + F.lit(0).cast("bigint")

@@ -205,8 +205,7 @@ def fingerprints(spark, sf_dir):
 @registered
 def q20_hamming_pairs(spark, sf_dir):
     rows = fingerprints(spark, sf_dir).select("vec_id", "bits")
-    pairs = similarity.pairs_within(rows, rows, THRESHOLD, keep=F.col("l.vec_id") < F.col("r.vec_id"))
-    return pairs.select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), F.col("distance").cast("int").alias("distance"))
+    return similarity.links(rows, "vec_id", THRESHOLD).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
 def sized(rows):

@@ -59,8 +59,8 @@ class Plan:
 
 def plan_ingest(identified: DataFrame, assets: DataFrame, links: DataFrame | None = None, reviews: DataFrame | None = None, threshold: int = 8) -> Plan:
     """What a run over identified files does to an archive."""
-    files = identified.withColumn("bits", values.hex_bits(F.col("phash")))
-    archive = assets.withColumn("bits", values.hex_bits(F.col("phash")))
+    files = identified.withColumn("bits", values.hash_words(F.col("phash")))
+    archive = assets.withColumn("bits", values.hash_words(F.col("phash")))
     verdicts = settle(dedupe.greedy(files, archive, threshold), "verdicts")
     new = filed(verdicts.filter(F.col("verdict") == dedupe.NEW), assets)
     located = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()

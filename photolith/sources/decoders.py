@@ -6,10 +6,7 @@ Both degrade to unknown values where the tool is missing or a file can't be read
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import subprocess
-import tempfile
 
 import pandas as pd
 import pyarrow as pa
@@ -19,62 +16,69 @@ from pyspark.sql import types as T
 
 from photolith.errors import SourceError
 from photolith.functions import paths
-from photolith.sources.files import DATE_TAGS
+from photolith.sources.files import DATE_TAGS, SIZE_TAGS, PLACE_TAGS
 
+#: The program and its options: JSON out, plain numbers, UTF-8 names, names from standard input.
 PROGRAM = "exiftool"
+OPTIONS = ("-json", "-n", "-charset", "filename=utf8", "-@", "-")
+
+
+def _picture_hash():
+    """A function from a path to a hash, or None where the decoders aren't installed."""
+    try:
+        import imagehash
+        from PIL import Image
+    except ImportError:
+        return None
+
+    def of(path: str) -> str | None:
+        try:
+            with Image.open(path) as image:
+                return str(imagehash.phash(image))
+        except Exception:  # whatever a decoder raises: the file is compared by its checksum alone
+            return None
+
+    return of
 
 
 def with_phash(files: DataFrame, column: str = "phash") -> DataFrame:
     """`files` with the 64-bit perceptual hash (hexadecimal) of each picture at `path`; null for video, for other formats, and where
     the decoders aren't installed."""
-    marked = files.withColumn(column, paths.can_hash(F.col("path")))
+    marked = files.withColumn(column, F.when(paths.can_hash(F.col("path")), F.col("path")))
     schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches):
-        try:
-            import imagehash
-            from PIL import Image
-        except ImportError:
-            imagehash = None
+        of = _picture_hash()
         for batch in batches:
-            names = batch.schema.names
-            found = []
-            for path, wanted in zip(batch.column(names.index("path")).to_pylist(), batch.column(names.index(column)).to_pylist(), strict=True):
-                value = None
-                if wanted and imagehash is not None:
-                    try:
-                        with Image.open(path) as image:
-                            value = str(imagehash.phash(image))
-                    except Exception:  # any decoder's failure: the file is compared by checksum alone
-                        value = None
-                found.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, type=pa.string())], names=names)
+            found = [of(p) if p is not None and of else None for p in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, type=pa.string())], names=batch.schema.names)
 
     return marked.mapInArrow(run, schema)
 
 
-def require_program() -> str:
-    found = shutil.which(PROGRAM)
-    if not found:
-        raise SourceError(f"{PROGRAM} isn't installed; dates and dimensions can't be read from files")
-    return found
+def _ask(*options: str, said: str = "", seconds: float | None = None) -> str:
+    """What the program writes for these options; a SourceError where it can't be run."""
+    try:
+        done = subprocess.run([PROGRAM, *options], input=said.encode(), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, timeout=seconds, check=False)
+    except FileNotFoundError:
+        raise SourceError(f"{PROGRAM} isn't installed; without it dates and dimensions stay unknown") from None
+    except (OSError, subprocess.SubprocessError) as error:
+        raise SourceError(f"{PROGRAM} failed: {error}") from error
+    return done.stdout.decode("utf-8", "replace").strip()
 
 
 def program_version() -> str:
-    return subprocess.run([require_program(), "-ver"], capture_output=True, text=True, timeout=30, check=False).stdout.strip()
+    """The installed program's version; also the check to make before a long run."""
+    return _ask("-ver", seconds=30)
 
 
 def embedded_reader(batch: list[str]) -> pd.DataFrame:
     """A reader for `files.read_embedded`: one call of the program for all paths of a batch."""
-    names = [*DATE_TAGS, "ImageWidth", "ImageHeight", "GPSLatitude", "GPSLongitude"]
-    with tempfile.NamedTemporaryFile("w", suffix=".args", delete=False, encoding="utf-8") as f:
-        f.write("\n".join(batch))
-    try:
-        said = subprocess.run([require_program(), "-json", "-n", "-charset", "filename=utf8", *[f"-{n}" for n in names], "-@", f.name], capture_output=True, text=True, encoding="utf-8", errors="replace", check=False).stdout
-    finally:
-        os.unlink(f.name)
+    tags = [*DATE_TAGS, *SIZE_TAGS, *PLACE_TAGS]
+    answer = _ask(*(f"-{t}" for t in tags), *OPTIONS, said="\n".join(batch))
     try:
-        rows = json.loads(said) if said.strip() else []
+        entries = json.loads(answer or "[]")
     except ValueError as error:
-        raise SourceError(f"{PROGRAM} said what can't be parsed: {error}") from error
-    return pd.DataFrame([{"path": r.get("SourceFile")} | {n: r.get(n) for n in names} for r in rows if r.get("SourceFile")], columns=["path", *names])
+        raise SourceError(f"{PROGRAM} gave no JSON: {error}") from error
+    table = pd.DataFrame.from_records(entries).reindex(columns=["SourceFile", *tags])
+    return table.rename(columns={"SourceFile": "path"}).dropna(subset=["path"])

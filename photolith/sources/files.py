@@ -78,22 +78,31 @@ def read_sidecars(spark: SparkSession, files: DataFrame, media: DataFrame) -> Da
     wanted = media.select("rel_path", F.posexplode(paths.sidecars(F.col("rel_path"))).alias("nth", "sidecar")).filter(F.lower("sidecar").endswith(".json"))
     there = wanted.join(files.select(F.col("rel_path").alias("sidecar"), F.col("path").alias("at")), "sidecar")
     first = there.groupBy("rel_path").agg(F.min_by("at", "nth").alias("at"))
+    said = with_content(first, "at", "content").withColumn("said", F.from_json("content", "date string, albums array<string>, persons array<string>"))
+    listed = lambda c: F.coalesce(F.array_join(F.col(f"said.{c}"), "; "), F.lit("")).alias(c)
+    return said.select("rel_path", F.coalesce("said.date", F.lit("")).alias("date"), listed("albums"), listed("persons"))
+
+
+def with_content(files: DataFrame, path: str, column: str, most: int = 16 << 20) -> DataFrame:
+    """`files` with the text of the file at `path`, read where the tasks run; null where it can't be read, isn't UTF-8 or has more than `most` bytes."""
+    schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
+
+    def content(at: str) -> str | None:
+        try:
+            with open(at, "rb") as f:
+                raw = f.read(most + 1)
+            return raw.decode() if len(raw) <= most else None
+        except (OSError, UnicodeDecodeError):
+            return None
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for path in batch.column(1).to_pylist():
-                try:
-                    with open(path, encoding="utf-8") as f:
-                        said = json.load(f)
-                except (OSError, ValueError):
-                    said = None
-                said = said if isinstance(said, dict) else {}
-                rows.append((str(said.get("date") or ""), "; ".join(map(str, said.get("albums") or [])), "; ".join(map(str, said.get("persons") or []))))
-            date, albums, persons = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(date, type=pa.string()), pa.array(albums, type=pa.string()), pa.array(persons, type=pa.string())], names=["rel_path", "date", "albums", "persons"])
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                found = content(one.column(one.schema.get_field_index(path))[0].as_py())
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([found], type=pa.string())], names=[*one.schema.names, column])
 
-    return first.mapInArrow(run, "rel_path string, date string, albums string, persons string")
+    return files.mapInArrow(run, schema)
 
 
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -152,14 +161,16 @@ def tags_from(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
     return sidecar_tags(spark, root), "sidecar"
 
 
-#: Embedded date tags, most trustworthy first.
+#: Embedded tags; dates with the most trustworthy first.
 DATE_TAGS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate")
+SIZE_TAGS = ("ImageWidth", "ImageHeight")
+PLACE_TAGS = ("GPSLatitude", "GPSLongitude")
 
 
 def read_embedded(files: DataFrame, reader: Callable[[list[str]], pd.DataFrame], batch: int = 200) -> DataFrame:
     """What a metadata reader says of each path: it gets up to `batch` paths and returns (path, the date tags, ImageWidth,
     ImageHeight, GPSLatitude, GPSLongitude) as texts; paths it leaves out have nothing."""
-    names = ["path", *DATE_TAGS, "ImageWidth", "ImageHeight", "GPSLatitude", "GPSLongitude"]
+    names = ["path", *DATE_TAGS, *SIZE_TAGS, *PLACE_TAGS]
 
     def run(batches):
         for pdf in batches:

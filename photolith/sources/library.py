@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,24 +41,28 @@ def all_items(live: DataFrame, trashed: DataFrame) -> DataFrame:
     return first_of_each(both, ["uuid"], ["_from", *[c for c in ("original_filename", "path") if c in live.columns]]).drop("_from")
 
 
-def demo(spark: SparkSession, family: Family, cutoff: date) -> DataFrame:
-    """A small made-up library with every disposition: 7 before the cutoff, 8 after it, 4 never shared, 2 undated."""
-    start = datetime.combine(cutoff, datetime.min.time())
-    names = [s.name for s in family.subjects] or ["Someone"]
-    mb = 1 << 20
-    rows: list[dict] = []
-
-    def add(uuid: str, days: int | None, file: str, size: int = 3 * mb, persons=(), albums=(), **flags) -> None:
-        rows.append({"uuid": uuid, "original_filename": file, "date": None if days is None else start + timedelta(days=days), "persons": list(persons), "albums": list(albums), "shared": False, "original_filesize": size, "path": None} | flags)
+def demo(spark: SparkSession, family: Family, cutoff: date, each: int = 2) -> DataFrame:
+    """A made-up library for trying things out, enumerated from the contract's own rules.
 
-    for i, (days, flags) in enumerate([(-2200, {"persons": names[:1]}), (-2200, {}), (-400, {"persons": names[:2]}), (-400, {"ismovie": True, "isphoto": False, "size": 180 * mb}), (-400, {"screenshot": True, "size": 400_000}), (-400, {"ismissing": True, "size": 5 * mb}), (-400, {"live_photo": True, "persons": names[:1]})], 1):
-        add(f"pre-{i:03}", days, f"A{i:04}.HEIC", **flags)
-    for i, (days, flags) in enumerate([(200, {"persons": names[:1]}), (1500, {"persons": names[:2]}), (1500, {"persons": names[-1:], "ismovie": True, "isphoto": False, "size": 250 * mb}), (200, {"persons": [f"  {names[0].upper()} "]}), (200, {"persons": names[:1], "screenshot": True, "size": 500_000}), (200, {}), (200, {}), (1500, {})], 1):
-        add(f"post-{i:03}", days, f"B{i:04}.HEIC", **flags)
-    for i, flags in enumerate([{"hidden": True, "persons": names[:1]}, {"intrash": True}, {"shared": True, "persons": names[:1]}, {"albums": ["Recently Deleted"]}], 1):
-        add(f"skip-{i:03}", -400, f"C{i:04}.HEIC", **flags)
-    for i in (1, 2):
-        add(f"unknown-{i:03}", None, f"scan_{i:03}.jpg", 8 * mb)
-    schema = "uuid string, original_filename string, date timestamp_ntz, persons array<string>, albums array<string>, screenshot boolean, hidden boolean, intrash boolean, shared boolean, isphoto boolean, ismovie boolean, live_photo boolean, ismissing boolean, original_filesize bigint, path string"
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return to_items(spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema))
+    For every way an item can be ruled on (the flag or date that decides it) and every subject tagged or none, there are `each` items,
+    spread over the years around the cutoff; every third is a film, every fifth lies only in the cloud.
+    """
+    names = [s.name for s in family.subjects] or ["Someone"]
+    tags = F.array(F.array().cast("array<string>"), *[F.array(F.lit(n)) for n in names])
+    deciding = F.array(*[F.lit(x) for x in ("nothing", "screenshot", "shared", "hidden", "intrash", "album", "undated")])
+    cases = spark.range(1).select(F.explode(deciding).alias("why"), F.lit(0).alias("one"))
+    cases = cases.select("why", F.explode(tags).alias("persons")).select("why", "persons", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    cases = cases.select("why", "persons", "side", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("nth"))
+    label = F.concat_ws("-", "why", F.when(F.col("side") < 0, "before").otherwise("after"), F.coalesce(F.try_element_at("persons", F.lit(1)), F.lit("nobody")), "nth")
+    turn = F.pmod(F.xxhash64(label), F.lit(1000))
+    film = turn % 3 == 0
+    away = F.col("side") * (1 + turn * 2)
+    rows = cases.select(
+        F.sha1(label.cast("binary")).alias("uuid"), F.concat(label, F.when(film, ".mov").otherwise(".heic")).alias("original_filename"),
+        F.when(F.col("why") != "undated", F.date_add(F.lit(cutoff), away.cast("int")).cast("timestamp_ntz")).alias("date"), "persons",
+        F.when(F.col("why") == "album", F.array(F.lit("Recently Deleted"))).otherwise(F.array().cast("array<string>")).alias("albums"),
+        *[(F.col("why") == c).alias(c) for c in ("screenshot", "hidden", "intrash", "shared")],
+        (~film).alias("isphoto"), film.alias("ismovie"), (~film & (turn % 7 == 0)).alias("live_photo"), (turn % 5 == 0).alias("ismissing"),
+        (turn * 10_007 + 200_000).alias("original_filesize"), F.lit(None).cast("string").alias("path"),
+    )
+    return to_items(rows)

@@ -24,4 +24,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """`df` written and read again, so that its lineage ends and its rows can't change on a second reading."""
     path = f"{shared_folder(df.sparkSession)}/photolith/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `settle` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -40,15 +40,30 @@ def test_contract_rules_and_boundaries(spark):
     assert ruled(spark, [{"persons": ["Trey", "sub one", "Trey", "Nobody"]}])[0].matched_subjects == ["Subject One", "Subject Three"]
 
 
+RULED = {"shared": "EXCLUDE_NOT_OWNED", "hidden": "EXCLUDE_ALBUM", "intrash": "EXCLUDE_ALBUM", "album": "EXCLUDE_ALBUM", "undated": "REVIEW_UNKNOWN_DATE"}
+
+
+def demo_ruling(name):
+    """What the name of an item of the demo says of it."""
+    why, side, who, _ = name.rsplit(".", 1)[0].split("-")
+    late = "EXCLUDE_SCREENSHOT" if why == "screenshot" else "EXCLUDE_UNTAGGED" if who == "nobody" else "INCLUDE_TAGGED"
+    return RULED.get(why, "INCLUDE_PRE_CUTOFF" if side == "before" else late)
+
+
 def test_inventory_of_the_demo(spark):
     made = contract.decide(library.demo(spark, FAMILY, CUTOFF), RULES, FAMILY).cache()
+    rows = made.collect()
+    assert len(rows) == 7 * 4 * 2 * 2 == len({r.uuid for r in rows})
+    assert [r.disposition for r in rows] == [demo_ruling(r.original_filename) for r in rows]
     one = inventory.summary(made).head()
-    assert (one.scanned, one.included_count, one.excluded_count, one.review_count) == (21, 11, 8, 2)
-    assert (one.included_movies, one.included_photos, one.included_live_photos, one.cloud_only_count, one.window_count) == (2, 9, 1, 1, 2)
+    kept = [r for r in rows if r.disposition.startswith("INCLUDE")]
+    assert (one.scanned, one.included_count, one.review_count) == (112, len(kept), 16) and one.excluded_count == 96 - len(kept)
+    assert (one.included_movies, one.included_live_photos, one.cloud_only_count) == tuple(sum(getattr(r, c) for r in kept) for c in ("is_movie", "is_live_photo", "is_missing")) and one.included_movies
+    assert one.window_count == sum(r.in_untagged_window for r in rows) and one.included_bytes == sum(r.filesize for r in kept)
     found = {r.disposition: r.n for r in inventory.by_disposition(made).collect()}
-    assert found == {"INCLUDE_PRE_CUTOFF": 7, "INCLUDE_TAGGED": 4, "EXCLUDE_SCREENSHOT": 1, "EXCLUDE_UNTAGGED": 3, "EXCLUDE_ALBUM": 3, "EXCLUDE_NOT_OWNED": 1, "REVIEW_UNKNOWN_DATE": 2}
-    assert {r.subject: r.n for r in inventory.by_subject(made).collect()} == {"Subject One": 6, "Subject Two": 2, "Subject Three": 1}
-    assert contract.selected(made).count() == 11 and sorted(r.name for r in inventory.unknown_dates(made).collect()) == ["scan_001.jpg", "scan_002.jpg"]
+    assert len(found) == 7 and all(found.values()) and sum(found.values()) == 112
+    assert {r.subject: r.n for r in inventory.by_subject(made).collect()} == {s.name: sum(s.name in r.matched_subjects for r in kept) for s in FAMILY.subjects}
+    assert contract.selected(made).count() == len(kept) and inventory.unknown_dates(made).count() == 16
     empty = inventory.summary(made.limit(0)).head()
     assert empty.scanned == 0 and empty.included_bytes == 0 and empty.earliest is None
     assert inventory.by_disposition(made.limit(0)).count() == 7
@@ -72,6 +87,52 @@ def test_bands_miss_no_pair(spark):
         assert similarity.pairs_within(df, df, t, keep=F.col("l.i") < F.col("r.i")).count() == len(want)
 
 
+@pytest.mark.parametrize("width, threshold", [(64, 8), (64, 20), (64, 0), (64, 63), (16, 5)])
+def test_bands_cover_every_distance(width, threshold):
+    for count in range(1, min(threshold + 1, width) + 1):
+        cut = similarity.bands(width, threshold, count)
+        assert cut[0][0] == 0 and cut[-1][1] == width and all(x[1] == y[0] for x, y in zip(cut, cut[1:], strict=False))
+        assert sum(r + 1 for _, _, r in cut) > threshold or any(r == high - low for low, high, r in cut)
+
+
+def test_chance_meetings_stay_far_below_all_pairs():
+    n = 10**6
+    cut = similarity.cheapest(64, 8, n, n)
+    met = sum(similarity._volume(*b) / 2 ** (b[1] - b[0]) for b in cut)
+    assert met < 0.001 and sum(similarity._volume(*b) for b in cut) <= similarity.MOST_MASKS
+    assert similarity.cheapest(64, 20, 2000, 2000) is None  # by cells: no more than all pairs
+
+
+@pytest.mark.parametrize("plan", ["bands", "cells"])
+def test_hashes_of_all_lengths(spark, monkeypatch, plan):
+    from photolith.functions import values
+
+    if plan == "cells":
+        monkeypatch.setattr(similarity, "cheapest", lambda *_: None)
+        monkeypatch.setattr(similarity, "CELL", 7)
+    else:
+        monkeypatch.setattr(similarity, "cheapest", lambda width, t, *_: similarity.bands(width, t, min(t + 1, 3)))
+    rng = random.Random(5)
+    made = ["ff", "00ff", "0" * 16, "f" * 16, None, "zz", "", "0ff"]
+    for digits in (2, 4, 16, 32, 40):
+        base = rng.getrandbits(4 * digits)
+        for _ in range(12):
+            x = base
+            for _ in range(rng.randrange(7)):
+                x ^= 1 << rng.randrange(4 * digits)
+            made.append(f"{x:0{digits}x}")
+    df = spark.createDataFrame(list(enumerate(made)), "i int, phash string").withColumn("bits", values.hash_words(F.col("phash")))
+    fine = [(i, h) for i, h in enumerate(made) if h and all(c in "0123456789abcdef" for c in h)]
+    for t in (0, 3, 6):
+        got = {(r.l.i, r.r.i, r.distance) for r in similarity.pairs_within(df, df, t, keep=F.col("l.i") < F.col("r.i")).collect()}
+        assert got == {(i, j, (int(x, 16) ^ int(y, 16)).bit_count()) for i, x in fine for j, y in fine if i < j and len(x) == len(y) and (int(x, 16) ^ int(y, 16)).bit_count() <= t}
+
+
+def test_links_name_copies_once(spark):
+    df = spark.createDataFrame([(3, 0), (1, 0), (2, 0), (9, 1), (8, 1), (7, None), (6, 255)], "i long, bits long")
+    assert sorted(map(tuple, similarity.links(df, "i", 2).collect())) == [(1, 2, 0), (1, 3, 0), (1, 8, 1), (8, 9, 0)]
+
+
 MASTER = (7, "m" * 64, 0xDE8F2130DA8607F9 - (1 << 64), 4000, 3000, 5_000_000)
 
 

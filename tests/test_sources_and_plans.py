@@ -200,8 +200,8 @@ def test_library(spark):
     assert r.is_shared and r.is_screenshot and r.persons == ["Trey"] and r.filesize == 0 and not r.is_movie
     items = library.demo(spark, Family((Subject("A"),)), NOW.date())
     assert items.schema.names == schemas.LIBRARY_ITEMS.names
-    both = library.all_items(items.filter("uuid LIKE 'pre%'"), items.withColumn("in_trash", F.lit(True)))
-    assert both.count() == 21 and both.filter("in_trash").count() == 14
+    both = library.all_items(items.filter("original_filename LIKE 'nothing-before%'"), items.withColumn("in_trash", F.lit(True)))
+    assert both.count() == items.count() == 56 and both.filter("in_trash").count() == 52
 
 
 def test_backfill(spark):
