@@ -173,7 +173,7 @@ STAMPS = ("2015:06:15 12:00:00", "2015-06-15T12:00:00.123", "0000:00:00 00:00:00
 
 @registered
 def q17_embedded_dates(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0)
+    o = table(spark, sf_dir, "orders")
     made = F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" 0"), (F.col("o_orderkey") % 10).cast("string"), F.lit(":30:15.25"))
     fixed = F.element_at(F.array(*[F.lit(s).cast("string") for s in STAMPS]), (F.col("o_orderkey") % len(STAMPS) + 1).cast("int"))
     raw = F.when(F.col("o_orderkey") % 2 == 0, made).otherwise(fixed)
@@ -208,18 +208,25 @@ def q20_hamming_pairs(spark, sf_dir):
     return similarity.links(rows, "vec_id", THRESHOLD).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
-def sized(rows):
-    return rows.withColumns({"width": (F.col("vec_id") % 9 * 100).cast("int"), "height": (F.col("vec_id") % 7 * 100).cast("int"), "filesize": (F.col("vec_id") % 11 * 1000).cast("bigint"), "sha256": F.sha2((F.col("vec_id") % 240).cast("string"), 256)})
+def embedded_files(spark, sf_dir):
+    """Embeddings as files with contents: every tenth file and the fifth after it are one content, of the other odd ones up to three in a row are."""
+    prints, v = fingerprints(spark, sf_dir), F.col("vec_id")
+    same = F.when(v % 2 == 0, v).when(v % 10 == 5, v - 5).otherwise(F.floor(v / 6) * 6 + 1)
+    files = prints.select("vec_id", same.alias("content")).join(prints.select(v.alias("content"), "bits"), "content")
+    c = F.col("content")
+    return files.select("vec_id", "bits", (c % 9 * 100).cast("int").alias("width"), (c % 7 * 100).cast("int").alias("height"), (c % 11 * 1000).cast("bigint").alias("filesize"), F.sha2(c.cast("string"), 256).alias("sha256"))
 
 
 def incoming(spark, sf_dir):
-    rows = sized(fingerprints(spark, sf_dir).filter("vec_id % 2 = 1"))
-    return rows.select(F.col("vec_id").cast("string").alias("path"), F.format_string("%010d", "vec_id").alias("rel_path"), "sha256", "bits", "width", "height", "filesize", "vec_id")
+    """The odd ones, as files of an inbox."""
+    rows, v = embedded_files(spark, sf_dir).filter("vec_id % 2 = 1"), F.col("vec_id")
+    taken = F.when(v % 4 == 1, F.make_timestamp_ntz(F.lit(2020), (v % 3 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    return rows.select(F.format_string("in/%d/%d.jpg", v, v % 197).alias("path"), F.format_string("%010d", v).alias("rel_path"), "sha256", "bits", "width", "height", "filesize", "vec_id", taken.alias("taken_at"))
 
 
 def archive(spark, sf_dir):
-    rows = sized(fingerprints(spark, sf_dir).filter("vec_id % 2 = 0 AND vec_id < 240"))
-    return rows.select(F.col("vec_id").alias("id"), "sha256", "bits", "width", "height", "filesize")
+    """The even ones, as assets."""
+    return embedded_files(spark, sf_dir).filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "sha256", "bits", "width", "height", "filesize")
 
 
 def classified(spark, sf_dir):
@@ -241,9 +248,9 @@ def q23_verdict_counts(spark, sf_dir):
     return classified(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("filesize"), F.lit(0)).alias("n_bytes"))
 
 
-def as_assets(spark, files):
+def as_assets(files):
     rows = files.withColumn("phash", F.lower(F.lpad(F.hex("bits"), 16, "0")))
-    return schemas.conform(rows.withColumns({"vault_path": F.concat(F.lit("2020/01/"), F.col("id").cast("string")), "original_filename": F.col("id").cast("string"), "taken_at_source": F.lit("unknown"), "media_type": F.lit("photo"), "imported_at": F.timestamp_micros(F.lit(0))}), schemas.ASSETS)
+    return schemas.conform(rows.withColumns({"vault_path": F.format_string("2020/02/%d.jpg", "id"), "original_filename": F.col("id").cast("string"), "taken_at_source": F.lit("unknown"), "media_type": F.lit("photo"), "imported_at": F.timestamp_micros(F.lit(0))}), schemas.ASSETS)
 
 
 @registered
@@ -251,17 +258,38 @@ def q24_rerun(spark, sf_dir):
     """A second run after the first one's imports: nothing is new."""
     files = incoming(spark, sf_dir)
     first = dedupe.greedy(files, archive(spark, sf_dir), THRESHOLD)
-    new = first.filter("verdict = 'new'").select((F.col("vec_id") + 100_000).alias("id"), "sha256", "bits", "width", "height", "filesize")
+    new = first.filter("verdict = 'new'").select((F.col("vec_id") + 1_000_000_000).alias("id"), "sha256", "bits", "width", "height", "filesize")
     again = dedupe.greedy(files, archive(spark, sf_dir).unionByName(new), THRESHOLD)
-    return again.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return again.select("vec_id", "verdict", "master_id", "distance")
+
+
+def ingest(spark, sf_dir):
+    files = incoming(spark, sf_dir).withColumn("phash", F.lower(F.lpad(F.hex("bits"), 16, "0")))
+    return plan_ingest(schemas.conform(files, schemas.IDENTIFIED), as_assets(archive(spark, sf_dir)), threshold=THRESHOLD)
 
 
 @registered
 def q25_ingest_plan(spark, sf_dir):
     """The accounting of a whole plan: one row."""
-    files = incoming(spark, sf_dir).withColumn("phash", F.lower(F.lpad(F.hex("bits"), 16, "0")))
-    plan = plan_ingest(schemas.conform(files, schemas.IDENTIFIED), as_assets(spark, archive(spark, sf_dir)), threshold=THRESHOLD)
-    return plan.counts()
+    return ingest(spark, sf_dir).counts()
+
+
+@registered
+def q26_ingest_reasons(spark, sf_dir):
+    return ingest(spark, sf_dir).reasons()
+
+
+@registered
+def q27_ingest_places(spark, sf_dir):
+    """Where new files go."""
+    return ingest(spark, sf_dir).assets.select("path", "vault_path", "renamed", "original_filename", "media_type")
+
+
+@registered
+def q28_ingest_reviews(spark, sf_dir):
+    """What a plan leaves to people, and the file each entry compares with."""
+    found = ingest(spark, sf_dir).reviews
+    return found.select("original_path", "kind", values.detail_map(F.col("detail")).getItem("master").alias("master"))
 
 
 def located(spark, sf_dir):
@@ -300,7 +328,7 @@ def q33_location_counts(spark, sf_dir):
 def tag_rows(spark, sf_dir):
     """Line items as tagged files: the part's key as checksum, the part's name as people; every fifth part isn't an asset."""
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    pairs = li.filter("l_linenumber <= 2").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").cast("string").alias("sha256"), F.when(F.col("l_suppkey") % 4 != 0, F.split("p_name", " ")).otherwise(F.array().cast("array<string>")).alias("names"))
+    pairs = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").cast("string").alias("sha256"), F.when(F.col("l_suppkey") % 4 != 0, F.split("p_name", " ")).otherwise(F.array().cast("array<string>")).alias("names"))
     return pairs, p.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("sha256"), F.col("p_partkey").alias("id"))
 
 
@@ -453,7 +481,7 @@ def q59_backfill_updates(spark, sf_dir):
 @registered
 def q60_constraints(spark, sf_dir):
     o, li, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")
-    parts = [("orders_unique", schemas.duplicate_keys(o, ["o_orderkey"])), ("lineitem_unique", schemas.duplicate_keys(li, ["l_orderkey", "l_linenumber"])), ("lineitem_orders", schemas.orphans(li, "l_orderkey", o, "o_orderkey")), ("orders_customer", schemas.orphans(o.filter("o_custkey % 10 = 1"), "o_custkey", c.filter("c_custkey % 20 <> 1"), "c_custkey"))]
+    parts = [("orders_unique", schemas.duplicate_keys(o, ["o_orderkey"])), ("lineitem_unique", schemas.duplicate_keys(li, ["l_orderkey", "l_linenumber"])), ("lineitem_orders", schemas.orphans(li, "l_orderkey", o, "o_orderkey")), ("orders_customer", schemas.orphans(o, "o_custkey", c.filter("c_custkey % 20 <> 1"), "c_custkey"))]
     out = None
     for name, rows in parts:
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")

@@ -26,26 +26,84 @@ bits AS (
   FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) GROUP BY vec_id)
 """
 
-_CLASSIFIED = f"""
+_FILES = f"""
 {_PRINTS},
-sized AS (SELECT vec_id, bits, CAST(vec_id % 9 * 100 AS INTEGER) AS w, CAST(vec_id % 7 * 100 AS INTEGER) AS h, vec_id % 11 * 1000 AS size, sha256(CAST(vec_id % 240 AS VARCHAR)) AS sha FROM bits),
+contents AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN vec_id WHEN vec_id % 10 = 5 THEN vec_id - 5 ELSE vec_id // 6 * 6 + 1 END AS content FROM bits),
+sized AS (SELECT f.vec_id, b.bits, CAST(content % 9 * 100 AS INTEGER) AS w, CAST(content % 7 * 100 AS INTEGER) AS h, content % 11 * 1000 AS size, sha256(CAST(content AS VARCHAR)) AS sha FROM contents f JOIN bits b ON b.vec_id = content),
 inc AS (SELECT * FROM sized WHERE vec_id % 2 = 1),
-arc AS (SELECT * FROM sized WHERE vec_id % 2 = 0 AND vec_id < 240),
-same AS (SELECT sha, min(vec_id) AS same_id FROM arc GROUP BY sha),
+arc AS (SELECT * FROM sized WHERE vec_id % 2 = 0)
+"""
+
+
+def _verdict(w: str, h: str, size: str, mw: str, mh: str, msize: str) -> str:
+    known = f"{w} > 0 AND {h} > 0 AND {mw} > 0 AND {mh} > 0"
+    return f"CASE WHEN {known} AND {w} < {mw} AND {h} < {mh} AND {size} < {msize} THEN 'low_res_twin' WHEN {known} AND {w} > {mw} AND {h} > {mh} THEN 'higher_res_arrived' ELSE 'ambiguous_match' END"
+
+
+def _against(files: str, assets: str) -> str:
+    """Verdicts of files against fixed assets (vec_id, sha, bits, ...)."""
+    return f"""
+same AS (SELECT sha, min(vec_id) AS same_id FROM {assets} GROUP BY sha),
 near AS (
-  SELECT i.vec_id, arg_min(a.vec_id, (bit_count(xor(i.bits, a.bits)) * 1000000 + a.vec_id)) AS near_id, min(bit_count(xor(i.bits, a.bits))) AS distance
-  FROM inc i JOIN arc a ON bit_count(xor(i.bits, a.bits)) <= 20 GROUP BY i.vec_id),
+  SELECT i.vec_id, arg_min(a.vec_id, (CAST(bit_count(xor(i.bits, a.bits)) AS BIGINT) * 100000000000 + a.vec_id)) AS near_id, min(bit_count(xor(i.bits, a.bits))) AS distance
+  FROM {files} i JOIN {assets} a ON bit_count(xor(i.bits, a.bits)) <= 20 GROUP BY i.vec_id),
 joined AS (
-  SELECT i.vec_id, i.size, same_id, near_id, n.distance AS distance, i.w, i.h, a.w AS mw, a.h AS mh, a.size AS msize
-  FROM inc i LEFT JOIN same USING (sha) LEFT JOIN near n ON n.vec_id = i.vec_id LEFT JOIN arc a ON a.vec_id = n.near_id),
+  SELECT i.*, same_id, near_id, n.distance AS distance, a.w AS mw, a.h AS mh, a.size AS msize
+  FROM {files} i LEFT JOIN same USING (sha) LEFT JOIN near n ON n.vec_id = i.vec_id LEFT JOIN {assets} a ON a.vec_id = n.near_id),
 classified AS (
-  SELECT vec_id, size, CASE WHEN same_id IS NOT NULL THEN 'exact_duplicate' WHEN near_id IS NULL THEN 'new'
-              WHEN w > 0 AND h > 0 AND mw > 0 AND mh > 0 AND w < mw AND h < mh AND size < msize THEN 'low_res_twin'
-              WHEN w > 0 AND h > 0 AND mw > 0 AND mh > 0 AND w > mw AND h > mh THEN 'higher_res_arrived' ELSE 'ambiguous_match' END AS verdict,
+  SELECT vec_id, size, CASE WHEN same_id IS NOT NULL THEN 'exact_duplicate' WHEN near_id IS NULL THEN 'new' ELSE {_verdict("w", "h", "size", "mw", "mh", "msize")} END AS verdict,
          coalesce(same_id, near_id) AS master_id, CASE WHEN same_id IS NOT NULL THEN 0 ELSE distance END AS distance
   FROM joined)
 """
 
+
+_CLASSIFIED = f"{_FILES}, {_against('inc', 'arc')}"
+
+# The sequential rules, one file a step: the state is the list of the files imported so far.
+_GREEDY = f"""
+{_FILES},
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY w * h DESC, size DESC, vec_id) AS n,
+         EXISTS (SELECT 1 FROM arc a WHERE a.sha = inc.sha OR bit_count(xor(a.bits, inc.bits)) <= 20) AS known
+  FROM inc),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(n BIGINT, sha VARCHAR, bits UBIGINT)[]) AS taken
+  UNION ALL
+  SELECT step + 1, CASE WHEN f.known OR len(list_filter(taken, lambda m: m.sha = f.sha OR bit_count(xor(m.bits, f.bits)) <= 20)) > 0 THEN taken
+                        ELSE list_append(taken, {{'n': f.n, 'sha': f.sha, 'bits': f.bits}}) END
+  FROM walk JOIN ranked f ON f.n = step + 1),
+numbers AS (SELECT unnest(taken).n AS n FROM (SELECT taken FROM walk ORDER BY step DESC LIMIT 1)),
+fresh AS (SELECT r.* FROM ranked r JOIN numbers USING (n)),
+rest AS (SELECT * FROM ranked WHERE n NOT IN (SELECT n FROM numbers)),
+masters AS (
+  SELECT vec_id AS id, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS master_path, vec_id, sha, bits, w, h, size FROM arc
+  UNION ALL SELECT NULL, n, 'in/' || vec_id || '/' || (vec_id % 197) || '.jpg', vec_id, sha, bits, w, h, size FROM fresh),
+met AS (
+  SELECT r.*, m.id AS master_id, m.n AS mn, m.master_path, m.w AS mw, m.h AS mh, m.size AS msize, m.sha = r.sha AS is_same, bit_count(xor(m.bits, r.bits)) AS apart
+  FROM rest r JOIN masters m ON (m.n IS NULL OR m.n < r.n) AND (m.sha = r.sha OR bit_count(xor(m.bits, r.bits)) <= 20)),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY n ORDER BY is_same DESC, CASE WHEN is_same THEN 0 ELSE apart END, mn IS NOT NULL, master_id, mn) = 1),
+verdicts AS (
+  SELECT vec_id, n, size, CASE WHEN is_same THEN 'exact_duplicate' ELSE {_verdict("w", "h", "size", "mw", "mh", "msize")} END AS verdict, master_id, master_path,
+         CAST(CASE WHEN is_same THEN 0 ELSE apart END AS INTEGER) AS distance FROM best
+  UNION ALL SELECT vec_id, n, size, 'new', NULL, NULL, NULL FROM fresh)
+"""
+
+_PLACES = f"""
+{_GREEDY},
+dated AS (SELECT *, 'in/' || vec_id || '/' || (vec_id % 197) || '.jpg' AS path, CASE WHEN vec_id % 4 = 1 THEN '2020/0' || (vec_id % 3 + 1) ELSE 'undated' END AS folder, CAST(vec_id % 197 AS VARCHAR) AS stem FROM fresh),
+wished AS (SELECT d.*, a.sha AS old, row_number() OVER (PARTITION BY folder, stem ORDER BY n) AS nth FROM dated d LEFT JOIN arc a ON folder || '/' || stem = '2020/02/' || a.vec_id),
+places AS (SELECT *, NOT (old IS NULL AND nth = 1 OR coalesce(old = sha, false)) AS renamed FROM wished)
+"""
+
+_QUEUED = f"""
+{_PLACES},
+queued AS (
+  SELECT 'in/' || v.vec_id || '/' || (v.vec_id % 197) || '.jpg' AS original_path, verdict AS kind,
+         coalesce('2020/02/' || v.master_id || '.jpg', (SELECT folder || '/' || stem || CASE WHEN renamed THEN '-' || sha[:8] ELSE '' END || '.jpg' FROM places p WHERE p.path = v.master_path)) AS master
+  FROM verdicts v WHERE verdict IN ('ambiguous_match', 'higher_res_arrived')
+  UNION ALL SELECT path, 'unknown_date', NULL FROM places WHERE folder = 'undated')
+"""
+
 _LOCATED = """
 a AS (
   SELECT event_id AS id, CASE WHEN event_id % 50 <> 0 THEN ts END AS taken_at,
@@ -63,7 +121,7 @@ inferred AS (SELECT * FROM best WHERE gap_us < 21589200000)
 """
 
 _TAGS = """
-pairs AS (SELECT CAST(l_partkey AS VARCHAR) AS sha, l_partkey, CASE WHEN l_suppkey % 4 <> 0 THEN string_split(p_name, ' ') ELSE [] END AS names FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2),
+pairs AS (SELECT CAST(l_partkey AS VARCHAR) AS sha, l_partkey, CASE WHEN l_suppkey % 4 <> 0 THEN string_split(p_name, ' ') ELSE [] END AS names FROM lineitem JOIN part ON l_partkey = p_partkey),
 read AS (SELECT *, l_partkey % 5 <> 0 AS there FROM pairs WHERE len(names) > 0)
 """
 
@@ -135,7 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "q16_normalized_tags": "SELECT c_custkey, lower(c_mktsegment) || ' ' || lower(c_mktsegment) AS tag FROM customer",
     "q17_embedded_dates": """
         WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y:%m:%d') || ' 0' || (o_orderkey % 10) || ':30:15.25'
-            ELSE ['2015:06:15 12:00:00', '2015-06-15T12:00:00.123', '0000:00:00 00:00:00', '2015:02:30 10:00:00', '2015:06:15 24:00:00', '2015:06:15 23:59:60', 'not a date', '2016:02:29 01:02:03+07:00', '', NULL][o_orderkey % 10 + 1] END AS raw FROM orders WHERE o_orderkey % 3 = 0),
+            ELSE ['2015:06:15 12:00:00', '2015-06-15T12:00:00.123', '0000:00:00 00:00:00', '2015:02:30 10:00:00', '2015:06:15 24:00:00', '2015:06:15 23:59:60', 'not a date', '2016:02:29 01:02:03+07:00', '', NULL][o_orderkey % 10 + 1] END AS raw FROM orders),
         p AS (SELECT o_orderkey, replace(replace(raw[1:10], ':', '-'), 'T', ' ') || ' ' || raw[12:19] AS t FROM s)
         SELECT o_orderkey, strftime(CASE WHEN t[18:19] < '60' AND t[12:13] < '24' AND t[1:4] > '0000' THEN try_strptime(t, '%Y-%m-%d %H:%M:%S') END, '%Y-%m-%d %H:%M:%S') AS taken_at FROM p""",
     "q18_add_months": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 19 AS INTEGER)), '%Y-%m-%d') AS later FROM orders",
@@ -144,8 +202,22 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT *, coalesce(la BETWEEN -90 AND 90 AND lo BETWEEN -180 AND 180 AND NOT (la = 0 AND lo = 0), false) AS fine FROM s)
         SELECT s_suppkey, CASE WHEN fine THEN la END AS lat, CASE WHEN fine THEN lo END AS lon, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(1.5 AS DOUBLE) END AS lat0, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(2.5 AS DOUBLE) END AS lon0,
                CASE WHEN s_suppkey > 5 THEN CAST(s_suppkey - 5 AS INTEGER) END AS width FROM f""",
-    "q20_hamming_pairs": f"WITH {_PRINTS} SELECT l.vec_id AS a, r.vec_id AS b, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM bits l JOIN bits r ON l.vec_id < r.vec_id AND bit_count(xor(l.bits, r.bits)) <= 20",
+    "q20_hamming_pairs": f"""WITH {_PRINTS}, h AS (SELECT bits, min(vec_id) AS lead FROM bits GROUP BY bits)
+        SELECT least(l.lead, r.lead) AS a, greatest(l.lead, r.lead) AS b, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM h l JOIN h r ON l.lead < r.lead AND bit_count(xor(l.bits, r.bits)) <= 20
+        UNION ALL SELECT lead, vec_id, 0 FROM bits JOIN h USING (bits) WHERE vec_id <> lead""",
     "q21_classify": f"WITH {_CLASSIFIED} SELECT vec_id, verdict, master_id, CAST(distance AS INTEGER) AS distance FROM classified",
+    "q22_greedy": f"WITH RECURSIVE {_GREEDY} SELECT vec_id, verdict, master_id, master_path, distance FROM verdicts",
+    "q24_rerun": f"""WITH RECURSIVE {_GREEDY}, full_archive AS (SELECT vec_id, sha, bits, w, h, size FROM arc UNION ALL SELECT vec_id + 1000000000, sha, bits, w, h, size FROM fresh), {_against("inc", "full_archive")}
+        SELECT vec_id, verdict, master_id, CAST(distance AS INTEGER) AS distance FROM classified""",
+    "q25_ingest_plan": f"""WITH RECURSIVE {_PLACES}
+        SELECT count(*) AS scanned, count(*) FILTER (WHERE verdict = 'new') AS imported, count(*) FILTER (WHERE verdict IN ('exact_duplicate', 'low_res_twin')) AS linked,
+               count(*) FILTER (WHERE verdict IN ('ambiguous_match', 'higher_res_arrived')) AS deferred, CAST(coalesce(sum(size) FILTER (WHERE verdict = 'new'), 0) AS BIGINT) AS imported_bytes,
+               CAST(coalesce(sum(size) FILTER (WHERE verdict IN ('exact_duplicate', 'low_res_twin')), 0) AS BIGINT) AS linked_bytes,
+               count(*) FILTER (WHERE verdict = 'new' AND vec_id % 4 <> 1) AS undated, (SELECT count(*) FROM places WHERE renamed) AS renamed, true AS balanced FROM verdicts""",
+    "q26_ingest_reasons": f"""WITH RECURSIVE {_QUEUED}
+        SELECT kind, count(*) AS n FROM (SELECT kind FROM queued UNION ALL SELECT verdict FROM verdicts WHERE verdict IN ('exact_duplicate', 'low_res_twin')) GROUP BY kind""",
+    "q27_ingest_places": f"WITH RECURSIVE {_PLACES} SELECT path, folder || '/' || stem || CASE WHEN renamed THEN '-' || sha[:8] ELSE '' END || '.jpg' AS vault_path, renamed, stem || '.jpg' AS original_filename, 'photo' AS media_type FROM places",
+    "q28_ingest_reviews": f"WITH RECURSIVE {_QUEUED} SELECT original_path, kind, master FROM queued",
     "q23_verdict_counts": f"WITH {_CLASSIFIED} SELECT verdict, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes FROM classified GROUP BY verdict",
     "q30_nearest_in_time": f"WITH {_LOCATED} SELECT id, anchor_id, gap_us FROM best WHERE gap_us <= 7200000000",
     "q31_location_bands": f"WITH {_LOCATED} SELECT CASE WHEN gap_us <= 3600000000 THEN 'high' ELSE 'low' END AS band, count(*) AS n FROM inferred GROUP BY 1",
@@ -196,7 +268,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'orders_unique' AS rule, count(*) AS n FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)
         UNION ALL SELECT 'lineitem_unique', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
         UNION ALL SELECT 'lineitem_orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-        UNION ALL SELECT 'orders_customer', count(*) FROM orders WHERE o_custkey % 10 = 1 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 <> 1)""",
+        UNION ALL SELECT 'orders_customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 <> 1)""",
     "q61_latest_version": "SELECT max(event_id) AS version FROM events",
     "q62_library_flags": """
         SELECT event_id AS uuid, event_id % 4 < 2 AS is_screenshot, true AS is_shared, true AS is_photo, event_id % 9 = 0 AS undated, event_type AS persons, CAST(0 AS BIGINT) AS filesize FROM events""",
