@@ -43,9 +43,12 @@ def stored_compact(df: DataFrame, name: str, rows_per_file: int = 500_000) -> Da
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the tables behind what `stored` returned, once nothing that is still to run reads them."""
     for df in tables:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)

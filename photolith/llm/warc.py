@@ -5,10 +5,13 @@ to end. Payloads are compared by length and SHA-1: of equal ones the smallest id
 as revisits of it. Only the groups of two and more are gathered, and only ids and digests are shuffled, with partial aggregation.
 
 Reading: the archives are split at every occurrence of the magic line, in splits of any size, each task emitting a
-candidate for each occurrence and, from its header, the offset of its successor. Candidates that follow each other
+candidate for each occurrence and, from its header, the offset of its successor. The candidates are written once; what follows works on
+their narrow columns (file, offset, extent) and on that table alone, so it can't matter how a later read is split. Candidates of a split that follow each other
 without a gap are one run; a run leads to the candidate at its last member's successor. Pointer jumping from the start
 of each file marks the runs reached; candidates outside them are magic inside payloads, whose bytes go back to
-the record that holds them. The number of rounds is the logarithm of the runs in a file, none where no payload holds the magic.
+the record that holds them. The number of rounds is the logarithm of the runs in a file, none where a file is one split and no payload holds the magic.
+A candidate that is a whole record by its own header leaves its bytes behind and keeps their SHA-1; where it turns out to be part
+of a payload, its bytes are fetched by that digest, and a piece that isn't found is an error.
 
 Defined cases: null html: an empty payload (a response or a revisit like any other); null url: an empty target; line breaks in a url
 are percent-encoded; rows with the id of their group's response are responses too; a null id is written as `none`, never
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photolith.llm._bytes import columns
-from photolith.llm._store import drop, new_path, stored
+from photolith.llm._store import delete, drop, new_path, stored
 
 MAGIC = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
@@ -105,75 +108,103 @@ def _payload_columns(raw: Column, header: Column, head: Column, length: Column)
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """The stretches between magic lines, numbered in the order of each split."""
-    return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    """The stretches between magic lines."""
+    return spark.read.option("lineSep", MAGIC).text(path)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each stretch between magic lines: where it lies, its record's extent if it is one, and its columns.
+    """A row for each stretch between magic lines: its split and place in it, its record's extent if it is one, and its columns.
 
-    Stretches that aren't whole records by their own header keep their bytes.
+    Stretches that aren't whole records by their own header keep their bytes, the others a digest of them.
     """
-    raw = _scan(spark, path)
+    raw = _scan(spark, path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     said = _block_columns(F.col("value"))
     rows = raw.select("file", "block", "nth", "value", F.octet_length("value").cast("long").alias("size"), said["header"].alias("header"), said["head"].cast("long").alias("head"), said["length"].alias("length"))
     extent = F.lit(len(MAGIC)) + F.col("head") + F.col("length") + F.lit(len(BLANK))
     rows = rows.withColumn("extent", F.when(F.col("header").contains("WARC-Type"), extent))
-    whole = F.col("extent") == F.col("size") + len(MAGIC)
+    whole = F.coalesce(F.col("extent") == F.col("size") + len(MAGIC), F.lit(False))
     read = F.struct(*_payload_columns(F.col("value").cast("binary"), F.col("header"), F.col("head").cast("int"), F.col("length").cast("int")))
-    return rows.select("file", "block", "nth", "size", "extent", F.when(whole, read).alias("record"), F.when(~F.coalesce(whole, F.lit(False)), F.col("value")).alias("value"))
+    return rows.select("file", "block", "nth", "size", "extent", F.when(whole, read).alias("record"), F.when(~whole, F.col("value")).alias("value"), F.when(whole, F.unhex(F.sha1("value"))).alias("digest"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """(file, block, nth, offset, extent, torn) of candidates, with prefix sums in each split and over the splits of a file."""
+    total = F.col("size") + len(MAGIC)
+    narrow = rows.select("file", "block", "nth", "size", "extent", F.col("record").isNull().alias("torn"))
+    blocks = narrow.groupBy("file", "block").agg(F.sum(total).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(total).over(Window.partitionBy("file", "block").orderBy("nth"))
+    at = narrow.withColumn("inside", inside).join(blocks.select("file", "block", before.alias("before")), ["file", "block"])
+    # What is before a file's first magic line, normally nothing, has no magic line of its own.
+    return at.withColumn("offset", F.col("before") + F.col("inside") - F.col("size") - 2 * len(MAGIC)).filter("offset >= 0").select("file", "block", "nth", "offset", "extent", "torn")
 
 
 def reachable(rows: DataFrame) -> DataFrame:
-    """The rows (file, offset, extent, ...) of `rows` with the column `real`: whether the chain from offset 0 comes to them."""
-    spark = rows.sparkSession
-    order = Window.partitionBy("file").orderBy("offset")
+    """The rows (file, block, nth, offset, extent, ...) of `rows` with the column `real`: whether the chain from offset 0 comes to them."""
+    order = Window.partitionBy("file", "block").orderBy("offset")
     after = F.col("offset") + F.col("extent")
     linked = F.coalesce(F.lag(after).over(order) == F.col("offset"), F.lit(False))
-    rows = stored(rows.withColumn("_new", (~linked).cast("long")).withColumn("run", F.sum("_new").over(order)).drop("_new"), "warc-candidates")
-    runs = rows.groupBy("file", "run").agg(F.min("offset").alias("start"), F.max_by(after, "offset").alias("to"), F.max("offset").alias("stop"))
-    links = runs.select("file", F.col("run").alias("source"), F.col("to").alias("offset")).filter("offset is not null")
+    rows = stored(rows.withColumn("run", F.max(F.when(~linked, F.col("offset"))).over(order)), "warc-places")
+    runs = rows.groupBy("file", "run").agg(F.max_by(after, "offset").alias("to"))
+    links = runs.select("file", F.col("run").alias("source"), F.col("to").alias("offset")).filter("offset IS NOT NULL")
     enters = rows.select("file", "offset", "run").join(links, ["file", "offset"])
-    reached = runs.filter("start = 0").select("file", "run")
+    reached = runs.filter("run = 0").select("file", "run")
+    made = []
     many = runs.groupBy("file").count().agg(F.max("count")).head()[0] or 0
     if many > 1:
         jump = stored(enters.select("file", F.col("source"), F.col("run").alias("target")), "warc-jumps")
+        made.append(jump)
         step = 1
         while step < many:
             ahead = reached.join(jump, (reached.file == jump.file) & (reached.run == jump.source)).select(jump.file, F.col("target").alias("run"))
             reached = stored(reached.unionByName(ahead).distinct(), "warc-reached")
+            made.append(reached)
             twice = jump.alias("a").join(jump.alias("b"), F.expr("a.file = b.file AND a.target = b.source")).select("a.file", "a.source", "b.target")
             step *= 2
             if step < many:
                 jump = stored(twice, "warc-jumps")
+                made.append(jump)
     entry = reached.withColumnRenamed("run", "source").join(enters, ["file", "source"]).select("file", "run", F.col("offset").alias("entry"))
-    entry = entry.unionByName(reached.join(runs.filter("start = 0"), ["file", "run"]).select("file", "run", F.col("start").alias("entry")))
+    entry = entry.unionByName(reached.filter("run = 0").select("file", "run", F.col("run").alias("entry")))
     entry = entry.groupBy("file", "run").agg(F.min("entry").alias("entry"))
-    return rows.join(entry, ["file", "run"], "left").withColumn("real", F.coalesce(F.col("offset") >= F.col("entry"), F.lit(False))).drop("run", "entry")
+    out = stored(rows.join(entry, ["file", "run"], "left").withColumn("real", F.coalesce(F.col("offset") >= F.col("entry"), F.lit(False))).drop("run", "entry"), "warc-reachable")
+    drop(rows, *made)
+    return out
+
+
+def _some(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_GROUPS else ids  # 40 bytes each at most
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under `path`."""
-    rows = candidates(spark, path)
-    order = Window.partitionBy("file").orderBy("block", "nth")
-    rows = rows.withColumn("offset", F.sum(F.col("size") + len(MAGIC)).over(order) - F.col("size") - 2 * len(MAGIC)).filter("offset >= 0")
-    rows = reachable(rows)
-    whole = rows.filter("real AND record IS NOT NULL").select("record.*")
+    """One row for each record of the archives under `path`, which may be deleted or changed once this has returned."""
+    rows = stored(candidates(spark, path), "warc-candidates")
+    places = reachable(placed(rows))
+    unreal = stored(places.filter("NOT real").select("nth"), "warc-unreal")
+    whole = rows.filter("record IS NOT NULL").join(_some(unreal), "nth", "left_anti").select("record.*")
     # Records that magic inside their payload cut into several stretches: put together again.
-    holder = F.last(F.when(F.col("real"), F.struct("offset", F.col("record").isNull().alias("torn"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
-    torn = rows.withColumn("holder", holder).filter("holder.torn")
-    lost = torn.filter("record IS NOT NULL").select("file", "block", "nth")
+    cut = places.join(places.filter("torn OR NOT real").select("file").distinct(), "file", "left_semi")
+    holder = F.last(F.when(F.col("real"), F.struct("offset", "torn")), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
+    torn = stored(cut.withColumn("holder", holder).filter("holder.torn").select("nth", "file", "offset", F.col("holder.offset").alias("at")), "warc-torn")
+    drop(places)
+    pieces = torn.join(rows.select("nth", "value", "digest"), "nth")
+    lost = torn.join(rows.filter("record IS NOT NULL").select("nth", "digest"), "nth").select("digest").distinct()
     if not lost.isEmpty():  # whole records inside payloads, whose bytes were left behind
-        again = _scan(spark, path).join(lost, ["file", "block", "nth"]).withColumnRenamed("value", "_again")
-        torn = torn.join(again, ["file", "block", "nth"], "left").withColumn("value", F.coalesce("value", "_again"))
-    piece = F.struct("offset", F.coalesce("value", F.lit("")).alias("value"))
-    joined = torn.groupBy("file", F.col("holder.offset").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["value"]), MAGIC).alias("value"))
+        again = _scan(spark, path).select(F.unhex(F.sha1("value")).alias("digest"), F.col("value").alias("bytes_again"))
+        again = stored(again.join(_some(lost), "digest", "left_semi").dropDuplicates(["digest"]), "warc-again")
+        pieces = pieces.join(again, "digest", "left").withColumn("value", F.coalesce("value", "bytes_again"))
+    held = F.coalesce("value", F.raise_error(F.concat(F.lit("a piece of the record at "), F.col("at").cast("string"), F.lit(" is missing from "), F.col("file"))).cast("string"))
+    piece = F.struct("offset", held.alias("value"))
+    joined = pieces.groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["value"]), MAGIC).alias("value"))
     said = _block_columns(F.col("value"))
     joined = joined.select("value", said["header"].alias("header"), said["head"].alias("head"), said["length"].cast("int").alias("length"))
     return whole.unionByName(joined.select(*_payload_columns(F.col("value").cast("binary"), F.col("header"), F.col("head"), F.col("length"))))
 
 
 def write_and_read(df: DataFrame, **options) -> DataFrame:
+    """The records of `df` after a round trip through archives, which are deleted once they are read."""
     path = new_path(df.sparkSession, "warc")
     write(df, path, **options)
-    return read(df.sparkSession, path)
+    found = read(df.sparkSession, path)
+    delete(df.sparkSession, path)
+    return found

@@ -61,6 +61,39 @@ def test_one_file_in_many_splits(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_splits_may_change_between_the_call_and_the_action(spark):
+    rows = [(i, f"u{i}", (NESTED + "é" * 50) * (i % 4 + 1) + str(i), None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for first, then in (("128m", "2k"), ("2k", "128m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            found = warc.write_and_read(df)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", then)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+            got = found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+            assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_lost_piece_is_an_error(spark, monkeypatch):
+    path = new_path(spark, "warc-test")
+    warc.write(spark.createDataFrame([(1, "u", "x" + FAKE + FAKE + "y", None, None)], SCHEMA), path)
+    whole, scans = warc._scan, []
+
+    def scan(*args):
+        scans.append(args)
+        return whole(*args).filter(F.lit(len(scans) == 1))
+
+    monkeypatch.setattr(warc, "_scan", scan)
+    with pytest.raises(Exception, match="is missing from"):
+        warc.read(spark, path).collect()
+
+
 def test_hot_payload_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_GROUPS", -1)
     rows = [(i, "u", "same" if i % 3 == 0 else f"p{i}", None, None) for i in range(300)]
