@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,12 +34,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def stored_compact(df: DataFrame, name: str, rows_per_file: int = 500_000) -> DataFrame:
-    """As `stored`, in as few files as the number of rows needs: for tables that are small more often than not."""
-    df = df.persist(StorageLevel.DISK_ONLY)  # not in the heap; what a lost executor held is made again
-    out = stored(df.coalesce(max(1, -(-df.count() // rows_per_file))), name)
-    df.unpersist()
-    return out
+def stored_compact(df: DataFrame, name: str) -> DataFrame:
+    """As `stored`, in as few files as its bytes need: for tables that are small more often than not."""
+    return stored(df.hint("rebalance"), name)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,9 +1,12 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 Texts are lower-cased (A-Z) and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; a text is the weighted set of its 5-word
-shingles (all its words, if fewer) with weights (1 + ln tf) * idf. idf = 1 + IDF_SHARE * ln((1+N)/(1+df)) / ln(1+N): gentle, so that
-the members of a huge group of copies, whose shingles are all common, keep the similarity they have by themselves. df is
-counted over all texts in a table of fixed size by shingle hash, so what is broadcast doesn't grow.
+shingles (all its words, if fewer) with weights (1 + ln tf) * idf. idf = 1 + IDF_SHARE * ln(min((1+N)/(1+df), CLIP)) / ln(CLIP): gentle, so that
+the members of a huge group of copies, whose shingles are all common, keep the similarity they have by themselves, and clipped, so
+that what is in fewer than one of CLIP texts has full weight at every size of the corpus. df is exact: texts are counted in a table of hash cells
+first, which bounds every shingle's df from above, and then exactly for the shingles of the cells that reach N / CLIP. At most CLIP times the
+mean number of shingles of a text can reach it, so what is broadcast doesn't grow with the number of texts; where texts are so long
+that it would be more than `MOST_COMMON`, CLIP is lowered to what is.
 
 1. Texts with equal words are one node (a 64-bit hash of them); everything below is about nodes.
 2. Each node has SAMPLES consistent weighted samples in bands of ROWS. Up to OVERLAP shingles every sample looks at every
@@ -36,18 +39,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from photolith.llm._bytes import ALNUM, LOWER, Words, bound_batches, columns, fresh, map_texts, mix, slices, windows
+from photolith.llm._bytes import ALNUM, LOWER, Shared, Words, bound_batches, columns, fresh, map_texts, mix, slices, windows
 from photolith.llm._store import drop, stored, stored_compact
 
 SHINGLE = 5
 THRESHOLD = 0.8
 IDF_SHARE = 0.25
-DF_BITS = 18
-DF_COLUMNS = 64
+CLIP = 256
+MOST_COMMON = 1 << 21
+CELL_BITS = 19
+CELL_COLUMNS = 64
+COUNTED = 1 << 20
 ROWS, BANDS = 5, 24
 SAMPLES = ROWS * BANDS
 FULL, OVERLAP = 256, 336
 GROUP = 256
+BLOCK = 1024
 BROADCAST_IDS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -97,39 +104,104 @@ class Shingled:
     def set(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return shingles(self.words, i, self.keys, self.cut)
 
-    def weighted(self, i: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weighted(self, i: int, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
         keys, times = self.set(i)
-        weight = idf[(keys >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+        weight = idf.of(keys)
         return keys, np.where(times > 1, weight * (1 + np.log(times)), weight)
 
 
-def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts have a shingle of each hash prefix, and how many texts there are."""
-    names = [f"c{k}" for k in range(DF_COLUMNS)]
+class Idf:
+    """The idf weights of the shingles that are common enough to have less than the full one."""
+
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n: int, clip: float):
+        order = np.argsort(keys)
+        self.keys, self.full = keys[order], 1 + IDF_SHARE * (1.0 if n else 0.0)
+        self.weight = 1 + IDF_SHARE * np.log(np.minimum((1 + n) / (1 + df[order]), clip)) / math.log(clip)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.full)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = self.keys[at] == keys
+            out[found] = self.weight[at[found]]
+        return out
+
+
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def cell_counts(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """How many texts have a shingle of each cell, how many texts there are, and how many shingles they have."""
+    names = [f"c{k}" for k in range(CELL_COLUMNS)]
+    size = 1 << CELL_BITS
 
     def run(batches):
-        df, n = np.zeros(1 << DF_BITS, dtype=np.int64), 0
+        counts, n, total = np.zeros(size, dtype=np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Shingled(part.column(0))
                 n += len(texts)
                 for i in range(len(texts)):
-                    df[np.unique(texts.set(i)[0] >> np.uint64(64 - DF_BITS)).astype(np.int64)] += 1
+                    keys = texts.set(i)[0]
+                    total += len(keys)
+                    counts[np.unique(_cells(keys))] += 1
         if n:
-            table = np.zeros((len(df) // DF_COLUMNS + 1, DF_COLUMNS), dtype=np.int64)
-            table[:-1], table[-1, 0] = df.reshape(-1, DF_COLUMNS), n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table), dtype=np.int32)), *(pa.array(table[:, k]) for k in range(DF_COLUMNS))], names=["row", *names])
+            table = np.zeros((size // CELL_COLUMNS + 1, CELL_COLUMNS), dtype=np.int64)
+            table[:-1], table[-1, :2] = counts.reshape(-1, CELL_COLUMNS), (n, total)
+            used = np.flatnonzero(table.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(table[used, k]) for k in range(CELL_COLUMNS))], names=["row", *names])
 
     parts = rows.select("text").mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in names))
-    found = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    table = np.zeros(((1 << DF_BITS) // DF_COLUMNS + 1, DF_COLUMNS), dtype=np.int64)
-    if len(found):
-        table[found["row"].to_numpy()] = found[names].to_numpy()
-    return table[:-1].reshape(-1), int(table[-1, 0])
+    found = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    table = np.zeros((size // CELL_COLUMNS + 1, CELL_COLUMNS), dtype=np.int64)
+    if found.num_rows:
+        table[found.column("row").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], axis=1)
+    return table[:-1].reshape(-1), int(table[-1, 0]), int(table[-1, 1])
+
+
+def document_frequencies(rows: DataFrame, wanted) -> DataFrame:
+    """(s, n): the exact number of texts that have each shingle of the wanted cells; counts of a task are merged before they leave it."""
 
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    return 1 + IDF_SHARE * np.log((1 + n) / (1 + np.minimum(df, n))) / math.log(2 + n)
+        def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["s", "n"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = Shingled(part.column(0))
+                found = [k[wanted.value[_cells(k)]] for k in (texts.set(i)[0] for i in range(len(texts)))]
+                held.append(np.unique(np.concatenate(found), return_counts=True))
+                size += len(held[-1][0])
+                if size > COUNTED:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > COUNTED // 2:
+                        yield out(*held.pop())
+                        size = 0
+        if held:
+            yield out(*merged())
+
+    return rows.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def idf_of(rows: DataFrame) -> Idf:
+    """The weights of all shingles of the texts."""
+    counts, n, total = cell_counts(rows)
+    if not n:
+        return Idf(np.zeros(0, dtype=np.uint64), np.zeros(0), 0, CLIP)
+    clip = max(2.0, min(CLIP, MOST_COMMON * n / max(total, 1)))
+    least = (1 + n) / clip - 1  # a shingle of more texts has less than the full weight
+    wanted = rows.sparkSession.sparkContext.broadcast(counts > least)
+    common = document_frequencies(rows, wanted).filter(F.col("n") > least).toArrow()
+    return Idf(common.column("s").to_numpy().view(np.uint64), common.column("n").to_numpy(), n, clip)
 
 
 def _draws(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,11 +391,11 @@ def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tupl
     rows = columns(df, doc_id=id_col, text=text_col)
     made: list[DataFrame] = []
 
-    def kept(x: DataFrame, rows_per_file: int = 500_000) -> DataFrame:
-        made.append(stored_compact(x, "near-dup", rows_per_file))
+    def kept(x: DataFrame) -> DataFrame:
+        made.append(stored_compact(x, "near-dup"))
         return made[-1]
 
-    shared = spark.sparkContext.broadcast(idf_table(*document_frequencies(rows)))
+    shared = Shared(spark, idf_of(rows))
     signed = stored(signatures(rows, shared), "signatures")
     worded = signed.filter("node IS NOT NULL")
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
@@ -334,7 +406,7 @@ def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tupl
     members = kept(placed.join(loose(pivots, "bucket"), "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b")))
     pairs = kept(members.select("a", "b").distinct())
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = kept(candidate_texts(kept(wanted.join(slim.select("node", "name"), "node")), rows), 10_000)
+    texts = kept(candidate_texts(kept(wanted.join(slim.select("node", "name"), "node")), rows))
     tested = kept(verified(pairs, texts, shared))
     links = tested.filter(F.col("sim") >= threshold).select("a", "b")
     found = components(links)
@@ -391,12 +463,24 @@ def _placed_by(rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame
 
 
 def _further_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of a bucket that are in different components and, as far as the bounds tell, may be links."""
+    """Pairs of members of a bucket that are in different components and, as far as the bounds tell, may be links.
+
+    Of each bucket only the members outside its largest component meet the others, so a huge group of copies meets few rows; both
+    are dealt to blocks of bounded size, every block of the one meeting every block of the other.
+    """
     far, low = 1 - threshold + 1e-9, threshold - 1e-9
     shared = "(least(x.inside, y.inside) + least(x.outside, y.outside))"
     may = f"x.root <> y.root AND abs(x.d - y.d) <= {far} AND abs(x.e - y.e) <= {far} AND {shared} >= {low} * (x.weight + y.weight - {shared})"
-    x, y = loose(rows, "bucket").alias("x"), loose(rows, "bucket").alias("y")
-    return _ordered(x.join(y, F.expr(f"x.bucket = y.bucket AND x.b < y.b AND {may}")), "x.b", "y.b")
+    roots = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = roots.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sizes = sizes.select("bucket", "major", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("minor_blocks")).filter("minor_blocks > 0")
+    rows = loose(rows, "bucket").join(loose(sizes, "bucket"), "bucket")
+    deal = lambda n: F.pmod(F.xxhash64("b", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.filter("root <> major").withColumn("minor_block", deal("minor_blocks")).withColumn("block", every("blocks")).alias("x")
+    y = rows.withColumn("block", deal("blocks")).withColumn("minor_block", every("minor_blocks")).alias("y")
+    once = "(y.root = y.major OR x.b < y.b)"
+    return _ordered(x.join(y, F.expr(f"x.bucket = y.bucket AND x.block = y.block AND x.minor_block = y.minor_block AND {once} AND {may}")), "x.b", "y.b")
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

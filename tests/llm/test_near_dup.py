@@ -1,5 +1,7 @@
+import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -8,33 +10,47 @@ import pytest
 from photolith.llm import near_dup as N
 
 
+def plain_sets(texts):
+    """Shingle -> weight of each text, from the definition alone: words, counts, exact document frequencies."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    counts = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []) for w in words]
+    df, n = Counter(k for c in counts for k in c), len(texts)
+    clip = max(2.0, min(256, 2**21 * n / max(sum(map(len, counts)), 1)))
+    idf = {k: 1 + 0.25 * math.log(min((1 + n) / (1 + d), clip)) / math.log(clip) for k, d in df.items()}
+    return words, [{k: (1 + math.log(m)) * idf[k] for k, m in c.items()} for c in counts]
+
+
+def plain_similarity(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    both = sum(min(w, b[k]) for k, w in a.items() if k in b)
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
 def brute_classes(rows, threshold=N.THRESHOLD):
-    """Class of each row by verifying every pair of different texts that share a shingle."""
-    texts = N.Shingled(pa.array([t for _, t in rows], type=pa.string()))
-    df = np.zeros(1 << N.DF_BITS, dtype=np.int64)
-    for i in range(len(rows)):
-        df[np.unique(texts.set(i)[0] >> np.uint64(64 - N.DF_BITS)).astype(np.int64)] += 1
-    idf = N.idf_table(df, len(rows))
-    node = [texts.node(i) for i in range(len(rows))]
+    """Class of each row by comparing every pair of different texts that share a shingle."""
+    words, sets = plain_sets([t for _, t in rows])
+    node = [" ".join(w) if w else None for w in words]
     first = {}
     for i, n in enumerate(node):
         if n is not None:
             first.setdefault(n, i)
-    sets = {n: texts.weighted(i, idf) for n, i in first.items()}
-    holders = defaultdict(list)
-    for n, (keys, _) in sets.items():
-        for k in keys.tolist():
+    holders, met = defaultdict(list), set()
+    for n, i in first.items():
+        for k in sets[i]:
+            for m in holders[k]:
+                met.add((m, n))
             holders[k].append(n)
-    shared = {(a, b) for x in holders.values() for i, a in enumerate(x) for b in x[:i]}
-    root = {n: n for n in sets}
+    root = {n: n for n in first}
 
     def top(n):
         while root[n] != n:
+            root[n] = root[root[n]]
             n = root[n]
         return n
 
-    for a, b in shared:
-        if N.similarity(sets[a], sets[b]) >= threshold:
+    for a, b in met:
+        if top(a) != top(b) and plain_similarity(sets[first[a]], sets[first[b]]) >= threshold:
             root[top(a)] = top(b)
     ids, size = defaultdict(list), defaultdict(int)
     for (i, _), n in zip(rows, node, strict=True):
@@ -74,6 +90,43 @@ def test_whole_table_against_all_pairs(spark, sf_dir):
     assert got == brute_classes(rows)
 
 
+def test_larger_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in N.classes(docs).collect()), key=str) == brute_classes(rows)
+
+
+def test_weights_are_those_of_exact_document_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.collect()]
+    idf = N.idf_of(docs)
+    _, sets = plain_sets(texts)
+    shingled = N.Shingled(pa.array(texts, type=pa.string()))
+    assert len(idf.keys) and all(np.allclose(sorted(shingled.weighted(i, idf)[1]), sorted(s.values())) for i, s in enumerate(sets))
+
+
+def test_repeated_texts_across_the_limits_of_both_kinds(spark):
+    rng = random.Random(8)
+    rows = []
+    for case, more in enumerate((60, 70, 81, 90, 100, 120)):
+        words = [f"c{case}w{rng.randrange(10**9)}" for _ in range(256)]
+        rows.append((10 * case, " ".join(words * 3)))
+        rows.append((10 * case + 1, " ".join(words * 3 + [f"c{case}n{i}" for i in range(more)])))
+    rows += [(1000 + i, f"filler {i} " + " ".join(f"f{i}x{j}" for j in range(30))) for i in range(100)]
+    got = run(spark, rows)
+    assert got == brute_classes(rows)
+    assert {i: c for i, c, _ in got}[31] == 30
+
+
+def test_blocks_of_a_large_bucket_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rng = random.Random(4)
+    rows = [(b, i, rng.randrange(4), 0.1, 0.1, 90.0, 1.0, 100.0) for b in (1, 2) for i in range(40)] + [(3, 1, 1, 0.1, 0.1, 90.0, 1.0, 100.0)]
+    df = spark.createDataFrame(rows, "bucket long, b long, root long, d double, e double, inside double, outside double, weight double")
+    got = sorted(map(tuple, N._further_pairs(df, 0.8).collect()))
+    assert got == sorted({(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]})
+
+
 def test_chains_and_edge_rows(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
