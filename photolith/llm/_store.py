@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILE_BYTES = 64 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a temporary folder only where none is set and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -35,8 +38,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_compact(df: DataFrame, name: str) -> DataFrame:
-    """As `stored`, in as few files as its bytes need: for tables that are small more often than not."""
-    return stored(df.hint("rebalance"), name)
+    """As `stored`; a table of many files that hold little is written again in as few as its bytes need."""
+    out = stored(df, name)
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(out.stored_at)
+    summary = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
+    wanted = 1 + summary.getLength() // FILE_BYTES
+    if summary.getFileCount() <= 4 * wanted + 12:
+        return out
+    again = stored(out.coalesce(wanted), name)
+    drop(out)
+    return again
 
 
 def delete(spark: SparkSession, path: str) -> None:
