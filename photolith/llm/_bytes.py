@@ -199,6 +199,12 @@ def columns(df: DataFrame, **kept: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in kept.items()])
 
 
+def with_own_id(result: str, df: DataFrame, id_col: str) -> str:
+    """The schema text `result` with its first column, the id, in the type that `df` has it."""
+    name, *rest = result.split(", ")
+    return ", ".join([f"{name.split()[0]} {df.schema[id_col].dataType.simpleString()}", *rest])
+
+
 class Shared:
     """A broadcast object of this package's own classes, which workers need not be able to import."""
 

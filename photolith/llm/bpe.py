@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from photolith.llm._bytes import columns, map_texts
+from photolith.llm._bytes import columns, map_texts, with_own_id
 
 PIECE = 1 << 16
 MEMO_WORDS = 150_000
@@ -298,6 +298,6 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             text_hash.update(decoder.finish().encode())
             rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
         n, ids, text = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, type=pa.int64()), pa.array(ids), pa.array(text)], names=[x.split()[0] for x in RESULT.split(", ")])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(ids), pa.array(text)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return map_texts(columns(df, doc_id=id_col, text=text_col), part, RESULT)
+    return map_texts(columns(df, doc_id=id_col, text=text_col), part, with_own_id(RESULT, df, id_col))

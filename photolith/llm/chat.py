@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolith.llm._bytes import bound_batches
+from photolith.llm._bytes import bound_batches, with_own_id
 
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
 LEARNED = "assistant"
@@ -101,7 +101,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 def _ordered(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     bound_batches(df)
-    rows = df.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = df.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
@@ -111,6 +111,7 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     def run(batches):
         now, part, size, pieces, loss, turns, open_ = None, 0, 0, [], [], 0, False
         out: list[tuple] = []
+        kind = pa.int64()
 
         def flush(last: bool) -> None:
             nonlocal part, size, pieces, loss, turns
@@ -121,12 +122,13 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
             cols = list(zip(*out, strict=True))
             out.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.int64()), pa.array(cols[2]), pa.array(cols[3], type=pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(cols[4], type=pa.int64()), pa.array(cols[5])],
+                [pa.array(cols[0], type=kind), pa.array(cols[1], type=pa.int64()), pa.array(cols[2]), pa.array(cols[3], type=pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(cols[4], type=pa.int64()), pa.array(cols[5])],
                 names=["conv_id", "part", "text", "loss", "n_turns", "last"],
             )
 
         waiting = 0
         for rows in batches:
+            kind = rows.schema.field(0).type
             for conv, role, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
                 if open_ and conv != now:
                     flush(True)
@@ -149,7 +151,8 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
         if out:
             yield batch()
 
-    return _ordered(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, FORMATTED)
+    rows = _ordered(df, conv_col, turn_col, role_col, text_col)
+    return rows.mapInArrow(run, with_own_id(FORMATTED, rows, "conv_id"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -175,6 +178,6 @@ def digests(formatted: DataFrame) -> DataFrame:
             if out:
                 cols = list(zip(*out, strict=True))
                 out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if i in (2, 4) else pa.int64()) for i, c in enumerate(cols)], names=[x.split()[0] for x in RESULT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if i in (2, 4) else pa.int64() if i else rows.schema.field(0).type) for i, c in enumerate(cols)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return formatted.mapInArrow(run, RESULT)
+    return formatted.mapInArrow(run, with_own_id(RESULT, formatted, "conv_id"))

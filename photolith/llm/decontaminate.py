@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolith.llm._bytes import ALNUM, LOWER, Shared, Words, columns, fresh, map_texts, owner, segment_sum, windows
+from photolith.llm._bytes import ALNUM, LOWER, Shared, Words, columns, fresh, map_texts, owner, segment_sum, windows, with_own_id
+from photolith.llm._store import stored
 
 SPAN = 13
 GRAM = 7
 WINDOW = SPAN - GRAM + 1
 BLOCK_WORDS = 1 << 21
+PAIRS = 1 << 20
 BITS = 22
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -78,16 +80,22 @@ class Index:
             bits[keys >> np.uint64(64 - BITS)] = True
             self.tables[size] = (keys[order], first[order], np.packbits(bits))
 
-    def meet(self, size: int, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (document word, item word) at which equal fingerprints start."""
+    def meet(self, size: int, keys: np.ndarray, first: np.ndarray):
+        """Pairs (document word, item word) at which equal fingerprints start, about `PAIRS` at a time, however many items share a passage."""
         ours, at, bits = self.tables[size]
         slot = (keys >> np.uint64(64 - BITS)).astype(np.int64)
         maybe = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
         keys, first = keys[maybe], first[maybe]
         low, high = np.searchsorted(ours, keys, side="left"), np.searchsorted(ours, keys, side="right")
         times = high - low
-        before = np.cumsum(times) - times
-        return np.repeat(first, times), at[np.repeat(low - before, times) + np.arange(int(times.sum()))]
+        first, low, times = first[times > 0], low[times > 0], times[times > 0]
+        total, start = np.cumsum(times), 0
+        while start < len(times):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, side="right")))
+            n, one = times[start:stop], low[start:stop]
+            before = np.cumsum(n) - n
+            yield np.repeat(first[start:stop], n), at[np.repeat(one - before, n) + np.arange(int(n.sum()))]
+            start = stop
 
 
 def common_spans(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,36 +107,38 @@ def common_spans(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np
         if not size:
             kept = winnow(keys, first)
             first, keys = first[kept], keys[kept]
-        ours, theirs = index.meet(size, keys, first)
-        if not len(ours):
-            continue
-        item = item_of[theirs]
-        left, right = ours.copy(), ours + (size or GRAM)
-        if not size:
-            # One pair for each alignment of a document with an item and gap-free run of fingerprints is enough, but all
-            # are extended: step by step, vectorised over the pairs that still agree.
-            shift = theirs - ours
-            go = np.arange(len(ours))
-            low = np.maximum(words.bounds[doc_of[ours]], index.bounds[item] - shift)
-            high = np.minimum(words.bounds[doc_of[ours] + 1], index.bounds[item + 1] - shift)
-            while len(go):
-                go = go[left[go] > low[go]]
-                go = go[words.hash[left[go] - 1] == index.hash[left[go] - 1 + shift[go]]]
-                left[go] -= 1
-            go = np.arange(len(ours))
-            while len(go):
-                go = go[right[go] < high[go]]
-                go = go[words.hash[right[go]] == index.hash[right[go] + shift[go]]]
-                right[go] += 1
-            whole = right - left >= SPAN
-            left, right, item = left[whole], right[whole], item[whole]
-        found.append((left, right, item))
+        for ours, theirs in index.meet(size, keys, first):
+            found.append(_extended(words, index, size, ours, theirs, doc_of, item_of))
     if not found:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _extended(words: Words, index: Index, size: int, ours: np.ndarray, theirs: np.ndarray, doc_of: np.ndarray, item_of: np.ndarray) -> tuple:
+    """The distinct spans around pairs of equal fingerprints, and their items."""
+    item = item_of[theirs]
+    left, right = ours.copy(), ours + (size or GRAM)
+    if not size:
+        # Step by step, vectorised over the pairs that still agree.
+        shift = theirs - ours
+        go = np.arange(len(ours))
+        low = np.maximum(words.bounds[doc_of[ours]], index.bounds[item] - shift)
+        high = np.minimum(words.bounds[doc_of[ours] + 1], index.bounds[item + 1] - shift)
+        while len(go):
+            go = go[left[go] > low[go]]
+            go = go[words.hash[left[go] - 1] == index.hash[left[go] - 1 + shift[go]]]
+            left[go] -= 1
+        go = np.arange(len(ours))
+        while len(go):
+            go = go[right[go] < high[go]]
+            go = go[words.hash[right[go]] == index.hash[right[go] + shift[go]]]
+            right[go] += 1
+        whole = right - left >= SPAN
+        left, right, item = left[whole], right[whole], item[whole]
+    return tuple(np.unique(np.stack([left, right, item]), axis=1))
+
+
 def digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(set(ids))).encode()).hexdigest()
 
@@ -154,12 +164,14 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     first, second = next(parts, None), next(parts, None)
     if second is None:
         return _pass(rows, first or Shared(spark, Index([])), merged=False)
-    keyed = rows.withColumn("_row", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")))
+    # Rows are told apart by numbers that are written once: numbers made anew in every pass need not be the same.
+    keyed = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
     hits = None
     for shared in itertools.chain((first, second), parts):
         one = _pass(keyed, shared, merged=True)
         hits = one if hits is None else hits.unionByName(one)
-    return hits.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).drop("_row").mapInArrow(_merge, RESULT)
+    merged = hits.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return merged.drop("_row").mapInArrow(_merge, with_own_id(RESULT, df, id_col))
 
 
 def _pass(rows: DataFrame, shared, merged: bool) -> DataFrame:
@@ -181,21 +193,21 @@ def _pass(rows: DataFrame, shared, merged: bool) -> DataFrame:
             np.add.at(change, right, -1)
             covered = np.cumsum(change[:-1]) > 0
             spans = [np.flatnonzero(covered[a:b]).tolist() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, type=pa.int64()), pa.array(spans, type=pa.list_(pa.int64())), pa.array(names, type=pa.list_(pa.string()))], names=["doc_id", "_row", "n_words", "spans", "items"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, type=pa.int64()), pa.array(spans, type=pa.list_(pa.int64())), pa.array(names, type=pa.list_(pa.string()))], names=["doc_id", "_row", "n_words", "spans", "items"])
         change = np.zeros(len(words.hash) + 1, dtype=np.int64)
         np.add.at(change, left, 1)
         np.add.at(change, right, -1)
         hit = segment_sum(np.cumsum(change[:-1]) > 0, words.bounds)
         return _result(batch.column(0), n, hit, names)
 
-    schema = "doc_id long, _row struct<f:string,n:long>, n_words long, spans array<long>, items array<string>" if keyed else RESULT
-    return map_texts(rows, part, schema)
+    schema = "doc_id long, _row long, n_words long, spans array<long>, items array<string>" if keyed else RESULT
+    return map_texts(rows, part, with_own_id(schema, rows, "doc_id"))
 
 
 def _result(ids: pa.Array, n: np.ndarray, hit: np.ndarray, names: list[list[str]]) -> pa.RecordBatch:
     empty = digest([])
     return pa.RecordBatch.from_arrays(
-        [ids.cast(pa.int64()), pa.array(n, type=pa.int64()), pa.array(hit, type=pa.int64()), pa.array([len(set(x)) if x else 0 for x in names], type=pa.int64()), pa.array([digest(x) if x else empty for x in names], type=pa.string()), pa.array((hit > 0) & (20 * hit >= n))],
+        [ids, pa.array(n, type=pa.int64()), pa.array(hit, type=pa.int64()), pa.array([len(set(x)) if x else 0 for x in names], type=pa.int64()), pa.array([digest(x) if x else empty for x in names], type=pa.string()), pa.array((hit > 0) & (20 * hit >= n))],
         names=[x.split()[0] for x in RESULT.split(", ")],
     )
 
@@ -209,8 +221,8 @@ def _merge(batches):
 def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `df` that aren't contaminated, with all their columns.
 
-    With a benchmark of one block this is one pass without a shuffle; with more, the rows found contaminated are
-    taken out by their text.
+    With a benchmark of one block this is one pass without a shuffle; with more, rows are written with numbers, by which those
+    found contaminated are taken out.
     """
     spark = df.sparkSession
     parts = (Shared(spark, Index(x)) for x in blocks(benchmark, item_id_col, item_text_col, block_words))
@@ -218,12 +230,11 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     if first is None:
         return df
     if second is not None:
-        key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
-        keyed = df.select(F.monotonically_increasing_id().alias("_n"), key.alias("_key"), F.col(f"`{text_col}`").alias("_text"))
-        marked = find(keyed, benchmark, id_col="_n", text_col="_text", item_id_col=item_id_col, item_text_col=item_text_col, block_words=block_words).filter("contaminated")
-        own, other = fresh(df, "own_key", "other_key")
-        bad = keyed.join(marked, keyed["_n"] == marked["doc_id"]).select(F.col("_key").alias(other)).distinct()
-        return df.withColumn(own, key).join(bad, F.col(own) == F.col(other), "left_anti").drop(own)
+        own, other = fresh(df, "row_number", "other_number")
+        keyed = stored(df.withColumn(own, F.monotonically_increasing_id()), "decontamination-rows")
+        marked = find(keyed, benchmark, id_col=own, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, block_words=block_words)
+        bad = marked.filter("contaminated").select(F.col("doc_id").alias(other))
+        return keyed.join(bad, F.col(own) == F.col(other), "left_anti").drop(own)
     at = df.columns.index(text_col)
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:

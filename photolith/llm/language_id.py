@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photolith.llm._bytes import Shared, columns, map_texts, mix, segment_sum
+from photolith.llm._bytes import Shared, columns, map_texts, mix, segment_sum, with_own_id
 
 ORDER = 4
 BITS = 16
@@ -258,8 +258,8 @@ def identify(df: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id
             n = batch.num_rows
             score, lowest, rejected, said = np.zeros(n), np.full(n, np.nan), np.zeros(n, dtype=bool), ["und"] * n
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(said, type=pa.string()), pa.array(score), pa.array(lowest, from_pandas=True), pa.array(rejected)],
+            [batch.column(0), batch.column(2), pa.array(said, type=pa.string()), pa.array(score), pa.array(lowest, from_pandas=True), pa.array(rejected)],
             names=[x.split()[0] for x in RESULT.split(", ")],
         )
 
-    return map_texts(rows.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held_out")), run, RESULT)
+    return map_texts(rows.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held_out")), run, with_own_id(RESULT, df, id_col))

@@ -311,6 +311,6 @@ def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id",
     more = F.coalesce(F.col("tail_log"), F.lit(0.0))
     floor = float(np.log10(head.total + head.kinds + 1.0))
     return scored.drop("tail").join(found, "row_id", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + seen).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("own") + more).alias("score"),
     )

@@ -22,7 +22,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from photolith.llm._bytes import columns, map_texts
+from photolith.llm._bytes import columns, map_texts, with_own_id
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "handle", "login", "iban", "account", "secret")
@@ -266,14 +266,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         if not made:
             made.append(automaton())
         each = [find_spans(t, made[0]) for t in batch.column(1).to_pylist()]
-        arrays = [batch.column(0).cast(pa.int64())]
+        arrays = [batch.column(0)]
         arrays += [pa.array([len(x.get(k, ())) for x in each], type=pa.int64()) for k in BASE_KINDS]
         arrays.append(pa.array([hashlib.sha256(rendered(x, BASE_KINDS).encode()).hexdigest() for x in each], type=pa.string()))
         arrays.append(pa.array([rendered(x) for x in each], type=pa.string()))
         arrays.append(pa.array([sum(len(v) for k, v in x.items() if k not in BASE_KINDS) for x in each], type=pa.int64()))
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return map_texts(columns(df, doc_id=id_col, text=text_col), part, RESULT)
+    return map_texts(columns(df, doc_id=id_col, text=text_col), part, with_own_id(RESULT, df, id_col))
 
 
 def redacted(text: str | None, found: dict[str, list[tuple[int, int]]]) -> str | None:

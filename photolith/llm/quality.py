@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from photolith.llm._bytes import SPACED, Words, columns, map_texts, mix, owner, segment_sum, span_hashes, windows
+from photolith.llm._bytes import SPACED, Words, columns, map_texts, mix, owner, segment_sum, span_hashes, windows, with_own_id
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -235,14 +235,14 @@ def judge(df: DataFrame, piece_path: str | None = None, byte_path: str | None =
             made.append(Vocabularies(piece_path, byte_path))
         langs = batch.column(2).to_pylist() if lang_col else [None] * batch.num_rows
         base, measured, band, kept = _judged(batch.column(1), langs, made[0], bands)
-        arrays = [batch.column(0).cast(pa.int64())]
+        arrays = [batch.column(0)]
         arrays += [pa.array(base[k], type=pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         arrays += [pa.array(base["base_failed"]), pa.array(kept), pa.array(measured["n_tokens"], type=pa.int64())]
         arrays += [pa.array(measured[k], type=pa.float64(), from_pandas=True) for k in ("chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy")]
         arrays.append(pa.array(band, type=pa.string()))
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return map_texts(rows, part, RESULT)
+    return map_texts(rows, part, with_own_id(RESULT, df, id_col))
 
 
 def keep(df: DataFrame, piece_path: str | None = None, byte_path: str | None = None, bands: dict[str, Band] | None = None, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

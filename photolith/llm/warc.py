@@ -60,7 +60,9 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
         equal = F.broadcast(equal)
     joined = sized.join(equal, ["digest", "size"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    text_ids = df.schema[id_col].dataType.simpleString() == "string"
+    shown = lambda c: F.concat(F.lit("t:"), F.url_encode(c)) if text_ids else c.cast("string")
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(shown(c), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(BLANK))
     block_size = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("size"))
     target = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
@@ -90,20 +92,20 @@ def _block_columns(segment: Column) -> dict[str, Column]:
     return {"header": header, "head": head, "length": length}
 
 
-def _payload_columns(raw: Column, header: Column, head: Column, length: Column) -> list[Column]:
+def _payload_columns(raw: Column, header: Column, head: Column, length: Column, id_type: str) -> list[Column]:
     block = F.substring(raw, head + 1, length)
     http = F.substring_index(block.cast("string"), BLANK, 1)
     payload = F.substring(block, F.octet_length(http) + 5, length)
     kind = F.lower(_field(header, "WARC-Type"))
     full = kind != "revisit"
-    page = lambda name: F.regexp_extract(_field(header, name), "<urn:page:(-?[0-9]+)>", 1)
-    number = lambda c: F.when(c != "", c.cast("long"))
+    page = lambda name: F.regexp_extract(_field(header, name), "<urn:page:t:([^>]*)>" if id_type == "string" else "<urn:page:(-?[0-9]+)>", 1)
+    named = lambda name: F.url_decode(F.when(_field(header, name).contains("<urn:page:t:"), page(name))) if id_type == "string" else F.when(page(name) != "", page(name).cast(id_type))
     return [
-        number(page("WARC-Record-ID")).alias("page_id"),
+        named("WARC-Record-ID").alias("page_id"),
         F.when(full, F.octet_length(payload).cast("long")).otherwise(_field(http, "Content-Length").try_cast("long")).alias("payload_bytes"),
         F.when(full, base32_sha1(payload)).otherwise(F.regexp_replace(_field(header, "WARC-Payload-Digest"), "^sha1:", "")).alias("payload_digest"),
         kind.alias("record_type"),
-        number(page("WARC-Refers-To")).alias("refers_to"),
+        named("WARC-Refers-To").alias("refers_to"),
     ]
 
 
@@ -112,7 +114,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """A row for each stretch between magic lines: its split and place in it, its record's extent if it is one, and its columns.
 
     Stretches that aren't whole records by their own header keep their bytes, the others a digest of them.
@@ -123,7 +125,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     extent = F.lit(len(MAGIC)) + F.col("head") + F.col("length") + F.lit(len(BLANK))
     rows = rows.withColumn("extent", F.when(F.col("header").contains("WARC-Type"), extent))
     whole = F.coalesce(F.col("extent") == F.col("size") + len(MAGIC), F.lit(False))
-    read = F.struct(*_payload_columns(F.col("value").cast("binary"), F.col("header"), F.col("head").cast("int"), F.col("length").cast("int")))
+    read = F.struct(*_payload_columns(F.col("value").cast("binary"), F.col("header"), F.col("head").cast("int"), F.col("length").cast("int"), id_type))
     return rows.select("file", "block", "nth", "size", "extent", F.when(whole, read).alias("record"), F.when(~whole, F.col("value")).alias("value"), F.when(whole, F.unhex(F.sha1("value"))).alias("digest"))
 
 
@@ -176,9 +178,9 @@ def _some(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_GROUPS else ids  # 40 bytes each at most
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under `path`, which may be deleted or changed once this has returned."""
-    rows = stored(candidates(spark, path), "warc-candidates")
+def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """One row for each record of the archives under `path`, which may be deleted or changed once this has returned; ids are numbers or, as `string`, texts."""
+    rows = stored(candidates(spark, path, id_type), "warc-candidates")
     places = reachable(placed(rows))
     unreal = stored(places.filter("NOT real").select("nth"), "warc-unreal")
     whole = rows.filter("record IS NOT NULL").join(_some(unreal), "nth", "left_anti").select("record.*")
@@ -198,13 +200,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     joined = pieces.groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["value"]), MAGIC).alias("value"))
     said = _block_columns(F.col("value"))
     joined = joined.select("value", said["header"].alias("header"), said["head"].alias("head"), said["length"].cast("int").alias("length"))
-    return whole.unionByName(joined.select(*_payload_columns(F.col("value").cast("binary"), F.col("header"), F.col("head"), F.col("length"))))
+    return whole.unionByName(joined.select(*_payload_columns(F.col("value").cast("binary"), F.col("header"), F.col("head"), F.col("length"), id_type)))
 
 
 def write_and_read(df: DataFrame, **options) -> DataFrame:
     """The records of `df` after a round trip through archives, which are deleted once they are read."""
     path = new_path(df.sparkSession, "warc")
     write(df, path, **options)
-    found = read(df.sparkSession, path)
+    found = read(df.sparkSession, path, df.schema[options.get("id_col", "page_id")].dataType.simpleString())
     delete(df.sparkSession, path)
     return found
