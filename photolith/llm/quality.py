@@ -1,31 +1,33 @@
 """Quality rules: plain word rules, then tokeniser fertility measured with public vocabularies.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Every distinct word of a slice is encoded once, by a SentencePiece
-vocabulary with byte fallback and by a byte-level one; a bounded memo keeps the encodings. From them each
+vocabulary with byte fallback and by a byte-level one; a bounded memo keeps the encodings. Both vocabularies cut texts at white space before they
+merge, so the words' tokens are the text's, but for tokens of mere white space. From them each
 text gets characters per token under both vocabularies, the share of byte-fallback tokens, and the
-entropy of its token distribution, and is rejected where these leave the band of its language, or
-of its script where the language is unknown. `FITTED` has limits for each vocabulary by itself, and a text is rejected
-when either is left; under `BANDS` both vocabularies share limits and must both leave them.
+entropy of its token distribution, and is rejected where any of these leaves the band of its language, or
+of its script where the language is unknown. Bands have limits for each vocabulary by itself, where labelled text was there to fit them to
+(`fit`), and else limits that both must leave. Texts of fewer than `SHORT_TOKENS` tokens vary more and have wider bands, by the square root
+of what they lack.
 
-Defined cases: a null or empty text has no words and fails the base rules; texts with fewer than
-`MIN_TOKENS` tokens aren't judged by fertility; a null language means the script's band; repeated rows are
+Defined cases: a null or empty text has no words and fails the base rules; a null language means the script's band; repeated rows are
 judged each on its own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from photolith.llm._bytes import SPACED, Words, columns, map_texts, mix, owner, segment_sum, span_hashes, windows, with_own_id
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-MIN_TOKENS = 64
+SHORT_TOKENS = 64
 MEMO_TOKENS = 1 << 20
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -45,26 +47,18 @@ class Band:
     most_byte_chars: float = np.nan
 
 
-#: By language, else by the script of most letters. Wide on purpose: clean text, names, numbers and tables stay inside.
+#: By language, else by the script of most letters. Where there are limits for the byte vocabulary, the least characters per token are the 0.25 %
+#: quantiles of sf0.1's texts labelled as clean that have even ids (`latin`: the lowest of the four languages); the most are wide, as clean text's own
+#: quantiles would cost more clean text than junk. No text of other scripts is labelled: their limits are wide and for both vocabularies.
 BANDS = {
-    "en": Band(1.95, 7.5, 0.20, 4.2),
-    "de": Band(1.90, 7.0, 0.20, 4.2),
-    "fr": Band(1.75, 7.0, 0.20, 4.2),
-    "es": Band(1.70, 7.0, 0.20, 4.2),
-    "latin": Band(1.50, 8.0, 0.35, 4.0),
-    "cyrillic": Band(1.20, 7.0, 0.40, 4.0),
-    "greek": Band(0.80, 6.0, 0.60, 4.0),
-    "other": Band(0.35, 8.0, 0.95, 3.5),
-}
-
-#: The least characters per token are the 0.25 % quantiles of sf0.1's texts labelled as clean that have even ids; `latin` spans the four
-#: languages. The most are as wide as above: clean text's own quantiles would cost more clean text than junk. No text of other scripts is labelled.
-FITTED = BANDS | {
     "en": Band(2.05, 7.5, 0.20, 4.2, 2.09, 7.5),
     "de": Band(2.06, 7.0, 0.20, 4.2, 2.17, 7.0),
     "fr": Band(1.73, 7.0, 0.20, 4.2, 1.87, 7.0),
     "es": Band(1.78, 7.0, 0.20, 4.2, 1.92, 7.0),
     "latin": Band(1.73, 8.0, 0.35, 4.0, 1.87, 8.0),
+    "cyrillic": Band(1.20, 7.0, 0.40, 4.0),
+    "greek": Band(0.80, 6.0, 0.60, 4.0),
+    "other": Band(0.35, 8.0, 0.95, 3.5),
 }
 
 RESULT = (
@@ -211,13 +205,33 @@ def _judged(texts: pa.Array, langs: list[str | None], vocabularies: Vocabularies
     base, measured = base_counts(words), fertility(words, vocabularies)
     script = scripts(words.data, words.offsets)
     band = np.array([names.index(x) if x in bands else script_at[s] for x, s in zip(langs, script, strict=True)], dtype=np.int64)
-    of = lambda k: np.array([getattr(b, k) for b in limits])[band]
-    piece, byte, least, most = measured["chars_per_token"], measured["chars_per_byte_token"], of("least_chars"), of("most_chars")
-    with np.errstate(invalid="ignore"):
-        out = np.where(np.isnan(of("least_byte_chars")), np.maximum(piece, byte) < least, (piece < least) | (byte < of("least_byte_chars")))
-        out |= np.where(np.isnan(of("most_byte_chars")), np.minimum(piece, byte) > most, (piece > most) | (byte > of("most_byte_chars")))
-        out |= (measured["fallback_share"] > of("most_fallback")) | (measured["token_entropy"] < of("least_entropy"))
-    return base, measured, [names[b] for b in band], ~base["base_failed"] & ~(out & (measured["n_tokens"] >= MIN_TOKENS))
+    return base, measured, [names[b] for b in band], ~base["base_failed"] & ~_outside(measured, [limits[b] for b in band])
+
+
+def _outside(measured: dict[str, np.ndarray], bands: list[Band]) -> np.ndarray:
+    """Which texts leave their band."""
+    of = lambda k: np.array([getattr(b, k) for b in bands], dtype=np.float64)
+    piece, byte, n = measured["chars_per_token"], measured["chars_per_byte_token"], np.maximum(measured["n_tokens"], 1)
+    wider = np.sqrt(np.maximum(SHORT_TOKENS / n, 1.0))
+    # n tokens can't have more than log2(n) bits.
+    least_entropy = of("least_entropy") * np.minimum(np.log2(n) / np.log2(SHORT_TOKENS), 1.0) / wider
+    low, low_byte = piece < of("least_chars") / wider, byte < of("least_byte_chars") / wider
+    high, high_byte = piece > of("most_chars") * wider, byte > of("most_byte_chars") * wider
+    shared = np.isnan(of("least_byte_chars"))
+    both_low, both_high = np.maximum(piece, byte) < of("least_chars") / wider, np.minimum(piece, byte) > of("most_chars") * wider
+    out = np.where(shared, both_low | both_high, low | low_byte | high | high_byte)
+    return out | (measured["fallback_share"] > of("most_fallback") * wider) | (measured["token_entropy"] < least_entropy)
+
+
+def fit(judged: DataFrame, share: float = 0.0025) -> dict[str, Band]:
+    """`BANDS` with the least characters per token under which `share` of each band's rows lie; `judged`: rows of `judge` that are known to be clean.
+
+    Of all rows of at least `SHORT_TOKENS` tokens that the base rules keep; bands without such rows stay as they are.
+    """
+    low = lambda c: F.percentile(c, F.lit(share)).alias(c)
+    rows = judged.filter(~F.col("base_failed") & (F.col("n_tokens") >= SHORT_TOKENS)).groupBy("band").agg(low("chars_per_token"), low("chars_per_byte_token")).collect()
+    fitted = {r.band: replace(BANDS[r.band], least_chars=r.chars_per_token, least_byte_chars=r.chars_per_byte_token, most_byte_chars=BANDS[r.band].most_chars) for r in rows}
+    return BANDS | fitted
 
 
 def judge(df: DataFrame, piece_path: str | None = None, byte_path: str | None = None, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
