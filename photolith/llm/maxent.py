@@ -3,18 +3,22 @@
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and one end token a text. Every token has a class:
 the most frequent ones a class each, the other head tokens one by group and frequency, and all others, seen or not, the last class. A
 token's group comes from the texts it's in: each text has the mean of fixed random vectors of its tokens, each token the mean over
-its occurrences, and k-means over the head tokens' means finds GROUPS groups (in effect, languages or topics). The model is
+its occurrences, and k-means over the head tokens' means finds GROUPS groups (in effect, languages or topics). The classes of several tokens are
+cut into leaves of about equal mass, so that frequent tokens have a leaf of their own. The model is
 
-    P(token | history) = softmax over classes(bias + sum of weights of hashed features) * P(token | class)
+    P(token | history) = P(class | history) * P(leaf | class, history) * P(token | leaf)
 
-with the features previous token, previous two tokens, and the skip over the previous one, each hashed into rows of
-a fixed weight table. P(token | class) is the maximum-likelihood unigram in head classes, add-one in the last.
+P(class | history) is a softmax over the classes of bias + weights of the hashed features previous token, previous two tokens, and the skip
+over the previous one; P(leaf | class, history) one over the class's leaves, with the hashed features (previous token, class) and (token before it, class).
+P(token | leaf) is the maximum-likelihood unigram, add-one in the last class.
 
 * Counts: exact, over all training texts: partial counts per task, one shuffle by token hash, stored as a table.
 * The head is what has at least a threshold count, read off a histogram of counts so that it has at most `HEAD`
-  tokens; only it, and the weights, are sent to tasks, so what is broadcast has a fixed bound.
-* Training: each task makes one pass of minibatch updates over its texts from the class unigram; the tasks' weight
-  rows are averaged, weighted by how often each row was updated (one shuffle of fixed-size rows per task).
+  tokens; only it, and the weights, are sent to tasks. The weight table has a row for each `TOKENS_PER_ROW` training tokens, from 2^LEAST_BITS to
+  2^MOST_BITS of them, so it grows with the corpus up to what a worker can hold.
+* Training: ROUNDS rounds, each over its own part of the training texts (dealt by a hash of the text), so all are used once. In a round each task makes minibatch
+  updates from the weights so far; the tasks' rows are then averaged, weighted by how often each row was updated (one shuffle of
+  fixed-size rows per task). The weights therefore depend a little on how rows are dealt to tasks; counts and base scores don't.
 * Scoring: head tokens in the task; the other tokens of a text leave it as (hash, times) and meet the
   table of counts in a join whose keys are all below the threshold, so no key is hot.
 
@@ -25,6 +29,7 @@ no rows. Tokens are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,10 +45,14 @@ SLOT_BITS = 20
 SINGLE = 31
 GROUPS, BINS = 8, 2
 CLASSES = SINGLE + GROUPS * BINS + 1
+LEAVES = CLASSES
 DIMENSIONS = 4
-ROW_BITS = 13
+TOKENS_PER_ROW, LEAST_BITS, MOST_BITS = 1024, 15, 17
+ROUNDS = 2
+TOKENS_PER_TASK = 8_000_000
 BATCH = 8192
 RATE = 1.2
+NEVER = -60.0
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 PARTIAL_ENTRIES = 1 << 20
@@ -134,8 +143,10 @@ class Head:
     keys: np.ndarray
     count: np.ndarray
     cls: np.ndarray
-    logp: np.ndarray  # of a head token given its class, log10
+    leaf: np.ndarray
+    logp: np.ndarray  # of a head token given its leaf, log10
     bias: np.ndarray
+    leaf_bias: np.ndarray  # by class and leaf; a class of one leaf has it at 0
     total: int
     kinds: int
     tail_total: int
@@ -159,16 +170,28 @@ def make_head(h: np.ndarray, n: np.ndarray, total: int, kinds: int, vectors: np.
     spread = np.log((rank + 1) / SINGLE) / max(np.log(max(len(h), SINGLE + 2) / SINGLE), 1e-9)
     cls = np.where(rank < SINGLE, rank, SINGLE + group * BINS + np.clip((spread * BINS).astype(np.int64), 0, BINS - 1))
     mass = np.bincount(cls, weights=n, minlength=CLASSES).astype(np.float64)
+    # Leaves: by the share of the class's mass that comes before a token, the most frequent first.
+    order = np.argsort(cls, kind="stable")
+    before = np.cumsum(n[order]) - n[order]
+    before = before - before[np.searchsorted(cls[order], cls[order])] if len(order) else before
+    leaf = np.zeros(len(h), dtype=np.int64)
+    leaf[order] = np.where(cls[order] < SINGLE, 0, np.minimum(before * LEAVES // np.maximum(mass[cls[order]], 1), LEAVES - 1))
+    leaf_mass = np.bincount(cls * LEAVES + leaf, weights=n, minlength=CLASSES * LEAVES).astype(np.float64)
     mass[CLASSES - 1] = total - n.sum()
     size = 1 << SLOT_BITS
     keys, count, classes, logp = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64), np.full(size, CLASSES - 1, dtype=np.int8), np.zeros(size, dtype=np.float32)
-    keys[slot], count[slot], classes[slot] = h, n, cls
-    logp[slot] = np.log10(n / mass[cls])
-    return Head(keys, count, classes, logp, np.log((mass + 1) / (mass.sum() + CLASSES)).astype(np.float32), int(total), int(kinds), int(total - n.sum()), int(kinds - len(h)))
-
-
-def features(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for each token's history."""
+    leaves = np.zeros(size, dtype=np.int8)
+    keys[slot], count[slot], classes[slot], leaves[slot] = h, n, cls, leaf
+    logp[slot] = np.log10(n / leaf_mass[cls * LEAVES + leaf])
+    leaf_mass = leaf_mass.reshape(CLASSES, LEAVES)
+    with np.errstate(divide="ignore"):
+        leaf_bias = np.where(leaf_mass > 0, np.log(leaf_mass / np.maximum(leaf_mass.sum(axis=1, keepdims=True), 1)), NEVER).astype(np.float32)
+    leaf_bias[:SINGLE] = leaf_bias[CLASSES - 1] = np.where(np.arange(LEAVES) == 0, 0, NEVER)
+    return Head(keys, count, classes, leaves, logp, np.log((mass + 1) / (mass.sum() + CLASSES)).astype(np.float32), leaf_bias, int(total), int(kinds), int(total - n.sum()), int(kinds - len(h)))
+
+
+def history(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the one before it and the one before that, in its own text."""
     one = np.concatenate(([START], h[:-1]))
     two = np.concatenate(([START], one[:-1]))
     starts = bounds[:-1]
@@ -176,11 +199,21 @@ def features(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     two[starts] = START
     second = starts + 1
     two[second[second < bounds[1:]]] = START
-    shift = np.uint64(64 - ROW_BITS)
-    third = np.uint64(1 << ROW_BITS) // np.uint64(4)
+    return one, two
+
+
+def features(one: np.ndarray, two: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Rows of the weight table for each token's history: half of them for the previous token, a quarter each for the pair and the skip."""
+    shift, quarter = np.uint64(64 - bits), np.uint64(1 << bits) // np.uint64(4)
     pair = mix(one ^ (two * np.uint64(0x9E3779B97F4A7C15))) >> shift
-    # Half of the rows are for the previous token, a quarter each for the pair and the skip.
-    return [((mix(one) >> shift) >> np.uint64(1)).astype(np.int64), (third * np.uint64(2) + (pair >> np.uint64(2))).astype(np.int64), (third * np.uint64(3) + (mix(two ^ START) >> shift >> np.uint64(2))).astype(np.int64)]
+    return [((mix(one) >> shift) >> np.uint64(1)).astype(np.int64), (quarter * np.uint64(2) + (pair >> np.uint64(2))).astype(np.int64), (quarter * np.uint64(3) + (mix(two ^ START) >> shift >> np.uint64(2))).astype(np.int64)]
+
+
+def leaf_features(one: np.ndarray, two: np.ndarray, cls: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Rows, after those of the classes, for the leaf in a class: half for the previous token, half for the one before it."""
+    shift, rows = np.uint64(64 - bits + 1), 1 << bits
+    salt = mix(cls.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+    return [rows + (mix(one ^ salt) >> shift).astype(np.int64), rows + rows // 2 + (mix(two ^ ~salt) >> shift).astype(np.int64)]
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -189,45 +222,57 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def logits(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    out = bias + weights[rows[0]]
+    for r in rows[1:]:
+        out += weights[r]
+    return out
+
+
 class Trainer:
     """Minibatch updates of the weight table, with steps that shrink with a row's number of updates."""
 
-    def __init__(self, head: Head, weights: np.ndarray | None = None):
-        self.head = head
-        self.weights = np.zeros((1 << ROW_BITS, CLASSES), dtype=np.float32) if weights is None else weights.copy()
-        self.times = np.zeros(1 << ROW_BITS, dtype=np.int64)
+    def __init__(self, head: Head, weights: np.ndarray, seen: np.ndarray):
+        self.head, self.bits = head, (len(weights) // 2).bit_length() - 1
+        self.weights, self.seen = weights.copy(), seen
+        self.times = np.zeros(len(weights), dtype=np.int64)
 
     def update(self, h: np.ndarray, bounds: np.ndarray) -> None:
         slot, found = self.head.find(h)
         target = np.where(found, self.head.cls[slot], CLASSES - 1).astype(np.int64)
-        rows = features(h, bounds)
+        leaf = self.head.leaf[slot].astype(np.int64)
+        one, two = history(h, bounds)
         for a in range(0, len(h), BATCH):
-            b = min(len(h), a + BATCH)
-            logits = self.head.bias + self.weights[rows[0][a:b]]
-            logits += self.weights[rows[1][a:b]]
-            logits += self.weights[rows[2][a:b]]
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(b - a), target[a:b]] -= 1
-            for r in rows:
-                order = np.argsort(r[a:b], kind="stable")
-                ordered = r[a:b][order]
-                edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-                own, n = ordered[edge], np.diff(np.append(edge, b - a))
-                grad = np.add.reduceat(logits[order], edge, axis=0)
-                self.times[own] += n
-                self.weights[own] -= (RATE / np.sqrt(n * (self.times[own] + 8.0)))[:, None].astype(np.float32) * grad
-
-
-def train(rows: DataFrame, shared) -> DataFrame:
-    """(row, times, w0, ...): each task's weight rows after one pass over its texts."""
+            at = slice(a, min(len(h), a + BATCH))
+            self._step(self.head.bias, features(one[at], two[at], self.bits), target[at])
+            many = a + np.flatnonzero((target[at] >= SINGLE) & (target[at] < CLASSES - 1))
+            if len(many):
+                self._step(self.head.leaf_bias[target[many]], leaf_features(one[many], two[many], target[many], self.bits), leaf[many])
+
+    def _step(self, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
+        p = logits(bias, self.weights, rows)
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), target] -= 1
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            ordered = r[order]
+            edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            own, n = ordered[edge], np.diff(np.append(edge, len(r)))
+            grad = np.add.reduceat(p[order], edge, axis=0)
+            self.times[own] += n
+            self.weights[own] -= (RATE / np.sqrt(n * (self.seen[own] + self.times[own] + 8.0)))[:, None].astype(np.float32) * grad
+
+
+def train(rows: DataFrame, shared, weights, seen) -> DataFrame:
+    """(row, times, w0, ...): each task's weight rows after its updates from the weights so far."""
 
     def run(batches):
         trainer = None
         for batch in batches:
             for part in slices(batch, "text"):
-                trainer = trainer or Trainer(shared.value)
+                trainer = trainer or Trainer(shared.value, weights.value, seen.value)
                 trainer.update(*tokens(part.column(0)))
         if trainer is not None:
             used = np.flatnonzero(trainer.times)
@@ -237,27 +282,83 @@ def train(rows: DataFrame, shared) -> DataFrame:
     return rows.select("text").mapInArrow(run, "row long, times long, " + ", ".join(f"w{k} float" for k in range(CLASSES)))
 
 
-def averaged(parts: DataFrame) -> np.ndarray:
-    sums = parts.groupBy("row").agg(*[(F.sum(F.col(f"w{k}") * F.col("times")) / F.sum("times")).alias(f"w{k}") for k in range(CLASSES)])
-    found = sums.toPandas()
-    weights = np.zeros((1 << ROW_BITS, CLASSES), dtype=np.float32)
-    if len(found):
-        weights[found["row"].to_numpy()] = found[[f"w{k}" for k in range(CLASSES)]].to_numpy(dtype=np.float32)
+@dataclass
+class Model:
+    """What is learned: the head, the weights (of classes, then of leaves), and the table of all counts (h, n)."""
+
+    head: Head
+    weights: np.ndarray
+    counts: DataFrame
+
+
+def table_bits(tokens_seen: int) -> int:
+    """The weight table's rows, as a power of two: they grow with the number of training tokens."""
+    return int(min(max(math.ceil(math.log2(max(tokens_seen, 1) / TOKENS_PER_ROW)), LEAST_BITS), MOST_BITS))
+
+
+def learned_weights(training: DataFrame, shared, total: int) -> np.ndarray:
+    """The weights after all rounds of distributed updates.
+
+    A task goes through at least about TOKENS_PER_TASK tokens, where there are so many, so that the rows it shuffles are fewer than its texts.
+    """
+    context, bits = training.sparkSession.sparkContext, table_bits(total)
+    training = training.coalesce(-(-total // TOKENS_PER_TASK) or 1)
+    weights, seen = np.zeros((2 << bits, CLASSES), dtype=np.float32), np.zeros(2 << bits, dtype=np.float64)
+    names = [f"w{k}" for k in range(CLASSES)]
+    turn = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        sent = context.broadcast(weights), context.broadcast(seen)
+        parts = train(training.filter(turn == k), shared, *sent)
+        sums = parts.groupBy("row").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("tasks"), *[(F.sum(F.col(w) * F.col("times")) / F.sum("times")).cast("float").alias(w) for w in names])
+        found = sums.toArrow()
+        at = found.column("row").to_numpy()
+        weights, seen = weights.copy(), seen.copy()
+        for i, w in enumerate(names):
+            weights[at, i] = found.column(w).to_numpy()
+        # A task's steps shrink with what it has seen of a row by itself, so the mean over tasks is what a row has seen.
+        seen[at] += found.column("times").to_numpy() / np.maximum(found.column("tasks").to_numpy(), 1)
+        for x in sent:
+            x.unpersist()
     return weights
 
 
+def fit(training: DataFrame, head_size: int = HEAD) -> Model:
+    """The model of the texts of `training` (text)."""
+    counts = stored(partial_counts(training).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIMENSIONS)]), "token-counts")
+    # Counts below 64 stand for themselves in the histogram, larger ones go by eighths of a power of two.
+    bin_of = F.when(F.col("n") < 64, F.col("n")).otherwise((F.log2("n") * 8).cast("long") + 16)
+    histogram = counts.groupBy(bin_of.alias("bin")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).orderBy(F.desc("bin")).collect()
+    total, kinds = sum(r["total"] for r in histogram), sum(r["kinds"] for r in histogram)
+    threshold, size = None, 0
+    for r in histogram:
+        size += r["kinds"]
+        if size > head_size:
+            break
+        threshold = r["least"]
+    frequent = (counts.filter(F.col("n") >= threshold) if threshold is not None else counts.limit(0)).toArrow()
+    vectors = np.stack([frequent.column(f"v{k}").to_numpy() for k in range(DIMENSIONS)], axis=1)
+    head = make_head(frequent.column("h").to_numpy().view(np.uint64), frequent.column("n").to_numpy(), total, kinds, vectors)
+    return Model(head, learned_weights(training, Shared(training.sparkSession, head), total), counts.select("h", "n"))
+
+
 def score_part(column: pa.Array, head: Head, weights: np.ndarray) -> tuple:
     """Of each text: tokens, known head tokens, sum of log10(count + 1) of head tokens, log10 probability without the tail's
     own part, and its tail tokens (hash, times) with their bounds."""
     h, bounds = tokens(column)
+    bits = (len(weights) // 2).bit_length() - 1
     slot, found = head.find(h)
     cls = np.where(found, head.cls[slot], CLASSES - 1).astype(np.int64)
-    each = np.where(found, head.logp[slot], -np.log10(head.tail_total + head.tail_kinds + 1.0))
-    rows = features(h, bounds)
+    leaf = head.leaf[slot].astype(np.int64)
+    each = np.where(found, head.logp[slot], -np.log10(head.tail_total + head.tail_kinds + 1.0)).astype(np.float64)
+    one, two = history(h, bounds)
     for a in range(0, len(h), BATCH):
-        b = min(len(h), a + BATCH)
-        logits = log_softmax(head.bias + weights[rows[0][a:b]] + weights[rows[1][a:b]] + weights[rows[2][a:b]])
-        each[a:b] += logits[np.arange(b - a), cls[a:b]] / np.log(10)
+        at = slice(a, min(len(h), a + BATCH))
+        p = log_softmax(logits(head.bias, weights, features(one[at], two[at], bits)))
+        each[at] += p[np.arange(len(p)), cls[at]] / np.log(10)
+        many = a + np.flatnonzero((cls[at] >= SINGLE) & (cls[at] < CLASSES - 1))
+        if len(many):
+            p = log_softmax(logits(head.leaf_bias[cls[many]], weights, leaf_features(one[many], two[many], cls[many], bits)))
+            each[many] += p[np.arange(len(p)), leaf[many]] / np.log(10)
     base = np.where(found, np.log10(head.count[slot] + 1.0), 0.0)
     texts = len(bounds) - 1
     tail = np.flatnonzero(~found)
@@ -272,30 +373,16 @@ def score_part(column: pa.Array, head: Head, weights: np.ndarray) -> tuple:
 
 def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD) -> DataFrame:
     """Scores of all rows under the model learned from those whose crc32(id) modulo `parts` isn't `part`."""
-    spark = df.sparkSession
     bound_batches(df)
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
     rows = columns(df, doc_id=id_col, text=text_col).withColumn("held_out", out)
-    training = rows.filter(~F.col("held_out"))
+    return apply(fit(rows.filter(~F.col("held_out")), head_size), rows)
 
-    counts = stored(partial_counts(training).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIMENSIONS)]), "token-counts")
-    # Counts below 64 stand for themselves in the histogram, larger ones go by eighths of a power of two.
-    bin_of = F.when(F.col("n") < 64, F.col("n")).otherwise((F.log2("n") * 8).cast("long") + 16)
-    histogram = counts.groupBy(bin_of.alias("bin")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).orderBy(F.desc("bin")).collect()
-    total, kinds = sum(r["total"] for r in histogram), sum(r["kinds"] for r in histogram)
-    threshold, size = None, 0
-    for r in histogram:
-        size += r["kinds"]
-        if size > head_size:
-            break
-        threshold = r["least"]
-    frequent = counts.filter(F.col("n") >= threshold).toPandas() if threshold is not None else None
-    h = frequent["h"].to_numpy(dtype=np.int64).view(np.uint64) if frequent is not None else np.zeros(0, dtype=np.uint64)
-    n = frequent["n"].to_numpy(dtype=np.int64) if frequent is not None else np.zeros(0, dtype=np.int64)
-    vectors = frequent[[f"v{k}" for k in range(DIMENSIONS)]].to_numpy(dtype=np.float64) if frequent is not None else None
-    head = make_head(h, n, total, kinds, vectors)
-    shared = Shared(spark, head)
-    weights = spark.sparkContext.broadcast(averaged(train(training, shared)))
+
+def apply(model: Model, rows: DataFrame) -> DataFrame:
+    """The scores of rows (doc_id, text, held_out) under a model."""
+    head, counts = model.head, model.counts
+    shared, weights = Shared(rows.sparkSession, head), rows.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_tokens, known, base, own, keys, times, bounds = score_part(batch.column(1), shared.value, weights.value)
@@ -311,6 +398,6 @@ def score(df: DataFrame, parts: int = 7, part: int = 2, id_col: str = "doc_id",
     more = F.coalesce(F.col("tail_log"), F.lit(0.0))
     floor = float(np.log10(head.total + head.kinds + 1.0))
     return scored.drop("tail").join(found, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).cast("long").alias("n_known"), F.lit(head.total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("own") + more).alias("score"),
     )

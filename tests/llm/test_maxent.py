@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,14 +59,77 @@ def test_edge_rows(spark):
     assert maxent.score(df.limit(0)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    h = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    n = np.arange(4000, 1, -1)
+def plain_score(model, text, counts):
+    """The log10 probability of a text from the model's definition, one token at a time."""
+    head, weights = model.head, model.weights.astype(float)
+    bits = int(np.log2(len(weights) // 2))
+    h, bounds = maxent.tokens(pa.array([text]))
+    total, out = head.tail_total + head.tail_kinds + 1, 0.0
+    for i in range(len(h)):
+        one = h[i - 1 : i] if i > 0 else np.array([maxent.START])
+        two = h[i - 2 : i - 1] if i > 1 else np.array([maxent.START])
+        slot = int(h[i] >> np.uint64(64 - maxent.SLOT_BITS))
+        known = head.keys[slot] == h[i]
+        cls = int(head.cls[slot]) if known else maxent.CLASSES - 1
+
+        def log_p(bias, rows, k):
+            x = bias.astype(float) + sum(weights[int(r[0])] for r in rows)
+            return x[k] - np.log(np.exp(x).sum())
+
+        p = log_p(head.bias, maxent.features(one, two, bits), cls)
+        if known:
+            leaf = int(head.leaf[slot])
+            if maxent.SINGLE <= cls < maxent.CLASSES - 1:
+                p += log_p(head.leaf_bias[cls], maxent.leaf_features(one, two, np.array([cls]), bits), leaf)
+            mates = (head.keys > 0) & (head.cls == cls) & (head.leaf == leaf)
+            p += np.log(head.count[slot] / head.count[mates].sum())
+        else:
+            p += np.log((counts.get(int(h[i].view(np.int64)), 0) + 1) / total)
+        out += p / np.log(10)
+    return out
+
+
+@pytest.mark.parametrize("head_size", [60, 2000])
+def test_scores_against_the_definition(spark, sf_dir, head_size):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    model = maxent.fit(docs.filter("NOT held_out"), head_size)
+    assert np.abs(model.weights).max() > 0
+    counts = {r.h: r.n for r in model.counts.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in maxent.apply(model, docs).collect()}
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:40]:
+        assert got[i] == pytest.approx(plain_score(model, texts[i] or "", counts), rel=1e-4), i
+
+
+def test_probabilities_of_all_tokens_sum_to_one():
+    h = mix_of(range(1, 400))
+    n = np.arange(400, 1, -1)
     head = maxent.make_head(h, n, int(n.sum()) + 500, len(h) + 100)
-    kept = head.keys > 0
-    by_class = np.bincount(head.cls[kept], weights=10.0 ** head.logp[kept].astype(float), minlength=maxent.CLASSES)
-    assert np.allclose(by_class[np.unique(head.cls[kept])], 1, atol=1e-4)
-    trainer = maxent.Trainer(head)
-    trainer.update(h, np.array([0, len(h)]))
-    p = np.exp(maxent.log_softmax(head.bias + trainer.weights[:5]))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    rng = np.random.default_rng(1)
+    weights = rng.normal(0, 0.5, (2 << 6, maxent.CLASSES)).astype(np.float32)
+    kept = np.flatnonzero(head.keys)
+    for before in (h[5:6], h[77:78]):
+        p = np.exp(maxent.log_softmax(maxent.logits(head.bias, weights, maxent.features(before, h[:1], 6))))[0].astype(float)
+        total = p[maxent.CLASSES - 1]
+        for s in kept:
+            c = int(head.cls[s])
+            inner = np.exp(maxent.log_softmax(maxent.logits(head.leaf_bias[[c]], weights, maxent.leaf_features(before, h[:1], np.array([c]), 6))))[0] if maxent.SINGLE <= c else np.ones(maxent.LEAVES)
+            total += p[c] * inner[head.leaf[s]] * 10.0 ** head.logp[s]
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def mix_of(values):
+    return maxent.mix(np.array(list(values), dtype=np.uint64))
+
+
+def test_the_weight_table_grows_with_the_corpus():
+    assert [maxent.table_bits(n) for n in (0, 10**6, 10**8, 10**9, 10**12)] == [15, 15, 17, 17, 17]
+
+
+def test_a_held_out_copy_of_common_phrases_gains_by_its_history(spark):
+    """The leaf factor sees history: with its weights alone set to zero, held-out texts score worse."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 7 == 2)
+    model = maxent.fit(docs.filter("NOT held_out"))
+    with_it = maxent.apply(model, docs).filter("held_out").agg(F.sum("score")).head()[0]
+    model.weights[len(model.weights) // 2 :] = 0
+    assert with_it > maxent.apply(model, docs).filter("held_out").agg(F.sum("score")).head()[0]
