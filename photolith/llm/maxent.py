@@ -47,7 +47,8 @@ GROUPS, BINS = 8, 2
 CLASSES = SINGLE + GROUPS * BINS + 1
 LEAVES = CLASSES
 DIMENSIONS = 4
-TOKENS_PER_ROW, LEAST_BITS, MOST_BITS = 1024, 15, 17
+TOKENS_PER_ROW, LEAST_BITS, MOST_BITS = 2048, 15, 17
+BLOCK_ROWS = 512
 ROUNDS = 2
 TOKENS_PER_TASK = 8_000_000
 BATCH = 8192
@@ -266,7 +267,7 @@ class Trainer:
 
 
 def train(rows: DataFrame, shared, weights, seen) -> DataFrame:
-    """(row, times, w0, ...): each task's weight rows after its updates from the weights so far."""
+    """(block, times, weights): each task's weight rows after its updates from the weights so far, `BLOCK_ROWS` of them packed in half precision."""
 
     def run(batches):
         trainer = None
@@ -275,11 +276,32 @@ def train(rows: DataFrame, shared, weights, seen) -> DataFrame:
                 trainer = trainer or Trainer(shared.value, weights.value, seen.value)
                 trainer.update(*tokens(part.column(0)))
         if trainer is not None:
-            used = np.flatnonzero(trainer.times)
-            arrays = [pa.array(used), pa.array(trainer.times[used]), *(pa.array(trainer.weights[used, k]) for k in range(CLASSES))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "times", *(f"w{k}" for k in range(CLASSES))])
+            times = trainer.times.reshape(-1, BLOCK_ROWS)
+            for k in np.flatnonzero(times.any(axis=1)):
+                own = trainer.weights[k * BLOCK_ROWS : (k + 1) * BLOCK_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([times[k].astype(np.float32).tobytes()]), pa.array([own.astype(np.float16).tobytes()])], names=["block", "times", "weights"])
 
-    return rows.select("text").mapInArrow(run, "row long, times long, " + ", ".join(f"w{k} float" for k in range(CLASSES)))
+    return rows.select("text").mapInArrow(run, "block int, times binary, weights binary")
+
+
+def averaged(parts: DataFrame) -> DataFrame:
+    """(block, seen, weights) of what `train` gives: the mean of each row over tasks, weighted by its updates, and how many updates a task made of it."""
+
+    def run(batches):
+        sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for k, times, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.frombuffer(times, dtype=np.float32)
+                if k not in sums:
+                    sums[k] = np.zeros(BLOCK_ROWS), np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, CLASSES))
+                sums[k][0][:] += n
+                sums[k][1][:] += n > 0
+                sums[k][2][:] += n[:, None] * np.frombuffer(weights, dtype=np.float16).reshape(BLOCK_ROWS, CLASSES)
+        for k, (n, tasks, total) in sums.items():
+            mean = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], np.nan).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([(n / np.maximum(tasks, 1)).tobytes()]), pa.array([mean.tobytes()])], names=["block", "seen", "weights"])
+
+    return parts.repartition("block").mapInArrow(run, "block int, seen binary, weights binary")
 
 
 @dataclass
@@ -304,19 +326,17 @@ def learned_weights(training: DataFrame, shared, total: int) -> np.ndarray:
     context, bits = training.sparkSession.sparkContext, table_bits(total)
     training = training.coalesce(-(-total // TOKENS_PER_TASK) or 1)
     weights, seen = np.zeros((2 << bits, CLASSES), dtype=np.float32), np.zeros(2 << bits, dtype=np.float64)
-    names = [f"w{k}" for k in range(CLASSES)]
     turn = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(ROUNDS))
     for k in range(ROUNDS):
         sent = context.broadcast(weights), context.broadcast(seen)
-        parts = train(training.filter(turn == k), shared, *sent)
-        sums = parts.groupBy("row").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("tasks"), *[(F.sum(F.col(w) * F.col("times")) / F.sum("times")).cast("float").alias(w) for w in names])
-        found = sums.toArrow()
-        at = found.column("row").to_numpy()
+        found = averaged(train(training.filter(turn == k), shared, *sent)).toArrow()
         weights, seen = weights.copy(), seen.copy()
-        for i, w in enumerate(names):
-            weights[at, i] = found.column(w).to_numpy()
-        # A task's steps shrink with what it has seen of a row by itself, so the mean over tasks is what a row has seen.
-        seen[at] += found.column("times").to_numpy() / np.maximum(found.column("tasks").to_numpy(), 1)
+        for block, times, mean in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            at = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+            mean = np.frombuffer(mean, dtype=np.float32).reshape(BLOCK_ROWS, CLASSES)
+            weights[at] = np.where(np.isnan(mean), weights[at], mean)
+            # A task's steps shrink with what it has seen of a row by itself, so the mean over tasks is what a row has seen.
+            seen[at] += np.frombuffer(times)
         for x in sent:
             x.unpersist()
     return weights
