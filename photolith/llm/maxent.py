@@ -42,7 +42,7 @@ from photolith.llm._store import stored
 
 HEAD = 300_000
 SLOT_BITS = 20
-SINGLE = 31
+SINGLE = 15
 GROUPS, BINS = 8, 2
 CLASSES = SINGLE + GROUPS * BINS + 1
 LEAVES = CLASSES
