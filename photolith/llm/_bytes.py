@@ -217,9 +217,13 @@ class Shared:
     @property
     def value(self):
         if self._value is None:
-            self._value = pickle.loads(self._sent.value)
+            self._value = self.load()
         return self._value
 
+    def load(self):
+        """The object anew, not kept."""
+        return pickle.loads(self._sent.value)
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, longer by underscores where `df` has them, for helper columns beside a caller's own."""
