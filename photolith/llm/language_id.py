@@ -2,14 +2,15 @@
 
 Per language, n-grams of up to `ORDER` characters (lower-cased letters; everything else is one space) are counted in a bounded
 sample of labelled texts: raw counts for the highest order, continuation counts below, one absolute discount per
-order. Each model is a set of sorted arrays of n-gram hashes with log probabilities, and of context hashes with
+order. Every language is counted in a task of its own, from its own sample; only models come to the driver. Each model is a set of sorted arrays of n-gram hashes with log probabilities, and of context hashes with
 back-off weights. A text goes to the language with the lowest cross-entropy per character.
 
 Calibration on texts held back from the sample: the temperature of the score, and for each language the highest
 cross-entropy that its own texts reach, beyond which `rejected` is set.
 
-The sample takes `SAMPLE_TEXTS` texts a language, chosen by a hash of the id, those of up to `SAMPLE_CHARS` characters
-first; languages are at most `MOST_LANGUAGES`, the commonest. Prediction covers whole texts of all rows.
+The sample of a language is its first `SAMPLE_TEXTS` texts by a hash of id and text, long ones after all others, as far as they have `SAMPLE_CHARS` characters
+together; of a language all of whose texts have more, it is the shortest text. No language is left out. Models are sent in blocks of at most `BLOCK_BYTES`: one block
+stays in a worker; where all languages' models are larger than that, a worker holds one block at a time. Prediction covers whole texts of all rows.
 
 Defined cases: null or letterless text: `und` with score 0, not rejected; rows without a language aren't learned from;
 with no language learned all texts are `und`; ties go to the language that sorts first; repeated rows are judged each on
@@ -18,24 +19,29 @@ its own; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photolith.llm._bytes import Shared, columns, map_texts, mix, segment_sum, with_own_id
+from photolith.llm._bytes import Shared, columns, map_texts, mix, segment_sum, slices, with_own_id
+from photolith.llm._store import stored
 
 ORDER = 4
 BITS = 16
 SPACE, UNKNOWN = 1, 2
 SAMPLE_TEXTS = 300
-SAMPLE_CHARS = 20_000
-MOST_LANGUAGES = 400
+SAMPLE_CHARS = 2_000_000
+BLOCK_BYTES = 128 << 20
 MEMO_BITS = 19
 REJECT_SLACK = 1.15
+SHARPNESS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 
@@ -143,33 +149,66 @@ class Model:
         return out
 
 
+def _training(texts: list[str]) -> list[str]:
+    return [t for i, t in enumerate(texts) if i % 5 or len(texts) < 5]
+
+
+def letters_of(samples: DataFrame) -> list[int]:
+    """The letters of all training texts, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            seen = {ord(c) for t in batch.column(0).to_pylist() for c in set(t.lower()) if c.isalpha()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), type=pa.int32())], names=["letter"])
+
+    rows = samples.filter("nth % 5 <> 0 OR size < 5").select("text").mapInArrow(run, "letter int").distinct()
+    return sorted(r.letter for r in rows.collect())
+
+
+def trained(samples: DataFrame, known: list[int]) -> DataFrame:
+    """(lang, model): each language's model, pickled, made where its sample is."""
+
+    def run(pdf):
+        ids, bounds, _ = Letters(known).ids(_training(pdf.sort_values("nth")["text"].tolist()))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [cloudpickle.dumps(Model(grams(ids, bounds), len(known) + 3))]})
+
+    return samples.select("lang", "nth", "text").groupBy("lang").applyInPandas(run, "lang string, model binary")
+
+
+@dataclass
 class Identifier:
-    """All models, the letters they know, and the calibration."""
-
-    def __init__(self, samples: dict[str, list[str]]):
-        self.names = sorted(samples)
-        training = {n: [t for i, t in enumerate(samples[n]) if i % 5 or len(samples[n]) < 5] for n in self.names}
-        held = {n: [t for i, t in enumerate(samples[n]) if not i % 5] for n in self.names}
-        known = sorted({ord(c) for texts in training.values() for t in texts for c in set(t.lower()) if c.isalpha()})
-        self.known = known
-        letters = Letters(known)
-        self.models = []
-        for n in self.names:
-            ids, bounds, _ = letters.ids(training[n])
-            self.models.append(Model(grams(ids, bounds), len(known) + 3))
-        self.temperature, self.limits = 1.0, np.full(len(self.names), np.inf)
-        entropy, truth = [], []
-        for k, n in enumerate(self.names):
-            mean, size, has = Scorer(self, letters).entropies(held[n])
-            ok = has > 0
-            if ok.any():
-                entropy.append(mean[ok])
-                truth += [k] * int(ok.sum())
-                self.limits[k] = mean[ok, k].max() * REJECT_SLACK
-        if entropy:
-            h, t = np.concatenate(entropy), np.array(truth)
-            loss = lambda s: -np.log(np.maximum(confidence(h, s)[np.arange(len(t)), t], 1e-12)).mean()
-            self.temperature = min((0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0), key=lambda s: (loss(s), s))
+    """The models of a block of languages, and the letters they know."""
+
+    names: list[str]
+    models: list[Model]
+    known: list[int]
+
+
+def calibrate(samples: DataFrame, names: list[str], entropies) -> tuple[float, np.ndarray]:
+    """The temperature and each language's limit, from the texts that no model was made of."""
+    limits, temperature = np.full(len(names), np.inf), 1.0
+    held = samples.filter("nth % 5 = 0").select("lang", "text")
+    at = {n: k for k, n in enumerate(names)}
+
+    def run(batches):
+        scorers: dict = {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                mean, _, letters = entropies(scorers, part.column(1).to_pylist())
+                ok = letters > 0
+                truth = np.array([at[x] for x in part.column(0).to_pylist()])[ok]
+                mean = mean[ok]
+                own = mean[np.arange(len(truth)), truth] if len(truth) else np.zeros(0)
+                losses = [-np.log(np.maximum(confidence(mean, s)[np.arange(len(truth)), truth], 1e-12)) for s in SHARPNESS]
+                yield pa.RecordBatch.from_arrays([pa.array(truth, type=pa.int32()), pa.array(own), *map(pa.array, losses)], names=["k", "own", *(f"loss{i}" for i in range(len(SHARPNESS)))])
+
+    said = held.mapInArrow(run, "k int, own double, " + ", ".join(f"loss{i} double" for i in range(len(SHARPNESS))))
+    rows = said.groupBy("k").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), *[F.sum(f"loss{i}").alias(f"loss{i}") for i in range(len(SHARPNESS))]).collect()
+    for r in rows:
+        limits[r["k"]] = r["own"] * REJECT_SLACK
+    if rows:
+        temperature = min((sum(r[f"loss{i}"] for r in rows), s) for i, s in enumerate(SHARPNESS))[1]
+    return temperature, limits
 
 
 def confidence(entropy: np.ndarray, sharpness: float) -> np.ndarray:
@@ -214,48 +253,76 @@ def held_out(id_column: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sample(df: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Up to `texts` texts of each language from rows (doc_id, text, lang)."""
-    rows = df.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.length("text") > chars)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("_long").alias("n_long")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return {}
-    # A fraction that leaves about twice what is wanted, so that what meets in a language's task is bounded.
-    scale = float(1 << 62)
-    part = {r["lang"]: 2.0 * texts / max(r["n"] - r["n_long"], 1) for r in sizes}
-    long_part = {r["lang"]: 2.0 * texts / max(r["n_long"], 1) if r["n"] - r["n_long"] < texts else 0.0 for r in sizes}
-    draw = F.abs(F.xxhash64("doc_id", F.lit(17)) % F.lit(1 << 62)) / F.lit(scale)
-    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("lang"))
-    picked = rows.filter(F.col("lang").isin(list(part))).withColumn("_draw", draw).filter(F.col("_draw") < F.when(F.col("_long"), of(long_part)).otherwise(of(part)))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_draw", "doc_id", "text"))
-    found: dict[str, list[str]] = {}
-    for r in picked.withColumn("_nth", first).filter(F.col("_nth") <= texts).select("lang", "_nth", "text").collect():
-        found.setdefault(r["lang"], []).append((r["_nth"], r["text"]))
-    return {lang: [t for _, t in sorted(x)] for lang, x in found.items()}
-
-
-def identify(df: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def sample(df: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, nth, size, text) of each language's sample, a written table, from rows (doc_id, text, lang).
+
+    Rows are thinned by their hash before they meet, to about twice what is wanted, so that no task gets a large language's texts.
+    """
+    rows = df.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("draw", F.abs(F.xxhash64("doc_id", "text", F.lit(17)) % F.lit(1 << 62)) / F.lit(float(1 << 62)))
+    rows = rows.withColumn("long", F.length("text") > chars // 20)
+    length = F.struct(F.length("text"), "draw")
+    sizes = rows.groupBy(F.col("lang").alias("lang_")).agg(F.count_if(~F.col("long")).alias("n"), F.count_if("long").alias("n_long"), F.min(length).alias("least"))
+    share = F.when(~F.col("long"), 2.0 * texts / F.col("n")).otherwise(F.when(F.col("n") < texts, 2.0 * texts / F.col("n_long")).otherwise(0.0))
+    picked = rows.join(sizes, F.col("lang") == F.col("lang_")).filter((F.col("draw") <= share) | (length == F.col("least")))
+    own = Window.partitionBy("lang")
+    picked = picked.withColumn("turn", F.row_number().over(own.orderBy("long", "draw", "doc_id", "text")))
+    picked = picked.withColumn("total", F.sum(F.length("text").cast("long")).over(own.orderBy("turn")))
+    # Rows are dealt by a hash, so a language may by chance have fewer than wanted; those that are there are first.
+    fits = (F.col("total") <= chars) & (F.col("turn") <= texts)
+    picked = picked.withColumn("fits", fits).withColumn("any", F.max("fits").over(own)).filter(F.col("fits") | ~F.col("any") & (length == F.col("least")))
+    chosen = picked.withColumn("at", F.row_number().over(own.orderBy("turn"))).filter(F.col("any") | (F.col("at") == 1))
+    return stored(chosen.select("lang", (F.col("at") - 1).alias("nth"), F.count(F.lit(1)).over(own).alias("size"), "text"), "language-samples")
+
+
+def fit(samples: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """What `identify` needs: names, shared blocks of models, temperature and limits."""
+    spark, known = samples.sparkSession, letters_of(samples)
+    names: list[str] = []
+    sent: list[Shared] = []
+    block: list[tuple[str, bytes]] = []
+
+    def send() -> None:
+        if block:
+            sent.append(Shared(spark, Identifier([n for n, _ in block], [pickle.loads(m) for _, m in block], known)))
+            names.extend(n for n, _ in block)
+            block.clear()
+
+    # One model at a time comes to the driver, by name.
+    for r in stored(trained(samples, known), "language-models").orderBy("lang").toLocalIterator():
+        if block and sum(len(m) for _, m in block) + len(r["model"]) > block_bytes:
+            send()
+        block.append((r["lang"], bytes(r["model"])))
+    send()
+
+    def entropies(scorers: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for k, shared in enumerate(sent):
+            scorer = scorers.get(k) or Scorer(shared.value if len(sent) == 1 else shared.load())
+            if len(sent) == 1:
+                scorers[k] = scorer
+            found.append(scorer.entropies(texts))
+        return np.concatenate([f[0] for f in found], axis=1), found[0][1], found[0][2]
+
+    temperature, limits = calibrate(samples, names, entropies) if names else (1.0, np.zeros(0))
+    return names, entropies, temperature, limits
+
+
+def identify(df: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Learn from rows outside the held-out part, then predict all rows: one pass, no shuffle."""
-    spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col, lang=lang_col)
-    shared = Shared(spark, Identifier(sample(rows.filter(~held_out(F.col("doc_id"), parts, part)))))
-    made: list[Scorer] = []
+    names, entropies, temperature, limits = fit(sample(rows.filter(~held_out(F.col("doc_id"), parts, part))), block_bytes)
+    scorers: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Scorer(shared.value))
-        scorer = made[0]
-        names = scorer.identifier.names
-        entropy, _, letters = scorer.entropies(batch.column(1).to_pylist())
-        known = (letters > 0) & (len(names) > 0)
+        n = batch.num_rows
         if names:
-            best = entropy.argmin(axis=1)
-            score = np.where(known, confidence(entropy, scorer.identifier.temperature)[np.arange(len(best)), best], 0.0)
-            lowest = np.where(known, entropy[np.arange(len(best)), best], np.nan)
-            rejected = known & (lowest > scorer.identifier.limits[best])
+            entropy, _, letters = entropies(scorers, batch.column(1).to_pylist())
+            known, best = letters > 0, entropy.argmin(axis=1)
+            score = np.where(known, confidence(entropy, temperature)[np.arange(n), best], 0.0)
+            lowest = np.where(known, entropy[np.arange(n), best], np.nan)
+            rejected = known & (lowest > limits[best])
             said = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
         else:
-            n = batch.num_rows
             score, lowest, rejected, said = np.zeros(n), np.full(n, np.nan), np.zeros(n, dtype=bool), ["und"] * n
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(said, type=pa.string()), pa.array(score), pa.array(lowest, from_pandas=True), pa.array(rejected)],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from photolith.llm import language_id as L
 
 
-def brute_model(texts):
+def brute_model(texts, alphabet=None):
     """Interpolated Kneser-Ney by definition, over tuples."""
     def symbols(t):
         out = []
@@ -39,7 +39,7 @@ def brute_model(texts):
     def p(g):
         k = len(g)
         if k == 0:
-            return 1 / (len(letters) + 3)
+            return 1 / (len(alphabet or letters) + 3)
         h = g[:-1]
         if not total[h]:
             return p(g[1:])
@@ -65,6 +65,39 @@ def test_model_equals_the_definition():
         assert -model.logp(L.grams(i, b)).mean() == pytest.approx(entropy(text), rel=1e-4)
 
 
+def small_corpus():
+    words = {"en": "the cat and dog sat on a mat while rain fell".split(), "de": "der hund und die katze sassen auf einer matte".split(), "sv": "katten och hunden satt på en matta när regnet föll".split()}
+    return [(i, " ".join(words[k][(i * 7 + j * (1 + i % 3)) % len(words[k])] for j in range(4 + i % 9)), k) for i in range(90) for k in [("en", "de", "sv")[i % 3]]]
+
+
+@pytest.mark.parametrize("block_bytes", [L.BLOCK_BYTES, 1])
+def test_identify_against_the_definition(spark, block_bytes):
+    df = spark.createDataFrame([(*r, "x") for r in small_corpus()], "doc_id long, text string, lang string, size string")
+    samples = defaultdict(list)
+    for r in L.sample(df.filter(~L.held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang")).orderBy("nth").collect():
+        samples[r.lang].append(r.text)
+    assert sorted(t for x in samples.values() for t in x) == sorted(t for i, t, _ in small_corpus() if zlib.crc32(str(i).encode()) % 4 != 2)
+    training = {k: [t for i, t in enumerate(x) if i % 5] for k, x in samples.items()}
+    alphabet = {c for x in training.values() for t in x for c in t.lower() if c.isalpha()}
+    models = {k: brute_model(x, alphabet) for k, x in training.items()}
+    for r in L.identify(df, block_bytes=block_bytes).collect():
+        text = next(t for i, t, _ in small_corpus() if i == r.doc_id)
+        entropy = {k: m(text) for k, m in models.items()}
+        assert r.lang_pred == min(entropy, key=lambda k: (entropy[k], k)) and r.cross_entropy == pytest.approx(min(entropy.values()), rel=1e-4)
+
+
+def test_samples_are_bounded_and_no_language_is_left_out(spark):
+    rows = [(1, "long text " * 50, "en"), (2, "longer text " * 50, "en"), *[(10 + i, f"kurzer text {i}", "de") for i in range(40)], (60, "x " * 300, "de"), (None, "same", "fr"), (None, "same", "fr"), (None, "other", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = defaultdict(list)
+    for r in L.sample(df, texts=10, chars=400).collect():
+        got[r.lang].append(r.text)
+    assert got["en"] == ["long text " * 50] and sorted(got["fr"]) == ["other", "same", "same"]
+    assert len(got["de"]) == 10 and all(t.startswith("kurz") for t in got["de"])
+    many = spark.createDataFrame([(i, f"wort {i}", f"l{i % 450}") for i in range(900)], "doc_id long, text string, lang string")
+    assert L.sample(many).select("lang").distinct().count() == 450 == len(L.fit(L.sample(many))[0])
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
