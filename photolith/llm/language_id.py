@@ -39,6 +39,7 @@ SPACE, UNKNOWN = 1, 2
 SAMPLE_TEXTS = 300
 SAMPLE_CHARS = 2_000_000
 BLOCK_BYTES = 128 << 20
+BROADCAST_LANGUAGES = 100_000
 MEMO_BITS = 19
 REJECT_SLACK = 1.15
 SHARPNESS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -262,6 +263,9 @@ def sample(df: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS)
     rows = rows.withColumn("long", F.length("text") > chars // 20)
     length = F.struct(F.length("text"), "draw")
     sizes = rows.groupBy(F.col("lang").alias("lang_")).agg(F.count_if(~F.col("long")).alias("n"), F.count_if("long").alias("n_long"), F.min(length).alias("least"))
+    sizes = stored(sizes, "language-sizes")
+    if sizes.count() <= BROADCAST_LANGUAGES:  # 60 bytes each
+        sizes = F.broadcast(sizes)
     share = F.when(~F.col("long"), 2.0 * texts / F.col("n")).otherwise(F.when(F.col("n") < texts, 2.0 * texts / F.col("n_long")).otherwise(0.0))
     picked = rows.join(sizes, F.col("lang") == F.col("lang_")).filter((F.col("draw") <= share) | (length == F.col("least")))
     own = Window.partitionBy("lang")
