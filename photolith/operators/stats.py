@@ -44,6 +44,13 @@ def listed(df: DataFrame, limit: int | None = None, order: str = "id", **equal)
     return df if limit is None else df.limit(limit)
 
 
+def listed_with_rest(df: DataFrame, limit: int, order: str = "id", **equal) -> DataFrame:
+    """As `listed`, with n_more: how many rows the limit leaves out ("and N more"). One count with partial aggregation beside a top-k."""
+    every = listed(df, None, order, **equal)
+    n = F.count(F.lit(1))
+    return every.limit(limit).join(F.broadcast(every.agg((n - F.least(n, F.lit(limit))).alias("n_more"))))  # one row
+
+
 def names_of(asset_persons: DataFrame, persons: DataFrame) -> DataFrame:
     """(asset_id, name) of all tags."""
     return asset_persons.join(persons.select(F.col("id").alias("person_id"), "name"), "person_id").select("asset_id", "name")

@@ -78,7 +78,7 @@ def read_sidecars(spark: SparkSession, files: DataFrame, media: DataFrame) -> Da
     wanted = media.select("rel_path", F.posexplode(paths.sidecars(F.col("rel_path"))).alias("nth", "sidecar")).filter(F.lower("sidecar").endswith(".json"))
     there = wanted.join(files.select(F.col("rel_path").alias("sidecar"), F.col("path").alias("at")), "sidecar")
     first = there.groupBy("rel_path").agg(F.min_by("at", "nth").alias("at"))
-    said = with_content(first, "at", "content").withColumn("said", F.from_json("content", "date string, albums array<string>, persons array<string>"))
+    said = with_content(first, "at", "content").withColumn("said", F.from_json(F.when(F.ltrim("content").startswith("{"), F.col("content")), "date string, albums array<string>, persons array<string>"))
     listed = lambda c: F.coalesce(F.array_join(F.col(f"said.{c}"), "; "), F.lit("")).alias(c)
     return said.select("rel_path", F.coalesce("said.date", F.lit("")).alias("date"), listed("albums"), listed("persons"))
 
@@ -182,8 +182,8 @@ def read_embedded(files: DataFrame, reader: Callable[[list[str]], pd.DataFrame],
 
 
 def metadata(embedded: DataFrame, side: DataFrame | None = None) -> DataFrame:
-    """(path, taken_at, taken_at_source, width, height, gps_latitude, gps_longitude) from embedded values and sidecar dates (path, date)."""
-    rows = embedded.join(side.select("path", F.col("date").alias("_date")), "path", "left") if side is not None else embedded.withColumn("_date", F.lit(None).cast("string"))
+    """(path, taken_at, taken_at_source, width, height, gps_latitude, gps_longitude) from embedded values and sidecar dates (path, date); a file may have only one of them."""
+    rows = embedded.join(side.select("path", F.col("date").alias("_date")), "path", "full_outer") if side is not None else embedded.withColumn("_date", F.lit(None).cast("string"))
     at, source = dates.taken_at(F.col("_date"), *[F.col(t) for t in DATE_TAGS])
     lat, lon = values.coordinates(F.col("GPSLatitude"), F.col("GPSLongitude"))
     return rows.select("path", at.alias("taken_at"), source.alias("taken_at_source"), values.positive_int(F.col("ImageWidth")).alias("width"), values.positive_int(F.col("ImageHeight")).alias("height"), lat.alias("gps_latitude"), lon.alias("gps_longitude"))

@@ -7,7 +7,9 @@ import sys
 import duckdb
 import pytest
 
-from photolith.plans import catalogue, catalogue_sql
+from photolith.plans import catalogue, catalogue_sources, catalogue_sql
+
+SQL = catalogue_sql.ORACLE_SQL | catalogue_sources.ORACLE_SQL
 
 
 def cells(rows, names):
@@ -28,17 +30,17 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue_sql.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
-    want = duck.execute(catalogue_sql.ORACLE_SQL[name])
+    want = duck.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(names)
     assert cells([tuple(r) for r in df.collect()], df.columns) == cells(want.fetchall(), names)
 
 
 def test_every_query_has_its_sql(spark, sf_dir):
-    assert set(catalogue.QUERIES) == set(catalogue_sql.ORACLE_SQL)
+    assert set(catalogue.QUERIES) == set(SQL)
     verdicts = {r.verdict for r in catalogue.q22_greedy(spark, sf_dir).collect()}
     assert verdicts == {"new", "exact_duplicate", "ambiguous_match", "low_res_twin", "higher_res_arrived"}
     assert "new" not in {r.verdict for r in catalogue.q24_rerun(spark, sf_dir).collect()}
