@@ -228,33 +228,35 @@ class Encoder:
 
 
 class Decoder:
-    """Text of ids that come in batches.
+    """Text of ids that come in batches: an incremental machine from bytes to text.
 
-    As the library has it for a vocabulary without a decoder, the tokens' own spellings are joined by spaces.
-    With `plain`, the spellings' bytes are put together instead, word ends become spaces, and bytes that don't
-    make a character yet are kept until the next batch.
+    Every token stands for some bytes; bytes that don't make a character yet are kept until the next batch. As the library has it for a
+    vocabulary without a decoder, the bytes are those of the tokens' own spellings, with a space between two. With `plain` they are the
+    bytes that the spellings stand for, and word ends become spaces.
     """
 
     def __init__(self, encoder: Encoder, plain: bool = False):
-        self.encoder, self.plain, self.first = encoder, plain, True
-        if plain:
-            value = {c: b for b, c in enumerate(byte_alphabet())}
-            self.machine = codecs.getincrementaldecoder("utf-8")("replace")
-            self.raw = {}
-            for i, t in enumerate(encoder.tokens):
-                self.raw[i] = t.encode() if t in encoder.special else bytes(value[c] for c in t.removesuffix(END)) + (b" " if t.endswith(END) else b"")
+        self.raw, self.machine = _token_bytes(encoder, plain), codecs.getincrementaldecoder("utf-8")("replace")
+        self.skip = 0 if plain else 1  # no space before the first token
 
     def feed(self, ids: Iterable[int]) -> str:
-        if self.plain:
-            return self.machine.decode(b"".join(map(self.raw.__getitem__, ids)))
-        out = " ".join(map(self.encoder.tokens.__getitem__, ids))
-        if out and not self.first:
-            out = " " + out
-        self.first = self.first and not out
-        return out
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        if raw and self.skip:
+            raw, self.skip = raw[self.skip :], 0
+        return self.machine.decode(raw)
 
     def finish(self) -> str:
-        return self.machine.decode(b"", final=True) if self.plain else ""
+        return self.machine.decode(b"", final=True)
+
+
+def _token_bytes(encoder: Encoder, plain: bool) -> list[bytes]:
+    """The bytes of every token, made once for an encoder."""
+    made = encoder.__dict__.setdefault("token_bytes", {})
+    if plain not in made:
+        value = {c: b for b, c in enumerate(byte_alphabet())}
+        own = lambda t: t.encode() if t in encoder.special else bytes(value[c] for c in t.removesuffix(END)) + (b" " if t.endswith(END) else b"")
+        made[plain] = [own(t) if plain else f" {t}".encode() for t in encoder.tokens]
+    return made[plain]
 
 
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", id_name: str = "doc_id") -> DataFrame:
