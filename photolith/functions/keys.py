@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after them where `df` has them already, for helper columns beside a caller's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """`df` with its partitioning by a text key forgotten.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from photolith.config import Family
 from photolith.functions import text, values
+from photolith.functions.keys import unused
 from photolith.operators.nearest_time import nearest
 
 
@@ -58,10 +59,11 @@ def location_counts(assets: DataFrame, updates: DataFrame) -> DataFrame:
 
 def set_locations(assets: DataFrame, updates: DataFrame) -> DataFrame:
     """`assets` with updates (id, latitude, longitude, source) applied; a recorded location gives way only to another recorded one."""
-    new = updates.select(F.col("id").alias("_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("source").alias("_source"))
-    joined = assets.join(new, F.col("id") == F.col("_id"), "left")
-    takes = F.col("_id").isNotNull() & ~(F.coalesce(F.col("gps_source") == "exif", F.lit(False)) & (F.col("_source") != "exif"))
-    to = {"gps_latitude": "_lat", "gps_longitude": "_lon", "gps_source": "_source"}
+    ident, lat, lon, source = unused(assets, "_id", "_lat", "_lon", "_source")
+    new = updates.select(F.col("id").alias(ident), F.col("latitude").alias(lat), F.col("longitude").alias(lon), F.col("source").alias(source))
+    joined = assets.join(new, F.col("id") == F.col(ident), "left")
+    takes = F.col(ident).isNotNull() & ~(F.coalesce(F.col("gps_source") == "exif", F.lit(False)) & (F.col(source) != "exif"))
+    to = {"gps_latitude": lat, "gps_longitude": lon, "gps_source": source}
     return joined.withColumns({k: F.when(takes, F.col(v)).otherwise(F.col(k)) for k, v in to.items()}).select(*assets.columns)
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from photolith.functions.keys import unused
 from photolith.sources.scratch import settle
 
 
 def first_of_each(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in an order; ranks are limited before the shuffle."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    """The first row of each key in an order; ranks are limited before the shuffle. Null keys are one key; of equal rows one stays; an empty table gives none."""
+    (nth,) = unused(df, "_nth")
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)
 
 
 def numbered(df: DataFrame, order: list[str], start: int, name: str = "id") -> DataFrame:
@@ -19,16 +20,17 @@ def numbered(df: DataFrame, order: list[str], start: int, name: str = "id") -> D
 
     Range partitions are in order; only their sizes come to the driver.
     """
-    ranged = settle(df.repartitionByRange(*order).withColumn("_at", F.spark_partition_id()), "numbered")
-    sizes = sorted((r["_at"], r["count"]) for r in ranged.groupBy("_at").count().collect())
+    (part,) = unused(df, "_at")
+    ranged = settle(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part).agg(F.count(F.lit(1))).collect())
     offset, at = {}, start
-    for part, size in sizes:
-        offset[part], at = at, at + size
+    for k, size in sizes:
+        offset[k], at = at, at + size
     if not offset:
-        return ranged.withColumn(name, F.lit(None).cast("bigint")).drop("_at")
-    first = F.element_at(F.create_map(*[F.lit(x).cast("bigint" if i % 2 else "int") for kv in offset.items() for i, x in enumerate(kv)]), F.col("_at"))
-    nth = F.row_number().over(Window.partitionBy("_at").orderBy(*order))
-    return ranged.withColumn(name, (first + nth - 1).cast("bigint")).drop("_at")
+        return ranged.withColumn(name, F.lit(None).cast("bigint")).drop(part)
+    first = F.element_at(F.create_map(*[F.lit(x).cast("bigint" if i % 2 else "int") for kv in offset.items() for i, x in enumerate(kv)]), F.col(part))
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(name, (first + nth - 1).cast("bigint")).drop(part)
 
 
 def new_rows(table: DataFrame, rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -23,12 +23,13 @@ def filed(new: DataFrame, taken: DataFrame) -> DataFrame:
     digits of their checksum. `taken` holds the archive's (vault_path, sha256).
     """
     wish = F.concat(dates.month_directory(F.col("taken_at")), F.lit("/"), paths.name(F.col("path")))
-    rows = new.withColumn("_wish", wish).join(taken.select(F.col("vault_path").alias("_wish"), F.col("sha256").alias("_old")), "_wish", "left")
-    nth = F.row_number().over(Window.partitionBy("_wish").orderBy(dedupe.order_key()))
-    free = (F.col("_old").isNull() & (nth == 1)) | F.coalesce(F.col("_old") == F.col("sha256"), F.lit(False))
+    wished, old = upsert.unused(new, "_wish", "_old")
+    rows = new.withColumn(wished, wish).join(taken.select(F.col("vault_path").alias(wished), F.col("sha256").alias(old)), wished, "left")
+    nth = F.row_number().over(Window.partitionBy(wished).orderBy(dedupe.order_key()))
+    free = (F.col(old).isNull() & (nth == 1)) | F.coalesce(F.col(old) == F.col("sha256"), F.lit(False))
     suffixed = F.concat(dates.month_directory(F.col("taken_at")), F.lit("/"), paths.stem(F.col("path")), F.lit("-"), F.substring("sha256", 1, 8), paths.suffix(F.col("path")))
     rows = rows.withColumn("renamed", ~free)
-    return rows.withColumn("vault_path", F.when(F.col("renamed"), suffixed).otherwise(F.col("_wish"))).drop("_wish", "_old")
+    return rows.withColumn("vault_path", F.when(F.col("renamed"), suffixed).otherwise(F.col(wished))).drop(wished, old)
 
 
 @dataclass
@@ -82,14 +83,14 @@ def plan_ingest(identified: DataFrame, assets: DataFrame, links: DataFrame | Non
 
 
 def apply_plan(plan: Plan, catalog: Catalog, at: datetime, source: str | None = None) -> None:
-    """Write a plan's rows. A second run over the same files imports nothing."""
+    """Write a plan's rows in one commit. A second run over the same files imports nothing."""
     tables = {t: catalog.read(t) for t in ("sources", "assets", "linked_files", "review_queue")}
-    source_id = None
+    source_id, appended = None, {}
     if source is not None:
         known = tables["sources"].filter(F.col("label") == source).select("id").head()
         if known is None:
             last = tables["sources"].agg(F.max("id")).head()[0] or 0
-            catalog.append("sources", catalog.spark.createDataFrame([(last + 1, source, "other", at)], schemas.SOURCES))
+            appended["sources"] = catalog.spark.createDataFrame([(last + 1, source, "other", at)], schemas.SOURCES)
         source_id = known[0] if known else last + 1
     next_id = lambda t: (tables[t].agg(F.max("id")).head()[0] or 0) + 1
     moment = F.lit(at).cast("timestamp")
@@ -102,6 +103,4 @@ def apply_plan(plan: Plan, catalog: Catalog, at: datetime, source: str | None =
     reviews = upsert.numbered(reviews, ["original_path", "kind"], next_id("review_queue")).withColumns({"status": F.lit("open"), "created_at": moment})
     if not rows.filter("vault_path IS NULL OR sha256 IS NULL").isEmpty():
         raise ConstraintError("files without a checksum or a place can't be imported")
-    catalog.append("assets", rows)
-    catalog.append("linked_files", links)
-    catalog.append("review_queue", reviews)
+    catalog.commit(appended | {"assets": rows, "linked_files": links, "review_queue": reviews})

@@ -1,8 +1,8 @@
 """Stored tables with checked appends and atomic replacement.
 
-A table is a folder of numbered versions, each a Parquet folder, and a small file that names the current one. A
-writer fills the next version and then renames the naming file over the old one, so readers see one version or
-the other. An append copies nothing: a version lists the part folders it consists of. One writer at a time.
+A table is a list of part folders of Parquet files; one small file, the state, lists those of all tables. A writer fills new parts, checks them, and then
+renames a new state over the old one, so readers see all of a change, over however many tables, or nothing of it. An append copies nothing.
+One writer at a time.
 """
 
 from __future__ import annotations
@@ -58,36 +58,44 @@ class Catalog:
         options[0] = option
         context.rename(self._fs.makeQualified(aside), self._fs.makeQualified(target), options)
 
-    def read(self, table: str) -> DataFrame:
-        """A table's rows in the present schema, whatever version they were written in."""
-        spec = schemas.TABLES[table]
-        parts = (self._get(table) or {"parts": []})["parts"]
-        found = None
-        for schema in {p["schema"] for p in parts}:
+    def _parts(self, table: str) -> list[dict]:
+        return (self._get("_state") or {}).get(table, [])
+
+    def _rows(self, table: str, parts: list[dict]) -> DataFrame:
+        spec, found = schemas.TABLES[table], None
+        for schema in sorted({p["schema"] for p in parts}):
             rows = self.spark.read.schema(spec.versions[schema]).parquet(*[f"{self.root}/{table}/{p['path']}" for p in parts if p["schema"] == schema])
             rows = schemas.migrate(rows, table)
             found = rows if found is None else found.unionByName(rows)
         return found if found is not None else self.spark.createDataFrame([], spec.schema)
 
+    def read(self, table: str) -> DataFrame:
+        """A table's rows in the present schema, whatever version they were written in."""
+        return self._rows(table, self._parts(table))
+
     def _write(self, table: str, rows: DataFrame) -> dict:
         path = uuid.uuid4().hex
         schemas.conform(rows, schemas.TABLES[table].schema).write.parquet(f"{self.root}/{table}/{path}")
         return {"path": path, "schema": max(schemas.TABLES[table].versions)}
 
+    def commit(self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, checked: bool = True) -> None:
+        """Append to and replace tables, all or none of them; raises ConstraintError where a table would break its rules.
+
+        What replaces a table's rows may be made from them.
+        """
+        new = {t: [*self._parts(t), self._write(t, rows)] for t, rows in (appended or {}).items()}
+        new |= {t: [self._write(t, rows)] for t, rows in (replaced or {}).items()}
+        if checked:
+            state = (self._get("_state") or {}) | new
+            for table in new:
+                others = {t: self._rows(t, state.get(t, [])) for t in schemas.TABLES[table].refers.values()}
+                schemas.check(table, self._rows(table, new[table]), others)
+        self._put("_state", (self._get("_state") or {}) | new)
+
     def append(self, table: str, rows: DataFrame, checked: bool = True) -> None:
         """Add rows; raises ConstraintError, and adds nothing, where the table would break its rules."""
-        part = self._write(table, rows)
-        spec = schemas.TABLES[table]
-        if checked:
-            added = self.spark.read.schema(spec.schema).parquet(f"{self.root}/{table}/{part['path']}")
-            others = {t: self.read(t) for t in spec.refers.values()}
-            schemas.check(table, self.read(table).unionByName(added), others)
-        self._put(table, {"parts": [*(self._get(table) or {"parts": []})["parts"], part]})
+        self.commit(appended={table: rows}, checked=checked)
 
     def replace(self, table: str, rows: DataFrame, checked: bool = True) -> None:
         """Put rows in the place of all that are there; they may be made from them."""
-        part = self._write(table, rows)
-        if checked:
-            added = self.spark.read.schema(schemas.TABLES[table].schema).parquet(f"{self.root}/{table}/{part['path']}")
-            schemas.check(table, added, {t: self.read(t) for t in schemas.TABLES[table].refers.values()})
-        self._put(table, {"parts": [part]})
+        self.commit(replaced={table: rows}, checked=checked)

@@ -18,23 +18,45 @@ from pyspark.sql import types as T
 from photolith import schemas
 from photolith.errors import SourceError
 from photolith.functions import dates, paths, text, values
+from photolith.sources.scratch import settle
 
 MANIFEST_NAME = "manifest.csv"
 CHUNK = 1 << 20
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, size_bytes) of all files below a local or mounted root, hidden and `_` names included."""
+    """(path, rel_path, size_bytes) of all files below a local or mounted root, hidden and `_` names included.
+
+    Folders are read where tasks run, one level a round, and what they hold is written, so neither names nor folders come to the driver.
+    """
     base = os.path.abspath(os.path.expanduser(root))
     if not os.path.isdir(base):
         raise SourceError(f"not a folder: {root}")
-    rows = []
-    for folder, _, names in os.walk(base):
-        for n in names:
-            full = os.path.join(folder, n)
-            if os.path.isfile(full):
-                rows.append((full, os.path.relpath(full, base).replace(os.sep, "/"), os.path.getsize(full)))
-    return spark.createDataFrame(rows, "path string, rel_path string, size_bytes bigint")
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = []
+                try:
+                    with os.scandir(folder) as entries:
+                        for e in entries:
+                            inner = e.is_dir(follow_symlinks=False)
+                            if inner or e.is_file():
+                                found.append((e.path, inner, 0 if inner else e.stat().st_size))
+                except OSError:
+                    continue  # a folder that can't be read holds nothing that could be
+                names, dirs, sizes = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(dirs, type=pa.bool_()), pa.array(sizes, type=pa.int64())], names=["path", "is_folder", "size_bytes"])
+
+    level, found = spark.createDataFrame([(base,)], "path string"), None
+    while True:
+        here = settle(level.mapInArrow(run, "path string, is_folder boolean, size_bytes bigint"), "listing")
+        rows = here.filter("NOT is_folder").select("path", paths.relative_to(F.col("path"), base).alias("rel_path"), "size_bytes")
+        found = rows if found is None else found.unionByName(rows)
+        level = here.filter("is_folder").select("path")
+        if level.isEmpty():
+            return found
+        level = level.repartition("path")
 
 
 def list_store(spark: SparkSession, root: str) -> DataFrame:

@@ -296,3 +296,20 @@ def test_stats_and_upserts(spark):
     reviews = spark.createDataFrame([(1, None, "p", "k", "{}", "open", None, None, None), (2, None, "q", "k", "{}", "open", None, None, None)], schemas.REVIEW_QUEUE)
     done = upsert.resolve_review(reviews, [2, 77], "kept", datetime(2024, 1, 1))
     assert [r.status for r in stats.listed(done).collect()] == ["open", "resolved"] and stats.listed(done, 1, status="open").count() == 1
+
+
+def test_helper_columns_keep_clear_of_a_callers_own(spark):
+    df = spark.createDataFrame([(1, 5, 7, "x"), (1, 4, 8, "y"), (None, 1, 9, "z"), (None, 1, 9, "z")], "k int, _nth int, _at int, _ID string")
+    assert sorted(map(tuple, upsert.first_of_each(df, ["k"], ["_nth"]).collect()), key=str) == [(1, 4, 8, "y"), (None, 1, 9, "z")]
+    assert upsert.numbered(df, ["_nth"], 3).columns == [*df.columns, "id"]
+    a = spark.createDataFrame([(1, None, None, None, "own", 2.5)], "id bigint, gps_latitude double, gps_longitude double, gps_source string, _source string, _lat double")
+    new = spark.createDataFrame([(1, 0.5, 0.25, "inferred")], "id bigint, latitude double, longitude double, source string")
+    assert [tuple(r) for r in enrich.set_locations(a, new).collect()] == [(1, 0.5, 0.25, "inferred", "own", 2.5)]
+    files = spark.createDataFrame([("/i/a.jpg", "a.jpg", "1" * 64, None, None, 5, None, "mine", "old")], "path string, rel_path string, sha256 string, width int, height int, filesize int, taken_at timestamp_ntz, _wish string, _old string")
+    r = filed(files, spark.createDataFrame([], "vault_path string, sha256 string")).head()
+    assert (r["_wish"], r["_old"], r.vault_path) == ("mine", "old", "undated/a.jpg")
+    incoming = spark.createDataFrame([("p", "p", "s", 5, 1, 1, 1, "k", "r", "n", "f")], "path string, rel_path string, sha256 string, bits bigint, width int, height int, filesize bigint, rank string, n string, same_id string, f string")
+    archive = spark.createDataFrame([(7, "s", 5, 1, 1, 1)], "id bigint, sha256 string, bits bigint, width int, height int, filesize bigint")
+    for found in (dedupe.classify(incoming, archive), dedupe.greedy(incoming, archive)):
+        r = found.head()
+        assert (r["rank"], r["n"], r["same_id"], r["f"], r.verdict, r.master_id) == ("k", "r", "n", "f", "exact_duplicate", 7)

@@ -182,6 +182,35 @@ def test_catalog_rules(spark, tmp_path):
         Catalog(spark, str(tmp_path / "none"), create=False)
 
 
+def test_a_commit_is_whole(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "index"))
+    people = spark.createDataFrame([(1, "a")], schemas.PERSONS)
+    links = spark.createDataFrame([(1, "s", "p", 99, "exact_duplicate", 1, NOW)], schemas.LINKED_FILES)
+    with pytest.raises(ConstraintError):
+        catalog.commit({"persons": people, "linked_files": links})
+    assert catalog.read("persons").count() == 0 and catalog.read("linked_files").count() == 0
+    tags = spark.createDataFrame([(1, 1, "manifest")], schemas.ASSET_PERSONS)
+    catalog.commit({"persons": people, "asset_persons": tags}, checked=False)
+    assert catalog.read("persons").count() == catalog.read("asset_persons").count() == 1
+
+
+def test_listing_of_nested_and_empty_folders(spark, tmp_path):
+    (tmp_path / "a/b/c/d").mkdir(parents=True)
+    (tmp_path / "a/b/c/d/x.jpg").write_bytes(b"12")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "a/link").symlink_to(tmp_path / "a/b")
+    (tmp_path / "a/y").symlink_to(tmp_path / "a/b/c/d/x.jpg")
+    assert sorted(map(tuple, S.list_files(spark, str(tmp_path)).select("rel_path", "size_bytes").collect())) == [("a/b/c/d/x.jpg", 2), ("a/y", 2)]
+    assert S.list_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_a_sidecar_dates_files_that_the_reader_leaves_out(spark):
+    side = spark.createDataFrame([("p", "2015-06-15T12:00:00")], "path string, date string")
+    none = pd.DataFrame({c: pd.Series([], dtype=object) for c in ["path", *S.DATE_TAGS, *S.SIZE_TAGS, *S.PLACE_TAGS]})
+    embedded = S.read_embedded(spark.createDataFrame([("p",)], "path string"), lambda batch: none)
+    assert [(r.path, r.taken_at_source) for r in S.metadata(embedded, side).collect()] == [("p", "sidecar")]
+
+
 def test_stream(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "index"))
     inbox = str(tmp_path / "inbox")
