@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from photolith.config import Family
+from photolith.config import Family, fold_tag
 
 #: Unicode white space and the four separators that count with it in tags.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -51,7 +51,8 @@ def fold_case(value: Column) -> Column:
 
 def normalize_tag(tag: Column) -> Column:
     """White space collapsed and trimmed, case folded; the column form of `config.fold_tag`."""
-    return fold_case(F.trim(F.regexp_replace(tag, BLANKS, " ")))
+    spaced = F.trim(F.regexp_replace(tag, BLANKS, " "))
+    return F.when(F.octet_length(tag) == F.length(tag), F.lower(spaced)).otherwise(fold_case(spaced))
 
 
 def split_names(value: Column) -> Column:
@@ -92,5 +93,5 @@ def has_any(tags: Column, unwanted) -> Column:
     """Whether any of the tags, normalised, is among `unwanted`, normalised alike; null tags are none of them."""
     if not unwanted:
         return F.lit(False)
-    listed = F.array(*[normalize_tag(F.lit(str(x))) for x in unwanted])
+    listed = F.array(*[F.lit(fold_tag(str(x))) for x in unwanted])
     return F.arrays_overlap(F.transform(F.filter(_listed(tags), lambda t: t.isNotNull()), normalize_tag), listed)
