@@ -260,6 +260,17 @@ def test_nearest_equals_trying_all(spark, seed):
     assert got == want
 
 
+def test_nearest_with_a_clock_never_set(spark):
+    zero, later = T0.replace(hour=0), T0.replace(hour=0) + timedelta(minutes=3)
+    t = spark.createDataFrame([(i, zero, "x") for i in range(3000)] + [(5, zero, "x"), (9000, later, "x"), (9001, None, "x")], "id bigint, taken_at timestamp_ntz, _best string")
+    a = spark.createDataFrame([(i, zero) for i in (7, 3, 900, None)] + [(1, later)], "id bigint, taken_at timestamp_ntz")
+    got = nearest(t, a, "taken_at", "id", [], 1)
+    assert got.columns == ["id", "taken_at", "_best", "anchor_id", "anchor_taken_at", "gap_s"]
+    assert [tuple(r) for r in got.groupBy("anchor_id", "gap_s").count().orderBy("count").collect()] == [(1, 0.0, 1), (None, 0.0, 3001)]
+    assert nearest(t, a.filter("id > 3"), "taken_at", "id", [], 1).filter("id = 9000").head().anchor_id == 900
+    assert nearest(t.limit(0), a, "taken_at", "id", [], 1).count() == nearest(t, a.limit(0), "taken_at", "id", [], 1).count() == 0
+
+
 def test_person_tags(spark):
     a = spark.createDataFrame([("s1", 1), ("s2", 2)], "sha256 string, id bigint")
     pairs = spark.createDataFrame([("s1", ["Trey", "Subject Three", "Bob"]), ("s2", []), ("s9", ["Trey"]), (None, ["x"]), ("", ["x"])], "sha256 string, names array<string>")
