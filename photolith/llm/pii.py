@@ -9,7 +9,7 @@ Kinds, in output order: `email`, `ip`, `card` (Luhn), `phone` (these four are th
 overlapping within a kind, a match that fails its check is dropped and not tried again), then `handle`
 (@name), `login` (user part of scheme://user[:password]@host), `iban` (mod 97), `account` (a number after a cue
 such as "account no"), and `secret` (a value of 8 characters
-or more after a cue such as "token ="). A cue begins where no letter or digit is before it. Spans count code points, end exclusive.
+or more, with a digit, after a cue such as "token =" or, as in JSON, a quoted one). A cue begins where no letter or digit is before it. Spans count code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows are searched each on its own; a null id stays
 null; other columns are ignored by `find` and kept by `redact`; an empty table gives no rows.
@@ -197,12 +197,11 @@ class Run:
 
 
 def secret_at(text: str, at: int, value: Run) -> tuple[int, int] | None:
-    while at < len(text) and text[at] in " \t":
+    while at < len(text) and text[at] in " \t\"'":
         at += 1
     if at >= len(text) or text[at] not in "=:":
         return None
-    at += 1
-    while at < len(text) and text[at] in " \t\"'":
+    while at < len(text) and text[at] in "=:> \t\"'":
         at += 1
     value.to(text, at)
     return (at, value.end) if value.end - at >= 8 and value.last_digit >= at else None

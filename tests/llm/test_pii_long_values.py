@@ -8,6 +8,7 @@ from photolith.llm import pii
 @pytest.mark.parametrize("text, kind, value", [
     ("token=" + "aB3." * 500, "secret", "aB3." * 500), ("ftp://" + "u" * 700 + ":pw@host/x", "login", "u" * 700 + ":pw"),
     ("access_token=f3ef4d6b2755", "secret", "f3ef4d6b2755"), ("CLIENT_SECRET: 'f3ef4d6b2755'", "secret", "f3ef4d6b2755"), ("db_password = hunter2hunter2", "secret", "hunter2hunter2"), ("bank_account: 12345678", "account", "12345678"),
+    ('{"api_key": "f3ef4d6b2755"}', "secret", "f3ef4d6b2755"), ("'password' => 'hunter2hunter2'", "secret", "hunter2hunter2"), ('token := "f3ef4d6b2755"', "secret", "f3ef4d6b2755"),
 ])
 def test_long_values_and_cues_after_an_underscore(text, kind, value):
     found = pii.find_spans(text, pii.automaton())
@@ -26,3 +27,14 @@ def test_values_made_of_cues_take_linear_time():
         pii.find_spans("token=" * size + " x", pii.automaton())
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("kind, text", [
+    ("handle", "write to a@bcd or x/@bcd"), ("handle", "@ab and @1abc"), ("handle", "@" + "a" * 31),
+    ("login", "http://host/path@x"), ("login", "http://@host"),
+    ("iban", "IBAN GB83 WEST 1234 5698 7654 32"), ("iban", "iban: none given"), ("iban", "GB82 WEST 1234 5698 7654 32"),
+    ("account", "account no. 12345"), ("account", "on account of 12345678 reasons"), ("account", "accounts 12345678"),
+    ("secret", "token = short1"), ("secret", "password: correcthorsebattery"), ("secret", "the secret f3ef4d6b2755"),
+])
+def test_what_is_no_span_of_its_kind(kind, text):
+    assert kind not in pii.find_spans(text, pii.automaton())
