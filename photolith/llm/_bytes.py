@@ -239,3 +239,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores, where it has fewer splits than there are cores; else `df` itself.
+
+    A file of one row group is one task however large it is. Work in Python costs a hundred times what dealing texts out costs, so
+    this pays where cores would idle; where there are splits enough, as on any large table, nothing is shuffled. For plain scans: the
+    plan of anything else would have to run before its partitions are known.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
