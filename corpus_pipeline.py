@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolith.llm import bpe, decontaminate, near_dup, pii, quality
-from photolith.llm._bytes import read
+from photolith.llm._bytes import read, spread
 from photolith.llm._store import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -61,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each but the last written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
