@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photolith.llm import bpe, chat, decontaminate, language_id, maxent, near_dup, pii, quality, url_rules, warc
+from photolith.llm import bpe, chat, clusters, decontaminate, language_id, maxent, near_dup, pii, quality, ranking, url_rules, warc
 from photolith.llm._bytes import read, spread
 
 
@@ -57,7 +57,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_warc, op4_near_dup, op5_bpe, op6_url_filters, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_language_id)}
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_pii,
+        op3_warc,
+        op4_near_dup,
+        op5_bpe,
+        op6_url_filters,
+        op7_lm_scoring,
+        op8_decontamination,
+        op9_quality_rules,
+        op10_language_id,
+        op12_centroid_clustering,
+        op13_ranked_search,
+    )
+}
 
 
 
@@ -132,4 +156,72 @@ FROM p LEFT JOIN best USING (r)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL, "op6_url_filters": _op6_sql(), "op8_decontamination": OP8_SQL}
+#: The squared distances of a vector to the centroids of the last round; the smallest number of the smallest one wins.
+_NEAREST = """
+SELECT v.r, arg_min(c.cluster, CAST(d AS HUGEINT) * 1000 + c.cluster) AS cluster, min(d) AS distance
+FROM (
+  SELECT v.r, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM vectors v CROSS JOIN {centroids} c) v
+JOIN (SELECT DISTINCT cluster FROM {centroids}) c USING (cluster)
+GROUP BY v.r
+"""
+
+
+def _op12_sql() -> str:
+    parts = [
+        f"""
+vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = {clusters.DIM} AND len(list_filter(embedding, lambda x: abs(CAST(x AS DOUBLE)) < {clusters.LARGEST})) = {clusters.DIM}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS cluster, x
+  FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM vectors ORDER BY h NULLS LAST, x LIMIT {clusters.K}))"""
+    ]
+    for n in range(clusters.ROUNDS + 1):
+        parts.append(f"\na{n} AS ({_NEAREST.format(centroids=f'c{n}')})")
+        if n < clusters.ROUNDS:
+            parts.append(
+                f"""
+s{n} AS (
+  SELECT cluster, i, sum(x[i]) AS total, count(*) AS n
+  FROM (SELECT cluster, x, unnest(range(1, {clusters.DIM + 1})) AS i FROM a{n} JOIN vectors USING (r)) GROUP BY cluster, i),
+m{n} AS (
+  SELECT cluster, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{n} GROUP BY cluster),
+c{n + 1} AS (SELECT c{n}.cluster, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+            )
+    last = clusters.ROUNDS
+    return f"""
+WITH {",".join(parts)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{last}.x, ',')) AS centroid_sha256
+FROM a{last} JOIN vectors USING (r) JOIN c{last} USING (cluster)
+"""
+
+
+OP13_SQL = rf"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+d AS (SELECT r, doc_id, w, len(w) AS n FROM dw WHERE len(w) > 0),
+size AS (SELECT count(*) AS docs, sum(n) AS terms FROM d),
+m AS (SELECT r, CAST(75 + (25 * n * docs) // terms AS BIGINT) AS m FROM d, size),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+q AS (SELECT q, item_id, term, count(*) AS times FROM i GROUP BY q, item_id, term),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
+gain AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS gain FROM tf JOIN w USING (term) JOIN m USING (r)),
+score AS (SELECT q, item_id, r, CAST(sum(times * gain) AS BIGINT) AS score FROM q JOIN gain USING (term) GROUP BY q, item_id, r HAVING sum(times * gain) > 0),
+ranked AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM score JOIN d USING (r))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {ranking.K}
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL, "op6_url_filters": _op6_sql(), "op8_decontamination": OP8_SQL, "op12_centroid_clustering": _op12_sql(), "op13_ranked_search": OP13_SQL}
