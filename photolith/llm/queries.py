@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photolith.llm import bpe, chat, clusters, decontaminate, language_id, maxent, near_dup, pii, quality, ranking, url_rules, warc
+from photolith.llm import bpe, chat, clusters, decontaminate, language_id, lattice, maxent, near_dup, pii, quality, ranking, url_rules, warc
 from photolith.llm._bytes import read, spread
 
 
@@ -57,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link_counts(read(spark, sf_dir, "embeddings"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES = {
         op8_decontamination,
         op9_quality_rules,
         op10_language_id,
+        op11_embedding_near_dup,
         op12_centroid_clustering,
         op13_ranked_search,
     )
@@ -156,6 +161,23 @@ FROM p LEFT JOIN best USING (r)
 """
 
 
+OP11_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x,
+         label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = len(embedding)
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fits
+  FROM embeddings),
+links AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE a.fits AND b.fits AND list_cosine_similarity(a.x, b.x) >= {lattice.THRESHOLD}),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS r, min(vec_id) AS component FROM reach JOIN v ON reach.b = v.r GROUP BY a),
+counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(component, vec_id), component, vec_id) AS component_id,
+       vec_id IS NOT DISTINCT FROM coalesce(least(component, vec_id), component, vec_id) AS kept
+FROM v LEFT JOIN named USING (r) LEFT JOIN counted USING (r)
+"""
+
 #: The squared distances of a vector to the centroids of the last round; the smallest number of the smallest one wins.
 _NEAREST = """
 SELECT v.r, arg_min(c.cluster, CAST(d AS HUGEINT) * 1000 + c.cluster) AS cluster, min(d) AS distance
@@ -224,4 +246,4 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {ranking.K}
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL, "op6_url_filters": _op6_sql(), "op8_decontamination": OP8_SQL, "op12_centroid_clustering": _op12_sql(), "op13_ranked_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_warc": OP3_SQL, "op6_url_filters": _op6_sql(), "op8_decontamination": OP8_SQL, "op11_embedding_near_dup": OP11_SQL, "op12_centroid_clustering": _op12_sql(), "op13_ranked_search": OP13_SQL}
