@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from photolith.functions import text
+
 _STAMP = r"^(\d{4})[:\-](\d{2})[:\-](\d{2})[ T](\d{2}):(\d{2}):(\d{2})"
 _ZONE = r"(?:[Zz]|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)$"
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:.\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?)?$"
@@ -12,18 +14,19 @@ _ISO = r"^\d{4}-\d{2}-\d{2}(?:.\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?)?$"
 
 def parse_embedded(value: Column) -> Column:
     """`YYYY:MM:DD HH:MM:SS` (or with hyphens, T) at the start of the text; zeros and impossible times are unknown."""
-    text = F.trim(value)
-    part = lambda i: F.nullif(F.regexp_extract(text, _STAMP, i), F.lit("")).cast("int")
+    stripped = text.strip(value)
+    part = lambda i: F.nullif(F.regexp_extract(stripped, _STAMP, i), F.lit("")).cast("int")
     year, month, day, hour, minute, second = (part(i) for i in range(1, 7))
     return F.when((year > 0) & (second < 60), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
 
 
 def parse_iso(value: Column) -> Column:
     """An ISO 8601 date or time; an offset is dropped, not converted. Anything else is null."""
-    text = F.trim(value)
-    basic = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})?)?", "$1-$2-$3T$4:$5:$6")
-    text = F.when(text.rlike(r"^\d{8}(?:T\d{4}|$)"), F.regexp_replace(F.regexp_replace(basic, r"T::$", ""), r":$", "")).otherwise(text)
-    bare = F.when(F.length(text) > 10, F.regexp_replace(text, _ZONE, "")).otherwise(text)
+    stripped = text.strip(value)
+    basic = F.regexp_replace(stripped, r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})?)?", "$1-$2-$3T$4:$5:$6")
+    dashed = F.regexp_replace(F.regexp_replace(basic, r"T::$", ""), r":$", "")
+    spelled = F.when(stripped.rlike(r"^\d{8}(?:T\d{4}|$)"), dashed).otherwise(stripped)
+    bare = F.when(F.length(spelled) > 10, F.regexp_replace(spelled, _ZONE, "")).otherwise(spelled)
     spaced = F.concat(F.substring(bare, 1, 10), F.when(F.length(bare) > 10, F.concat(F.lit("T"), F.regexp_replace(F.substring(bare, 12, 40), ",", "."))).otherwise(""))
     spaced = F.when(spaced.rlike(r"T\d{2}$"), F.concat(spaced, F.lit(":00"))).otherwise(spaced)
     return F.when(bare.rlike(_ISO), spaced.try_cast("timestamp_ntz"))

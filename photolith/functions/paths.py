@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from photolith.functions import text
+
 #: File kinds by extension, and folders that hold no content.
 PHOTO = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif", ".dng", ".raw", ".cr2", ".cr3", ".nef", ".arw", ".orf", ".rw2")
 VIDEO = (".mov", ".mp4", ".m4v", ".avi", ".mkv", ".mts", ".m2ts", ".3gp")
@@ -63,7 +65,7 @@ def is_content(relative: Column, skip=()) -> Column:
 
 
 def looks_like_screenshot(filename: Column) -> Column:
-    own = F.lower(F.trim(filename))
+    own = text.fold_case(text.strip(filename))
     found = F.lit(False)
     for prefix in SCREENSHOT:
         found = found | own.startswith(prefix)

@@ -49,6 +49,11 @@ def fold_case(value: Column) -> Column:
     return _bound(value, folded)
 
 
+def strip(value: Column) -> Column:
+    """The text without white space at either end, whatever kind it is; Spark's `trim` knows spaces only."""
+    return F.regexp_replace(value, rf"^{BLANKS}|{BLANKS}$", "")
+
+
 def normalize_tag(tag: Column) -> Column:
     """White space collapsed and trimmed, case folded; the column form of `config.fold_tag`."""
     spaced = F.trim(F.regexp_replace(tag, BLANKS, " "))
@@ -57,7 +62,7 @@ def normalize_tag(tag: Column) -> Column:
 
 def split_names(value: Column) -> Column:
     """The names of a `; `-joined list, trimmed, without empty ones; null: none."""
-    trimmed = F.transform(F.split(F.coalesce(value, F.lit("")), ";"), lambda x: F.regexp_replace(x, rf"^{BLANKS}|{BLANKS}$", ""))
+    trimmed = F.transform(F.split(F.coalesce(value, F.lit("")), ";"), strip)
     return F.filter(trimmed, lambda x: x != "")
 
 

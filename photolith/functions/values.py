@@ -74,8 +74,15 @@ def download_hours(size: Column) -> Column:
 
 
 def detail_map(detail: Column) -> Column:
-    """A JSON object as a map of texts; anything else: empty."""
-    return F.coalesce(F.from_json(detail, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A JSON object as a map of texts; anything else, a text that goes on after its object included: empty.
+
+    Spark's parser stops at the end of a value, whatever follows. So the text is put inside an object before a member that holds a
+    hash of it: that member is only read if the text is one value, as it can't hold its own hash.
+    """
+    mark = F.xxhash64(detail)
+    wrapped = F.concat(F.lit('{"detail":'), detail, F.lit(',"mark":'), mark.cast("string"), F.lit("}"))
+    said = F.from_json(wrapped, "detail map<string,string>, mark bigint", {"allowSingleQuotes": "false"})
+    return F.coalesce(F.when(said["mark"] == mark, said["detail"]), F.create_map().cast("map<string,string>"))
 
 
 def format_size(size: Column) -> Column:

@@ -168,7 +168,7 @@ def q16_normalized_tags(spark, sf_dir):
     return c.select("c_custkey", text.normalize_tag(raw).alias("tag"))
 
 
-STAMPS = ("2015:06:15 12:00:00", "2015-06-15T12:00:00.123", "0000:00:00 00:00:00", "2015:02:30 10:00:00", "2015:06:15 24:00:00", "2015:06:15 23:59:60", "not a date", "2016:02:29 01:02:03+07:00", "", None)
+STAMPS = ("2015:06:15 12:00:00", "2015-06-15T12:00:00.123", "0000:00:00 00:00:00", "2015:02:30 10:00:00", "2015:06:15 24:00:00", "2015:06:15 23:59:60", "not a date", "2016:02:29 01:02:03+07:00", "", None, "\t2015:06:15 12:00:00", "\n\u00a02015:06:15 12:00:01\r")
 
 
 @registered
@@ -426,7 +426,9 @@ def q51_path_predicates(spark, sf_dir):
 @registered
 def q52_json_detail(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    raw = F.when(F.col("event_id") % 6 == 0, "[1]").when(F.col("event_id") % 6 == 1, "{bad").otherwise(F.col("props"))
+    bad = ("[1]", "{bad", "{'k':1}", '{"k":1} x', '{"k":1},{"k":2}', '{"k":1}],[{}', '{"k":1}}', '"k"', "", None)
+    broken = F.element_at(F.array(*[F.lit(b).cast("string") for b in bad]), (F.col("event_id") % len(bad) + 1).cast("int"))
+    raw = F.when(F.col("event_id") % 3 == 0, broken).otherwise(F.concat(F.lit(" "), F.col("props"), F.lit("\n")))
     found = values.detail_map(raw)
     return e.select("event_id", F.try_element_at(found, F.lit("k")).alias("k"), F.size(found).cast("bigint").alias("n"))
 
@@ -447,7 +449,7 @@ def q55_date_precedence(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     shipped = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
     rows = o.join(shipped, "o_orderkey", "left")
-    at, source = dates.taken_at(F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-07:00"))), F.when(F.col("o_orderkey") % 4 == 1, "0000:00:00 00:00:00"), F.date_format("ship", "yyyy:MM:dd HH:mm:ss"))
+    at, source = dates.taken_at(F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-07:00\t"))), F.when(F.col("o_orderkey") % 4 == 1, "0000:00:00 00:00:00"), F.date_format("ship", "yyyy:MM:dd HH:mm:ss"))
     return rows.select("o_orderkey", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("taken_at"), source.alias("source"))
 
 
@@ -497,7 +499,7 @@ def q61_latest_version(spark, sf_dir):
 @registered
 def q62_library_flags(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    names = F.element_at(F.array(*[F.lit(x) for x in ("Screenshot 1.png", " screen shot 2.png", "IMG_1.jpg", "my screenshot.png")]), (F.col("event_id") % 4 + 1).cast("int"))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("Screenshot 1.png", " screen shot 2.png", "IMG_1.jpg", "my screenshot.png", "\tScreenshot 3.png", "\u00a0\u2003SCREENSHOT.png")]), (F.col("event_id") % 6 + 1).cast("int"))
     photos = e.select(F.col("event_id").alias("uuid"), names.alias("original_filename"), F.when(F.col("event_id") % 9 == 0, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).otherwise(F.col("ts")).alias("date"), F.array(F.lit(" "), F.col("event_type"), F.lit(None).cast("string")).alias("persons"))
     found = library.to_items(photos, strict=False)
     return found.select(F.col("uuid").cast("bigint").alias("uuid"), "is_screenshot", "is_shared", "is_photo", F.col("date").isNull().alias("undated"), text.join_names(F.col("persons")).alias("persons"), "filesize")

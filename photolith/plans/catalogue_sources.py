@@ -59,7 +59,7 @@ def drive(spark: SparkSession, sf_dir: str) -> str:
     place = F.when(i % 11 == 3, F.format_string(".trashes/%d.jpg", i)).when(i % 11 == 4, F.concat(lang, F.format_string("/.%d.jpg", i))).when(i % 11 == 5, F.concat(lang, F.format_string("/%d.txt", i)))
     media = d.select(place.alias("other"), F.concat(lang, F.format_string("/P %d.jpg", i)).alias("own"), F.col("text").alias("content"))
     side = F.to_json(F.struct(F.format_string("2020-01-0%d", i % 9 + 1).alias("date"), F.array(lang, F.lit("x")).alias("albums"), F.array(F.lit("Trey"), F.col("source")).alias("persons")))
-    sides = d.filter(i % 5 == 0).select(F.concat(lang, F.format_string("/P %d.jpg.json", i)).alias("rel_path"), F.when(i % 25 == 0, "[1]").otherwise(side).alias("content"))
+    sides = d.filter(i % 5 == 0).select(F.concat(lang, F.format_string("/P %d.jpg.json", i)).alias("rel_path"), F.when(i % 25 == 0, "[1]").when(i % 35 == 5, F.regexp_replace(side, '"', "'")).when(i % 35 == 10, F.concat(side, F.lit(" x"))).otherwise(side).alias("content"))
     put(media.select(F.coalesce("other", "own").alias("rel_path"), "content").unionByName(sides), root)
     return root
 
@@ -75,7 +75,9 @@ def q70_manifest(spark, sf_dir):
 @registered
 def q71_manifest_tags(spark, sf_dir):
     root = drive(spark, sf_dir)
-    files.write_manifest(files.build_manifest(spark, root), root)
+    rest = F.col("size_bytes") % 7
+    spaced = F.when(rest == 0, F.concat(F.lit("\t"), "sha256", F.lit("\n"))).when(rest == 1, "\t").otherwise(F.col("sha256"))
+    files.write_manifest(files.build_manifest(spark, root).withColumn("sha256", spaced), root)
     found, source = files.tags_from(spark, root)
     return found.select("sha256", text.join_names(F.col("names")).alias("names"), F.lit(source).alias("source"))
 
@@ -221,15 +223,15 @@ _LANG = "coalesce(lang, 'none')"
 _NAMES = f"""
 f AS (SELECT doc_id, {_LANG} AS lang, source, coalesce(text, '') AS content, doc_id % 11 AS k FROM documents),
 placed AS (SELECT *, CASE k WHEN 3 THEN '.trashes/' || doc_id || '.jpg' WHEN 4 THEN lang || '/.' || doc_id || '.jpg' WHEN 5 THEN lang || '/' || doc_id || '.txt' ELSE lang || '/P ' || doc_id || '.jpg' END AS rel_path FROM f),
-media AS (SELECT *, doc_id % 5 = 0 AND doc_id % 25 <> 0 AS told FROM placed WHERE k NOT IN (3, 4, 5)),
-side AS (SELECT doc_id, lang || '/P ' || doc_id || '.jpg.json' AS rel_path, CASE WHEN doc_id % 25 = 0 THEN '[1]' ELSE '{{"date":"2020-01-0' || (doc_id % 9 + 1) || '","albums":["' || lang || '","x"],"persons":["Trey","' || source || '"]}}' END AS content FROM f WHERE doc_id % 5 = 0)
+media AS (SELECT *, doc_id % 5 = 0 AND doc_id % 25 <> 0 AND doc_id % 35 NOT IN (5, 10) AS told FROM placed WHERE k NOT IN (3, 4, 5)),
+side AS (SELECT doc_id, lang || '/P ' || doc_id || '.jpg.json' AS rel_path,  CASE WHEN doc_id % 25 = 0 THEN '[1]' WHEN doc_id % 35 = 5 THEN replace(said, '"', '''') WHEN doc_id % 35 = 10 THEN said || ' x' ELSE said END AS content FROM (SELECT *, '{{"date":"2020-01-0' || (doc_id % 9 + 1) || '","albums":["' || lang || '","x"],"persons":["Trey","' || source || '"]}}' AS said FROM f WHERE doc_id % 5 = 0))
 """
 _DEMO = ", ".join(f"('{d}', {n})" for d, n in (("INCLUDE_PRE_CUTOFF", 16), ("INCLUDE_TAGGED", 6), ("EXCLUDE_NOT_OWNED", 16), ("EXCLUDE_ALBUM", 48), ("EXCLUDE_SCREENSHOT", 8), ("EXCLUDE_UNTAGGED", 2), ("REVIEW_UNKNOWN_DATE", 16)))
 
 ORACLE_SQL: dict[str, str] = {
     "q70_manifest": f"""WITH {_NAMES} SELECT rel_path AS path, CASE WHEN told THEN '2020-01-0' || (doc_id % 9 + 1) ELSE '' END AS date, CASE WHEN told THEN lang || '; x' ELSE '' END AS albums,
         CASE WHEN told THEN 'Trey; ' || source ELSE '' END AS persons, CAST(strlen(content) AS BIGINT) AS size_bytes, sha256(content) AS sha256 FROM media""",
-    "q71_manifest_tags": f"WITH {_NAMES} SELECT sha256(content) AS sha256, 'Trey; ' || source AS names, 'manifest' AS source FROM media WHERE told",
+    "q71_manifest_tags": f"WITH {_NAMES} SELECT sha256(content) AS sha256, 'Trey; ' || source AS names, 'manifest' AS source FROM media WHERE told AND strlen(content) % 7 <> 1",
     "q72_sidecar_tags": f"WITH {_NAMES} SELECT sha256(content) AS sha256, 'Trey; ' || source AS names, 'sidecar' AS source FROM media WHERE told",
     "q73_listing": f"""WITH {_NAMES} SELECT rel_path, CAST(strlen(content) AS BIGINT) AS size_bytes, k NOT IN (3, 4, 5) AS kept FROM placed UNION ALL SELECT rel_path, CAST(strlen(content) AS BIGINT), false FROM side""",
     "q74_file_checksums": f"WITH {_NAMES} SELECT 'P ' || doc_id || '.jpg' AS name, CAST(strlen(content) AS BIGINT) AS size_bytes, sha256(content) AS sha256 FROM media",

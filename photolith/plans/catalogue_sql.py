@@ -193,7 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "q16_normalized_tags": "SELECT c_custkey, lower(c_mktsegment) || ' ' || lower(c_mktsegment) AS tag FROM customer",
     "q17_embedded_dates": """
         WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y:%m:%d') || ' 0' || (o_orderkey % 10) || ':30:15.25'
-            ELSE ['2015:06:15 12:00:00', '2015-06-15T12:00:00.123', '0000:00:00 00:00:00', '2015:02:30 10:00:00', '2015:06:15 24:00:00', '2015:06:15 23:59:60', 'not a date', '2016:02:29 01:02:03+07:00', '', NULL][o_orderkey % 10 + 1] END AS raw FROM orders),
+            ELSE ['2015:06:15 12:00:00', '2015-06-15T12:00:00.123', '0000:00:00 00:00:00', '2015:02:30 10:00:00', '2015:06:15 24:00:00', '2015:06:15 23:59:60', 'not a date', '2016:02:29 01:02:03+07:00', '', NULL, '2015:06:15 12:00:00', '2015:06:15 12:00:01'][o_orderkey % 12 + 1] END AS raw FROM orders),
         p AS (SELECT o_orderkey, replace(replace(raw[1:10], ':', '-'), 'T', ' ') || ' ' || raw[12:19] AS t FROM s)
         SELECT o_orderkey, strftime(CASE WHEN t[18:19] < '60' AND t[12:13] < '24' AND t[1:4] > '0000' THEN try_strptime(t, '%Y-%m-%d %H:%M:%S') END, '%Y-%m-%d %H:%M:%S') AS taken_at FROM p""",
     "q18_add_months": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 19 AS INTEGER)), '%Y-%m-%d') AS later FROM orders",
@@ -251,7 +251,7 @@ ORACLE_SQL: dict[str, str] = {
                      len(list_filter(above, lambda x: starts_with(x, '.') OR lower(x) IN ('$recycle.bin', 'recycler', 'system volume information', '__macosx', 'lost+found'))) > 0 AS system FROM e)
         SELECT page_id, ext, name[:length(name) - length(ext)] AS stem, media, CASE WHEN ext IN ('.mov', '.mp4', '.m4v', '.avi', '.mkv', '.mts', '.m2ts', '.3gp') THEN 'video' ELSE 'photo' END AS kind,
                ext IN ('.jpg', '.jpeg', '.png', '.gif', '.bmp', '.tif', '.tiff', '.webp') AS hashable, system, media AND NOT system AND NOT starts_with(name, '.') AS content FROM f""",
-    "q52_json_detail": "SELECT event_id, CASE WHEN event_id % 6 > 1 THEN json_extract_string(props, '$.k') END AS k, CAST(CASE WHEN event_id % 6 > 1 THEN 1 ELSE 0 END AS BIGINT) AS n FROM events",
+    "q52_json_detail": "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN json_extract_string(props, '$.k') END AS k, CAST(CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END AS BIGINT) AS n FROM events",
     "q53_filtered_listing": "SELECT event_id, event_type, user_id FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 50",
     "q54_count_listing": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type",
     "q55_date_precedence": """
@@ -271,7 +271,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'orders_customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 <> 1)""",
     "q61_latest_version": "SELECT max(event_id) AS version FROM events",
     "q62_library_flags": """
-        SELECT event_id AS uuid, event_id % 4 < 2 AS is_screenshot, true AS is_shared, true AS is_photo, event_id % 9 = 0 AS undated, event_type AS persons, CAST(0 AS BIGINT) AS filesize FROM events""",
+        SELECT event_id AS uuid, event_id % 6 IN (0, 1, 4, 5) AS is_screenshot, true AS is_shared, true AS is_photo, event_id % 9 = 0 AS undated, event_type AS persons, CAST(0 AS BIGINT) AS filesize FROM events""",
     "q63_selected": f"WITH {_ITEMS} SELECT uuid FROM decided WHERE is_in",
     "q64_unknown_dates": f"WITH {_ITEMS} SELECT uuid, original_filename AS name FROM decided WHERE disposition = 'REVIEW_UNKNOWN_DATE'",
 }

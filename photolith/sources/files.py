@@ -24,6 +24,21 @@ MANIFEST_NAME = "manifest.csv"
 CHUNK = 1 << 20
 
 
+def _entries(folder: str):
+    """(path, is it a folder, bytes) of what a folder holds; what vanishes while it's read, or can't be read, isn't there."""
+    try:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                try:
+                    inner = e.is_dir(follow_symlinks=False)
+                    if inner or e.is_file():
+                        yield e.path, inner, 0 if inner else e.stat().st_size
+                except OSError:
+                    continue
+    except OSError:
+        return
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, rel_path, size_bytes) of all files below a local or mounted root, hidden and `_` names included.
 
@@ -36,15 +51,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                found = []
-                try:
-                    with os.scandir(folder) as entries:
-                        for e in entries:
-                            inner = e.is_dir(follow_symlinks=False)
-                            if inner or e.is_file():
-                                found.append((e.path, inner, 0 if inner else e.stat().st_size))
-                except OSError:
-                    continue  # a folder that can't be read holds nothing that could be
+                found = list(_entries(folder))
                 names, dirs, sizes = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(dirs, type=pa.bool_()), pa.array(sizes, type=pa.int64())], names=["path", "is_folder", "size_bytes"])
 
@@ -95,36 +102,36 @@ def read_sidecars(spark: SparkSession, files: DataFrame, media: DataFrame) -> Da
     """(rel_path, date, albums, persons) of media with a JSON sidecar.
 
     `files` is the whole listing. Of a file's two possible names the first that exists counts, even if it can't be parsed;
-    then all fields are empty, as they are where the JSON isn't an object.
+    then all fields are empty, as they are where the JSON isn't an object. Of a list that isn't text, numbers and the like count as they
+    are spelled, nulls not at all; a text in place of a list is its only entry.
     """
     wanted = media.select("rel_path", F.posexplode(paths.sidecars(F.col("rel_path"))).alias("nth", "sidecar")).filter(F.lower("sidecar").endswith(".json"))
     there = wanted.join(files.select(F.col("rel_path").alias("sidecar"), F.col("path").alias("at")), "sidecar")
     first = there.groupBy("rel_path").agg(F.min_by("at", "nth").alias("at"))
-    said = with_content(first, "at", "content").withColumn("said", F.from_json(F.when(F.ltrim("content").startswith("{"), F.col("content")), "date string, albums array<string>, persons array<string>"))
-    listed = lambda c: F.coalesce(F.array_join(F.col(f"said.{c}"), "; "), F.lit("")).alias(c)
-    return said.select("rel_path", F.coalesce("said.date", F.lit("")).alias("date"), listed("albums"), listed("persons"))
 
+    def run(batches):
+        for batch in batches:
+            said = [_sidecar(at) for at in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, type=pa.string()) for x in (zip(*said, strict=True) if said else ([], [], [])))], names=["rel_path", "date", "albums", "persons"])
 
-def with_content(files: DataFrame, path: str, column: str, most: int = 16 << 20) -> DataFrame:
-    """`files` with the text of the file at `path`, read where the tasks run; null where it can't be read, isn't UTF-8 or has more than `most` bytes."""
-    schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
+    return first.select("rel_path", "at").mapInArrow(run, "rel_path string, date string, albums string, persons string")
 
-    def content(at: str) -> str | None:
-        try:
-            with open(at, "rb") as f:
-                raw = f.read(most + 1)
-            return raw.decode() if len(raw) <= most else None
-        except (OSError, UnicodeDecodeError):
-            return None
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                found = content(one.column(one.schema.get_field_index(path))[0].as_py())
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([found], type=pa.string())], names=[*one.schema.names, column])
+def _sidecar(path: str) -> tuple[str, str, str]:
+    """Date, albums and persons of a JSON sidecar; empty where it can't be read or isn't one object."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+    except (OSError, ValueError, RecursionError):
+        said = None
+    if not isinstance(said, dict):
+        return "", "", ""
 
-    return files.mapInArrow(run, schema)
+    def listed(value) -> str:
+        entries = value if isinstance(value, list) else [value or None]
+        return "; ".join(str(x) for x in entries if x is not None)
+
+    return str(said.get("date") or ""), listed(said.get("albums")), listed(said.get("persons"))
 
 
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -162,7 +169,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def manifest_tags(manifest: DataFrame) -> DataFrame:
     """(sha256, names) of the rows that have both."""
-    rows = manifest.select(F.trim("sha256").alias("sha256"), text.split_names(F.col("persons")).alias("names"))
+    rows = manifest.select(text.strip(F.col("sha256")).alias("sha256"), text.split_names(F.col("persons")).alias("names"))
     return rows.filter((F.col("sha256") != "") & (F.size("names") > 0))
 
 
