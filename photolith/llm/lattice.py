@@ -41,12 +41,12 @@ from photolith.llm.near_dup import components, loose
 
 THRESHOLD = 0.93
 PROBES = 4
-LOST = 0.002
+LOST = 0.0005
 #: By blocks: the width of a cell, for 64 dimensions and a cosine of 0.93, and the share of pairs at the threshold that one table finds (measured).
 WIDTH = {2: 0.3, 3: 0.35, 4: 0.35}
 FOUND = {2: 0.57, 3: 0.40, 4: 0.24}
-#: The most rows of a label for so many blocks; strangers that a vector meets: about rows / 150, / 1,100 and / 27,000.
-ROWS = {2: 1 << 20, 3: 1 << 24}
+#: The most rows of a label for so many blocks; strangers that a vector meets: about rows / 120, / 900 and / 20,000.
+ROWS = {2: 1 << 12, 3: 1 << 17}
 BLOCK = 512
 DENSE = 256
 PAIRS = 1 << 14
