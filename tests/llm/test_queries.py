@@ -24,8 +24,8 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert got == sorted(want.fetchall(), key=str) and not any(isinstance(x, float) and math.isnan(x) for r in got for x in r)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     found = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in found) == 1
     assert found["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
