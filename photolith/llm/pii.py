@@ -9,7 +9,7 @@ Kinds, in output order: `email`, `ip`, `card` (Luhn), `phone` (these four are th
 overlapping within a kind, a match that fails its check is dropped and not tried again), then `handle`
 (@name), `login` (user part of scheme://user[:password]@host), `iban` (mod 97), `account` (a number after a cue
 such as "account no"), and `secret` (a value of 8 characters
-or more, with a digit, after a cue such as "token =" or, as in JSON, a quoted one). A cue begins where no letter or digit is before it. Spans count code points, end exclusive.
+or more, with a digit, after a cue such as "token =" or, as in JSON, a quoted one; of 16 or more after "Bearer"). A cue begins where no letter or digit is before it. Spans count code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows are searched each on its own; a null id stays
 null; other columns are ignored by `find` and kept by `redact`; an empty table gives no rows.
@@ -38,7 +38,7 @@ USER = LETTERS | DIGITS | frozenset("._~%!$&'()*+,;=:-")
 VALUE = LETTERS | DIGITS | frozenset("_-+/=.~")
 
 ACCOUNT_CUES = ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "customer id", "passport", "ssn", "social security")
-SECRET_CUES = ("token", "api_key", "apikey", "api key", "secret", "password", "passwd", "pwd")
+SECRET_CUES = ("token", "api_key", "apikey", "api key", "api-key", "access key", "private key", "secret", "password", "passwd", "pwd")
 
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long"
 
@@ -51,7 +51,7 @@ def automaton():
     found = ahocorasick.Automaton()
     for c in DIGITS:
         found.add_word(c, ("digit", 1))
-    for word, what in (("@", "at"), ("+", "plus"), ("://", "scheme"), ("iban", "iban")):
+    for word, what in (("@", "at"), ("+", "plus"), ("://", "scheme"), ("iban", "iban"), ("bearer", "bearer")):
         found.add_word(word, (what, len(word)))
     for what, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
@@ -174,7 +174,7 @@ def account_at(text: str, at: int) -> tuple[int, int] | None:
             at += len(filler)
             if len(filler) > 1:
                 break
-    end = run(text, at, DIGITS | {"-"}, 40)
+    end = run(text, at, DIGITS | {"-"})
     while end > at and text[end - 1] == "-":
         end -= 1
     digits = sum(c in DIGITS for c in text[at:end])
@@ -207,6 +207,15 @@ def secret_at(text: str, at: int, value: Run) -> tuple[int, int] | None:
     return (at, value.end) if value.end - at >= 8 and value.last_digit >= at else None
 
 
+def bearer_at(text: str, at: int, value: Run) -> tuple[int, int] | None:
+    """The value after `Bearer`, which needs no sign between."""
+    start = run(text, at, frozenset(" \t"))
+    if start == at or start >= len(text):
+        return None
+    value.to(text, start)
+    return (start, value.end) if value.end - start >= 16 and value.last_digit >= start else None
+
+
 def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
     """The spans of each kind found, in order of their starts."""
     found: dict[str, list[tuple[int, int]]] = {}
@@ -249,7 +258,10 @@ def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
         elif what == "iban":
             keep("iban", iban_at(text, last + 1))
         elif not at or folded[at - 1] not in WORD:
-            keep(what, account_at(text, last + 1) if what == "account" else secret_at(text, last + 1, value))
+            if what == "account":
+                keep(what, account_at(text, last + 1))
+            else:
+                keep("secret", (bearer_at if what == "bearer" else secret_at)(text, last + 1, value))
     return found
 
 
