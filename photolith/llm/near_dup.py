@@ -9,10 +9,11 @@ mean number of shingles of a text can reach it, so what is broadcast doesn't gro
 that it would be more than `MOST_COMMON`, CLIP is lowered to what is.
 
 1. Texts with equal words are one node (a 64-bit hash of them); everything below is about nodes.
-2. Each node has SAMPLES consistent weighted samples in bands of ROWS. Up to OVERLAP shingles every sample looks at every
+2. Each node has consistent weighted samples in bands; how many of either follows from the threshold (`Sampling`). Texts of a weight of
+   FULL or less, and those with so few shingles that they may be links of such, have every sample look at every
    shingle; texts of a weight above FULL deal their shingles out to the samples, one each, with empty ones filled from others. Texts
-   of similarity 0.8 differ in weight by a factor of 1.25 at most, and no shingle weighs less than 1: if the lighter one weighs at most
-   FULL, both have at most 1.25 * FULL < OVERLAP shingles, and else both are above FULL, so they always share a kind.
+   of similarity t differ in weight by a factor of 1/t at most, and no shingle weighs less than 1: if the lighter one weighs at most
+   FULL, both have at most FULL / t shingles, and else both are above FULL, so they always share a kind.
 3. Of each bucket of a band the smallest node is the pivot; the others are verified against it by weighted Jaccard
    similarity, texts meeting in groups of bounded size that stream through a task.
 4. Connected components of the links are found by alternating large-star and small-star steps.
@@ -22,7 +23,8 @@ that it would be more than `MOST_COMMON`, CLIP is lowered to what is.
    part is each bucket's next pivot; after its links are in the components, all pairs that are still apart and
    that the bounds allow are verified, so no pair that shares a bucket is lost.
 
-A pair of similarity 0.8 shares no bucket with a probability of about 0.00007, one of 0.85 with less than 0.000001.
+A pair at the threshold shares no bucket with a probability of about 0.00007 whatever the threshold is; at 0.8, one of 0.85 with less
+than 0.000001. Thresholds below LEAST are refused.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; repeated rows are copies of each
 other; a null id never names a class that has another; ties can't matter, classes being components; other columns are ignored; an
@@ -50,9 +52,10 @@ MOST_COMMON = 1 << 21
 CELL_BITS = 19
 CELL_COLUMNS = 64
 COUNTED = 1 << 20
-ROWS, BANDS = 5, 24
-SAMPLES = ROWS * BANDS
-FULL, OVERLAP = 256, 336
+LEAST = 0.3
+ROWS, SAMPLES = 5, 120
+MISSED = 7.5e-5
+FULL = 256
 GROUP = 256
 BLOCK = 1024
 BROADCAST_IDS = 500_000
@@ -63,6 +66,19 @@ _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 # Gamma(2, 1) variates at evenly spaced quantiles, dealt at random.
 _GAMMA = np.sort(_rng.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)[_rng.permutation(1 << 16)]
 _LOG_GAMMA = np.log(_GAMMA[_rng.permutation(1 << 16)])
+_ODD = np.concatenate([_ODD, _rng.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+
+
+class Sampling:
+    """How texts are sampled for a threshold: `rows` samples make a band, of which a pair at the threshold shares none with a probability of MISSED."""
+
+    def __init__(self, threshold: float = THRESHOLD):
+        if not LEAST <= threshold <= 1:
+            raise ValueError(f"a threshold of {threshold}; it must be from {LEAST} to 1")
+        self.rows = ROWS if threshold >= THRESHOLD else max(1, round(ROWS * math.log(THRESHOLD) / math.log(threshold)))
+        self.bands = math.ceil(math.log(MISSED) / math.log(max(1 - threshold**self.rows, MISSED)))
+        self.samples = self.rows * self.bands
+        self.overlap = math.floor(FULL / threshold) + 16  # 16 to spare for rounding
 
 
 def shingles(words: Words, i: int, keys: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,45 +232,46 @@ def _cost(r, log_c, beta, log_w):
     return log_c - r * (level - beta) - r, level
 
 
-def full_samples(keys: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+def full_samples(keys: np.ndarray, log_w: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Every sample over all shingles."""
-    cost, level = _cost(*_draws(keys[None, :] * _ODD[:, None]), log_w[None, :])
+    cost, level = _cost(*_draws(keys[None, :] * _ODD[:samples, None]), log_w[None, :])
     best = cost.argmin(axis=1)
-    return mix(keys[best] ^ (level[np.arange(SAMPLES), best].astype(np.int64).view(np.uint64) * _SPREAD))
+    return mix(keys[best] ^ (level[np.arange(samples), best].astype(np.int64).view(np.uint64) * _SPREAD))
 
 
-def dealt_samples(keys: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+def dealt_samples(keys: np.ndarray, log_w: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Each shingle in one sample; empty samples are filled from others by a fixed sequence."""
-    bin_of = ((mix(keys ^ _SPREAD) >> np.uint64(32)) % np.uint64(SAMPLES)).astype(np.int64)
+    bin_of = ((mix(keys ^ _SPREAD) >> np.uint64(32)) % np.uint64(samples)).astype(np.int64)
     cost, level = _cost(*_draws(keys * _ODD[bin_of]), log_w)
     order = np.lexsort((cost, bin_of))
     filled, first = np.unique(bin_of[order], return_index=True)
     best = order[first]
-    out, has = np.zeros(SAMPLES, dtype=np.uint64), np.zeros(SAMPLES, dtype=bool)
+    out, has = np.zeros(samples, dtype=np.uint64), np.zeros(samples, dtype=bool)
     out[filled] = mix(keys[best] ^ (level[best].astype(np.int64).view(np.uint64) * _SPREAD))
     has[filled] = True
     for j in np.flatnonzero(~has):
         x, attempt = int(_ODD[j]), 0
         while True:
             attempt += 1
-            at = int(mix(np.array([x ^ attempt], dtype=np.uint64))[0] % np.uint64(SAMPLES))
+            at = int(mix(np.array([x ^ attempt], dtype=np.uint64))[0] % np.uint64(samples))
             if has[at]:
                 out[j] = mix(np.array([int(out[at]) ^ x], dtype=np.uint64))[0]
                 break
     return out
 
 
-def bands(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def bands(keys: np.ndarray, weights: np.ndarray, plan: Sampling | None = None) -> np.ndarray:
+    plan = plan or Sampling()
     log_w = np.log(weights).astype(np.float32)
     found = []
-    if len(keys) <= OVERLAP:
-        found.append((full_samples(keys, log_w), 1))
+    if len(keys) <= plan.overlap:
+        found.append((full_samples(keys, log_w, plan.samples), 1))
     if float(weights.sum()) > FULL:
-        found.append((dealt_samples(keys, log_w), 1001))
+        found.append((dealt_samples(keys, log_w, plan.samples), 1001))
     out = []
     for samples, first in found:
-        h = np.arange(first, first + BANDS, dtype=np.uint64) * _SPREAD
-        for row in samples.reshape(BANDS, ROWS).T:
+        h = np.arange(first, first + plan.bands, dtype=np.uint64) * _SPREAD
+        for row in samples.reshape(plan.bands, plan.rows).T:
             h = mix(h ^ row)
         out.append(h)
     return np.concatenate(out)
@@ -272,7 +289,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / total if total else 0.0
 
 
-def signatures(rows: DataFrame, shared) -> DataFrame:
+def signatures(rows: DataFrame, shared, plan: Sampling) -> DataFrame:
     """(doc_id, node, weight, bands) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -282,7 +299,7 @@ def signatures(rows: DataFrame, shared) -> DataFrame:
             own, w = texts.weighted(i, shared.value)
             node.append(texts.node(i))
             weight.append(float(w.sum()))
-            keys.append(bands(own, w).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64))
+            keys.append(bands(own, w, plan).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64))
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, type=pa.int64()), pa.array(weight), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "node", "weight", "bands"])
@@ -386,7 +403,7 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
 
 def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and (node, root, class_id, class_size) of the nodes of classes of two rows and more."""
-    spark = df.sparkSession
+    spark, plan = df.sparkSession, Sampling(threshold)
     bound_batches(df)
     rows = columns(df, doc_id=id_col, text=text_col)
     made: list[DataFrame] = []
@@ -396,7 +413,7 @@ def _solved(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tupl
         return made[-1]
 
     shared = Shared(spark, idf_of(rows))
-    signed = stored(signatures(rows, shared), "signatures")
+    signed = stored(signatures(rows, shared, plan), "signatures")
     worded = signed.filter("node IS NOT NULL")
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     placed = nodes.select(F.explode("bands").alias("bucket"), "node")
