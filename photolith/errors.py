@@ -15,3 +15,7 @@ class ConstraintError(PhotolithError):
 
 class SourceError(PhotolithError):
     """A source or sink that can't be used as asked."""
+
+
+class ConflictError(PhotolithError):
+    """A stored table that another writer changed while this one was at work."""

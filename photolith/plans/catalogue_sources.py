@@ -25,6 +25,7 @@ from photolith.plans.catalogue_sql import _ITEMS
 from photolith.sources import files, library
 from photolith.sources.catalog import Catalog
 from photolith.sources.scratch import shared_folder
+from photolith.sources.vault import copy_into_vault
 
 NOW = datetime(2024, 5, 1, 10)
 
@@ -126,7 +127,7 @@ def q76_vault_copies(spark, sf_dir):
     media = files.with_sha256(files.scan(files.list_files(spark, drive(spark, sf_dir))))
     plan = media.select("path", F.concat(F.lit("undated/"), "rel_path").alias("vault_path"), "sha256", F.col("size_bytes").alias("filesize"))
     vault = folder(spark, "vault")
-    wrong = [files.copy_into_vault(plan, vault).filter("error IS NOT NULL").count() for _ in range(2)]
+    wrong = [copy_into_vault(plan, vault).filter("error IS NOT NULL").count() for _ in range(2)]
     there = files.with_sha256(files.list_files(spark, vault)).select(F.col("rel_path").alias("path"), "size_bytes", "sha256")
     return verify.verify_vault(plan, there).withColumn("n_errors", F.lit(sum(wrong)))
 

@@ -1,35 +1,40 @@
-"""An ingest run as a plan: what would be imported, linked and queued; writing it is a separate step, so a dry run is the plan alone."""
+"""An ingest run as a plan: what would be imported, linked and queued. Carrying it out is a separate step (`photolith.plans.filing`), so a dry
+run is the plan alone."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolith import schemas
 from photolith.errors import ConstraintError
 from photolith.functions import dates, paths, values
+from photolith.functions.keys import dealt_anew
 from photolith.operators import dedupe, upsert
 from photolith.sources.catalog import Catalog
 from photolith.sources.scratch import settle
 
 
 def filed(new: DataFrame, taken: DataFrame) -> DataFrame:
-    """vault_path and renamed for new files, in best-first order.
+    """vault_path, spare_path and renamed for new files.
 
     A name goes to the first file that asks for it in its month's folder, unless the archive has it already; the others get eight
-    digits of their checksum. `taken` holds the archive's (vault_path, sha256).
+    digits of their checksum, which is everybody's spare name. `taken` holds the archive's (vault_path, sha256).
     """
-    wish = F.concat(dates.month_directory(F.col("taken_at")), F.lit("/"), paths.name(F.col("path")))
-    wished, old = upsert.unused(new, "_wish", "_old")
-    rows = new.withColumn(wished, wish).join(taken.select(F.col("vault_path").alias(wished), F.col("sha256").alias(old)), wished, "left")
-    nth = F.row_number().over(Window.partitionBy(wished).orderBy(dedupe.order_key()))
-    free = (F.col(old).isNull() & (nth == 1)) | F.coalesce(F.col(old) == F.col("sha256"), F.lit(False))
-    suffixed = F.concat(dates.month_directory(F.col("taken_at")), F.lit("/"), paths.stem(F.col("path")), F.lit("-"), F.substring("sha256", 1, 8), paths.suffix(F.col("path")))
-    rows = rows.withColumn("renamed", ~free)
-    return rows.withColumn("vault_path", F.when(F.col("renamed"), suffixed).otherwise(F.col(wished))).drop(wished, old)
+    folder = F.concat(dates.month_directory(F.col("taken_at")), F.lit("/"))
+    wished, old, first = upsert.unused(new, "_wish", "_old", "_first")
+    rows = new.withColumn(wished, F.concat(folder, paths.name(F.col("path"))))
+    # However many files ask for one name, only the best of them travels.
+    best = rows.groupBy(wished).agg(F.min(F.struct(dedupe.order_key().alias("key"), "path")).alias(first)).select(wished, F.col(first)["path"].alias(first))
+    rows = rows.join(taken.select(F.col("vault_path").alias(wished), F.col("sha256").alias(old)), wished, "left")
+    rows = rows.join(dealt_anew(best, wished), wished)
+    free = (F.col(old).isNull() & (F.col(first) == F.col("path"))) | F.coalesce(F.col(old) == F.col("sha256"), F.lit(False))
+    suffixed = F.concat(folder, paths.stem(F.col("path")), F.lit("-"), F.substring("sha256", 1, 8), paths.suffix(F.col("path")))
+    rows = rows.withColumns({"renamed": ~free, "spare_path": suffixed})
+    return rows.withColumn("vault_path", F.when(F.col("renamed"), suffixed).otherwise(F.col(wished))).drop(wished, old, first)
 
 
 @dataclass
@@ -66,7 +71,7 @@ def plan_ingest(identified: DataFrame, assets: DataFrame, links: DataFrame | Non
     new = filed(verdicts.filter(F.col("verdict") == dedupe.NEW), assets)
     located = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()
     new = new.withColumns({"original_filename": paths.name(F.col("path")), "media_type": paths.media_type(F.col("path")), "gps_source": F.when(located, "exif")})
-    new = settle(new.select("path", "sha256", "phash", "vault_path", "original_filename", "taken_at", "taken_at_source", "media_type", "filesize", "width", "height", "gps_latitude", "gps_longitude", "gps_source", "renamed", dedupe.order_key().alias("rank")), "new-assets")
+    new = settle(new.select("path", "sha256", "phash", "vault_path", "spare_path", "original_filename", "taken_at", "taken_at_source", "media_type", "filesize", "width", "height", "gps_latitude", "gps_longitude", "gps_source", "renamed", dedupe.order_key().alias("rank")), "new-assets")
 
     linked = verdicts.filter(F.col("verdict").isin(dedupe.EXACT, dedupe.TWIN)).select("sha256", F.col("path").alias("original_path"), "master_id", "master_path", F.col("verdict").alias("reason"), "filesize")
     if links is not None:  # a path that has a link keeps the one it has
@@ -82,25 +87,46 @@ def plan_ingest(identified: DataFrame, assets: DataFrame, links: DataFrame | Non
     return Plan(verdicts, new, linked, late.unionByName(undated))
 
 
+def source_row(catalog: Catalog, label: str | None, at: datetime) -> tuple[int | None, dict[str, DataFrame]]:
+    """The id of a source, and what has to be appended for it."""
+    if label is None:
+        return None, {}
+    sources = catalog.read("sources")
+    known = sources.filter(F.col("label") == label).select("id").head()
+    if known is not None:
+        return known[0], {}
+    last = sources.agg(F.max("id")).head()[0] or 0
+    return last + 1, {"sources": catalog.spark.createDataFrame([(last + 1, label, "other", at)], schemas.SOURCES)}
+
+
+def next_id(catalog: Catalog, table: str) -> int:
+    return (catalog.read(table).agg(F.max("id")).head()[0] or 0) + 1
+
+
+def link_rows(catalog: Catalog, links: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
+    """Links as rows to append; `ids` names the assets (id) of a run's files (path)."""
+    known = ids.select(F.col("path").alias("_path"), F.col("id").alias("_id"))
+    links = links.join(known, F.col("master_path") == F.col("_path"), "left").withColumn("master_asset_id", F.coalesce("master_id", "_id"))
+    return upsert.numbered(links, ["original_path"], next_id(catalog, "linked_files")).withColumn("seen_at", F.lit(at).cast("timestamp"))
+
+
+def review_rows(catalog: Catalog, reviews: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
+    """Review entries as rows to append."""
+    known = ids.select(F.col("path").alias("_path"), F.col("id").alias("_id"))
+    reviews = reviews.join(known, F.col("asset_path") == F.col("_path"), "left").withColumn("asset_id", F.col("_id"))
+    reviews = upsert.numbered(reviews, ["original_path", "kind"], next_id(catalog, "review_queue"))
+    return reviews.withColumns({"status": F.lit("open"), "created_at": F.lit(at).cast("timestamp")})
+
+
 def apply_plan(plan: Plan, catalog: Catalog, at: datetime, source: str | None = None) -> None:
-    """Write a plan's rows in one commit. A second run over the same files imports nothing."""
-    tables = {t: catalog.read(t) for t in ("sources", "assets", "linked_files", "review_queue")}
-    source_id, appended = None, {}
-    if source is not None:
-        known = tables["sources"].filter(F.col("label") == source).select("id").head()
-        if known is None:
-            last = tables["sources"].agg(F.max("id")).head()[0] or 0
-            appended["sources"] = catalog.spark.createDataFrame([(last + 1, source, "other", at)], schemas.SOURCES)
-        source_id = known[0] if known else last + 1
-    next_id = lambda t: (tables[t].agg(F.max("id")).head()[0] or 0) + 1
-    moment = F.lit(at).cast("timestamp")
-    assets = settle(upsert.numbered(plan.assets, ["rank"], next_id("assets")), "numbered-assets")
-    rows = assets.withColumn("imported_at", moment).withColumn("source_id", F.lit(source_id).cast("bigint"))
-    ids = assets.select(F.col("path").alias("_path"), F.col("id").alias("_id"))
-    links = plan.links.join(ids, F.col("master_path") == F.col("_path"), "left").withColumn("master_asset_id", F.coalesce("master_id", "_id"))
-    links = upsert.numbered(links, ["original_path"], next_id("linked_files")).withColumn("seen_at", moment)
-    reviews = plan.reviews.join(ids, F.col("asset_path") == F.col("_path"), "left").withColumn("asset_id", F.col("_id"))
-    reviews = upsert.numbered(reviews, ["original_path", "kind"], next_id("review_queue")).withColumns({"status": F.lit("open"), "created_at": moment})
+    """Record a plan in one commit, for files that are in the vault or need no copy; `filing.ingest` copies them first.
+
+    A second run over the same files imports nothing.
+    """
+    source_id, appended = source_row(catalog, source, at)
+    assets = settle(upsert.numbered(plan.assets, ["rank"], next_id(catalog, "assets")), "numbered-assets")
+    rows = assets.withColumn("imported_at", F.lit(at).cast("timestamp")).withColumn("source_id", F.lit(source_id).cast("bigint"))
     if not rows.filter("vault_path IS NULL OR sha256 IS NULL").isEmpty():
         raise ConstraintError("files without a checksum or a place can't be imported")
+    links, reviews = link_rows(catalog, plan.links, assets, at), review_rows(catalog, plan.reviews, assets, at)
     catalog.commit(appended | {"assets": rows, "linked_files": links, "review_queue": reviews})

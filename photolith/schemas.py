@@ -94,14 +94,18 @@ def orphans(df: DataFrame, column: str, target: DataFrame, id_col: str = "id") -
     return df.filter(F.col(column).isNotNull()).join(target.select(F.col(id_col).alias("_id")), F.col(column) == F.col("_id"), "left_anti")
 
 
-def check(table: str, df: DataFrame, others: dict[str, DataFrame] | None = None) -> None:
-    """Raise a ConstraintError where rows break a key, a reference or a not-null rule."""
+def check(table: str, df: DataFrame, others: dict[str, DataFrame] | None = None, known: DataFrame | None = None) -> None:
+    """Raise a ConstraintError where rows break a key, a reference or a not-null rule.
+
+    known: rows that were checked before; only their keys are read, and only the new rows are checked against them.
+    """
     spec = TABLES[table]
     required = [f.name for f in spec.schema if not f.nullable]
     if required and not df.filter(" OR ".join(f"{c} IS NULL" for c in required)).isEmpty():
         raise ConstraintError(f"{table}: null in one of {', '.join(required)}")
     for key in spec.unique:
-        if not duplicate_keys(df, key).isEmpty():
+        again = known is not None and not known.select(*key).join(df.select(*key), list(key), "left_semi").isEmpty()
+        if again or not duplicate_keys(df, key).isEmpty():
             raise ConstraintError(f"{table}: {', '.join(key)} is not unique")
     for column, target in spec.refers.items():
         if others and target in others and not orphans(df, column, others[target]).isEmpty():

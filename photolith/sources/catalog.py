@@ -1,8 +1,9 @@
 """Stored tables with checked appends and atomic replacement.
 
 A table is a list of part folders of Parquet files; one small file, the state, lists those of all tables. A writer fills new parts, checks them, and then
-renames a new state over the old one, so readers see all of a change, over however many tables, or nothing of it. An append copies nothing.
-One writer at a time.
+renames a new state over the old one, so readers see all of a change, over however many tables, or nothing of it. An append copies nothing,
+and reads of what is there only the keys that new rows could break. One writer at a time: a commit is refused where the state has changed
+since the commit began. The state also holds notes, which appear together with the rows that they speak of.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from photolith import schemas
-from photolith.errors import SourceError
+from photolith.errors import ConflictError, SourceError
 
 
 class Catalog:
@@ -78,19 +79,27 @@ class Catalog:
         schemas.conform(rows, schemas.TABLES[table].schema).write.parquet(f"{self.root}/{table}/{path}")
         return {"path": path, "schema": max(schemas.TABLES[table].versions)}
 
-    def commit(self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, checked: bool = True) -> None:
-        """Append to and replace tables, all or none of them; raises ConstraintError where a table would break its rules.
+    def commit(self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, checked: bool = True, notes: dict | None = None) -> None:
+        """Append to and replace tables and notes, all or none of them; raises ConstraintError where a table would break its rules.
 
-        What replaces a table's rows may be made from them.
+        What replaces a table's rows may be made from them. Of what is appended only the new rows are checked, against the keys that are there.
         """
-        new = {t: [*self._parts(t), self._write(t, rows)] for t, rows in (appended or {}).items()}
+        before = self._get("_state") or {}
+        new = {t: [*before.get(t, []), self._write(t, rows)] for t, rows in (appended or {}).items()}
         new |= {t: [self._write(t, rows)] for t, rows in (replaced or {}).items()}
+        after = before | new
         if checked:
-            state = (self._get("_state") or {}) | new
-            for table in new:
-                others = {t: self._rows(t, state.get(t, [])) for t in schemas.TABLES[table].refers.values()}
-                schemas.check(table, self._rows(table, new[table]), others)
-        self._put("_state", (self._get("_state") or {}) | new)
+            for table, parts in new.items():
+                others = {t: self._rows(t, after.get(t, [])) for t in schemas.TABLES[table].refers.values()}
+                known = self._rows(table, before[table]) if table in (appended or {}) and before.get(table) else None
+                schemas.check(table, self._rows(table, parts[-1:]), others, known)
+        if (self._get("_state") or {}).get("_serial", 0) != before.get("_serial", 0):
+            raise ConflictError(f"the index at {self.root} was changed meanwhile")
+        self._put("_state", after | {"_serial": before.get("_serial", 0) + 1, "_notes": before.get("_notes", {}) | (notes or {})})
+
+    def note(self, name: str):
+        """What the last commit that had a note of this name said, or None."""
+        return (self._get("_state") or {}).get("_notes", {}).get(name)
 
     def append(self, table: str, rows: DataFrame, checked: bool = True) -> None:
         """Add rows; raises ConstraintError, and adds nothing, where the table would break its rules."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import hashlib
 import json
 import os
 from collections.abc import Callable
@@ -19,9 +18,9 @@ from photolith import schemas
 from photolith.errors import SourceError
 from photolith.functions import dates, paths, text, values
 from photolith.sources.scratch import settle
+from photolith.sources.vault import with_sha256
 
 MANIFEST_NAME = "manifest.csv"
-CHUNK = 1 << 20
 
 
 def _entries(folder: str):
@@ -77,27 +76,6 @@ def scan(files: DataFrame, skip=()) -> DataFrame:
     return files.filter(paths.is_content(F.col("rel_path"), skip))
 
 
-def with_sha256(files: DataFrame, column: str = "sha256") -> DataFrame:
-    """`files` with the SHA-256 of each `path`, read in chunks where the tasks run; a file that can't be read has none."""
-    schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
-                digest = hashlib.sha256()
-                try:
-                    with open(path, "rb") as f:
-                        while chunk := f.read(CHUNK):
-                            digest.update(chunk)
-                    found.append(digest.hexdigest())
-                except OSError:
-                    found.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.string())], names=[*batch.schema.names, column])
-
-    return files.mapInArrow(run, schema)
-
-
 def read_sidecars(spark: SparkSession, files: DataFrame, media: DataFrame) -> DataFrame:
     """(rel_path, date, albums, persons) of media with a JSON sidecar.
 
@@ -243,49 +221,3 @@ def write_report(one_row: DataFrame, path: str, **more) -> None:
     """A one-row table, and further values, as JSON."""
     said = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in one_row.head().asDict().items()}
     Path(path).expanduser().write_text(json.dumps(said | more, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
-
-
-def copy_into_vault(assets: DataFrame, vault: str) -> DataFrame:
-    """Copy (path, vault_path, sha256) into a mounted vault where tasks run; (vault_path, error) of each, error null if it's there.
-
-    A file is written aside, checked, and put in place only where nothing is; bytes that are there already are
-    fine if they are the same, and are never replaced, so a task that runs twice does no harm.
-    """
-
-    def digest(path: str) -> str:
-        found = hashlib.sha256()
-        with open(path, "rb") as f:
-            while chunk := f.read(CHUNK):
-                found.update(chunk)
-        return found.hexdigest()
-
-    def copy(source: str, target: str, want: str) -> str | None:
-        if os.path.exists(target):
-            return None if digest(target) == want else "other content is there"
-        import shutil
-        import uuid
-
-        aside = f"{target}.{uuid.uuid4().hex}.part"
-        try:
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            shutil.copy2(source, aside)
-            if digest(aside) != want:
-                return "the copy differs from its checksum"
-            try:
-                os.link(aside, target)
-            except FileExistsError:
-                return None if digest(target) == want else "other content is there"
-            return None
-        except OSError as error:
-            return str(error)
-        finally:
-            if os.path.exists(aside):
-                os.unlink(aside)
-
-    def run(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            errors = [copy(p, os.path.join(vault, v), s) for p, v, s in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(errors, type=pa.string())], names=["vault_path", "error"])
-
-    return assets.select("path", "vault_path", "sha256").mapInArrow(run, "vault_path string, error string")

@@ -15,6 +15,7 @@ from photolith.plans.ingest import apply_plan, plan_ingest
 from photolith.sources import files as S
 from photolith.sources import library
 from photolith.sources.catalog import Catalog
+from photolith.sources.vault import copy_into_vault, file_one
 from photolith.streaming.inbox import take_in
 
 NOW = datetime(2024, 5, 1, 10, 0, 0)
@@ -115,10 +116,10 @@ def test_metadata_and_vault(spark, drive, tmp_path):
     vault = tmp_path / "vault"
     plan = S.with_sha256(media).withColumn("vault_path", F.concat(F.lit("undated/"), F.regexp_extract("rel_path", "([^/]*)$", 1)))
     for _ in range(2):
-        assert all(r.error is None for r in S.copy_into_vault(plan, str(vault)).collect())
+        assert all(r.error is None for r in copy_into_vault(plan, str(vault)).collect())
     assert (vault / "undated/a.jpg").read_bytes() == b"A" and not list(vault.rglob("*.part"))
     (vault / "undated/a.jpg").write_bytes(b"other")
-    assert [r.vault_path for r in S.copy_into_vault(plan, str(vault)).collect() if r.error] == ["undated/a.jpg"] and (vault / "undated/a.jpg").read_bytes() == b"other"
+    assert [r.path.rsplit("/", 1)[1] for r in copy_into_vault(plan, str(vault)).collect() if r.error] == ["a.jpg"] and (vault / "undated/a.jpg").read_bytes() == b"other"
 
 
 def identified(spark, rows):
@@ -238,3 +239,24 @@ def test_backfill(spark):
     read = spark.createDataFrame([("p1", "1.5", "2.5"), ("p2", "0", "0"), ("p4", None, None)], "vault_path string, latitude string, longitude string")
     updates, counts = enrich.backfill(a, read)
     assert [r.id for r in updates.collect()] == [1] and tuple(counts.head()) == (3, 1, 2, 1)
+
+
+def test_files_are_placed_without_hard_links(tmp_path, monkeypatch):
+    import errno
+    import os
+
+    def none(*_):
+        raise OSError(errno.EPERM, "no links here")
+
+    monkeypatch.setattr(os, "link", none)
+    (tmp_path / "a.jpg").write_bytes(b"A")
+    want, vault = hashlib.sha256(b"A").hexdigest(), str(tmp_path / "vault")
+    source = str(tmp_path / "a.jpg")
+    assert file_one(source, vault, ["undated/a.jpg"], want) == ("undated/a.jpg", None) == file_one(source, vault, ["undated/a.jpg"], want)
+    (tmp_path / "vault/undated/b.jpg").write_bytes(b"other")
+    assert file_one(source, vault, ["undated/b.jpg", "undated/b-1.jpg"], want) == ("undated/b-1.jpg", None)
+    assert file_one(source, vault, ["undated/b.jpg"], want) == (None, "other content is there")
+    assert file_one(source, vault, ["x/c.jpg"], "0" * 64)[1] == "the copy differs from its checksum" and not os.path.exists(f"{vault}/x/c.jpg")
+    assert file_one(str(tmp_path / "gone.jpg"), vault, ["x/d.jpg"], want)[1].startswith("FileNotFoundError")
+    assert file_one(source, vault, ["x/e.jpg"], None) == (None, "no checksum")
+    assert sorted(p.name for p in (tmp_path / "vault").rglob("*") if p.is_file()) == ["a.jpg", "b-1.jpg", "b.jpg"]
