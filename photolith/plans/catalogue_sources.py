@@ -20,11 +20,12 @@ from photolith.config import Contract, Family, Subject
 from photolith.errors import SourceError
 from photolith.functions import paths, text, values
 from photolith.operators import contract, enrich, inventory, stats, upsert, verify
+from photolith.plans import filing
 from photolith.plans.catalogue import FAMILY, items, located, registered, table
 from photolith.plans.catalogue_sql import _ITEMS
 from photolith.sources import files, library
 from photolith.sources.catalog import Catalog
-from photolith.sources.scratch import shared_folder
+from photolith.sources.scratch import settle, shared_folder
 from photolith.sources.vault import copy_into_vault
 
 NOW = datetime(2024, 5, 1, 10)
@@ -39,14 +40,14 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def put(rows: DataFrame, root: str) -> None:
-    """Write (rel_path, content) as files where tasks run."""
+    """Write (rel_path, content), texts or bytes, as files where tasks run."""
 
     def run(batches):
         for batch in batches:
             for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
                 with open(f"{root}/{rel}", "wb") as f:
-                    f.write((content or "").encode())
+                    f.write(content if isinstance(content, bytes) else (content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
     os.makedirs(root, exist_ok=True)
@@ -132,6 +133,31 @@ def q76_vault_copies(spark, sf_dir):
     return verify.verify_vault(plan, there).withColumn("n_errors", F.lit(sum(wrong)))
 
 
+def filing_run(spark, sf_dir):
+    """A drive taken into a vault, after every 13th picture has changed, every 17th found both its names taken, and every 19th one."""
+    root, vault = drive(spark, sf_dir), folder(spark, "vault")
+    known = files.identify(files.scan(files.list_files(spark, root)), spark.createDataFrame([], "path string, taken_at timestamp_ntz, taken_at_source string, width int, height int, gps_latitude double, gps_longitude double"))
+    known = settle(known, "identified")
+    number = F.regexp_extract("rel_path", r"(\d+)\.jpg$", 1).cast("long")
+    put(known.filter(number % 13 == 0).select("rel_path", F.lit("changed").alias("content")), root)
+    other, name = F.lit("other content").alias("content"), F.concat(F.lit("undated/P "), number.cast("string"))
+    put(known.filter((number % 17 == 0) | (number % 19 == 0)).select(F.concat(name, F.lit(".jpg")).alias("rel_path"), other), vault)
+    put(known.filter(number % 17 == 0).select(F.concat(name, F.lit("-"), F.substring("sha256", 1, 8), F.lit(".jpg")).alias("rel_path"), other), vault)
+    found = filing.ingest(known, Catalog(spark, folder(spark, "index")), vault, "first", NOW, "drive", chunk=1 + known.count() // 3)
+    return found.withColumn("rel_path", paths.relative_to(F.col("path"), root))
+
+
+@registered
+def q86_filing(spark, sf_dir):
+    """What became of every file of a run some of whose copies fail."""
+    return filing_run(spark, sf_dir).select("rel_path", "outcome", "renamed", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@registered
+def q87_filing_balance(spark, sf_dir):
+    return filing.counts(filing_run(spark, sf_dir))
+
+
 @registered
 def q77_sinks(spark, sf_dir):
     """A selection's ids as lines of a file, and a report as JSON, read back."""
@@ -227,6 +253,10 @@ placed AS (SELECT *, CASE k WHEN 3 THEN '.trashes/' || doc_id || '.jpg' WHEN 4 T
 media AS (SELECT *, doc_id % 5 = 0 AND doc_id % 25 <> 0 AND doc_id % 35 NOT IN (5, 10) AS told FROM placed WHERE k NOT IN (3, 4, 5)),
 side AS (SELECT doc_id, lang || '/P ' || doc_id || '.jpg.json' AS rel_path,  CASE WHEN doc_id % 25 = 0 THEN '[1]' WHEN doc_id % 35 = 5 THEN replace(said, '"', '''') WHEN doc_id % 35 = 10 THEN said || ' x' ELSE said END AS content FROM (SELECT *, '{{"date":"2020-01-0' || (doc_id % 9 + 1) || '","albums":["' || lang || '","x"],"persons":["Trey","' || source || '"]}}' AS said FROM f WHERE doc_id % 5 = 0))
 """
+_FILED = f"""{_NAMES},
+copies AS (SELECT doc_id, rel_path, strlen(content) AS size, doc_id % 13 = 0 AS changed, doc_id % 13 = 0 OR doc_id % 17 = 0 AS bad, sha256(content) AS s FROM media),
+firsts AS (SELECT *, min(CASE WHEN NOT bad THEN rel_path END) OVER (PARTITION BY s) AS good FROM copies),
+filed AS (SELECT *, CASE WHEN rel_path = good THEN 'imported' WHEN good IS NULL OR rel_path < good THEN 'failed' ELSE 'linked' END AS outcome FROM firsts)"""
 _DEMO = ", ".join(f"('{d}', {n})" for d, n in (("INCLUDE_PRE_CUTOFF", 16), ("INCLUDE_TAGGED", 6), ("EXCLUDE_NOT_OWNED", 16), ("EXCLUDE_ALBUM", 48), ("EXCLUDE_SCREENSHOT", 8), ("EXCLUDE_UNTAGGED", 2), ("REVIEW_UNKNOWN_DATE", 16)))
 
 ORACLE_SQL: dict[str, str] = {
@@ -240,6 +270,11 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN told THEN 'sidecar' WHEN doc_id % 4 > 1 THEN 'exif' ELSE 'unknown' END AS taken_at_source, CAST(CASE WHEN doc_id % 4 > 0 AND doc_id % 50 > 0 THEN doc_id % 50 END AS INTEGER) AS width,
         CASE WHEN doc_id % 4 > 0 THEN 20 END AS height, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 > 0 THEN CAST(10.5 AS DOUBLE) END AS gps_latitude, sha256(content) AS sha256 FROM media""",
     "q76_vault_copies": f"WITH {_NAMES} SELECT 'undated/' || rel_path AS path, 'ok' AS status, 0 AS n_errors FROM media",
+    "q86_filing": f"""WITH {_FILED} SELECT rel_path, outcome, outcome = 'imported' AND doc_id % 19 = 0 AS renamed,
+        CASE WHEN outcome <> 'failed' THEN '' WHEN doc_id % 17 = 0 THEN 'other content is there' ELSE 'the copy differs from its checksum' END AS error FROM filed""",
+    "q87_filing_balance": f"""WITH {_FILED} SELECT count(*) AS scanned, count(*) FILTER (WHERE outcome = 'imported') AS imported, count(*) FILTER (WHERE outcome = 'linked') AS linked, CAST(0 AS BIGINT) AS deferred,
+        count(*) FILTER (WHERE outcome = 'failed') AS failed, CAST(coalesce(sum(size) FILTER (WHERE outcome = 'imported'), 0) AS BIGINT) AS imported_bytes, CAST(coalesce(sum(size) FILTER (WHERE outcome = 'linked'), 0) AS BIGINT) AS linked_bytes,
+        count(*) FILTER (WHERE outcome = 'imported') AS undated, count(*) FILTER (WHERE outcome = 'imported' AND doc_id % 19 = 0) AS renamed, true AS balanced FROM filed""",
     "q77_sinks": f"""WITH {_ITEMS}, s AS (SELECT uuid FROM decided WHERE is_in) SELECT uuid, CAST((SELECT count(*) FROM s) AS INTEGER) AS n_written, (SELECT count(*) FROM s) AS n, 'events' AS library FROM s""",
     "q78_index": """
         SELECT count(*) AS assets, CAST(sum(o_custkey) AS BIGINT) AS total_bytes, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS photos, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS videos, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS undated,
