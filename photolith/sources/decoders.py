@@ -1,6 +1,6 @@
-"""Readers that need tools this library doesn't depend on: picture decoding and an embedded-metadata program.
+"""Perceptual hashes, and readers that need tools this library doesn't depend on: other picture decoders and an embedded-metadata program.
 
-Both degrade to unknown values where the tool is missing or a file can't be read; neither ever guesses.
+What needs a tool degrades to unknown values where it is missing or a file can't be read; nothing ever guesses.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import subprocess
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,15 +17,18 @@ from pyspark.sql import types as T
 
 from photolith.errors import SourceError
 from photolith.functions import paths
+from photolith.functions.keys import unused
+from photolith.sources import pixels
 from photolith.sources.files import DATE_TAGS, SIZE_TAGS, PLACE_TAGS
+from photolith.sources.vault import dealt_out
 
 #: The program and its options: JSON out, plain numbers, UTF-8 names, names from standard input.
 PROGRAM = "exiftool"
 OPTIONS = ("-json", "-n", "-charset", "filename=utf8", "-@", "-")
 
 
-def _picture_hash():
-    """A function from a path to a hash, or None where the decoders aren't installed."""
+def _other_hash():
+    """A function from a path to a hash for formats that `pixels` doesn't decode, or None where no decoder is installed."""
     try:
         import imagehash
         from PIL import Image
@@ -41,17 +45,30 @@ def _picture_hash():
     return of
 
 
+def _square(path: str):
+    try:
+        with open(path, "rb") as f:
+            return pixels.square(f.read())
+    except OSError:
+        return None
+
+
 def with_phash(files: DataFrame, column: str = "phash") -> DataFrame:
-    """`files` with the 64-bit perceptual hash (hexadecimal) of each picture at `path`; null for video, for other formats, and where
-    the decoders aren't installed."""
-    marked = files.withColumn(column, F.when(paths.can_hash(F.col("path")), F.col("path")))
+    """`files` with the 64-bit perceptual hash (hexadecimal) of each picture at `path`; null for video, for formats that can't be hashed, and
+    for those that need a decoder that isn't installed. Pictures are decoded one by one and transformed by batches."""
+    (wanted,) = unused(files, "_wanted")
+    marked = dealt_out(files.withColumn(wanted, F.when(paths.can_hash(F.col("path")), F.col("path"))))
     schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches):
-        of = _picture_hash()
+        other = _other_hash()
         for batch in batches:
-            found = [of(p) if p is not None and of else None for p in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, type=pa.string())], names=batch.schema.names)
+            asked = batch.column(batch.num_columns - 1).to_pylist()
+            squares = {i: s for i, p in enumerate(asked) if p is not None and (s := _square(p)) is not None}
+            found = dict(zip(squares, pixels.hashes(np.array(list(squares.values()))), strict=True))
+            if other is not None:
+                found |= {i: other(p) for i, p in enumerate(asked) if p is not None and i not in squares}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([found.get(i) for i in range(len(asked))], type=pa.string())], names=[*batch.schema.names[:-1], column])
 
     return marked.mapInArrow(run, schema)
 

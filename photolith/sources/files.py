@@ -18,7 +18,7 @@ from photolith import schemas
 from photolith.errors import SourceError
 from photolith.functions import dates, paths, text, values
 from photolith.sources.scratch import settle
-from photolith.sources.vault import with_sha256
+from photolith.sources.vault import dealt_out, with_sha256
 
 MANIFEST_NAME = "manifest.csv"
 
@@ -185,7 +185,7 @@ def read_embedded(files: DataFrame, reader: Callable[[list[str]], pd.DataFrame],
                 said = reader(pdf["path"].iloc[a : a + batch].tolist()).reindex(columns=names).astype(object)
                 yield pd.DataFrame({n: pd.Series([None if pd.isna(v) else str(v) for v in said[n]], dtype=object) for n in names})
 
-    return files.select("path").mapInPandas(run, ", ".join(f"{n} string" for n in names))
+    return dealt_out(files.select("path")).mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
 
 def metadata(embedded: DataFrame, side: DataFrame | None = None) -> DataFrame:
