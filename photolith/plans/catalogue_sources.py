@@ -10,6 +10,7 @@ import uuid
 from datetime import date, datetime
 from urllib.parse import urlparse
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,10 @@ from photolith.operators import contract, enrich, inventory, stats, upsert, veri
 from photolith.plans import filing
 from photolith.plans.catalogue import FAMILY, items, located, registered, table
 from photolith.plans.catalogue_sql import _ITEMS
-from photolith.sources import files, library
+from photolith.plans.made_files import FORMS, made, picture
+from photolith.sources import decoders, files, library
 from photolith.sources.catalog import Catalog
+from photolith.sources.embedded import byte_reader
 from photolith.sources.scratch import settle, shared_folder
 from photolith.sources.vault import copy_into_vault
 
@@ -133,6 +136,49 @@ def q76_vault_copies(spark, sf_dir):
     return verify.verify_vault(plan, there).withColumn("n_errors", F.lit(sum(wrong)))
 
 
+@registered
+def q88_embedded_bytes(spark, sf_dir):
+    """What the bytes of encoded files tell, whose metadata are made from documents; some files are cut off, some go in circles."""
+    root = folder(spark, "camera")
+
+    def encoded(batches):
+        for batch in batches:
+            names, contents = [], []
+            for n in batch.column(0).to_pylist():
+                form = FORMS[n % len(FORMS)]
+                date = f"{2000 + n % 20}:{n % 12 + 1:02}:{n % 28 + 1:02} {n % 24:02}:30:{n % 60:02}" if n % 5 else None
+                lat, lon = n % 181 - 90, n % 361 - 180
+                place = (lat + (0.5 if lat >= 0 else -0.5), lon + (0.5 if lon >= 0 else -0.5)) if n % 4 else None
+                data = made(form, "<>"[n % 2], date, (n % 5000 + 17, n % 3000 + 17), place, cyclic=n % 11 == 2)
+                names.append(f"{n}.{form}")
+                contents.append(data[:12] if n % 11 == 1 else data)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, type=pa.binary())], names=["rel_path", "content"])
+
+    put(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long")).mapInArrow(encoded, "rel_path string, content binary"), root)
+    found = files.metadata(files.read_embedded(files.scan(files.list_files(spark, root)), byte_reader))
+    taken = F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken_at")
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), taken, "taken_at_source", "width", "height", "gps_latitude", "gps_longitude")
+
+
+@registered
+def q89_perceptual_hashes(spark, sf_dir):
+    """Hashes of pictures of 32 x 32 whose 8 x 8 fields are the components of embeddings, decoded from PNG, BMP and TIFF files."""
+    root, forms = folder(spark, "pictures"), ("png", "bmp", "tif")
+
+    def encoded(batches):
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            found = [(f"{n}.{forms[n % 3]}", picture(np.array(v, dtype=np.uint8).reshape(8, 8).repeat(4, axis=0).repeat(4, axis=1), forms[n % 3])) for n, v in rows]
+            names, contents = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(contents, type=pa.binary())], names=["rel_path", "content"])
+
+    level = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 256 + 128))).cast("int")
+    vectors = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select(F.col("vec_id").cast("long"), F.transform("embedding", level))
+    put(vectors.mapInArrow(encoded, "rel_path string, content binary"), root)
+    found = decoders.with_phash(files.scan(files.list_files(spark, root)))
+    return found.select(F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("bigint").alias("vec_id"), "phash")
+
+
 def filing_run(spark, sf_dir):
     """A drive taken into a vault, after every 13th picture has changed, every 17th found both its names taken, and every 19th one."""
     root, vault = drive(spark, sf_dir), folder(spark, "vault")
@@ -270,6 +316,23 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN told THEN 'sidecar' WHEN doc_id % 4 > 1 THEN 'exif' ELSE 'unknown' END AS taken_at_source, CAST(CASE WHEN doc_id % 4 > 0 AND doc_id % 50 > 0 THEN doc_id % 50 END AS INTEGER) AS width,
         CASE WHEN doc_id % 4 > 0 THEN 20 END AS height, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 > 0 THEN CAST(10.5 AS DOUBLE) END AS gps_latitude, sha256(content) AS sha256 FROM media""",
     "q76_vault_copies": f"WITH {_NAMES} SELECT 'undated/' || rel_path AS path, 'ok' AS status, 0 AS n_errors FROM media",
+    "q88_embedded_bytes": """
+        WITH d AS (SELECT doc_id AS n, doc_id % 181 - 90 AS lat, doc_id % 361 - 180 AS lon, doc_id % 11 AS k, ['jpg', 'tif', 'png', 'webp', 'mov', 'heic'][doc_id % 6 + 1] AS form FROM documents),
+        t AS (SELECT *, n || '.' || form AS name, k = 1 OR (k = 2 AND form = 'mov') AS lost, n % 4 > 0 AND abs(lat) < 90 AND abs(lon) < 180 AS placed FROM d),
+        w AS (SELECT *, NOT lost AND k <> 2 AND n % 5 > 0 AS dated FROM t)
+        SELECT name, CASE WHEN dated THEN printf('%d-%02d-%02d %02d:30:%02d', 2000 + n % 20, n % 12 + 1, n % 28 + 1, n % 24, n % 60) END AS taken_at, CASE WHEN dated THEN 'exif' ELSE 'unknown' END AS taken_at_source,
+               CASE WHEN NOT lost THEN CAST(n % 5000 + 17 AS INTEGER) END AS width, CASE WHEN NOT lost THEN CAST(n % 3000 + 17 AS INTEGER) END AS height,
+               CASE WHEN NOT lost AND placed THEN lat + CASE WHEN lat >= 0 THEN CAST(0.5 AS DOUBLE) ELSE -0.5 END END AS gps_latitude,
+               CASE WHEN NOT lost AND placed THEN lon + CASE WHEN lon >= 0 THEN CAST(0.5 AS DOUBLE) ELSE -0.5 END END AS gps_longitude FROM w""",
+    "q89_perceptual_hashes": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor(CAST(x AS DOUBLE) * 256 + 128)))) AS p FROM embeddings WHERE len(embedding) = 64),
+        c AS (SELECT u, i, sum(2 * cos(pi() * u * (2 * (4 * i + s) + 1) / 64)) AS c FROM range(8) a(u), range(8) b(i), range(4) d(s) GROUP BY u, i),
+        f AS (SELECT vec_id, i.generate_series AS y, j.generate_series AS x, p[8 * i.generate_series + j.generate_series + 1] AS level FROM v, generate_series(0, 7) i, generate_series(0, 7) j),
+        h AS (SELECT vec_id, y, u, sum(level * c) AS part FROM f JOIN c ON f.x = c.i GROUP BY vec_id, y, u),
+        t AS (SELECT vec_id, c.u AS down, h.u AS across, round(sum(part * c), 6) AS z FROM h JOIN c ON h.y = c.i GROUP BY vec_id, c.u, h.u),
+        m AS (SELECT vec_id, median(z) AS middle FROM t GROUP BY vec_id),
+        b AS (SELECT vec_id, (down * 8 + across) // 4 AS digit, sum(CASE WHEN z > middle THEN 1 << CAST(3 - (down * 8 + across) % 4 AS INTEGER) ELSE 0 END) AS value FROM t JOIN m USING (vec_id) GROUP BY vec_id, digit)
+        SELECT vec_id, string_agg('0123456789abcdef'[CAST(value AS INTEGER) + 1], '' ORDER BY digit) AS phash FROM b GROUP BY vec_id""",
     "q86_filing": f"""WITH {_FILED} SELECT rel_path, outcome, outcome = 'imported' AND doc_id % 19 = 0 AS renamed,
         CASE WHEN outcome <> 'failed' THEN '' WHEN doc_id % 17 = 0 THEN 'other content is there' ELSE 'the copy differs from its checksum' END AS error FROM filed""",
     "q87_filing_balance": f"""WITH {_FILED} SELECT count(*) AS scanned, count(*) FILTER (WHERE outcome = 'imported') AS imported, count(*) FILTER (WHERE outcome = 'linked') AS linked, CAST(0 AS BIGINT) AS deferred,
