@@ -2,8 +2,8 @@
 
 Files are taken best first: most pixels, then most bytes, then by path. A file is new unless a file taken as new before it, or one in
 the archive, has its checksum or a perceptual hash within the threshold. That is the first maximal independent set of the
-conflict graph in this order, and is found in rounds: a file is new once all its better conflicts are known not to
-be new, and isn't as soon as one of them is. Only the best file of each checksum and of each hash can be new, so only
+conflict graph in this order: a file is new once all its better conflicts are known not to be new, and isn't as soon as one
+of them is. The graph falls apart into components, most of them small, which are decided on inside tasks. Only the best file of each checksum and of each hash can be new, so only
 those are in the graph, and masters are found for hashes, not for files: a large group of copies adds no edges and no pairs.
 
 `bits` is a 64-bit hash or an array as `values.hash_words` makes it. Defined cases: a file without a hash is compared by its checksum alone;
@@ -14,14 +14,21 @@ new; an empty batch gives no rows; further columns are passed on, whatever their
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photolith.functions import values
 from photolith.functions.keys import dealt_anew
+from photolith.operators.graph import components
 from photolith.operators.similarity import near_hashes
 from photolith.sources.scratch import discard, settle
 
+#: The most edges of a component that one task decides on.
+EDGES = 200_000
+
 NEW, EXACT, TWIN, AMBIGUOUS, HIGHER = "new", "exact_duplicate", "low_res_twin", "ambiguous_match", "higher_res_arrived"
 
 
@@ -69,11 +76,75 @@ def classify(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> Dat
     )
 
 
+def _first_set(batches):
+    """The chosen nodes of groups (grp, better, worse), whose rows lie together: a node is decided once all better ones are."""
+
+    def chosen(better: list, worse: list) -> list:
+        after, open_, out = defaultdict(list), defaultdict(int), set()
+        for x, y in zip(better, worse, strict=True):
+            after[x].append(y)
+            open_[y] += 1
+        ready = [x for x in after if x not in open_]
+        found = []
+        while ready:
+            node = ready.pop()
+            free = node not in out
+            if free:
+                found.append(node)
+            for y in after.get(node, ()):
+                if free:
+                    out.add(y)
+                open_[y] -= 1
+                if not open_[y]:
+                    ready.append(y)
+        return found
+
+    group, better, worse = None, [], []
+    for batch in batches:
+        groups = batch.column(0)
+        edges = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            own = groups[a].as_py()
+            if own != group and better:
+                yield pa.RecordBatch.from_arrays([pa.array(chosen(better, worse), type=pa.string())], names=["node"])
+                better, worse = [], []
+            group = own
+            better += batch.column(1)[a:b].to_pylist()
+            worse += batch.column(2)[a:b].to_pylist()
+    if better:
+        yield pa.RecordBatch.from_arrays([pa.array(chosen(better, worse), type=pa.string())], names=["node"])
+
+
 def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes (node) of the first maximal independent set, given edges (better, worse); a written table.
+    """The nodes (node) of the first maximal independent set, given edges (better, worse) between texts; a written table.
 
-    Each round is written and the one before it deleted. There are as many as the longest chain of decisions needs.
+    Components of the graph are decided apart from each other: those of up to EDGES edges in order inside a task, one after the other as they
+    stream through it, so the length of their chains doesn't matter; only larger ones by rounds. A graph of up to EDGES edges
+    needs no components. The result is the same any way.
     """
+    edges = settle(edges.select("better", "worse").distinct(), "conflicts")
+    free = nodes.select("node").join(edges.select(F.col("better").alias("node")).unionByName(edges.select(F.col("worse").alias("node"))).distinct(), "node", "left_anti")
+    large = None
+    if edges.count() <= EDGES:
+        small = edges.select(F.lit("").alias("grp"), "better", "worse")
+    else:
+        roots, _ = components(edges.select(F.col("better").alias("a"), F.col("worse").alias("b")))
+        placed = settle(edges.join(roots.select(F.col("node").alias("better"), F.col("root").alias("grp")), "better").select("grp", "better", "worse"), "conflicts")
+        sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EDGES).select("grp")
+        small = placed.join(sizes, "grp", "left_anti")
+        large = settle(placed.join(dealt_anew(sizes, "grp"), "grp", "left_semi").select("better", "worse"), "conflicts")
+    inside = small.select("grp", "better", "worse").repartition("grp").sortWithinPartitions("grp").mapInArrow(_first_set, "node string")
+    chosen = free.unionByName(inside)
+    if large is not None and not large.isEmpty():
+        both = large.select(F.col("better").alias("node")).unionByName(large.select(F.col("worse").alias("node"))).distinct()
+        chosen = chosen.unionByName(_by_rounds(both, large))
+    return settle(chosen, "independent")
+
+
+def _by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As `independent`, by as many rounds as the longest chain of decisions needs; each is written and the one before it deleted."""
     undecided = settle(nodes.select("node"), "undecided")
     edges = settle(edges.select("better", "worse"), "conflicts")
     rounds: list[DataFrame] = []
