@@ -4,9 +4,13 @@ Distinct hashes of both sides meet, never rows: copies of a hash cost nothing an
 is cut into bands with a radius each, such that two hashes within the threshold are within the radius in at least one
 band (the radii plus one add up to more than the threshold). The left side looks up every value within the radius of its band's
 value, the right side only its own. Few long bands with large radii make many look-ups and few chance meetings, many
-short ones the opposite; the numbers of hashes decide which costs least. Where even the best meets more chance pairs than there are
-pairs (a threshold that is large for the hash), the hashes are dealt out to a grid of cells of bounded size in which every pair
-is compared; that costs left x right comparisons, but no more memory and no hot task.
+short ones the opposite; the numbers of hashes decide which costs least.
+
+A pair that meets by a band is a row of a join, which costs some hundred times what comparing two words of memory does. So where bands
+would meet a large part of all pairs (from a threshold of about 14 of 64 bits, as no band tells random hashes apart then, and no pivot does), nothing
+meets: hashes are dealt out to a grid of cells of bounded size, and a task takes the exclusive or of whole arrays of a cell
+and counts bits. Only pairs within the threshold become rows. That costs left x right comparisons, of about a nanosecond each, no more memory and no
+hot task.
 
 Hashes are 64-bit longs, or arrays of their hexadecimal digits' number and 64-bit words (`values.hash_words`); only hashes of equal length are
 compared. Rows without a hash have no partners. Hashes of more than 16 digits meet by the word that differs least.
@@ -15,16 +19,25 @@ compared. Rows without a hash have no partners. Hashes of more than 16 digits me
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = 64
 MOST_MASKS = 1 << 16
-CELL = 4096
+CELL = 1 << 14
+#: What comparing two hashes in memory costs, a row of a join being 1.
+COMPARED = 0.01
+#: The most partitions that cells are dealt to.
+MOST_TASKS = 10_000
+#: The most pairs in a batch of results.
+FOUND = 1 << 16
 
 
 def bands(width: int, threshold: int, count: int) -> list[tuple[int, int, int]]:
@@ -39,8 +52,8 @@ def _volume(low: int, high: int, radius: int) -> int:
 
 
 def cheapest(width: int, threshold: int, left: int, right: int) -> list[tuple[int, int, int]] | None:
-    """The bands that cost least for so many hashes, or None where comparing every pair costs less than any."""
-    best, plan = left * right + left * ceil(right / CELL) + right * ceil(left / CELL), None
+    """The bands that cost least for so many hashes, or None where comparing every pair in memory costs less than any."""
+    best, plan = COMPARED * left * right + left * ceil(right / CELL) + right * ceil(left / CELL), None
     for count in range(1, min(threshold + 1, width) + 1):
         cut = bands(width, threshold, count)
         looked_up = sum(_volume(*b) for b in cut)
@@ -74,14 +87,62 @@ def distance(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda acc, n: acc + n)
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    """The words (rows, words) of hashes that all have one length, without their number of digits."""
+    flat = column.flatten().to_numpy().view(np.uint64)
+    return flat.reshape(len(column), -1)[:, 1:]
+
+
+def _within(left: np.ndarray, right: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the pairs within the threshold, about FOUND at a time."""
+    held, size = [], 0
+    for i in range(len(left)):
+        apart = np.bitwise_count(right[:, 0] ^ left[i, 0])
+        for w in range(1, left.shape[1]):
+            apart = apart + np.bitwise_count(right[:, w] ^ left[i, w]).astype(np.uint16)
+        j = np.flatnonzero(apart <= threshold)
+        if len(j):
+            held.append((np.full(len(j), i), j, apart[j]))
+            size += len(j)
+        if size >= FOUND or held and i + 1 == len(left):
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _grid(left: DataFrame, right: DataFrame, digits: int, threshold: int, sizes: tuple[int, int]) -> DataFrame:
+    """Every pair of a cell is compared in memory: the left hashes of a cell come first and are held, the right ones stream past them."""
     rows, columns = ceil(sizes[0] / CELL), ceil(sizes[1] / CELL)
     at = lambda h, n: F.pmod(F.xxhash64(h), F.lit(n)).cast("int")
-    x = left.filter(F.col("l")[0] == digits).select("l", at("l", rows).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
-    y = right.filter(F.col("r")[0] == digits).select("r", at("r", columns).alias("column_"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row_"))
-    apart = distance(F.col("l"), F.col("r"))
-    met = (F.col("row") == F.col("row_")) & (F.col("column") == F.col("column_")) & (apart <= threshold)
-    return x.join(y, met).select("l", "r", apart.alias("distance"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = left.filter(F.col("l")[0] == digits).select(F.col("l").alias("h"), at("l", rows).alias("row"), every(columns).alias("column"), F.lit(0).alias("side"))
+    y = right.filter(F.col("r")[0] == digits).select(F.col("r").alias("h"), every(rows).alias("row"), at("r", columns).alias("column"), F.lit(1).alias("side"))
+
+    def run(batches):
+        cell, held, mine = None, [], None
+        for batch in batches:
+            part = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)])
+            cuts = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                own, hashes = tuple(part[:2, a]), batch.column(0).slice(a, b - a)
+                if own != cell:
+                    cell, held, mine = own, [], None
+                if part[2, a] == 0:
+                    held.append(hashes)
+                    continue
+                if not held:
+                    continue
+                if mine is None:
+                    ours = pa.concat_arrays(held)
+                    mine = _words(ours)
+                for i, j, apart in _within(mine, _words(hashes), threshold):
+                    yield pa.RecordBatch.from_arrays([ours.take(pa.array(i)), hashes.take(pa.array(j)), pa.array(apart.astype(np.int32))], names=["l", "r", "distance"])
+
+    cells = x.unionByName(y).repartition(max(1, min(rows * columns, MOST_TASKS)), "row", "column").sortWithinPartitions("row", "column", "side")
+    return cells.select("h", "row", "column", "side").mapInArrow(run, "l array<bigint>, r array<bigint>, distance int")
 
 
 def _banded(left: DataFrame, right: DataFrame, digits: int, threshold: int, words: int, cut: list[tuple[int, int, int]]) -> DataFrame:
