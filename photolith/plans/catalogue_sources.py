@@ -25,7 +25,7 @@ from photolith.plans import filing
 from photolith.plans.catalogue import FAMILY, items, located, registered, table
 from photolith.plans.catalogue_sql import _ITEMS
 from photolith.plans.made_files import FORMS, made, picture
-from photolith.sources import decoders, files, library
+from photolith.sources import decoders, files, library, purge
 from photolith.sources.catalog import Catalog
 from photolith.sources.embedded import byte_reader
 from photolith.sources.scratch import settle, shared_folder
@@ -136,6 +136,14 @@ def q76_vault_copies(spark, sf_dir):
     return verify.verify_vault(plan, there).withColumn("n_errors", F.lit(sum(wrong)))
 
 
+@registered
+def q90_purged_drive(spark, sf_dir):
+    """What is left of a drive after its trash and its orphaned sidecars were removed."""
+    root = drive(spark, sf_dir)
+    purge.clean(spark, root)
+    return files.list_files(spark, root).select("rel_path", "size_bytes")
+
+
 @registered
 def q88_embedded_bytes(spark, sf_dir):
     """What the bytes of encoded files tell, whose metadata are made from documents; some files are cut off, some go in circles."""
@@ -218,7 +226,7 @@ def q77_sinks(spark, sf_dir):
 
 @registered
 def q78_index(spark, sf_dir):
-    """Statistics of an index that was written in two appends, with a review resolved and persons replaced."""
+    """Statistics, as they are kept with the parts, of an index that was written in two appends, with a review resolved and persons replaced."""
     catalog = Catalog(spark, folder(spark, "index"))
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
@@ -236,8 +244,7 @@ def q78_index(spark, sf_dir):
     people, _ = upsert.get_or_create(catalog.read("persons"), table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), "name")
     catalog.append("persons", people)
     catalog.append("asset_persons", o.filter("o_orderkey % 3 = 0").select(key.alias("asset_id"), (key % 5 + 1).alias("person_id"), F.lit("manifest").alias("source")))
-    one = stats.index_stats({t: catalog.read(t) for t in ("assets", "linked_files", "review_queue", "sources", "asset_persons")})
-    return one.select("assets", "total_bytes", "photos", "videos", "undated", "linked_files", "open_reviews", "sources", "tagged_people")
+    return catalog.stats().select("assets", "total_bytes", "photos", "videos", "undated", "linked_files", "open_reviews", "sources", "tagged_people")
 
 
 @registered
@@ -316,6 +323,8 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN told THEN 'sidecar' WHEN doc_id % 4 > 1 THEN 'exif' ELSE 'unknown' END AS taken_at_source, CAST(CASE WHEN doc_id % 4 > 0 AND doc_id % 50 > 0 THEN doc_id % 50 END AS INTEGER) AS width,
         CASE WHEN doc_id % 4 > 0 THEN 20 END AS height, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 > 0 THEN CAST(10.5 AS DOUBLE) END AS gps_latitude, sha256(content) AS sha256 FROM media""",
     "q76_vault_copies": f"WITH {_NAMES} SELECT 'undated/' || rel_path AS path, 'ok' AS status, 0 AS n_errors FROM media",
+    "q90_purged_drive": f"""WITH {_NAMES} SELECT rel_path, CAST(strlen(content) AS BIGINT) AS size_bytes FROM placed WHERE k <> 3
+        UNION ALL SELECT s.rel_path, CAST(strlen(s.content) AS BIGINT) FROM side s JOIN media USING (doc_id)""",
     "q88_embedded_bytes": """
         WITH d AS (SELECT doc_id AS n, doc_id % 181 - 90 AS lat, doc_id % 361 - 180 AS lon, doc_id % 11 AS k, ['jpg', 'tif', 'png', 'webp', 'mov', 'heic'][doc_id % 6 + 1] AS form FROM documents),
         t AS (SELECT *, n || '.' || form AS name, k = 1 OR (k = 2 AND form = 'mov') AS lost, n % 4 > 0 AND abs(lat) < 90 AND abs(lon) < 180 AS placed FROM d),

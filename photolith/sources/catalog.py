@@ -3,7 +3,7 @@
 A table is a list of part folders of Parquet files; one small file, the state, lists those of all tables. A writer fills new parts, checks them, and then
 renames a new state over the old one, so readers see all of a change, over however many tables, or nothing of it. An append copies nothing,
 and reads of what is there only the keys that new rows could break. One writer at a time: a commit is refused where the state has changed
-since the commit began. The state also holds notes, which appear together with the rows that they speak of.
+since the commit began. Statistics are kept with the parts (`summaries`). The state also holds notes, which appear together with the rows that they speak of.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from photolith import schemas
 from photolith.errors import ConflictError, SourceError
+from photolith.sources import summaries
 
 
 class Catalog:
@@ -75,9 +76,13 @@ class Catalog:
         return self._rows(table, self._parts(table))
 
     def _write(self, table: str, rows: DataFrame) -> dict:
-        path = uuid.uuid4().hex
-        schemas.conform(rows, schemas.TABLES[table].schema).write.parquet(f"{self.root}/{table}/{path}")
-        return {"path": path, "schema": max(schemas.TABLES[table].versions)}
+        part = {"path": uuid.uuid4().hex, "schema": max(schemas.TABLES[table].versions)}
+        schemas.conform(rows, schemas.TABLES[table].schema).write.parquet(f"{self.root}/{table}/{part['path']}")
+        written = self._rows(table, [part])
+        ids = summaries.ids(table, written)
+        if ids is not None:
+            ids.write.parquet(f"{self.root}/{table}/{part['path']}.ids")
+        return part | {"summary": summaries.summary(table, written)}
 
     def commit(self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, checked: bool = True, notes: dict | None = None) -> None:
         """Append to and replace tables and notes, all or none of them; raises ConstraintError where a table would break its rules.
@@ -101,6 +106,33 @@ class Catalog:
         """What the last commit that had a note of this name said, or None."""
         return (self._get("_state") or {}).get("_notes", {}).get(name)
 
+    def _kept(self, table: str) -> list[dict]:
+        """The summaries of a table's parts; a part that was written without one is read."""
+        return [p["summary"] if "summary" in p else summaries.summary(table, self._rows(table, [p])) for p in self._parts(table)]
+
+    def stats(self) -> DataFrame:
+        """The row of `operators.stats.index_stats`, from what is kept with the parts; no table is read."""
+        table = "asset_persons"
+        paths = [f"{self.root}/{table}/{p['path']}.ids" for p in self._parts(table) if "summary" in p]
+        old = [p for p in self._parts(table) if "summary" not in p]
+        bits = self.spark.read.schema("bucket bigint, bits binary").parquet(*paths) if paths else None
+        if old:
+            more = summaries.ids(table, self._rows(table, old))
+            bits = more if bits is None else bits.unionByName(more)
+        tagged = summaries.distinct(bits).head()[0] if bits is not None else 0
+        return summaries.one_row(self.spark, {t: self._kept(t) for t in ("assets", "linked_files", "review_queue", "sources")}, tagged)
+
+    def open_reviews_by_kind(self) -> dict[str, int]:
+        """How many open reviews each kind has, from what is kept."""
+        out: dict[str, int] = {}
+        for (status, kind), n in summaries.grouped(self._kept("review_queue")).items():
+            if status == "open":
+                out[kind] = out.get(kind, 0) + n
+        return out
+
+    def links_by_reason(self) -> dict[str, int]:
+        return {reason: n for (reason,), n in summaries.grouped(self._kept("linked_files")).items()}
+
     def append(self, table: str, rows: DataFrame, checked: bool = True) -> None:
         """Add rows; raises ConstraintError, and adds nothing, where the table would break its rules."""
         self.commit(appended={table: rows}, checked=checked)

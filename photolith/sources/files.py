@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -23,48 +23,56 @@ from photolith.sources.vault import dealt_out, with_sha256
 MANIFEST_NAME = "manifest.csv"
 
 
-def _entries(folder: str):
-    """(path, is it a folder, bytes) of what a folder holds; what vanishes while it's read, or can't be read, isn't there."""
+def _entries(folder: str, every: bool = False):
+    """(path, is it a folder, bytes) of what a folder holds; what vanishes while it's read, or can't be read, isn't there. every: also what is no file."""
     try:
         with os.scandir(folder) as entries:
             for e in entries:
                 try:
                     inner = e.is_dir(follow_symlinks=False)
-                    if inner or e.is_file():
-                        yield e.path, inner, 0 if inner else e.stat().st_size
+                    if inner or every or e.is_file():
+                        yield e.path, inner, 0 if inner else e.stat(follow_symlinks=not every).st_size
                 except OSError:
                     continue
     except OSError:
         return
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, size_bytes) of all files below a local or mounted root, hidden and `_` names included.
+def levels(spark: SparkSession, folders: list[str], every: bool = False) -> Iterator[DataFrame]:
+    """(path, is_folder, size_bytes) of what folders hold, one level of folders after the other, each a written table.
 
-    Folders are read where tasks run, one level a round, and what they hold is written, so neither names nor folders come to the driver.
+    Folders are read where tasks run, so neither names nor folders come to the driver.
     """
-    base = os.path.abspath(os.path.expanduser(root))
-    if not os.path.isdir(base):
-        raise SourceError(f"not a folder: {root}")
 
     def run(batches):
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                found = list(_entries(folder))
+                found = list(_entries(folder, every))
                 names, dirs, sizes = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(dirs, type=pa.bool_()), pa.array(sizes, type=pa.int64())], names=["path", "is_folder", "size_bytes"])
 
-    level, found = spark.createDataFrame([(base,)], "path string"), None
+    level = spark.createDataFrame([(f,) for f in folders], "path string")
     while True:
         here = settle(level.mapInArrow(run, "path string, is_folder boolean, size_bytes bigint"), "listing")
-        rows = here.filter("NOT is_folder").select("path", paths.relative_to(F.col("path"), base).alias("rel_path"), "size_bytes")
-        found = rows if found is None else found.unionByName(rows)
+        yield here
         level = here.filter("is_folder").select("path")
         if level.isEmpty():
-            return found
+            return
         level = level.repartition("path")
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rel_path, size_bytes) of all files below a local or mounted root, hidden and `_` names included."""
+    base = os.path.abspath(os.path.expanduser(root))
+    if not os.path.isdir(base):
+        raise SourceError(f"not a folder: {root}")
+    found = None
+    for here in levels(spark, [base]):
+        rows = here.filter("NOT is_folder").select("path", paths.relative_to(F.col("path"), base).alias("rel_path"), "size_bytes")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def list_store(spark: SparkSession, root: str) -> DataFrame:
     """As `list_files` for a store that only Spark reads; names that start with `_` or a dot aren't listed by Spark."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -112,8 +120,15 @@ def _sidecar(path: str) -> tuple[str, str, str]:
     return str(said.get("date") or ""), listed(said.get("albums")), listed(said.get("persons"))
 
 
-def build_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The manifest rows of what is on a drive now. Nothing that was removed from it is counted or named."""
+def build_manifest(spark: SparkSession, root: str, clean: bool = False) -> DataFrame:
+    """The manifest rows of what is on a drive now. Nothing that was removed from it is counted or named.
+
+    clean: first remove for good what was deleted in a review of the drive (`purge.clean`), as a drive that is handed over must be.
+    """
+    if clean:
+        from photolith.sources import purge
+
+        purge.clean(spark, root)
     files = list_files(spark, root)
     media = scan(files, (MANIFEST_NAME,))
     side = read_sidecars(spark, files, media)
