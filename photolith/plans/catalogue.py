@@ -17,7 +17,7 @@ from photolith import schemas
 from photolith.config import Contract, Family, Subject
 from photolith.functions import dates, paths, text, values
 from photolith.functions.keys import dealt_anew
-from photolith.operators import contract, dedupe, enrich, inventory, similarity, stats, upsert, verify
+from photolith.operators import contract, dedupe, digest_tree, enrich, inventory, similarity, stats, upsert, verify
 from photolith.operators.nearest_time import nearest
 from photolith.plans.ingest import filed, plan_ingest
 from photolith.sources import library
@@ -375,6 +375,29 @@ def q45_verify_manifest(spark, sf_dir):
     return verify.counts(verify.verify_manifest(assets.select(F.col("vault_path").alias("path"), "sha256"), files.select("path", "sha256")))
 
 
+def dated_folders(spark, sf_dir):
+    """Events as files in folders by day: what was listed, and what is there after something happened on the fifth of every month."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    path = F.concat(F.date_format("ts", "yyyy/MM/dd/"), n.cast("string"), F.lit(".jpg"))
+    listed = e.select(path.alias("path"), F.sha2(path, 256).alias("sha256"))
+    fifth = F.dayofmonth("ts") == 5
+    there = e.filter(~(fifth & (n % 4 == 2))).select(F.when(fifth & (n % 4 == 3), F.concat(path, F.lit(".new"))).otherwise(path).alias("path"), F.when(fifth & (n % 4 == 1), "x").otherwise(F.sha2(path, 256)).alias("sha256"))
+    return listed, there
+
+
+@registered
+def q91_verify_changed_folders(spark, sf_dir):
+    """The files of folders that differ by the tree of digests."""
+    return digest_tree.verify_changes(*dated_folders(spark, sf_dir))
+
+
+@registered
+def q92_verify_by_tree(spark, sf_dir):
+    listed, there = dated_folders(spark, sf_dir)
+    before = digest_tree.tree(listed)
+    return digest_tree.counts(before, digest_tree.verify_changes(listed, there, before))
+
+
 @registered
 def q46_orphans(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

@@ -125,6 +125,12 @@ pairs AS (SELECT CAST(l_partkey AS VARCHAR) AS sha, l_partkey, CASE WHEN l_suppk
 read AS (SELECT *, l_partkey % 5 <> 0 AS there FROM pairs WHERE len(names) > 0)
 """
 
+_DAYS = """
+days AS (SELECT event_id AS n, strftime(ts, '%Y/%m/%d/') || event_id || '.jpg' AS path, day(ts) = 5 AS fifth, strftime(ts, '%Y/%m/%d') AS folder FROM events),
+hit AS (SELECT DISTINCT folder FROM days WHERE fifth AND n % 4 > 0),
+marked AS (SELECT path, CASE WHEN NOT fifth OR n % 4 = 0 THEN 'ok' WHEN n % 4 = 1 THEN 'corrupted' ELSE 'missing' END AS status FROM days WHERE folder IN (SELECT folder FROM hit)
+  UNION ALL SELECT path || '.new', 'unlisted' FROM days WHERE fifth AND n % 4 = 3)
+"""
 _VAULT = """
 assets AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_custkey AS size, sha256(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders WHERE o_orderkey % 10 <> 3),
 files AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 10 = 5 THEN o_custkey + 1 ELSE o_custkey END AS size, CASE WHEN o_orderkey % 10 = 6 THEN 'x' ELSE sha256(CAST(o_orderkey AS VARCHAR)) END AS sha FROM orders WHERE o_orderkey % 10 <> 4)
@@ -235,6 +241,9 @@ ORACLE_SQL: dict[str, str] = {
     "q43_verify_vault": f"WITH {_VAULT}, {_statuses('a.size <> f.size OR a.sha <> f.sha', 'untracked')} SELECT path, status FROM statuses",
     "q44_verify_vault_shallow": f"WITH {_VAULT}, {_statuses('a.size <> f.size', 'untracked')} {_COUNTS}",
     "q45_verify_manifest": f"WITH {_VAULT}, {_statuses('a.sha <> f.sha', 'unlisted')} {_COUNTS}",
+    "q91_verify_changed_folders": f"WITH {_DAYS} SELECT path, status FROM marked",
+    "q92_verify_by_tree": f"""WITH {_DAYS}, c AS (SELECT count(*) FILTER (WHERE status = 'corrupted') AS corrupted, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'unlisted') AS extra FROM marked)
+        SELECT (SELECT count(*) FROM days) AS checked, (SELECT count(*) FROM days) - corrupted - missing AS ok, corrupted, missing, extra, corrupted + missing + extra = 0 AS passed FROM c""",
     "q46_orphans": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "q47_orphan_sidecars": "SELECT 'd/I_' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.jpg.json' ELSE '.json' END AS path FROM orders WHERE o_orderkey % 3 = 0",
     "q48_get_or_create": """
