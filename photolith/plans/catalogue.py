@@ -17,7 +17,7 @@ from photolith import schemas
 from photolith.config import Contract, Family, Subject
 from photolith.functions import dates, paths, text, values
 from photolith.functions.keys import dealt_anew
-from photolith.operators import contract, dedupe, digest_tree, enrich, inventory, similarity, stats, upsert, verify
+from photolith.operators import contract, dedupe, digest_tree, enrich, inventory, similarity, spellings, stats, upsert, verify
 from photolith.operators.nearest_time import nearest
 from photolith.plans.ingest import filed, plan_ingest
 from photolith.sources import library
@@ -398,6 +398,15 @@ def q92_verify_by_tree(spark, sf_dir):
     return digest_tree.counts(before, digest_tree.verify_changes(listed, there, before))
 
 
+@registered
+def q93_near_spellings(spark, sf_dir):
+    """The nearest part names of misspelt ones."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("option"), "p_partkey")
+    key = (F.col("p_partkey") % 7 + 1).cast("int")
+    wrong = F.concat(F.substring(F.col("option"), F.lit(1), key), F.when(key % 2 == 0, "x").otherwise(""), F.substring(F.col("option"), key + 2, F.lit(99)))
+    return spellings.closest(names.select(wrong.alias("name")), names)
+
+
 @registered
 def q46_orphans(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
