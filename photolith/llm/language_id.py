@@ -5,8 +5,9 @@ sample of labelled texts: raw counts for the highest order, continuation counts
 order. Every language is counted in a task of its own, from its own sample; only models come to the driver. Each model is a set of sorted arrays of n-gram hashes with log probabilities, and of context hashes with
 back-off weights. A text goes to the language with the lowest cross-entropy per character.
 
-Calibration on texts held back from the sample: the temperature of the score, and for each language the highest
-cross-entropy that its own texts reach, beyond which `rejected` is set.
+Calibration on texts held back from the sample: the temperature of the score, and for each language the cross-entropy that all but
+one in `REJECT_SHARE` of its own texts keep below, so that single mislabelled texts don't open a language. Beyond it, with some slack, `rejected` is set,
+and the score falls with the distance to it: (limit / cross-entropy) ** `REJECT_POWER` of what it would be.
 
 The sample of a language is its first `SAMPLE_TEXTS` texts by a hash of id and text, long ones after all others, as far as they have `SAMPLE_CHARS` characters
 together; of a language all of whose texts have more, it is the shortest text. No language is left out. Models are sent in blocks of at most `BLOCK_BYTES`: one block
@@ -42,6 +43,8 @@ BLOCK_BYTES = 128 << 20
 BROADCAST_LANGUAGES = 100_000
 MEMO_BITS = 19
 REJECT_SLACK = 1.15
+REJECT_SHARE = 50
+REJECT_POWER = 8
 SHARPNESS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -204,7 +207,7 @@ def calibrate(samples: DataFrame, names: list[str], entropies) -> tuple[float, n
                 yield pa.RecordBatch.from_arrays([pa.array(truth, type=pa.int32()), pa.array(own), *map(pa.array, losses)], names=["k", "own", *(f"loss{i}" for i in range(len(SHARPNESS)))])
 
     said = held.mapInArrow(run, "k int, own double, " + ", ".join(f"loss{i} double" for i in range(len(SHARPNESS))))
-    rows = said.groupBy("k").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), *[F.sum(f"loss{i}").alias(f"loss{i}") for i in range(len(SHARPNESS))]).collect()
+    rows = said.groupBy("k").agg(F.percentile("own", 1 - 1 / REJECT_SHARE).alias("own"), F.count(F.lit(1)).alias("n"), *[F.sum(f"loss{i}").alias(f"loss{i}") for i in range(len(SHARPNESS))]).collect()
     for r in rows:
         limits[r["k"]] = r["own"] * REJECT_SLACK
     if rows:
@@ -325,6 +328,7 @@ def identify(df: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id
             score = np.where(known, confidence(entropy, temperature)[np.arange(n), best], 0.0)
             lowest = np.where(known, entropy[np.arange(n), best], np.nan)
             rejected = known & (lowest > limits[best])
+            score = np.where(rejected, score * (limits[best] / np.where(rejected, lowest, 1.0)) ** REJECT_POWER, score)
             said = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
         else:
             score, lowest, rejected, said = np.zeros(n), np.full(n, np.nan), np.zeros(n, dtype=bool), ["und"] * n

@@ -107,6 +107,15 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_the_score_falls_for_what_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    strange = [(10**9 + i, t, None) for i, t in enumerate(("Съешь же ещё этих мягких французских булок да выпей чаю", "qzx wvkj xqzp jjkw vvxz qqpw zkxj " * 4))]
+    found = {r.doc_id: r for r in L.identify(docs.unionByName(spark.createDataFrame(strange, docs.schema))).collect()}
+    assert all(found[10**9 + i].rejected and found[10**9 + i].score < 0.5 for i in range(2))
+    known = [r for r in found.values() if r.doc_id < 10**9 and r.lang_pred != "und"]
+    assert sum(r.rejected for r in known) < 0.03 * len(known)
+
+
 def test_edge_rows(spark):
     base = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de", "x") for i in range(60)]
     rows = [*base, (100, None, "en", "x"), (101, "", None, "x"), (102, "12 !?", "de", "x"), (103, "der hund", None, "x"), (103, "der hund", None, "x"), (None, "the dog " * 20_000, None, "x"), (104, "漢字 漢字 漢字", None, "x")]
