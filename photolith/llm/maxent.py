@@ -16,9 +16,10 @@ P(token | leaf) is the maximum-likelihood unigram, add-one in the last class.
 * The head is what has at least a threshold count, read off a histogram of counts so that it has at most `HEAD`
   tokens; only it, and the weights, are sent to tasks. The weight table has a row for each `TOKENS_PER_ROW` training tokens, from 2^LEAST_BITS to
   2^MOST_BITS of them, so it grows with the corpus up to what a worker can hold.
-* Training: ROUNDS rounds, each over its own part of the training texts (dealt by a hash of the text), so all are used once. In a round each task makes minibatch
-  updates from the weights so far; the tasks' rows are then averaged, weighted by how often each row was updated (one shuffle of
-  fixed-size rows per task). The weights therefore depend a little on how rows are dealt to tasks; counts and base scores don't.
+* Training: ROUNDS rounds, each over its own part of the training texts (dealt by a hash of the text), so all are used once. In a round each task sums
+  the gradients of its tokens at the round's weights, Spark sums those of all tasks (one shuffle of the rows that had tokens), and every weight
+  makes one step, which shrinks with the squares of its gradients so far. So it doesn't matter how many tasks there are, or which texts
+  they have, but for the rounding of mean gradients to half precision.
 * Scoring: head tokens in the task; the other tokens of a text leave it as (hash, times) and meet the
   table of counts in a join whose keys are all below the threshold, so no key is hot.
 
@@ -49,10 +50,10 @@ LEAVES = CLASSES
 DIMENSIONS = 4
 TOKENS_PER_ROW, LEAST_BITS, MOST_BITS = 2048, 15, 17
 BLOCK_ROWS = 512
-ROUNDS = 2
-TOKENS_PER_TASK = 8_000_000
-BATCH = 8192
-RATE = 1.2
+ROUNDS = 8
+TOKENS_PER_TASK, LEAST_TOKENS = 16_000_000, 500_000
+BATCH = 32768
+RATE, EASE = 0.7, 4.0
 NEVER = -60.0
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -230,78 +231,73 @@ def logits(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.
     return out
 
 
-class Trainer:
-    """Minibatch updates of the weight table, with steps that shrink with a row's number of updates."""
+class Gradient:
+    """The sum of the losses' gradients over tokens at fixed weights, and how many tokens each row of the weight table had."""
 
-    def __init__(self, head: Head, weights: np.ndarray, seen: np.ndarray):
-        self.head, self.bits = head, (len(weights) // 2).bit_length() - 1
-        self.weights, self.seen = weights.copy(), seen
-        self.times = np.zeros(len(weights), dtype=np.int64)
+    def __init__(self, head: Head, weights: np.ndarray):
+        self.head, self.weights, self.bits = head, weights, (len(weights) // 2).bit_length() - 1
+        self.total = np.zeros(weights.shape, dtype=np.float32)
+        self.times = np.zeros(len(weights), dtype=np.float32)
 
-    def update(self, h: np.ndarray, bounds: np.ndarray) -> None:
+    def add(self, h: np.ndarray, bounds: np.ndarray) -> None:
         slot, found = self.head.find(h)
         target = np.where(found, self.head.cls[slot], CLASSES - 1).astype(np.int64)
         leaf = self.head.leaf[slot].astype(np.int64)
         one, two = history(h, bounds)
         for a in range(0, len(h), BATCH):
             at = slice(a, min(len(h), a + BATCH))
-            self._step(self.head.bias, features(one[at], two[at], self.bits), target[at])
+            self._add(self.head.bias, features(one[at], two[at], self.bits), target[at])
             many = a + np.flatnonzero((target[at] >= SINGLE) & (target[at] < CLASSES - 1))
             if len(many):
-                self._step(self.head.leaf_bias[target[many]], leaf_features(one[many], two[many], target[many], self.bits), leaf[many])
+                self._add(self.head.leaf_bias[target[many]], leaf_features(one[many], two[many], target[many], self.bits), leaf[many])
 
-    def _step(self, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
+    def _add(self, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
         p = logits(bias, self.weights, rows)
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(p)), target] -= 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r)
             ordered = r[order]
             edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            own, n = ordered[edge], np.diff(np.append(edge, len(r)))
-            grad = np.add.reduceat(p[order], edge, axis=0)
-            self.times[own] += n
-            self.weights[own] -= (RATE / np.sqrt(n * (self.seen[own] + self.times[own] + 8.0)))[:, None].astype(np.float32) * grad
+            own = ordered[edge]
+            self.total[own] += np.add.reduceat(p[order], edge, axis=0)
+            self.times[own] += np.diff(np.append(edge, len(r)))
 
 
-def train(rows: DataFrame, shared, weights, seen) -> DataFrame:
-    """(block, times, weights): each task's weight rows after its updates from the weights so far, `BLOCK_ROWS` of them packed in half precision."""
+def gradients(rows: DataFrame, shared, weights) -> DataFrame:
+    """(block, rows, times, means) by task: of each block of `BLOCK_ROWS` rows of the table those that had tokens, with the mean gradient of a token in half precision."""
 
     def run(batches):
-        trainer = None
+        own = None
         for batch in batches:
             for part in slices(batch, "text"):
-                trainer = trainer or Trainer(shared.value, weights.value, seen.value)
-                trainer.update(*tokens(part.column(0)))
-        if trainer is not None:
-            times = trainer.times.reshape(-1, BLOCK_ROWS)
-            for k in np.flatnonzero(times.any(axis=1)):
-                own = trainer.weights[k * BLOCK_ROWS : (k + 1) * BLOCK_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([times[k].astype(np.float32).tobytes()]), pa.array([own.astype(np.float16).tobytes()])], names=["block", "times", "weights"])
+                own = own or Gradient(shared.value, weights.value)
+                own.add(*tokens(part.column(0)))
+        used = np.flatnonzero(own.times) if own is not None else np.zeros(0, dtype=np.int64)
+        for k in np.unique(used // BLOCK_ROWS).tolist():
+            at = used[np.searchsorted(used, k * BLOCK_ROWS) : np.searchsorted(used, (k + 1) * BLOCK_ROWS)]
+            mean = (own.total[at] / own.times[at, None]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), *(pa.array([x.tobytes()]) for x in ((at % BLOCK_ROWS).astype(np.uint16), own.times[at], mean))], names=["block", "rows", "times", "means"])
 
-    return rows.select("text").mapInArrow(run, "block int, times binary, weights binary")
+    return rows.select("text").mapInArrow(run, "block int, rows binary, times binary, means binary")
 
 
-def averaged(parts: DataFrame) -> DataFrame:
-    """(block, seen, weights) of what `train` gives: the mean of each row over tasks, weighted by its updates, and how many updates a task made of it."""
+def summed(parts: DataFrame) -> DataFrame:
+    """(block, total) of what `gradients` gives: the gradient of each of a block's rows, summed over all tasks."""
 
     def run(batches):
-        sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, times, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.frombuffer(times, dtype=np.float32)
-                if k not in sums:
-                    sums[k] = np.zeros(BLOCK_ROWS), np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, CLASSES))
-                sums[k][0][:] += n
-                sums[k][1][:] += n > 0
-                sums[k][2][:] += n[:, None] * np.frombuffer(weights, dtype=np.float16).reshape(BLOCK_ROWS, CLASSES)
-        for k, (n, tasks, total) in sums.items():
-            mean = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], np.nan).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([(n / np.maximum(tasks, 1)).tobytes()]), pa.array([mean.tobytes()])], names=["block", "seen", "weights"])
+            for k, rows, times, means in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = sums.setdefault(k, np.zeros((BLOCK_ROWS, CLASSES)))
+                at, n = np.frombuffer(rows, dtype=np.uint16), np.frombuffer(times, dtype=np.float32)
+                total[at] += n[:, None] * np.frombuffer(means, dtype=np.float16).reshape(len(at), CLASSES)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([total.astype(np.float32).tobytes()])], names=["block", "total"])
 
-    return parts.repartition("block").mapInArrow(run, "block int, seen binary, weights binary")
+    return parts.repartition("block").mapInArrow(run, "block int, total binary")
 
 
 @dataclass
@@ -318,27 +314,30 @@ def table_bits(tokens_seen: int) -> int:
     return int(min(max(math.ceil(math.log2(max(tokens_seen, 1) / TOKENS_PER_ROW)), LEAST_BITS), MOST_BITS))
 
 
+def stepped(weights: np.ndarray, squares: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights after a round's gradient, and the sums of squared gradients, by which each weight's steps shrink."""
+    squares = squares + np.square(total)
+    return weights - RATE * total / np.sqrt(squares + EASE), squares
+
+
 def learned_weights(training: DataFrame, shared, total: int) -> np.ndarray:
-    """The weights after all rounds of distributed updates.
+    """The weights after all rounds of summed gradients.
 
-    A task goes through at least about TOKENS_PER_TASK tokens, where there are so many, so that the rows it shuffles are fewer than its texts.
+    A task goes through about TOKENS_PER_TASK tokens, so that the rows it shuffles are fewer than its texts, or fewer where cores would idle.
+    How the texts are dealt to tasks changes nothing but the order of sums.
     """
     context, bits = training.sparkSession.sparkContext, table_bits(total)
-    training = training.coalesce(-(-total // TOKENS_PER_TASK) or 1)
-    weights, seen = np.zeros((2 << bits, CLASSES), dtype=np.float32), np.zeros(2 << bits, dtype=np.float64)
+    training = training.coalesce(max(-(-total // TOKENS_PER_TASK), min(context.defaultParallelism, -(-total // LEAST_TOKENS)), 1))
+    weights, squares = (np.zeros((2 << bits, CLASSES), dtype=np.float32) for _ in range(2))
     turn = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        sent = context.broadcast(weights), context.broadcast(seen)
-        found = averaged(train(training.filter(turn == k), shared, *sent)).toArrow()
-        weights, seen = weights.copy(), seen.copy()
-        for block, times, mean in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        sent = context.broadcast(weights)
+        found = summed(gradients(training.filter(turn == k), shared, sent)).toArrow()
+        weights = weights.copy()  # what was sent stays as it was
+        for block, part in zip(*(c.to_pylist() for c in found.columns), strict=True):
             at = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
-            mean = np.frombuffer(mean, dtype=np.float32).reshape(BLOCK_ROWS, CLASSES)
-            weights[at] = np.where(np.isnan(mean), weights[at], mean)
-            # A task's steps shrink with what it has seen of a row by itself, so the mean over tasks is what a row has seen.
-            seen[at] += np.frombuffer(times)
-        for x in sent:
-            x.unpersist()
+            weights[at], squares[at] = stepped(weights[at], squares[at], np.frombuffer(part, dtype=np.float32).reshape(BLOCK_ROWS, CLASSES))
+        sent.unpersist()
     return weights
 
 

@@ -42,7 +42,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent.score(read(spark, sf_dir, "documents"))
+    return maxent.score(spread(read(spark, sf_dir, "documents")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,3 +133,58 @@ def test_a_held_out_copy_of_common_phrases_gains_by_its_history(spark):
     with_it = maxent.apply(model, docs).filter("held_out").agg(F.sum("score")).head()[0]
     model.weights[len(model.weights) // 2 :] = 0
     assert with_it > maxent.apply(model, docs).filter("held_out").agg(F.sum("score")).head()[0]
+
+
+def held_out_gain(model, docs):
+    """log10 per token above the add-one unigram, over the held-out texts."""
+    r = maxent.apply(model, docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
+    return (r[0] - r[1]) / r[2]
+
+
+def test_training_does_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    gains, weights = [], []
+    for parts, tokens in ((1, 10**9), (7, 50_000), (30, 10_000)):
+        monkeypatch.setattr(maxent, "TOKENS_PER_TASK", tokens)
+        monkeypatch.setattr(maxent, "LEAST_TOKENS", 10**9)
+        rows = docs.repartition(parts, "doc_id")
+        model = maxent.fit(rows.filter("NOT held_out"))
+        gains.append(held_out_gain(model, docs))
+        weights.append(model.weights)
+    assert min(gains) > 0.2 and max(gains) - min(gains) < 0.05 * min(gains), gains
+    assert all(np.abs(w - weights[0]).max() < 0.05 for w in weights[1:])
+
+
+def test_training_equals_a_plain_version(spark, sf_dir, monkeypatch):
+    """Rounds of summed gradients, token by token, in double precision, against the distributed ones."""
+    monkeypatch.setattr(maxent, "ROUNDS", 2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 900").select("text").limit(40)
+    rows = docs.collect()
+    model = maxent.fit(spark.createDataFrame(rows, "text string").repartition(3))
+    turns = {r.text: r.t for r in spark.createDataFrame(rows, "text string").select("text", F.pmod(F.xxhash64("text", F.lit(29)), F.lit(2)).alias("t")).collect()}
+    head, bits = model.head, int(np.log2(len(model.weights) // 2))
+    weights, squares = np.zeros(model.weights.shape), np.zeros(model.weights.shape)
+    for turn in range(2):
+        total = np.zeros(weights.shape)
+        for (text,) in rows:
+            if turns[text] != turn:
+                continue
+            h, bounds = maxent.tokens(pa.array([text]))
+            for i in range(len(h)):
+                one = h[i - 1 : i] if i > 0 else np.array([maxent.START])
+                two = h[i - 2 : i - 1] if i > 1 else np.array([maxent.START])
+                slot = int(h[i] >> np.uint64(64 - maxent.SLOT_BITS))
+                cls = int(head.cls[slot]) if head.keys[slot] == h[i] else maxent.CLASSES - 1
+                asked = [(head.bias, maxent.features(one, two, bits), cls)]
+                if maxent.SINGLE <= cls < maxent.CLASSES - 1:
+                    asked.append((head.leaf_bias[cls], maxent.leaf_features(one, two, np.array([cls]), bits), int(head.leaf[slot])))
+                for bias, at, k in asked:
+                    x = bias.astype(float) + sum(weights[int(r[0])] for r in at)
+                    p = np.exp(x - x.max())
+                    p /= p.sum()
+                    p[k] -= 1
+                    for r in at:
+                        total[int(r[0])] += p
+        squares += total**2
+        weights -= maxent.RATE * total / np.sqrt(squares + maxent.EASE)
+    assert np.abs(weights).max() > 0.5 and np.abs(weights - model.weights).max() < 0.02
