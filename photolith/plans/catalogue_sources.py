@@ -22,7 +22,7 @@ from photolith.errors import SourceError
 from photolith.functions import paths, text, values
 from photolith.operators import contract, enrich, inventory, stats, upsert, verify
 from photolith.plans import filing
-from photolith.plans.catalogue import FAMILY, items, located, registered, table
+from photolith.plans.catalogue import FAMILY, RULES, items, located, registered, table
 from photolith.plans.catalogue_sql import _ITEMS
 from photolith.plans.made_files import FORMS, made, picture
 from photolith.sources import decoders, files, library, purge
@@ -30,6 +30,7 @@ from photolith.sources.catalog import Catalog
 from photolith.sources.embedded import byte_reader
 from photolith.sources.scratch import settle, shared_folder
 from photolith.sources.vault import copy_into_vault
+from photolith.streaming.inbox import take_in
 
 NOW = datetime(2024, 5, 1, 10)
 
@@ -256,8 +257,36 @@ def q79_all_items(spark, sf_dir):
 
 @registered
 def q80_demo(spark, sf_dir):
-    ruled = contract.decide(library.demo(spark, FAMILY, date(2015, 1, 1)), Contract(date(2015, 1, 1)), FAMILY)
-    return inventory.by_disposition(ruled).select("disposition", "n")
+    """A library together with the made-up one for its contract: of each disposition the items of both."""
+    both = library.all_items(items(spark, sf_dir), library.demo(spark, FAMILY, RULES.cutoff))
+    return inventory.by_disposition(contract.decide(both, RULES, FAMILY)).select("disposition", "n")
+
+
+@registered
+def q94_migrated_assets(spark, sf_dir):
+    """Assets that were written in the first version of their table, read in the present one, and how many columns they lacked."""
+    key = F.col("o_orderkey")
+    old = table(spark, sf_dir, "orders").select(
+        key.alias("id"), key.cast("string").alias("sha256"), key.cast("string").alias("vault_path"), F.lit("x").alias("original_filename"), F.lit("exif").alias("taken_at_source"),
+        F.lit("photo").alias("media_type"), F.col("o_custkey").alias("filesize"), F.lit(NOW).alias("imported_at"),
+    )
+    old = schemas.conform(old, schemas.ASSETS_V1)
+    lacking = len(schemas.missing_columns(old, schemas.ASSETS))
+    return schemas.migrate(old, "assets").select("id", "vault_path", "filesize", F.col("gps_source").isNull().alias("unplaced"), F.lit(lacking).alias("lacking"))
+
+
+@registered
+def q95_streamed_inbox(spark, sf_dir):
+    """The assets of an inbox that was taken in as a stream, in two batches that share pictures."""
+    root, catalog = folder(spark, "stream"), Catalog(spark, folder(spark, "index"))
+    d, path = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    content = F.coalesce("text", F.lit(""))
+    rows = d.select(F.concat(F.lit("/in/"), path).alias("path"), path.alias("rel_path"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("filesize"), F.lit("unknown").alias("taken_at_source"), "doc_id")
+    for part in (0, 1):
+        schemas.conform(rows.filter(F.col("doc_id") % 2 == part), schemas.IDENTIFIED).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+        take_in(spark, f"{root}/inbox", catalog, f"{root}/offsets", NOW, source="stream").awaitTermination()
+    links = catalog.read("linked_files").groupBy(F.col("master_asset_id").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
+    return catalog.read("assets").join(links, "id", "left").select("original_filename", "sha256", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 @registered
@@ -352,7 +381,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT count(*) AS assets, CAST(sum(o_custkey) AS BIGINT) AS total_bytes, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS photos, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS videos, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS undated,
                count(*) FILTER (WHERE o_orderkey % 5 = 1) AS linked_files, count(*) FILTER (WHERE o_orderkey % 9 = 1 AND o_orderkey NOT IN (1, 10)) AS open_reviews, CAST(1 AS BIGINT) AS sources, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS tagged_people FROM orders""",
     "q79_all_items": "SELECT CAST(event_id AS VARCHAR) AS uuid, event_id % 3 = 0 AS in_trash, CAST(floor(value * 1000) AS BIGINT) AS filesize FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0",
-    "q80_demo": f"SELECT disposition, CAST(n AS BIGINT) AS n FROM (VALUES {_DEMO}) v(disposition, n)",
+    "q80_demo": f"""WITH {_ITEMS}, mixed AS (SELECT disposition, count(*) AS n FROM decided GROUP BY disposition UNION ALL SELECT disposition, CAST(n AS BIGINT) FROM (VALUES {_DEMO}) v(disposition, n))
+        SELECT disposition, CAST(sum(n) AS BIGINT) AS n FROM mixed GROUP BY disposition""",
+    "q94_migrated_assets": "SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS vault_path, o_custkey AS filesize, true AS unplaced, 3 AS lacking FROM orders",
+    "q95_streamed_inbox": """
+        WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS name, doc_id % 2 AS batch, sha256(coalesce(text, '')) AS sha256 FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY batch, name) AS nth, count(*) OVER (PARTITION BY sha256) - 1 AS n_links FROM d)
+        SELECT name AS original_filename, sha256, n_links FROM r WHERE nth = 1""",
     "q81_names_outside_ascii": """
         SELECT c_custkey, CASE c_custkey % 6 WHEN 3 THEN 'Finn' WHEN 4 THEN NULL ELSE 'Jo Strauß' END AS subject, c_custkey % 6 = 4 AS excluded FROM customer""",
     "q82_hash_distances": """
