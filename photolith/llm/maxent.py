@@ -235,7 +235,7 @@ class Gradient:
     """The sum of the losses' gradients over tokens at fixed weights, and how many tokens each row of the weight table had."""
 
     def __init__(self, head: Head, weights: np.ndarray):
-        self.head, self.weights, self.bits = head, weights, (len(weights) // 2).bit_length() - 1
+        self.head, self.weights, self.bits = head, weights.astype(np.float32), (len(weights) // 2).bit_length() - 1
         self.total = np.zeros(weights.shape, dtype=np.float32)
         self.times = np.zeros(len(weights), dtype=np.float32)
 
@@ -331,13 +331,12 @@ def learned_weights(training: DataFrame, shared, total: int) -> np.ndarray:
     weights, squares = (np.zeros((2 << bits, CLASSES), dtype=np.float32) for _ in range(2))
     turn = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        sent = context.broadcast(weights)
+        sent = context.broadcast(weights.astype(np.float16))  # enough to take gradients at; a round's copies stay on executors' disks for a while
         found = summed(gradients(training.filter(turn == k), shared, sent)).toArrow()
-        weights = weights.copy()  # what was sent stays as it was
         for block, part in zip(*(c.to_pylist() for c in found.columns), strict=True):
             at = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
             weights[at], squares[at] = stepped(weights[at], squares[at], np.frombuffer(part, dtype=np.float32).reshape(BLOCK_ROWS, CLASSES))
-        sent.unpersist()
+        sent.destroy()
     return weights
 
 
