@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_its_sql(spark, sf_dir):
-    assert set(catalogue.QUERIES) == set(SQL)
+    assert set(catalogue.QUERIES) == set(SQL) | {"q93_near_spellings"}  # no SQL has longest matching blocks: `test_spellings` compares with all pairs
     verdicts = {r.verdict for r in catalogue.q22_greedy(spark, sf_dir).collect()}
     assert verdicts == {"new", "exact_duplicate", "ambiguous_match", "low_res_twin", "higher_res_arrived"}
     assert "new" not in {r.verdict for r in catalogue.q24_rerun(spark, sf_dir).collect()}
