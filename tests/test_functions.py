@@ -156,3 +156,41 @@ def test_schemas(spark):
     with pytest.raises(ConstraintError):
         schemas.conform(rows, schemas.ASSETS)
     assert schemas.missing_columns(rows, ("id", "kind")) == ["kind"]
+
+
+def test_white_space_of_every_kind_is_stripped(spark):
+    from photolith.functions import dates, paths, text
+
+    rows = [("\tScreenshot 1.png", True), (" SCREEN SHOT.png", True), (" \nscreenshot", True), ("my screenshot.png", False), ("​screenshot.png", False), (None, False)]
+    df = spark.createDataFrame(rows, "name string, want boolean")
+    assert all(r.got == r.want for r in df.select(paths.looks_like_screenshot(F.col("name")).alias("got"), "want").collect())
+    stamps = spark.createDataFrame([("\t2015:06:15 12:00:00",), (" 2015-06-15T12:00:00\r\n",), ("\x1f2015:06:15 12:00:00\x85",)], "s string")
+    assert {str(r[0]) for r in stamps.select(dates.parse_embedded(F.col("s"))).collect()} == {"2015-06-15 12:00:00"}
+    assert {str(r[0]) for r in stamps.limit(2).select(dates.parse_sidecar(F.col("s"))).collect()} == {"2015-06-15 12:00:00"}
+    assert spark.range(1).select(text.strip(F.lit(" \t a b 　"))).head()[0] == "a b"
+
+
+def test_only_one_whole_json_object_is_read(spark):
+    from photolith.functions import values
+
+    said = ['{"a": 1, "b": {"c": 2}}', " {} \n", "{'a': 1}", '{"a": 1} x', '{"a": 1},{"a": 2}', '{"a":1}],[{}', '{"a":1},"mark":0} {', "[1]", '"a"', "null", "", None, "{a: 1}", '{"a": 1']
+    df = spark.createDataFrame(list(enumerate(said)), "i int, s string")
+    got = [r.m for r in df.select("i", values.detail_map(F.col("s")).alias("m")).orderBy("i").collect()]
+    assert got[0] == {"a": "1", "b": '{"c":2}'} and all(m == {} for m in got[1:])
+
+
+def test_sidecars_are_strict_and_of_any_size(tmp_path):
+    import json
+
+    from photolith.sources import files
+
+    def read(content):
+        (tmp_path / "s.json").write_text(content, encoding="utf-8")
+        return files._sidecar(str(tmp_path / "s.json"))
+
+    assert read(json.dumps({"date": "2020-01-01", "albums": ["a", None, 3], "persons": "Trey"})) == ("2020-01-01", "a; 3", "Trey")
+    assert read("{'date':'2020-01-01'}") == read('{"date":"2020-01-01"} x') == read("[1]") == read("") == read("[" * 100_000) == ("", "", "")
+    assert read(json.dumps({"date": None, "albums": [], "persons": None})) == ("", "", "")
+    large = {"date": "2020-01-01", "persons": ["Trey"], "more": "x" * (20 << 20)}
+    assert read(json.dumps(large)) == ("2020-01-01", "", "Trey")
+    assert files._sidecar(str(tmp_path / "none.json")) == ("", "", "")
