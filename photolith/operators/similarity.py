@@ -163,8 +163,9 @@ def near_hashes(left: DataFrame, right: DataFrame, threshold: int, bits: str = "
     kind = left.schema[bits].dataType
     x = left.select(_as_words(F.col(bits), kind).alias("l")).filter(F.col("l").isNotNull() & F.col("l")[1].isNotNull()).distinct()
     y = right.select(_as_words(F.col(bits), right.schema[bits].dataType).alias("r")).filter(F.col("r").isNotNull() & F.col("r")[1].isNotNull()).distinct()
-    count = lambda df, c: {r["d"]: r["n"] for r in df.groupBy(F.col(c)[0].alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    xs, ys = count(x, "l"), count(y, "r")
+    of = lambda df, c: df.select(F.col(c)[0].alias("d"), F.lit(c).alias("side"))
+    sizes = of(x, "l").unionByName(of(y, "r")).groupBy("side", "d").agg(F.count(F.lit(1)).alias("n")).collect()
+    xs, ys = ({r.d: r.n for r in sizes if r.side == side} for side in ("l", "r"))
     found = None
     for digits in sorted(set(xs) & set(ys)):
         words = -(-digits // 16)
