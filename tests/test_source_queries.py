@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from photolith.plans import catalogue_sources as Q
+from photolith.sources import files, vault
 
 
 def test_an_inbox_is_written_by_all_tasks(spark, tmp_path):
@@ -13,3 +14,27 @@ def test_an_inbox_is_written_by_all_tasks(spark, tmp_path):
         Q.drop_in(rows, str(tmp_path / "inbox"))
         assert len(list(Path(tmp_path / "inbox").glob("part-*.parquet"))) == n
     assert spark.read.parquet(str(tmp_path / "inbox")).count() == 80
+
+
+def test_a_mounted_store_is_listed_by_tasks_as_spark_lists_it(spark, tmp_path):
+    names = ["a b.jpg", "100%.jpg", "x+y.jpg", "é.jpg", "a%20b.jpg", "_h.jpg", "_k=1.jpg", ".d.jpg", "q/_z/r.jpg", "q/.y/r.jpg", "q/_metadata/r.jpg", "q/_metadata_x.jpg", "w._COPYING_", "h#?.jpg", "[x]{y}.jpg", "_common_metadata", "q/r/s.jpg"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length")
+    want = {(r.path, r.length) for r in by_spark.collect()}
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        listed = files.list_store(spark, root)
+        assert {(r.path, r.size_bytes) for r in listed.collect()} == want
+        assert {r.rel_path for r in listed.collect()} == {p.removeprefix(f"file:{tmp_path}/") for p, _ in want}
+        assert "binaryFile" not in listed._jdf.queryExecution().toString()
+
+
+def test_files_of_one_split_are_written_by_all_tasks(spark, tmp_path):
+    n = 2 * spark.sparkContext.defaultParallelism
+    one = spark.range(400, numPartitions=1).select(F.concat(F.lit("x/"), "id").alias("rel_path"), F.col("id").cast("string").alias("content"))
+    assert vault.over_cores(one).rdd.getNumPartitions() == n
+    many = one.repartition(n + 1)
+    assert vault.over_cores(many) is many
+    Q.put(vault.over_cores(one), str(tmp_path / "d"))
+    assert {p.name: p.read_text() for p in (tmp_path / "d/x").iterdir()} == {str(i): str(i) for i in range(400)}
