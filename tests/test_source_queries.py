@@ -1,5 +1,7 @@
 """How the queries over files do their work: nothing that grows with the tables is left to one task or to the driver."""
 
+import errno
+import os
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -38,3 +40,19 @@ def test_files_of_one_split_are_written_by_all_tasks(spark, tmp_path):
     assert vault.over_cores(many) is many
     Q.put(vault.over_cores(one), str(tmp_path / "d"))
     assert {p.name: p.read_text() for p in (tmp_path / "d/x").iterdir()} == {str(i): str(i) for i in range(400)}
+
+
+def test_a_linked_copy_is_read_once_and_a_filled_one_again(tmp_path, monkeypatch):
+    (tmp_path / "a.jpg").write_bytes(b"A")
+    read, own = [], vault.sha256_of
+    monkeypatch.setattr(vault, "sha256_of", lambda path: read.append(path) or own(path))
+    want = own(str(tmp_path / "a.jpg"))
+    assert vault.file_one(str(tmp_path / "a.jpg"), str(tmp_path / "v"), ["x/a.jpg"], want) == ("x/a.jpg", None)
+    assert len(read) == 1
+
+    def none(*_):
+        raise OSError(errno.EPERM, "no links here")
+
+    monkeypatch.setattr(os, "link", none)
+    assert vault.file_one(str(tmp_path / "a.jpg"), str(tmp_path / "v"), ["x/b.jpg"], want) == ("x/b.jpg", None)
+    assert len(read) == 3 and read[-1].endswith("x/b.jpg")
