@@ -25,6 +25,8 @@ from photolith.sources.vault import dealt_out
 #: The program and its options: JSON out, plain numbers, UTF-8 names, names from standard input.
 PROGRAM = "exiftool"
 OPTIONS = ("-json", "-n", "-charset", "filename=utf8", "-@", "-")
+#: The most pictures whose levels and coefficients are held at a time.
+HELD = 256
 
 
 def _other_hash():
@@ -55,14 +57,14 @@ def _square(path: str):
 
 def with_phash(files: DataFrame, column: str = "phash") -> DataFrame:
     """`files` with the 64-bit perceptual hash (hexadecimal) of each picture at `path`; null for video, for formats that can't be hashed, and
-    for those that need a decoder that isn't installed. Pictures are decoded one by one and transformed by batches."""
+    for those that need a decoder that isn't installed. Pictures are decoded one by one and transformed by up to HELD."""
     (wanted,) = unused(files, "_wanted")
     marked = dealt_out(files.withColumn(wanted, F.when(paths.can_hash(F.col("path")), F.col("path"))))
     schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches):
         other = _other_hash()
-        for batch in batches:
+        for batch in (b.slice(a, HELD) for b in batches for a in range(0, b.num_rows, HELD)):
             asked = batch.column(batch.num_columns - 1).to_pylist()
             squares = {i: s for i, p in enumerate(asked) if p is not None and (s := _square(p)) is not None}
             found = dict(zip(squares, pixels.hashes(np.array(list(squares.values()))), strict=True))

@@ -4,10 +4,13 @@ import errno
 import os
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from photolith.plans import catalogue_sources as Q
-from photolith.sources import files, vault
+from photolith.plans.made_files import picture
+from photolith.sources import decoders, files, pixels, vault
 
 
 def test_an_inbox_is_written_by_all_tasks(spark, tmp_path):
@@ -56,3 +59,27 @@ def test_a_linked_copy_is_read_once_and_a_filled_one_again(tmp_path, monkeypatch
     monkeypatch.setattr(os, "link", none)
     assert vault.file_one(str(tmp_path / "a.jpg"), str(tmp_path / "v"), ["x/b.jpg"], want) == ("x/b.jpg", None)
     assert len(read) == 3 and read[-1].endswith("x/b.jpg")
+
+
+def test_pictures_are_held_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    n = 2 * decoders.HELD + 3
+    for i in range(n):
+        (tmp_path / f"{i}.png").write_bytes(picture(np.full((32, 32), i % 256, dtype=np.uint8) ^ np.arange(32, dtype=np.uint8), "png"))
+    seen, own = [], pixels.hashes
+    monkeypatch.setattr(pixels, "hashes", lambda squares: seen.append(len(squares)) or own(squares))
+    run = []
+
+    class Rows:
+        """Stands for the dealt-out listing, whose function on batches is called here."""
+
+        def mapInArrow(self, fn, _):
+            run.append(fn)
+
+    rows = spark.createDataFrame([(str(tmp_path / f"{i}.png"),) for i in range(n)], "path string")
+    monkeypatch.setattr(decoders, "dealt_out", lambda _: Rows())
+    decoders.with_phash(rows)
+    table = pa.table({"path": [str(tmp_path / f"{i}.png") for i in range(n)]})
+    (batch,) = table.append_column("_wanted", table["path"]).to_batches()
+    found = pa.Table.from_batches(run[0]([batch]))
+    assert found.num_rows == n and max(seen) == decoders.HELD and sum(seen) == n
+    assert found["phash"].to_pylist() == own(np.array([pixels.square(Path(p).read_bytes()) for p in table["path"].to_pylist()]))
