@@ -1,6 +1,8 @@
 """How the queries over files do their work: nothing that grows with the tables is left to one task or to the driver."""
 
+import csv
 import errno
+import io
 import os
 from pathlib import Path
 
@@ -8,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from photolith import schemas
 from photolith.plans import catalogue_sources as Q
 from photolith.plans.made_files import picture
 from photolith.sources import decoders, files, pixels, vault
@@ -83,3 +86,17 @@ def test_pictures_are_held_a_few_at_a_time(spark, tmp_path, monkeypatch):
     found = pa.Table.from_batches(run[0]([batch]))
     assert found.num_rows == n and max(seen) == decoders.HELD and sum(seen) == n
     assert found["phash"].to_pylist() == own(np.array([pixels.square(Path(p).read_bytes()) for p in table["path"].to_pylist()]))
+
+
+def test_a_manifest_is_written_by_tasks_in_path_order(spark, tmp_path, monkeypatch):
+    odd = ['"', "a,b", "two\nlines", "é", "", None]
+    rows = [(f"p{i * 7919 % 1000:03}{odd[i % 4]}", "", odd[i % 6], "x; y", i, f"\ts{i}\n" if i % 3 else None) for i in range(1000)]
+    made = spark.createDataFrame(rows, schemas.MANIFEST).repartition(7)
+    monkeypatch.setattr(type(made), "toLocalIterator", None)
+    files.write_manifest(made, str(tmp_path))
+    out = io.StringIO(newline="")
+    csv.writer(out).writerows([schemas.MANIFEST.names, *(["" if v is None else v for v in r] for r in sorted(rows, key=lambda r: r[0].encode()))])
+    assert (tmp_path / "manifest.csv").read_bytes() == out.getvalue().encode()
+    assert [p.name for p in tmp_path.iterdir()] == ["manifest.csv"]
+    files.write_manifest(made.limit(0), str(tmp_path))
+    assert (tmp_path / "manifest.csv").read_text().strip() == ",".join(schemas.MANIFEST.names)
