@@ -17,6 +17,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df` for a join in which it must not be sent whole: it grows with the files of a run, and what is sent to all tasks goes through the driver first."""
+    return df.hint("merge")
+
+
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """`df` with its partitioning by a text key forgotten.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photolith.functions import values
-from photolith.functions.keys import dealt_anew
+from photolith.functions.keys import dealt_anew, merged
 from photolith.operators.graph import components
 from photolith.operators.similarity import near_hashes
 from photolith.sources.scratch import discard, settle
@@ -49,7 +49,7 @@ def _rows_of_hashes(files: DataFrame, near: DataFrame) -> DataFrame:
     """`files` with what `near` (h, n) says of their hashes; both sides are dealt anew, so that AQE can split a hot hash."""
     key = lambda c: F.to_json(F.struct(F.col(c).alias("h")))
     hashes = near.select(key("h").alias("_hash_key"), "n")
-    return files.withColumn("_bits_key", key("bits")).join(hashes, F.col("_bits_key") == F.col("_hash_key"), "left").drop("_bits_key", "_hash_key")
+    return files.withColumn("_bits_key", key("bits")).join(merged(hashes), F.col("_bits_key") == F.col("_hash_key"), "left").drop("_bits_key", "_hash_key")
 
 
 def _nearest_archived(files: DataFrame, archive: DataFrame, threshold: int) -> DataFrame:
@@ -173,22 +173,22 @@ def greedy(incoming: DataFrame, archive: DataFrame, threshold: int = 8) -> DataF
     """
     files = incoming.select(F.struct("*").alias("f"), "path", "sha256", "bits", "width", "height", "filesize", order_key().alias("rank"))
     best = F.min_by(F.struct("path", "bits", "rank"), "rank").alias("b")
-    fresh = files.join(dealt_anew(archive.select("sha256").distinct(), "sha256"), "sha256", "left_anti")
+    fresh = files.join(merged(dealt_anew(archive.select("sha256").distinct(), "sha256")), "sha256", "left_anti")
     firsts = fresh.filter("sha256 IS NOT NULL").groupBy("sha256").agg(best).select("b.*").unionByName(fresh.filter("sha256 IS NULL").select("path", "bits", "rank"))
     plain = firsts.filter("bits IS NULL")
     hashed = settle(firsts.filter("bits IS NOT NULL").groupBy("bits").agg(F.min_by(F.struct("path", "rank"), "rank").alias("b")).select("bits", "b.*"), "hashed")
 
     taken = near_hashes(hashed, archive, threshold).select(F.col("l").alias("bits")).distinct()
-    open_ = settle(hashed.join(taken, "bits", "left_anti"), "open")
+    open_ = settle(hashed.join(merged(taken), "bits", "left_anti"), "open")
     named = lambda side: open_.select(F.col("bits").alias(side), F.col("path").alias(f"{side}_path"), F.col("rank").alias(f"{side}_rank"))
     near = near_hashes(open_, open_, threshold).join(named("l"), "l").join(named("r"), "r").filter("l_rank < r_rank")
     new = independent(open_.select(F.col("path").alias("node")), near.select(F.col("l_path").alias("better"), F.col("r_path").alias("worse")))
-    new = settle(files.join(new.select(F.col("node").alias("path")).unionByName(plain.select("path")), "path", "left_semi"), "new-files")
+    new = settle(files.join(merged(new.select(F.col("node").alias("path")).unionByName(plain.select("path"))), "path", "left_semi"), "new-files")
 
     # Masters by checksum: the archive's, else this batch's.
     own = new.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.min_by("path", "rank").alias("same_path"))
-    same = archive.groupBy("sha256").agg(F.min("id").alias("same_id")).join(own, "sha256", "full_outer")
-    rest = files.join(new.select("path"), "path", "left_anti").join(dealt_anew(same, "sha256"), "sha256", "left")
+    same = archive.groupBy("sha256").agg(F.min("id").alias("same_id")).join(merged(own), "sha256", "full_outer")
+    rest = files.join(merged(new.select("path")), "path", "left_anti").join(merged(dealt_anew(same, "sha256")), "sha256", "left")
     is_same = F.col("same_id").isNotNull() | F.col("same_path").isNotNull()
     asked = rest.filter(~is_same)
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from photolith import schemas
 from photolith.errors import SourceError
+from photolith.functions.keys import merged
 from photolith.operators import dedupe, upsert
 from photolith.plans.ingest import link_rows, next_id, plan_ingest, review_rows, source_row
 from photolith.sources.catalog import Catalog
@@ -88,11 +89,11 @@ def _file_chunk(run: Run, nth: int, number: int, vault: str, at: datetime, sourc
     new = run.get(f"{nth}/new").filter(F.col("chunk") == number)
     copied = run.put(f"{nth}/copied-{number}", copy_into_vault(new, vault))
     landed = copied.filter("error IS NULL").select(F.col("path").alias("_path"), F.col("vault_path").alias("_place"))
-    rows = new.join(landed, F.col("path") == F.col("_path")).withColumn("vault_path", F.col("_place"))
+    rows = new.join(merged(landed), F.col("path") == F.col("_path")).withColumn("vault_path", F.col("_place"))
     source_id, appended = source_row(catalog, source, at)
     rows = rows.withColumn("imported_at", F.lit(at).cast("timestamp")).withColumn("source_id", F.lit(source_id).cast("bigint"))
     named = rows.select(F.col("path").alias("asset_path"), "original_filename", F.col("vault_path").alias("_place"))
-    undated = run.get(f"{nth}/undated").join(named, "asset_path")
+    undated = run.get(f"{nth}/undated").join(merged(named), "asset_path")
     undated = undated.withColumn("detail", F.to_json(F.struct(F.col("original_filename").alias("filename"), F.col("_place").alias("vault_path"))))
     state = run.state
     state["rounds"][nth]["chunks"] = [*state["rounds"][nth]["chunks"], number]
@@ -107,7 +108,7 @@ def _failed(run: Run, nth: int) -> DataFrame:
 def _orphaned(run: Run, nth: int) -> DataFrame:
     """A round's files whose master failed."""
     gone = _failed(run, nth).select(F.col("path").alias("master_path"))
-    return run.get(f"{nth}/verdicts").join(gone, "master_path", "left_semi")
+    return run.get(f"{nth}/verdicts").join(merged(gone), "master_path", "left_semi")
 
 
 def _finished(run: Run, at: datetime) -> None:
@@ -116,18 +117,18 @@ def _finished(run: Run, at: datetime) -> None:
     ids, links, late = None, None, None
     for nth in rounds:
         landed = run.outcomes(nth).filter("error IS NULL").select("path", F.col("vault_path").alias("place"))
-        own = run.get(f"{nth}/new").select("path", "id").join(landed, "path")
-        kept = run.get(f"{nth}/verdicts").select("path").join(_orphaned(run, nth).select("path"), "path", "left_anti")
+        own = run.get(f"{nth}/new").select("path", "id").join(merged(landed), "path")
+        kept = run.get(f"{nth}/verdicts").select("path").join(merged(_orphaned(run, nth).select("path")), "path", "left_anti")
         named = kept.withColumnRenamed("path", "original_path")
-        one, two = run.get(f"{nth}/links").join(named, "original_path", "left_semi"), run.get(f"{nth}/late").join(named, "original_path", "left_semi")
+        one, two = run.get(f"{nth}/links").join(merged(named), "original_path", "left_semi"), run.get(f"{nth}/late").join(merged(named), "original_path", "left_semi")
         ids, links, late = (own, one, two) if ids is None else (ids.unionByName(own), links.unionByName(one), late.unionByName(two))
     state = run.state | {"done": True}
     if ids is None:
         catalog.commit(notes={run.name: state})
         return
     # A path that has a link keeps the one it has, and only an open entry stands in the way of another.
-    links = links.join(catalog.read("linked_files").select("original_path"), "original_path", "left_anti")
-    late = late.join(catalog.read("review_queue").filter("status = 'open'").select("original_path"), "original_path", "left_anti")
+    links = links.join(merged(catalog.read("linked_files").select("original_path")), "original_path", "left_anti")
+    late = late.join(merged(catalog.read("review_queue").filter("status = 'open'").select("original_path")), "original_path", "left_anti")
     catalog.commit({"linked_files": link_rows(catalog, links, ids, at), "review_queue": review_rows(catalog, late, ids, at)}, notes={run.name: state})
 
 
@@ -163,8 +164,8 @@ def outcomes(catalog: Catalog, run: str) -> DataFrame:
     for nth in range(len(own.state["rounds"])):
         copied = own.outcomes(nth).select(F.col("path").alias("_path"), "vault_path", "error")
         wished = own.get(f"{nth}/new").select(F.col("path").alias("_new"), F.col("original_filename").alias("_name"))
-        rows = own.get(f"{nth}/verdicts").join(_orphaned(own, nth).select("path"), "path", "left_anti")
-        rows = rows.join(copied, F.col("path") == F.col("_path"), "left").join(wished, F.col("path") == F.col("_new"), "left")
+        rows = own.get(f"{nth}/verdicts").join(merged(_orphaned(own, nth).select("path")), "path", "left_anti")
+        rows = rows.join(merged(copied), F.col("path") == F.col("_path"), "left").join(merged(wished), F.col("path") == F.col("_new"), "left")
         landed = F.col("vault_path").isNotNull()
         outcome = F.when(new & landed, IMPORTED).when(new & F.col("error").isNotNull(), FAILED).when(linked, LINKED).when(~new, DEFERRED)
         renamed = F.coalesce(landed & (F.element_at(F.split("vault_path", "/"), -1) != F.col("_name")), F.lit(False))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from photolith import schemas
 from photolith.errors import ConstraintError
 from photolith.functions import dates, paths, values
-from photolith.functions.keys import dealt_anew
+from photolith.functions.keys import dealt_anew, merged
 from photolith.operators import dedupe, upsert
 from photolith.sources.catalog import Catalog
 from photolith.sources.scratch import settle
@@ -29,8 +29,8 @@ def filed(new: DataFrame, taken: DataFrame) -> DataFrame:
     rows = new.withColumn(wished, F.concat(folder, paths.name(F.col("path"))))
     # However many files ask for one name, only the best of them travels.
     best = rows.groupBy(wished).agg(F.min(F.struct(dedupe.order_key().alias("key"), "path")).alias(first)).select(wished, F.col(first)["path"].alias(first))
-    rows = rows.join(taken.select(F.col("vault_path").alias(wished), F.col("sha256").alias(old)), wished, "left")
-    rows = rows.join(dealt_anew(best, wished), wished)
+    rows = rows.join(merged(taken.select(F.col("vault_path").alias(wished), F.col("sha256").alias(old))), wished, "left")
+    rows = rows.join(merged(dealt_anew(best, wished)), wished)
     free = (F.col(old).isNull() & (F.col(first) == F.col("path"))) | F.coalesce(F.col(old) == F.col("sha256"), F.lit(False))
     suffixed = F.concat(folder, paths.stem(F.col("path")), F.lit("-"), F.substring("sha256", 1, 8), paths.suffix(F.col("path")))
     rows = rows.withColumns({"renamed": ~free, "spare_path": suffixed})
@@ -75,14 +75,14 @@ def plan_ingest(identified: DataFrame, assets: DataFrame, links: DataFrame | Non
 
     linked = verdicts.filter(F.col("verdict").isin(dedupe.EXACT, dedupe.TWIN)).select("sha256", F.col("path").alias("original_path"), "master_id", "master_path", F.col("verdict").alias("reason"), "filesize")
     if links is not None:  # a path that has a link keeps the one it has
-        linked = linked.join(links.select("original_path"), "original_path", "left_anti")
+        linked = linked.join(merged(links.select("original_path")), "original_path", "left_anti")
     names = assets.select(F.col("id").alias("master_id"), F.col("vault_path").alias("_old"))
     fresh = new.select(F.col("path").alias("master_path"), F.col("vault_path").alias("_new"))
-    late = verdicts.filter(F.col("verdict").isin(dedupe.AMBIGUOUS, dedupe.HIGHER)).join(names, "master_id", "left").join(fresh, "master_path", "left")
+    late = verdicts.filter(F.col("verdict").isin(dedupe.AMBIGUOUS, dedupe.HIGHER)).join(merged(names), "master_id", "left").join(merged(fresh), "master_path", "left")
     detail = F.to_json(F.struct("distance", F.coalesce("_old", "_new").alias("master")))
     late = late.select(F.col("path").alias("original_path"), F.lit(None).cast("string").alias("asset_path"), F.col("verdict").alias("kind"), detail.alias("detail"))
     if reviews is not None:  # only an open entry stands in the way of another
-        late = late.join(reviews.filter("status = 'open'").select("original_path"), "original_path", "left_anti")
+        late = late.join(merged(reviews.filter("status = 'open'").select("original_path")), "original_path", "left_anti")
     undated = new.filter("taken_at IS NULL").select(F.col("path").alias("original_path"), F.col("path").alias("asset_path"), F.lit("unknown_date").alias("kind"), F.to_json(F.struct(F.col("original_filename").alias("filename"), "vault_path")).alias("detail"))
     return Plan(verdicts, new, linked, late.unionByName(undated))
 
@@ -106,14 +106,14 @@ def next_id(catalog: Catalog, table: str) -> int:
 def link_rows(catalog: Catalog, links: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
     """Links as rows to append; `ids` names the assets (id) of a run's files (path)."""
     known = ids.select(F.col("path").alias("_path"), F.col("id").alias("_id"))
-    links = links.join(known, F.col("master_path") == F.col("_path"), "left").withColumn("master_asset_id", F.coalesce("master_id", "_id"))
+    links = links.join(merged(known), F.col("master_path") == F.col("_path"), "left").withColumn("master_asset_id", F.coalesce("master_id", "_id"))
     return upsert.numbered(links, ["original_path"], next_id(catalog, "linked_files")).withColumn("seen_at", F.lit(at).cast("timestamp"))
 
 
 def review_rows(catalog: Catalog, reviews: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
     """Review entries as rows to append."""
     known = ids.select(F.col("path").alias("_path"), F.col("id").alias("_id"))
-    reviews = reviews.join(known, F.col("asset_path") == F.col("_path"), "left").withColumn("asset_id", F.col("_id"))
+    reviews = reviews.join(merged(known), F.col("asset_path") == F.col("_path"), "left").withColumn("asset_id", F.col("_id"))
     reviews = upsert.numbered(reviews, ["original_path", "kind"], next_id(catalog, "review_queue"))
     return reviews.withColumns({"status": F.lit("open"), "created_at": F.lit(at).cast("timestamp")})
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
 from photolith.errors import ConstraintError
+from photolith.functions.keys import merged
 
 
 _TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType())}
@@ -91,7 +92,7 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
 
 def orphans(df: DataFrame, column: str, target: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose reference points nowhere; a null refers to nothing and is fine."""
-    return df.filter(F.col(column).isNotNull()).join(target.select(F.col(id_col).alias("_id")), F.col(column) == F.col("_id"), "left_anti")
+    return df.filter(F.col(column).isNotNull()).join(merged(target.select(F.col(id_col).alias("_id"))), F.col(column) == F.col("_id"), "left_anti")
 
 
 def check(table: str, df: DataFrame, others: dict[str, DataFrame] | None = None, known: DataFrame | None = None) -> None:
@@ -104,7 +105,7 @@ def check(table: str, df: DataFrame, others: dict[str, DataFrame] | None = None,
     if required and not df.filter(" OR ".join(f"{c} IS NULL" for c in required)).isEmpty():
         raise ConstraintError(f"{table}: null in one of {', '.join(required)}")
     for key in spec.unique:
-        again = known is not None and not known.select(*key).join(df.select(*key), list(key), "left_semi").isEmpty()
+        again = known is not None and not known.select(*key).join(merged(df.select(*key)), list(key), "left_semi").isEmpty()
         if again or not duplicate_keys(df, key).isEmpty():
             raise ConstraintError(f"{table}: {', '.join(key)} is not unique")
     for column, target in spec.refers.items():

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from photolith import schemas
 from photolith.plans import catalogue_sources as Q
+from photolith.plans.ingest import filed
 from photolith.plans.made_files import picture
 from photolith.sources import decoders, files, pixels, vault
 
@@ -100,3 +101,13 @@ def test_a_manifest_is_written_by_tasks_in_path_order(spark, tmp_path, monkeypat
     assert [p.name for p in tmp_path.iterdir()] == ["manifest.csv"]
     files.write_manifest(made.limit(0), str(tmp_path))
     assert (tmp_path / "manifest.csv").read_text().strip() == ",".join(schemas.MANIFEST.names)
+
+
+def test_what_grows_with_a_run_is_not_broadcast(spark, tmp_path):
+    new = spark.createDataFrame([("a", "s", None, 1, 1, 9, "a"), ("b", "s", None, 1, 1, 8, "b")], "path string, sha256 string, bits bigint, width int, height int, filesize bigint, rel_path string")
+    new = new.withColumn("taken_at", F.lit(None).cast("timestamp_ntz"))
+    taken = spark.createDataFrame([("undated/c", "t")], "vault_path string, sha256 string")
+    both = [filed(new, taken), schemas.orphans(new, "path", taken.withColumnRenamed("vault_path", "id"))]
+    for df in both:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
