@@ -15,9 +15,10 @@ _ISO = r"^\d{4}-\d{2}-\d{2}(?:.\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?)?$"
 def parse_embedded(value: Column) -> Column:
     """`YYYY:MM:DD HH:MM:SS` (or with hyphens, T) at the start of the text; zeros and impossible times are unknown."""
     stripped = text.strip(value)
-    part = lambda i: F.nullif(F.regexp_extract(stripped, _STAMP, i), F.lit("")).cast("int")
-    year, month, day, hour, minute, second = (part(i) for i in range(1, 7))
-    return F.when((year > 0) & (second < 60), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
+    # Where the form fits, every part has its place; one match, not one for each part.
+    part = lambda at, n: F.substring(stripped, at, n).try_cast("int")
+    year, month, day, hour, minute, second = part(1, 4), *(part(at, 2) for at in (6, 9, 12, 15, 18))
+    return F.when(stripped.rlike(_STAMP) & (year > 0) & (second < 60), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
 
 
 def parse_iso(value: Column) -> Column:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from photolith import schemas
+from photolith.functions import dates
 from photolith.plans import catalogue_sources as Q
 from photolith.plans.ingest import filed
 from photolith.plans.made_files import picture
@@ -111,3 +112,10 @@ def test_what_grows_with_a_run_is_not_broadcast(spark, tmp_path):
     for df in both:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_stamp_is_matched_once_not_for_each_of_its_parts(spark):
+    at = dates.parse_embedded(F.col("v"))
+    rows = spark.createDataFrame([(v,) for v in ("2016:01:02 03:04:05x", "2016:13:02 03:04:05", "x", None)], "v string").select(at.alias("t"))
+    assert [str(r.t) for r in rows.collect()] == ["2016-01-02 03:04:05", "None", "None", "None"]
+    assert "regexp_extract(" not in rows._jdf.queryExecution().analyzed().toString()
